@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe import bpe_digest
 from .common import read
 from .exact_dedup import exact_dedup
 
@@ -21,7 +22,15 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY t)
 """
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe_digest(docs, vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
+
+
 QUERIES = {
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLE_SQL = {
