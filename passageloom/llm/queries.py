@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_digest
 from .common import read
 from .exact_dedup import exact_dedup
+from .html_text import page_text
+from .token_counts import document_token_counts
 from .toxicity import toxicity
 
 
@@ -23,6 +25,17 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY t)
 """
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return document_token_counts(docs, vocabularies.path("piece_bpe_32k.model"))
+
+
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text(read(spark, sf_dir, "pages"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -35,6 +48,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
+    "op8_html_text": op8_html_text,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_toxicity": op10_toxicity,
