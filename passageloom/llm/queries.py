@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import bpe_digest
 from .common import read
 from .exact_dedup import exact_dedup
 from .html_text import page_text
+from .mixing import mixing_plan
+from .quotes import reply_ordered
 from .token_counts import document_token_counts
+from .topk import topk
 from .toxicity import toxicity
 
 
@@ -25,6 +29,18 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM n WINDOW g AS (PARTITION BY t)
 """
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_plan(read(spark, sf_dir, "documents")).drop("copies")
+
+
+def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_ordered(read(spark, sf_dir, "conversations"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -47,7 +63,82 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+OP1_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 10
+"""
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+k AS (
+  SELECT *, length(bin(size)) * 8 + CASE WHEN length(bin(size)) > 3 THEN (size >> (length(bin(size)) - 4)::INT) % 8 ELSE 0 END AS class
+  FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS weight,
+         row_number() OVER (ORDER BY source ASC NULLS LAST) AS place FROM s),
+r AS (
+  SELECT *, source_size * 2 AS most, source_size * 2 / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS budget,
+         sum(weight) OVER () AS all_weight FROM w),
+c AS (
+  SELECT *, coalesce(sum(most) OVER o, 0) AS cut, coalesce(sum(weight) OVER o, 0) AS cut_weight FROM r
+  WINDOW o AS (ORDER BY ratio, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (budget - cut::DOUBLE) / (all_weight - cut_weight)::DOUBLE AS level FROM c),
+t AS (
+  SELECT source, source_size, least(most::DOUBLE,
+         coalesce((SELECT min(level) FROM l WHERE level <= ratio) * weight, 0)) AS target FROM l),
+p AS (
+  SELECT k.doc_id, k.size, t.source_size, t.target,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS step,
+         row_number() OVER (PARTITION BY k.source ORDER BY class, md5(coalesce(doc_id::VARCHAR, '')), doc_id, size) - 1 AS rank,
+         ('0x' || md5('mix' || coalesce(k.source, ''))[1:5])::BIGINT / 1048576.0::DOUBLE AS shift
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       size * (floor((rank + 1) * step + shift) - floor(rank * step + shift))::BIGINT AS taken FROM p
+"""
+
+OP9_SQL = r"""
+WITH RECURSIVE l AS (
+  SELECT conv_id, turn, role, i, string_split(coalesce(text, ''), chr(10))[i] AS line
+  FROM conversations, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS u(i)),
+p AS (
+  SELECT *, length(replace(replace(regexp_extract(line, '^([ \t]*>)+'), ' ', ''), chr(9), '')) AS level,
+    regexp_replace(regexp_replace(translate(regexp_replace(line, '^([ \t]*>)+[ \t]?', ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), '^ | $', '', 'g') AS passage
+  FROM l),
+q AS (SELECT * FROM p WHERE regexp_matches(passage, '[\p{L}\p{N}]') AND conv_id IS NOT NULL AND turn IS NOT NULL),
+o AS (SELECT conv_id, passage, min(turn) AS origin FROM q WHERE level = 0 GROUP BY ALL),
+v AS (
+  SELECT q.conv_id, q.turn, q.level, o.origin, count(*) AS linked
+  FROM q JOIN o USING (conv_id, passage) WHERE q.level > 0 AND o.origin < q.turn GROUP BY ALL),
+b AS (
+  SELECT conv_id, turn, origin AS parent_turn, linked FROM v
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, linked DESC, origin DESC) = 1),
+up AS (
+  SELECT conv_id, turn, parent_turn AS thread_turn FROM b
+  UNION ALL
+  SELECT up.conv_id, up.turn, b.parent_turn FROM up JOIN b ON b.conv_id = up.conv_id AND b.turn = up.thread_turn),
+th AS (SELECT conv_id, turn, min(thread_turn) AS thread_turn FROM up GROUP BY ALL),
+m AS (
+  SELECT conv_id, turn, role, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^([ \t]*>)+'))) AS n_quoted,
+    array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(x, '^([ \t]*>)+')), chr(10)) AS text
+  FROM conversations)
+SELECT m.conv_id, coalesce(th.thread_turn, m.turn) AS thread_turn, m.turn, m.role, b.parent_turn, m.n_quoted::BIGINT AS n_quoted,
+  coalesce(b.linked, 0)::BIGINT AS n_linked, m.text, '<|' || coalesce(m.role, 'user') || '|>' || chr(10) || m.text AS chat
+FROM m LEFT JOIN b ON m.conv_id = b.conv_id AND m.turn = b.turn LEFT JOIN th ON m.conv_id = th.conv_id AND m.turn = th.turn
+"""
+
 QUERIES = {
+    "op1_exact_topk": op1_exact_topk,
+    "op4_mixing": op4_mixing,
+    "op9_quote_linking": op9_quote_linking,
     "op3_token_counts": op3_token_counts,
     "op8_html_text": op8_html_text,
     "op6_byte_bpe": op6_byte_bpe,
@@ -55,5 +146,8 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL = {
+    "op1_exact_topk": OP1_SQL,
+    "op4_mixing": OP4_SQL,
+    "op9_quote_linking": OP9_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
