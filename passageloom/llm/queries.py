@@ -10,6 +10,7 @@ from .common import read
 from .exact_dedup import exact_dedup
 from .html_text import page_text
 from .mixing import mixing_plan
+from .near_dup import near_duplicates
 from .quotes import reply_ordered
 from .token_counts import document_token_counts
 from .topk import topk
@@ -52,6 +53,10 @@ def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text(read(spark, sf_dir, "pages"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -141,6 +146,7 @@ QUERIES = {
     "op9_quote_linking": op9_quote_linking,
     "op3_token_counts": op3_token_counts,
     "op8_html_text": op8_html_text,
+    "op5_minhash": op5_minhash,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_toxicity": op10_toxicity,
