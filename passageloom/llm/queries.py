@@ -12,6 +12,7 @@ from .html_text import page_text
 from .mixing import mixing_plan
 from .near_dup import near_duplicates
 from .quotes import reply_ordered
+from .suffix_dedup import suffix_dedup
 from .token_counts import document_token_counts
 from .topk import topk
 from .toxicity import toxicity
@@ -42,6 +43,10 @@ def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_ordered(read(spark, sf_dir, "conversations"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(read(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as vocabularies
 
@@ -144,6 +149,7 @@ QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op4_mixing": op4_mixing,
     "op9_quote_linking": op9_quote_linking,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_token_counts": op3_token_counts,
     "op8_html_text": op8_html_text,
     "op5_minhash": op5_minhash,
