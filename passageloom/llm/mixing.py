@@ -38,7 +38,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     """source, source_size -> those and target, one row a source.
 
     With sources in order of cap by weight, those that stop at their cap are a
-    prefix; the rest share what is left in proportion to weight.
+    prefix; the rest share what is left in proportion to weight. The share per
+    weight that is left after a prefix grows until the prefix is the right one,
+    and falls from there on.
     """
     everything, in_order = W.partitionBy(F.lit(0)), W.partitionBy(F.lit(0)).orderBy("ratio", "place")
     before = in_order.rowsBetween(W.unboundedPreceding, -1)
@@ -53,7 +55,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
         .withColumn("cut", F.coalesce(F.sum("most").over(before), F.lit(0)))
         .withColumn("cut_weight", F.coalesce(F.sum("weight").over(before), F.lit(0)))
         .withColumn("level", level)
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+        .withColumn("level", F.max(F.col("level")).over(everything))
     )
     wanted = F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0)))
     return ranked.select("source", "source_size", wanted.alias("target"))

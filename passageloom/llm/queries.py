@@ -103,7 +103,7 @@ c AS (
 l AS (SELECT *, (budget - cut::DOUBLE) / (all_weight - cut_weight)::DOUBLE AS level FROM c),
 t AS (
   SELECT source, source_size, least(most::DOUBLE,
-         coalesce((SELECT min(level) FROM l WHERE level <= ratio) * weight, 0)) AS target FROM l),
+         coalesce((SELECT max(level) FROM l) * weight, 0)) AS target FROM l),
 p AS (
   SELECT k.doc_id, k.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS step,
