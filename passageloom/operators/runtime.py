@@ -1,0 +1,209 @@
+"""Where structured answers come from.
+
+A runtime takes calls, one row each with call_id, passage, n_words and what a
+task adds, and returns them with out, the task's struct (null where there is no
+valid answer), and error.
+
+RuleRuntime drafts an answer from the passage by rule, in native columns. It is
+no model and says nothing of one; with it every task runs at any size and can be
+checked. TableRuntime looks answers up. HttpRuntime asks a chat endpoint.
+"""
+
+from __future__ import annotations
+
+import json
+import time
+import urllib.request
+from abc import ABC, abstractmethod
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.text import maskable, sentences, words
+from ..plans.tasks import Task
+
+#: Names of models by what they offer: a strict schema, or a JSON object only.
+SCHEMA_MODELS = ("gpt-4o", "gpt-4.1", "gpt-5", "o3", "o4")
+MODES = ("auto", "json_schema", "json_object", "text")
+
+
+class Runtime(ABC):
+    @abstractmethod
+    def apply(self, calls: DataFrame, task: Task) -> DataFrame:
+        """calls with out and error."""
+
+
+def checked(calls: DataFrame, task: Task, out: Column, raw: Column | None = None) -> DataFrame:
+    """calls with out where it is valid, and error where it isn't."""
+    made = calls.withColumn("out", out)
+    good = task.valid(F.col("out"), F.col("n_words"))
+    missing = F.lit("no answer") if raw is None else F.when(raw.isNull() | (raw == ""), "empty response").otherwise("no valid answer")
+    found = F.coalesce(F.col("error"), F.when(~good, missing)) if "error" in calls.columns else F.when(~good, missing)
+    return made.withColumn("error", found).withColumn("out", F.when(F.col("error").isNull(), F.col("out")))
+
+
+def parts(calls: DataFrame) -> DataFrame:
+    """calls with what rules look at: words, sentences and maskable words."""
+    p = F.col("passage")
+    return calls.withColumns({"w_": words(p), "s_": sentences(p), "c_": maskable(p)})
+
+
+class RuleRuntime(Runtime):
+    def apply(self, calls: DataFrame, task: Task) -> DataFrame:
+        x = {"id": F.col("call_id"), "t": F.col("passage"), "w": F.col("w_"), "s": F.col("s_"), "c": F.col("c_")}
+        return checked(parts(calls), task, task.draft(x).cast(f"struct<{ddl(task.schema)}>")).drop("w_", "s_", "c_")
+
+
+class TableRuntime(Runtime):
+    """Answers from a table (task, call_id, raw): raw is JSON."""
+
+    def __init__(self, answers: DataFrame):
+        self.answers = answers
+
+    def apply(self, calls: DataFrame, task: Task) -> DataFrame:
+        mine = self.answers.where(F.col("task") == task.name).select(F.col("call_id").alias("answer_id"), "raw")
+        joined = calls.join(mine, F.col("call_id") == F.col("answer_id"), "left").drop("answer_id")
+        return checked(joined, task, F.from_json("raw", task.schema), F.col("raw")).drop("raw")
+
+
+def ddl(schema: str) -> str:
+    """A table schema as the fields of a struct type."""
+    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
+
+
+def json_schema(schema: str) -> dict:
+    """The JSON schema of a DDL schema."""
+
+    def of(kind: T.DataType) -> dict:
+        if isinstance(kind, T.ArrayType):
+            return {"type": "array", "items": of(kind.elementType)}
+        if isinstance(kind, T.StructType):
+            return {"type": "object", "properties": {f.name: of(f.dataType) for f in kind.fields}, "required": kind.names, "additionalProperties": False}
+        return {"type": "boolean" if isinstance(kind, T.BooleanType) else "string"}
+
+    return of(T.StructType.fromDDL(schema))
+
+
+def balanced_object(text: str) -> str | None:
+    """The first balanced JSON object in a text, strings minded."""
+    start = text.find("{")
+    while start >= 0:
+        depth, quoted, escaped = 0, False, False
+        for k in range(start, len(text)):
+            ch = text[k]
+            if quoted:
+                quoted, escaped = (ch != '"' or escaped), ch == "\\" and not escaped
+            elif ch == '"':
+                quoted = True
+            elif ch in "{}":
+                depth += 1 if ch == "{" else -1
+                if not depth:
+                    return text[start : k + 1]
+        start = text.find("{", start + 1)
+    return None
+
+
+def recovered(raw: str | None) -> str | None:
+    """raw where it is a JSON object, else the first object in it."""
+    if not raw:
+        return raw
+    for candidate in (raw.strip(), balanced_object(raw)):
+        try:
+            if isinstance(json.loads(candidate or ""), dict):
+                return candidate
+        except ValueError:
+            continue
+    return raw
+
+
+def response_mode(model: str, mode: str = "auto") -> str:
+    if mode not in MODES:
+        raise ValueError(f"Unknown response format {mode!r}. Available: {', '.join(MODES)}")
+    if mode != "auto":
+        return mode
+    return "json_schema" if any(name in model for name in SCHEMA_MODELS) else "json_object"
+
+
+def response_format(mode: str, schema: str) -> dict | None:
+    if mode == "json_schema":
+        return {"type": "json_schema", "json_schema": {"name": "answer", "strict": True, "schema": json_schema(schema)}}
+    return {"type": "json_object"} if mode == "json_object" else None
+
+
+def messages(task: Task, passage: str, fmt: str = "", previous: str | None = None) -> list[dict[str, str]]:
+    """The chat of a call; previous is the answer that a variation departs from."""
+    extra = task.format_prompts.get(fmt, "")
+    system = "\n\n".join(x for x in (task.prompt.strip(), extra.strip()) if x)
+    user = passage if previous is None else f"{passage}\n\nGive another answer of the same form, unlike this one:\n{previous}"
+    return with_schema([{"role": "system", "content": system}, {"role": "user", "content": user}], task.schema)
+
+
+def with_schema(chat: list[dict[str, str]], schema: str) -> list[dict[str, str]]:
+    """The chat with the schema in its last system message, or in a new first one."""
+    note = "Answer with one JSON object of this schema:\n" + json.dumps(json_schema(schema), ensure_ascii=False)
+    last = max((k for k, m in enumerate(chat) if m["role"] == "system"), default=None)
+    if last is None:
+        return [{"role": "system", "content": note}, *chat]
+    return [{**m, "content": f"{m['content']}\n\n{note}"} if k == last else m for k, m in enumerate(chat)]
+
+
+class HttpRuntime(Runtime):
+    """Asks an endpoint that speaks the chat-completions protocol.
+
+    Each task keeps at most `concurrent` requests open; partitions times that is
+    the load on the endpoint. Failed requests are tried again, and what fails for
+    good becomes an error column, never an exception. Materialise what comes
+    back before it is read twice, else calls are repeated.
+    """
+
+    def __init__(self, model: str, base_url: str, api_key: str = "", mode: str = "auto", concurrent: int = 8, attempts: int = 3, pause: float = 0.5, timeout: float = 120, partitions: int | None = None, extra: dict | None = None):
+        if concurrent <= 0:
+            raise ValueError("concurrent must be greater than 0")
+        self.model, self.url, self.key, self.mode = model, base_url.rstrip("/") + "/chat/completions", api_key, response_mode(model, mode)
+        self.concurrent, self.attempts, self.pause, self.timeout, self.partitions, self.extra = concurrent, attempts, pause, timeout, partitions, extra or {}
+
+    def body(self, task: Task, chat: list[dict[str, str]], variation: bool) -> bytes:
+        sent = {"model": self.model, "messages": chat, "temperature": task.variation_temperature if variation else task.temperature, "max_tokens": task.max_tokens}
+        if (form := response_format(self.mode, task.schema)) is not None:
+            sent["response_format"] = form
+        return json.dumps(sent | self.extra).encode()
+
+    def ask(self, body: bytes) -> tuple[str | None, str | None]:
+        """The answer's text and the error, one of them null."""
+        said = "no attempt"
+        for n in range(self.attempts):
+            try:
+                head = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
+                with urllib.request.urlopen(urllib.request.Request(self.url, body, head), timeout=self.timeout) as got:
+                    text = json.load(got)["choices"][0]["message"]["content"]
+                if text:
+                    return text, None
+                said = "empty response"
+            except Exception as why:  # noqa: BLE001  it becomes the row's error
+                said = f"{type(why).__name__}: {why}"
+            time.sleep(self.pause * (n + 1))
+        return None, said[:500]
+
+    def apply(self, calls: DataFrame, task: Task) -> DataFrame:
+        def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            plain = task.with_knobs(formats={}, checks=(), draft=None)
+            with ThreadPoolExecutor(self.concurrent) as pool:
+                for frame in frames:
+                    asked = [messages(plain, p, f, o) for p, f, o in zip(frame["passage"], frame["format"], frame["previous"])]
+                    bodies = [self.body(plain, chat, bool(v)) for chat, v in zip(asked, frame["variation"])]
+                    found = list(pool.map(self.ask, bodies))
+                    frame["raw"], frame["error"] = [recovered(r) for r, _ in found], [e for _, e in found]
+                    yield frame
+
+        for name, kind in (("format", "string"), ("variation", "int"), ("previous", "string")):
+            if name not in calls.columns:
+                calls = calls.withColumn(name, F.lit(None).cast(kind) if name != "variation" else F.lit(0))
+        if self.partitions:
+            calls = calls.repartition(self.partitions)
+        schema = T.StructType([*calls.schema.fields, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())])
+        asked = calls.mapInPandas(answer, schema)
+        return checked(asked, task, F.from_json("raw", task.schema), F.col("raw")).drop("raw")
