@@ -86,4 +86,4 @@ def exact_dedup(
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that exact_dedup keeps, with all their columns."""
     keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id"))
-    return docs.join(keep.distinct(), docs[id_col].eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(keep.distinct().hint("merge"), docs[id_col].eqNullSafe(F.col("kept_id")), "left_semi")

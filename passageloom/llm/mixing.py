@@ -125,7 +125,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = mixing_plan(docs, id_col, text_col, source_col, **options)
     plan = plan.groupBy(F.col(id_col).alias("mix_id")).agg(F.max("copies").alias("mix_copies")).where("mix_copies > 0")
     return (
-        docs.join(plan, F.col(id_col).eqNullSafe(F.col("mix_id")))
+        docs.join(plan.hint("merge"), F.col(id_col).eqNullSafe(F.col("mix_id")))
         .withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
         .select(*[docs[c] for c in docs.columns])
     )

@@ -143,7 +143,8 @@ def with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 sigs = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SIZE, pa.array(np.concatenate(sig)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sigs, lists], names=["rep", name, "sig", "set"])
 
-    texts = docs.join(wanted, docs["i"] == wanted["rep"]).select("rep", name, "t")
+    # by sort-merge at every size, so that the plan a small input shows is the one a large input runs
+    texts = docs.join(wanted.hint("merge"), docs["i"] == wanted["rep"]).select("rep", name, "t")
     return texts.mapInArrow(fill, f"rep long, {name} {kind}, sig array<int>, set array<long>")
 
 
@@ -282,4 +283,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that near_duplicates keeps, with all their columns."""
     keep = near_duplicates(docs, id_col, text_col, words, percent).where("kept").select(F.col(id_col).alias("kept_id"))
-    return docs.join(keep.distinct(), docs[id_col].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(keep.distinct().hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
