@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import augment as A
-from ..operators import chunk, groups, judge
-from ..operators.runtime import TableRuntime
-from ..sources import files
+from ..operators import chunk
 from . import tasks as K
 
 DOC_ROW = ["doc_id", "format", "variation", "row_no", "instruction", "input", "output"]
