@@ -75,8 +75,10 @@ def ddl(schema: str) -> str:
     return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
 
 
-def json_schema(schema: str) -> dict:
-    """The JSON schema of a DDL schema."""
+def json_schema(schema: str | dict) -> dict:
+    """The JSON schema of a DDL schema; one that is there already stays."""
+    if isinstance(schema, dict):
+        return schema
 
     def of(kind: T.DataType) -> dict:
         if isinstance(kind, T.ArrayType):
@@ -189,8 +191,10 @@ class HttpRuntime(Runtime):
         return None, said[:500]
 
     def apply(self, calls: DataFrame, task: Task) -> DataFrame:
+        # what a worker needs of the task; DDL is read here, on the driver
+        plain = task.with_knobs(formats={}, checks=(), draft=None, schema=json_schema(task.schema))
+
         def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            plain = task.with_knobs(formats={}, checks=(), draft=None)
             with ThreadPoolExecutor(self.concurrent) as pool:
                 for frame in frames:
                     asked = [messages(plain, p, f, o) for p, f, o in zip(frame["passage"], frame["format"], frame["previous"])]
