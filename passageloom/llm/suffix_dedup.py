@@ -62,13 +62,19 @@ def column_bytes(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(data or [np.zeros(0, np.uint8)]), np.cumsum(np.concatenate(sizes))
 
 
+def words_of_eight(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place, zeros beyond the end, as one number."""
+    n, padded = len(x), np.concatenate([x, np.zeros(16, np.uint8)])
+    eight = np.empty(n, np.uint64)
+    for r in range(min(8, n)):
+        m = len(range(r, n, 8))
+        eight[r::8] = padded[r : r + 8 * m].view("<u8")
+    return eight
+
+
 def minimizers(x: np.ndarray, length: int, gram: int) -> np.ndarray:
     """The least hash of the gram-byte parts of the string at each place."""
-    n, padded = len(x), np.concatenate([x, np.zeros(gram + 8, np.uint8)])
-    eight = np.empty(n + gram, np.uint64)
-    for r in range(8):
-        m = len(range(r, n + gram, 8))
-        eight[r::8] = np.concatenate([padded[r:], np.zeros(8, np.uint8)])[: 8 * m].view("<u8")
+    n, eight = len(x), words_of_eight(x)
     h = eight[: n - gram + 1] * np.uint64(0x9E3779B97F4A7C15)
     for k, factor in zip(range(8, gram, 8), (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)):
         h = (h ^ (h >> np.uint64(29))) + eight[k : k + n - gram + 1] * np.uint64(factor)
@@ -235,22 +241,58 @@ def same_prefix(t: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return sa, common[:n] >= 0
 
 
+def string_hashes(x: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the length bytes from each place; length is 8 at least."""
+    n, h = len(x) - length + 1, None
+    eight = words_of_eight(x)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        part = eight[k : k + n]
+        h = part if h is None else (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + part
+    return mixed(h)
+
+
+def may_share(joined: np.ndarray, at: np.ndarray, strings: np.ndarray, length: int) -> np.ndarray:
+    """Which passages hold a string that may stand elsewhere too, by hashes:
+    equal strings have equal ones, so none is missed."""
+    h = string_hashes(joined, length)[at]
+    order = np.argsort(h, kind="stable")
+    alike = h[order[1:]] == h[order[:-1]]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][alike]] = twice[order[:-1][alike]] = True
+    return np.logical_or.reduceat(twice, np.cumsum(strings) - strings)
+
+
 def least_ids(passages: list[bytes], ids: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """For each string of length bytes of the passages, on end, the least id of
-    a passage that holds it; and where each passage's strings begin."""
+    a passage that holds it; and where each passage's strings begin. Passages are
+    distinct; those without a string that may stand in another keep their id, the
+    transform is built of the rest."""
     sizes = np.fromiter(map(len, passages), np.int64, len(passages))
-    joined = np.frombuffer(b"\0".join(passages) + b"\0\0", np.uint8).astype(np.int64) + 2
-    ends = np.cumsum(sizes + 1) - 1
-    joined[ends], joined[-1] = 1, 0
+    raw = np.frombuffer(b"\0".join(passages) + b"\0\0", np.uint8)
+    strings = sizes - length + 1
+    begins = np.concatenate([[0], np.cumsum(strings)])
+
+    def places(sizes: np.ndarray) -> np.ndarray:
+        n, first = sizes - length + 1, np.cumsum(sizes + 1) - 1 - sizes
+        return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+    out = np.repeat(ids, strings)
+    chosen = np.flatnonzero(may_share(raw, places(sizes), strings, length)) if length >= 8 else np.arange(len(passages))
+    if not len(chosen):
+        return out, begins
+    some = sizes[chosen]
+    joined = np.frombuffer(b"\0".join([passages[k] for k in chosen]) + b"\0\0", np.uint8).astype(np.int64) + 2
+    joined[np.cumsum(some + 1) - 1], joined[-1] = 1, 0
     sa, new = same_prefix(joined, length)
     group = np.empty(len(joined), np.int64)
     group[sa] = np.cumsum(new) - 1
-    strings = sizes - length + 1
-    begins = np.concatenate([[0], np.cumsum(strings)])
-    at = np.arange(int(begins[-1])) - np.repeat(begins[:-1], strings) + np.repeat(ends - sizes, strings)
+    at = places(some)
     least = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, group[at], np.repeat(ids, strings))
-    return least[group[at]], begins
+    np.minimum.at(least, group[at], np.repeat(ids[chosen], some - length + 1))
+    mine = np.zeros(len(passages), bool)
+    mine[chosen] = True
+    out[np.repeat(mine, strings)] = least[group[at]]
+    return out, begins
 
 
 def pieces(blob: bytes, sizes: bytes) -> list[bytes]:
