@@ -32,7 +32,7 @@ LATIN = {r"\s": r"\x09-\x0d\x20", r"\p{L}": "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff",
 FULL = {r"\s": r"\x09-\x0d\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"}
 NOT_LATIN = re.compile("[^\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 #: Characters of texts encoded at a time, and pre-tokens remembered by a worker.
-SLICE_CHARS, MEMO = 2_000_000, 400_000
+SLICE_CHARS, MEMO = 1_000_000, 150_000
 #: Displacements tried at once when the perfect hash is built.
 TRIES = 64
 
@@ -216,11 +216,12 @@ def decoder(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _decoders[path]
 
 
-def slices(texts: list[str]) -> Iterator[list[str]]:
+def slices(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, some at a time, null as empty."""
     held, chars = [], 0
     for t in texts:
-        held.append(t)
-        chars += len(t)
+        held.append(t.as_py() or "")
+        chars += len(held[-1])
         if chars >= SLICE_CHARS:
             yield held
             held, chars = [], 0
@@ -240,14 +241,14 @@ def bpe_encode(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path, pattern)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column(place).to_pylist()]
             done = 0
-            for part in slices(texts):
+            for part in slices(batch.column(place)):
                 ids, ends = coder.encode(part)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32()))
                 rows = batch.slice(done, len(part))
                 yield pa.RecordBatch.from_arrays([rows.column(k) for k in kept] + [lists], names=schema.names)
                 done += len(part)
+        coder.forget()  # a worker lives on after its task
 
     return df.mapInArrow(encode, schema)
 
