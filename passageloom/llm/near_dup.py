@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, materialise, text_of
@@ -126,26 +126,24 @@ def postings(reps: DataFrame, matches: int) -> DataFrame:
 
 
 def with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """Each row of wanted (rep and one other column) with sig and set, the
-    signature and shingles of the document's whole text."""
-    name = next(c for c in wanted.columns if c != "rep")
-    kind = wanted.schema[name].dataType.simpleString()
+    """rep, sig and set, the signature and shingles of the document's whole text,
+    of each id in wanted (rep)."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingles(words)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                sets = [shingles(t) for t in part.column(2).to_pylist()]
+                sets = [shingles(t) for t in part.column(1).to_pylist()]
                 sig = [signature(s) if len(s) else np.zeros(SIZE, np.int32) for s in sets]
                 ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)))
                 sigs = pa.ListArray.from_arrays(np.arange(len(sets) + 1, dtype=np.int32) * SIZE, pa.array(np.concatenate(sig)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), sigs, lists], names=["rep", name, "sig", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), sigs, lists], names=["rep", "sig", "set"])
 
     # by sort-merge at every size, so that the plan a small input shows is the one a large input runs
-    texts = docs.join(wanted.hint("merge"), docs["i"] == wanted["rep"]).select("rep", name, "t")
-    return texts.mapInArrow(fill, f"rep long, {name} {kind}, sig array<int>, set array<long>")
+    texts = docs.join(wanted.hint("merge"), docs["i"] == wanted["rep"]).select("rep", "t")
+    return texts.mapInArrow(fill, "rep long, sig array<int>, set array<long>")
 
 
 class Linker:
@@ -237,10 +235,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("size") / BLOCK)).cast("int"))
     )
 
-    def dealt(rows: DataFrame, *fields: str | Column) -> DataFrame:
-        """rep, set and sig of each row, with the fields."""
-        each = rows.groupBy("rep").agg(F.collect_list(F.struct(*fields)).alias("places"))
-        return with_sets(texts, each, words).select("rep", "sig", "set", F.explode("places").alias("p")).select("rep", "sig", "set", "p.*")
+    # texts are read once more, for members of groups only
+    sets = materialise(with_sets(texts, members.select("rep").distinct(), words))
+
+    def dealt(rows: DataFrame, *fields: str) -> DataFrame:
+        """rep, sig and set of each row, with the fields."""
+        return sets.join(rows.select("rep", *fields).hint("merge"), "rep")
 
     inside = lambda d: linker.between(d, d, True)
     links = materialise(dealt(members, "pivot", "block").groupBy("pivot", "block").applyInPandas(lambda d: inside(d.drop_duplicates("rep")), LINKS))
