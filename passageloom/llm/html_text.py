@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+UNENDED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")  # a tag that the page breaks off in
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
@@ -169,7 +170,7 @@ class Page:
                     self.text(" ")
             else:
                 self.starts(name, m[3])
-        self.text(source[at:])
+        self.text(UNENDED.sub("", source[at:]))
 
     def main(self) -> list[str]:
         """The blocks of the article, in page order."""
