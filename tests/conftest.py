@@ -3,6 +3,7 @@ import sys
 import tempfile
 
 import duckdb
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -38,7 +39,7 @@ def duck():
 
 
 def rows(frame, columns):
-    return sorted(str(tuple(None if v is None or v != v else v for v in r)) for r in frame[columns].astype(object).itertuples(index=False, name=None))
+    return sorted(str(tuple(None if pd.isna(v) is True else v for v in r)) for r in frame[columns].astype(object).itertuples(index=False, name=None))
 
 
 @pytest.fixture(scope="session")
