@@ -13,8 +13,8 @@ bounded size, and every pair of blocks is one unit of work.
    exactly; those that reach it are ranked.
 
 Components are floor(1024 * x) as integers. Products are taken in double
-precision while all sums stay below 2 ** 53, else in Python integers; a score
-beyond the range of long is held at its end.
+precision while all sums stay below 2 ** 53, else in Python integers; components
+and scores beyond the range of long are held at its end, where scores then tie.
 
 Rows: vectors that are null, or hold a null or non-finite component, take no
 part, as do rows without an id. Only vectors of the query's length are compared

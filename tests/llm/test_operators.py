@@ -24,12 +24,13 @@ def test_topk_query(same):
 
 
 def brute_topk(rows, asks, k):
-    sound = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    held = lambda x: max(min(x, 2**63 - 1), -(2**63))
+    sound = [(i, [float(held(math.floor(1024 * x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for i, a in sound:
         if asks(i):
-            scored = sorted((-sum(x * y for x, y in zip(a, b)), j) for j, b in sound if j != i and len(b) == len(a))[:k]
-            out += [(i, r, j, max(min(-s, 2**63 - 1), -(2**63))) for r, (s, j) in enumerate(scored, 1)]
+            scored = sorted((-held(sum(int(x) * int(y) for x, y in zip(a, b))), j) for j, b in sound if j != i and len(b) == len(a))[:k]
+            out += [(i, r, j, -s) for r, (s, j) in enumerate(scored, 1)]
     return sorted(out)
 
 
