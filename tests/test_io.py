@@ -52,7 +52,7 @@ def test_http_runtime(spark, url):
         R.HttpRuntime("m", url, concurrent=0)
 
 
-def test_requests():
+def test_requests(spark):
     assert R.recovered('x {"a": "}"} y') == '{"a": "}"}' and R.recovered("none") == "none" and R.recovered(None) is None
     assert [R.response_mode(m) for m in ("openai/gpt-5-nano", "some-model")] == ["json_schema", "json_object"]
     with pytest.raises(ValueError):
