@@ -26,9 +26,22 @@ from pyspark.sql import types as T
 from ..functions.text import maskable, sentences, words
 from ..plans.tasks import Task
 
-#: Names of models by what they offer: a strict schema, or a JSON object only.
-SCHEMA_MODELS = ("gpt-4o", "gpt-4.1", "gpt-5", "o3", "o4")
-MODES = ("auto", "json_schema", "json_object", "text")
+#: What a model offers by the first of these that its name holds;
+#: a JSON object where it holds none.
+MODELS = (
+    ("deepseek/", "json_object"),
+    ("deepseek", "json_object"),
+    ("openai/", "json_schema"),
+    ("gpt", "json_schema"),
+    ("google/", "json_schema"),
+    ("gemini", "json_schema"),
+    ("anthropic/", "json_object"),
+    ("claude", "json_object"),
+    ("minimax/", "json_object"),
+    ("glm", "json_object"),
+    ("z-ai/", "json_object"),
+)
+MODES = ("auto", "json_schema", "json_object")
 
 
 class Runtime(ABC):
@@ -127,13 +140,13 @@ def response_mode(model: str, mode: str = "auto") -> str:
         raise ValueError(f"Unknown response format {mode!r}. Available: {', '.join(MODES)}")
     if mode != "auto":
         return mode
-    return "json_schema" if any(name in model for name in SCHEMA_MODELS) else "json_object"
+    return next((kind for part, kind in MODELS if part in model.lower()), "json_object")
 
 
-def response_format(mode: str, schema: str) -> dict | None:
+def response_format(mode: str, schema: str | dict) -> dict:
     if mode == "json_schema":
         return {"type": "json_schema", "json_schema": {"name": "answer", "strict": True, "schema": json_schema(schema)}}
-    return {"type": "json_object"} if mode == "json_object" else None
+    return {"type": "json_object"}
 
 
 def messages(task: Task, passage: str, fmt: str = "", previous: str | None = None) -> list[dict[str, str]]:
@@ -170,8 +183,7 @@ class HttpRuntime(Runtime):
 
     def body(self, task: Task, chat: list[dict[str, str]], variation: bool) -> bytes:
         sent = {"model": self.model, "messages": chat, "temperature": task.variation_temperature if variation else task.temperature, "max_tokens": task.max_tokens}
-        if (form := response_format(self.mode, task.schema)) is not None:
-            sent["response_format"] = form
+        sent["response_format"] = response_format(self.mode, task.schema)
         return json.dumps(sent | self.extra).encode()
 
     def ask(self, body: bytes) -> tuple[str | None, str | None]:

@@ -40,11 +40,11 @@ from ..functions.text import (
 )
 
 #: Closed sets of the schemas.
-TONES = ("neutral", "formal", "informal", "persuasive", "critical", "enthusiastic")
-AUDIENCES = ("general public", "students", "practitioners", "researchers", "children")
+TONES = ("formal", "informal", "technical", "persuasive", "narrative", "instructional")
+AUDIENCES = ("general public", "domain experts", "students", "professionals", "children")
 CLAIM_LABELS = ("supported", "contradicted", "not enough information")
-ENTITY_TYPES = ("person", "organization", "location", "date", "number", "method", "dataset", "metric", "product", "other")
-CONTRADICTIONS = ("negation", "number", "entity", "temporal", "relation", "other")
+ENTITY_TYPES = ("person", "organization", "location", "method", "task", "dataset", "metric", "event", "concept", "other")
+CONTRADICTIONS = ("entity", "number", "date", "attribute", "negation", "relation")
 
 #: Ways to word an instruction; the first is the instruction itself, and each
 #: holds it whole, so that what it says of the format stays.
@@ -599,7 +599,7 @@ SINGLE = [
            "source_sentence string, replacements array<struct<original string, replacement string, contradiction_type string>>", contrast_rows,
            checks=(longest("source_sentence", 500), count("replacements", 1, 4), all_items("replacements", original=120, replacement=120, contradiction_type=CONTRADICTIONS)),
            draft=lambda x: struct(source_sentence=left(s(x, 0), 500), replacements=F.array(
-               struct(original=left(words(s(x, 0))[0], 120), replacement="never", contradiction_type="negation"), struct(original="qqqq", replacement="x", contradiction_type="other"))),
+               struct(original=left(words(s(x, 0))[0], 120), replacement="never", contradiction_type="negation"), struct(original="qqqq", replacement="x", contradiction_type="attribute"))),
            hint="the passage has sentences that a word can contradict.", temperature=0.4, pool=4, instructions=(SIMILAR, EQUIVALENT, NLI, CORRECT_SENTENCE, NAME_CHANGE)),
     simple("query_generation", "Write search queries that the passage answers.", "queries array<string>",
            lambda p, o: F.concat(F.array(row(QUERIES, p, F.array_join(o["queries"], "\n"))), F.transform(o["queries"], lambda q: row(QUERY_PASSAGE, q, p))),

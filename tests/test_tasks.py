@@ -16,7 +16,7 @@ FAKE = "Nothing of the kind is said."
 ANSWERS = {
     "title": ({"title": "Seas", "headline": "Seas keep heat"}, 2),
     "summarize": ({"tldr": "Seas.", "summary": "Seas keep heat."}, 2),
-    "classification": ({"topic": "seas", "tone": "neutral", "audience": "students"}, 3),
+    "classification": ({"topic": "seas", "tone": "technical", "audience": "students"}, 3),
     "rephrase": ({"rephrased": "Heat stays in the sea."}, 1),
     "style_transfer": ({"rewritten": "The sea is warm."}, 1),
     "backtranslation": ({"instruction": "Write on the sea."}, 1),
