@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import release, text_of
 
 #: Members of the classes that a pattern may name. White space is as the Unicode
 #: property has it; LATIN holds for texts of ASCII and the Latin-1 letters alone.
@@ -249,6 +249,7 @@ def bpe_encode(
                 yield pa.RecordBatch.from_arrays([rows.column(k) for k in kept] + [lists], names=schema.names)
                 done += len(part)
         coder.forget()  # a worker lives on after its task
+        release()
 
     return df.mapInArrow(encode, schema)
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, text_of
+from .common import WORD, materialise, release, text_of
 
 #: Coordinates of a signature, documents of a block, words remembered by a worker.
 SIZE, BLOCK, MEMO = 48, 256, 400_000
@@ -106,6 +106,8 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             d = np.array(d, np.uint64).reshape(-1, 2).view(np.int64)
             lists = pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * SIZE, pa.array(np.concatenate(sig or [np.zeros(0, np.int32)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists], names=["i", "n", "d1", "d2", "sig"])
+        shingles = None
+        release()
 
     return docs.mapInArrow(sketch, "i long, n long, d1 long, d2 long, sig array<int>")
 
