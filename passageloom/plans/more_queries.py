@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,8 +86,8 @@ def retrieval_of(negative: bool):
     return query
 
 
-def template_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.run_task(eligible(spark, sf_dir), TEMPLATED, templates=True, seed=3).select(DOC_ROW)
+def template_sampling(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+    return A.run_task(passages(spark, sf_dir), TEMPLATED, templates=True, seed=3).select(DOC_ROW)
 
 
 def task_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,17 +95,17 @@ def task_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", F.array_join("tasks", ",").alias("tasks"))
 
 
-def mode_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = A.augment(eligible(spark, sf_dir), {"title": 0.3, "rephrase": 0.2}, templates=False, seed=1)
+def mode_sample(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+    made = A.augment(passages(spark, sf_dir), {"title": 0.3, "rephrase": 0.2}, templates=False, seed=1)
     return made.select("doc_id", "task", "row_no", *ROW)
 
 
-def mode_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.augment(eligible(spark, sf_dir), ["title", "rephrase"], templates=False).select("doc_id", "task", "row_no", *ROW)
+def mode_explicit(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+    return A.augment(passages(spark, sf_dir), ["title", "rephrase"], templates=False).select("doc_id", "task", "row_no", *ROW)
 
 
-def mode_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = A.augment(eligible(spark, sf_dir), ["title", "rephrase"], mode="auto", templates=False)
+def mode_auto(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+    made = A.augment(passages(spark, sf_dir), ["title", "rephrase"], mode="auto", templates=False)
     return made.select("doc_id", "task", "row_no", *ROW)
 
 
@@ -117,12 +118,12 @@ def task_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.groupBy("task").agg(F.count("*").alias("passages"))
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge.routed(judge.postfilter(A.run_task(eligible(spark, sf_dir), "title")))
+def judged(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+    return judge.routed(judge.postfilter(A.run_task(passages(spark, sf_dir), "title")))
 
 
-def postfilter_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(spark, sf_dir).select("doc_id", "row_no", F.col("judge.is_quality").alias("is_quality"), F.col("judge.reason").alias("reason"), "route")
+def postfilter_routing(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+    return judged(spark, sf_dir, passages).select("doc_id", "row_no", F.col("judge.is_quality").alias("is_quality"), F.col("judge.reason").alias("reason"), "route")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,29 +147,29 @@ def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("n_decisions"), F.count_if("judge_error").alias("n_retryable"), F.count_if("is_quality").alias("n_kept"))
 
 
-def add_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge.add_reasoning(A.run_task(eligible(spark, sf_dir), "title")).select("doc_id", "row_no", "reasoning")
+def add_reasoning(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+    return judge.add_reasoning(A.run_task(passages(spark, sf_dir), "title")).select("doc_id", "row_no", "reasoning")
 
 
 def long_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.long_text_rows(documents(spark, sf_dir), "continuation").select("chunk_id", "row_no", *ROW)
 
 
-def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def generations(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
     task = K.get_task("title").with_knobs(generations=2, variations=1)
-    return A.run_task(eligible(spark, sf_dir), task).select("doc_id", "generation", "variation", "row_no", *ROW)
+    return A.run_task(passages(spark, sf_dir), task).select("doc_id", "generation", "variation", "row_no", *ROW)
 
 
-def custom_task_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+def custom_task_template(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
     draft = lambda x: K.struct(statistic=F.size(x["w"]).cast("string"), context=K.left(K.s(x, 0), 80))
     task = K.task(prompt="Find a number.", schema="statistic string, context string", output="{statistic} words: {context}", instruction="Count the words.", draft=draft)
-    return A.run_task(eligible(spark, sf_dir), task).select(DOC_ROW)
+    return A.run_task(passages(spark, sf_dir), task).select(DOC_ROW)
 
 
-def table_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+def table_runtime(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
     """Answers from JSON in a table; every seventh is broken and gives no row."""
-    docs = eligible(spark, sf_dir)
-    raw = F.when(F.col("doc_id") % 7 == 0, '{"title": ').otherwise(F.to_json(F.struct(F.lit("T").alias("title"), F.substring("text", 1, 20).alias("headline"))))
+    docs = passages(spark, sf_dir)
+    raw = F.when(F.substring_index(F.col("doc_id").cast("string"), ":", 1).cast("long") % 7 == 0, '{"title": ').otherwise(F.to_json(F.struct(F.lit("T").alias("title"), F.substring("text", 1, 20).alias("headline"))))
     answers = docs.select(F.lit("title").alias("task"), F.col("doc_id").alias("call_id"), raw.alias("raw"))
     return A.run_task(docs, "title", TableRuntime(answers)).select(DOC_ROW)
 
@@ -178,8 +179,8 @@ def custom_preprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "source", "title", "cleaned_text", F.array_join("keywords", ",").alias("keywords"))
 
 
-def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.run_task(eligible(spark, sf_dir), "title").select("instruction", "input", "output", F.lit(None).cast("string").alias("reasoning"))
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+    rows = A.run_task(passages(spark, sf_dir), "title").select("instruction", "input", "output", F.lit(None).cast("string").alias("reasoning"))
     shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-rows-")).rstrip("/")
     return files.read_jsonl(spark, files.write_jsonl(rows, f"{shared}/rows-{uuid.uuid4().hex}")).select(*ROW, "reasoning")
 

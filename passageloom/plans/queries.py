@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,9 @@ def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.usable(documents(spark, sf_dir)).where((X.count_words(t) >= 10) & (F.size(X.sentences(t)) >= 3) & (F.size(X.maskable(t)) >= 2))
 
 
-def of_task(task: str | K.Task):
+def of_task(task: str | K.Task, passages: Callable = eligible):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return A.run_task(eligible(spark, sf_dir), task).select(DOC_ROW)
+        return A.run_task(passages(spark, sf_dir), task).select(DOC_ROW)
 
     return query
 

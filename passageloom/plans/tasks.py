@@ -603,7 +603,7 @@ SINGLE = [
            hint="the passage has sentences that a word can contradict.", temperature=0.4, pool=4, instructions=(SIMILAR, EQUIVALENT, NLI, CORRECT_SENTENCE, NAME_CHANGE)),
     simple("query_generation", "Write search queries that the passage answers.", "queries array<string>",
            lambda p, o: F.concat(F.array(row(QUERIES, p, F.array_join(o["queries"], "\n"))), F.transform(o["queries"], lambda q: row(QUERY_PASSAGE, q, p))),
-           checks=(count("queries", 1, 6),), draft=lambda x: struct(queries=F.array(c(x, 0), c(x, 1), cat(c(x, 0), " ", c(x, 1)))),
+           checks=(count("queries", 1, 6),), draft=lambda x: struct(queries=F.array_compact(F.array(c(x, 0), c(x, 1), cat(c(x, 0), " ", c(x, 1))))),
            hint="the passage answers something people look for.", temperature=0.5, pool=5, instructions=(QUERIES, QUERY_PASSAGE)),
     simple("distractor_qa", "Write multiple-choice questions on the passage, with keywords that can be replaced.",
            "questions array<struct<question string, correct_answer string, distractors array<string>, explanation string, keyword_replacements array<struct<keyword string, replacement string>>>>", distractor_rows,

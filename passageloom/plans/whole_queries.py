@@ -1,0 +1,27 @@
+"""The task queries over all documents, whatever their length and words; those
+of queries.py and more_queries.py take the documents that their SQL names."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import cat
+from ..operators import chunk
+from . import more_queries as M
+from . import queries as Q
+from . import tasks as K
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in chunks; doc_id is document:chunk. No other filter: the
+    checks of a task decide what it takes."""
+    pieces = chunk.usable(chunk.chunk_text(Q.documents(spark, sf_dir)), most=None)
+    return pieces.select(cat(F.col("doc_id").cast("string"), ":", F.col("chunk_no").cast("string")).alias("doc_id"), "text")
+
+
+AROUND = (M.template_sampling, M.mode_sample, M.mode_explicit, M.mode_auto, M.postfilter_routing, M.add_reasoning, M.generations, M.custom_task_template, M.table_runtime, M.jsonl_roundtrip)
+QUERIES = {f"whole_{name}": Q.of_task(name, passages) for name in K.TASKS}
+QUERIES |= {f"whole_{f.__name__}": partial(f, passages=passages) for f in AROUND}
