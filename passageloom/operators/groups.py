@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +28,35 @@ def passage_groups(docs: DataFrame, size: int = 3, by: str = "source", id_col: s
     return grouped.select(F.element_at(ids, 1).alias("group_id"), ids.alias("ids"), texts.alias("passages"))
 
 
+def all_groups(docs: DataFrame, size: int = 3, by: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """group_id, ids and passages as of passage_groups, but of every document:
+    the documents of a source are numbered in id order whatever their ids, and a
+    last single one joins the group before it. Only the single document of a
+    source is in no group.
+
+    Rows are range-partitioned by source and id and written, so that a number is
+    the rank in a partition plus the counts of those before; no window holds a
+    source."""
+    spark = docs.sparkSession
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-groups-")).rstrip("/")
+    at = f"{shared}/groups-{uuid.uuid4().hex}"
+    ready = docs.select(F.col(by).alias("by"), F.col(id_col).alias("i"), strip(F.col(text_col)).alias("t")).where("t <> ''")
+    ready.repartitionByRange("by", "i").withColumn("part", F.spark_partition_id()).write.parquet(at)
+    ready = spark.read.parquet(at)
+    counts = ready.groupBy("by", "part").agg(F.count("*").alias("here"))
+    every = W.partitionBy("by")
+    counts = counts.select("by", "part", (F.sum("here").over(every.orderBy("part")) - F.col("here")).alias("skip"), F.sum("here").over(every).alias("n"))
+    ranked = ready.withColumn("rank", F.row_number().over(W.partitionBy("by", "part").orderBy("i", "t")) - 1)
+    same = F.col("r.by").eqNullSafe(F.col("c.by")) & (F.col("r.part") == F.col("c.part"))
+    placed = ranked.alias("r").join(counts.alias("c"), same).select("r.by", "i", "t", (F.col("rank") + F.col("skip")).alias("rank"), "n")
+    g = F.floor(F.col("rank") / size)
+    alone = (F.col("n") % size == 1) & (F.col("rank") == F.col("n") - 1) & (g > 0) if size > 1 else F.lit(False)
+    placed = placed.withColumn("g", F.when(alone, g - 1).otherwise(g))
+    grouped = placed.groupBy("by", "g").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("x")).where(F.size("x") >= LEAST)
+    ids, texts = F.transform("x", lambda v: v["i"]), F.transform("x", lambda v: v["t"])
+    return grouped.select(F.element_at(ids, 1).alias("group_id"), ids.alias("ids"), texts.alias("passages"))
+
+
 def cleaned(passages: Column) -> Column:
     """Stripped passages without blank ones; null if fewer than two are left."""
     kept = F.filter(F.transform(passages, strip), lambda p: p != "")

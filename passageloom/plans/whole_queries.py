@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import cat
-from ..operators import chunk
+from ..operators import chunk, groups
 from . import more_queries as M
 from . import queries as Q
 from . import tasks as K
@@ -22,6 +22,12 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(cat(F.col("doc_id").cast("string"), ":", F.col("chunk_no").cast("string")).alias("doc_id"), "text")
 
 
+def passage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = groups.all_groups(M.sources(spark, sf_dir))
+    return made.select("group_id", F.size("ids").alias("n"), F.array_join("ids", ",").alias("ids"), F.md5(F.array_join("passages", "\n")).alias("digest"))
+
+
 AROUND = (M.template_sampling, M.mode_sample, M.mode_explicit, M.mode_auto, M.postfilter_routing, M.add_reasoning, M.generations, M.custom_task_template, M.table_runtime, M.jsonl_roundtrip)
 QUERIES = {f"whole_{name}": Q.of_task(name, passages) for name in K.TASKS}
 QUERIES |= {f"whole_{f.__name__}": partial(f, passages=passages) for f in AROUND}
+QUERIES |= {"whole_passage_groups": passage_groups}

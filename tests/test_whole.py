@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from passageloom.operators import chunk
+from passageloom.operators import chunk, groups
 from passageloom.plans import queries, whole_queries
 
 
@@ -31,3 +31,23 @@ def test_whole_query(spark, sf, name):
     lengths = {r.doc_id: len(r.text.strip()) for r in queries.documents(spark, sf).collect()}
     cells = {(r.doc_id, r.format, r.row_no, r.input, r.output) for r in whole}
     assert all((f"{r.doc_id}:0", r.format, r.row_no, r.input, r.output) in cells for r in short if lengths[r.doc_id] <= chunk.CHUNK)
+
+
+@pytest.mark.parametrize("size", [2, 3])
+def test_all_groups_of_sparse_ids(spark, size):
+    """Against a plain numbering: ids 5000 apart, a null source, a source of one document."""
+    import random
+
+    rng = random.Random(7)
+    rows = [(rng.randrange(10**12), rng.choice("abc"), f"text {k}") for k in range(100)] + [(k * 5000, None, f"null {k}") for k in range(7)] + [(3 + k * 5000, "d", f"d {k}") for k in range(2)] + [(1, "one", "alone"), (2, "a", " ")]
+    made = groups.all_groups(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5), size)
+    want = set()
+    for source in {s for _, s, _ in rows}:
+        ids = sorted(i for i, s, t in rows if s == source and t.strip())
+        cut = [ids[k : k + size] for k in range(0, len(ids), size)]
+        if len(cut) > 1 and len(cut[-1]) == 1:
+            cut[-2:] = [cut[-2] + cut[-1]]
+        want |= {tuple(x) for x in cut if len(x) > 1}
+    assert {tuple(r.ids) for r in made.collect()} == want
+    texts = {i: t for i, _, t in rows}
+    assert all(r.group_id == r.ids[0] and list(r.passages) == [texts[i] for i in r.ids] for r in made.collect())
