@@ -57,6 +57,14 @@ def all_groups(docs: DataFrame, size: int = 3, by: str = "source", id_col: str =
     return grouped.select(F.element_at(ids, 1).alias("group_id"), ids.alias("ids"), texts.alias("passages"))
 
 
+def neighbours(groups: DataFrame) -> DataFrame:
+    """Groups of two: each passage of a group with the next; group_id is the
+    first one's id."""
+    pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("ids") - 1), lambda k: F.struct(F.slice("ids", k, 2).alias("ids"), F.slice("passages", k, 2).alias("passages"))))
+    made = groups.select(pair.alias("x")).select("x.*")
+    return made.select(F.element_at("ids", 1).alias("group_id"), "ids", "passages")
+
+
 def cleaned(passages: Column) -> Column:
     """Stripped passages without blank ones; null if fewer than two are left."""
     kept = F.filter(F.transform(passages, strip), lambda p: p != "")

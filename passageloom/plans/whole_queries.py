@@ -27,7 +27,18 @@ def passage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("group_id", F.size("ids").alias("n"), F.array_join("ids", ",").alias("ids"), F.md5(F.array_join("passages", "\n")).alias("digest"))
 
 
+def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.comparison_rows(groups.neighbours(groups.all_groups(M.sources(spark, sf_dir), size=2)))
+
+
+def retrieval_of(negative: bool):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return groups.retrieval(groups.all_groups(M.sources(spark, sf_dir))).where(F.col("negative") == negative).drop("negative")
+
+    return query
+
+
 AROUND = (M.template_sampling, M.mode_sample, M.mode_explicit, M.mode_auto, M.postfilter_routing, M.add_reasoning, M.generations, M.custom_task_template, M.table_runtime, M.jsonl_roundtrip)
 QUERIES = {f"whole_{name}": Q.of_task(name, passages) for name in K.TASKS}
 QUERIES |= {f"whole_{f.__name__}": partial(f, passages=passages) for f in AROUND}
-QUERIES |= {"whole_passage_groups": passage_groups}
+QUERIES |= {"whole_passage_groups": passage_groups, "whole_comparison": comparison, "whole_retrieval_positive": retrieval_of(False), "whole_retrieval_negative": retrieval_of(True)}

@@ -51,3 +51,14 @@ def test_all_groups_of_sparse_ids(spark, size):
     assert {tuple(r.ids) for r in made.collect()} == want
     texts = {i: t for i, _, t in rows}
     assert all(r.group_id == r.ids[0] and list(r.passages) == [texts[i] for i in r.ids] for r in made.collect())
+
+
+def test_whole_groups_hold_every_document(spark, sf):
+    docs = [r.doc_id for r in queries.documents(spark, sf).where("trim(text) <> ''").collect()]
+    made = whole_queries.QUERIES["whole_passage_groups"](spark, sf).collect()
+    assert sorted(int(i) for r in made for i in r.ids.split(",")) == sorted(docs)
+    compared = "".join(r.input for r in whole_queries.QUERIES["whole_comparison"](spark, sf).collect())
+    assert all(r.text.strip() in compared for r in queries.documents(spark, sf).where("trim(text) <> ''").collect())
+    for name in ("whole_retrieval_positive", "whole_retrieval_negative"):
+        got = whole_queries.QUERIES[name](spark, sf)
+        assert got.agg(F.max(F.length("input"))).first()[0] > 3 * 1500 + 200
