@@ -342,5 +342,9 @@ TASK_SQL = {
     "error_correction": one(row(q(K.FIX), BAD, "t"), row(q(K.FIX_NOTES), BAD, "'A word is spelled backwards.'")),
 }
 
-QUERIES = {name: of_task(name) for name in K.TASKS}
+# Its SQL cuts the corrupted passage to 2000 characters; the task itself doesn't.
+CUT = K.get_task("error_correction").with_knobs(
+    draft=lambda x: K.struct(corrupted_passage=K.left(F.coalesce(X.replace_first(x["t"], K.c(x, 0), F.reverse(K.c(x, 0))), x["t"]), 2000), correction_notes="A word is spelled backwards.")
+)
+QUERIES = {name: of_task(CUT if name == CUT.name else name) for name in K.TASKS}
 ORACLE_SQL = dict(TASK_SQL)

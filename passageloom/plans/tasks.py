@@ -618,7 +618,7 @@ SINGLE = [
     simple("error_correction", "Put errors into the passage and note them.", "corrupted_passage string, correction_notes string",
            lambda p, o: F.array(row(FIX, o["corrupted_passage"], p), row(FIX_NOTES, o["corrupted_passage"], o["correction_notes"])),
            checks=(longest("corrupted_passage", 2000), longest("correction_notes", 500)),
-           draft=lambda x: struct(corrupted_passage=left(F.coalesce(replace_first(x["t"], c(x, 0), F.reverse(c(x, 0))), x["t"]), 2000), correction_notes="A word is spelled backwards."),
+           draft=lambda x: struct(corrupted_passage=replace_first(x["t"], c(x, 0), F.reverse(c(x, 0))), correction_notes="A word is spelled backwards."),
            hint="the passage is clean prose.", temperature=0.6, pool=5, instructions=(FIX, FIX_NOTES)),
 ]
 

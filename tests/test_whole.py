@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from passageloom.operators import chunk, groups
+from passageloom.operators import augment, chunk, groups
 from passageloom.plans import queries, whole_queries
 
 
@@ -62,3 +62,12 @@ def test_whole_groups_hold_every_document(spark, sf):
     for name in ("whole_retrieval_positive", "whole_retrieval_negative"):
         got = whole_queries.QUERIES[name](spark, sf)
         assert got.agg(F.max(F.length("input"))).first()[0] > 3 * 1500 + 200
+
+
+def test_error_correction_holds_the_whole_passage(spark, sf):
+    text = "Oceans store warmth. " * 120
+    docs = spark.createDataFrame([(1, text.strip()), (2, text[:400].strip()), (3, "No such one. Or two.")], "doc_id long, text string")
+    got = augment.run_task(docs, "error_correction").collect()
+    assert [(r.doc_id, r.row_no) for r in got] == [(2, 0), (2, 1)] and got[0].output == text[:400].strip() != got[0].input
+    for r in whole_queries.QUERIES["whole_error_correction"](spark, sf).where("row_no = 0").collect():
+        assert len(r.input) == len(r.output) and r.input != r.output
