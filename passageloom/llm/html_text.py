@@ -34,8 +34,12 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't markup, and those that hold no article text.
-RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp template svg math object canvas audio video".split())
-DROPPED = RAW | frozenset("nav aside footer form button select option datalist dialog menu label input fieldset head".split())
+RAW = frozenset("script style title textarea noscript iframe noembed noframes xmp".split())
+#: Elements with markup of their own or a stand-in inside; unclosed ones end with
+#: their parent, and drawings and formulas with the next block too.
+DRAWN = frozenset("svg math".split())
+EMBEDDED = DRAWN | frozenset("object canvas audio video template".split())
+DROPPED = RAW | EMBEDDED | frozenset("nav aside footer button select option datalist dialog menu label input head".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words of a class or id that tell an element beside the article, and one that holds it.
 BESIDE = frozenset(
@@ -59,12 +63,13 @@ class Page:
         self.tag, self.parent, self.last = ["#"], [-1], [0]
         self.dropped, self.points, self.size, self.linked = [False], [0.0], [0], [0]
         self.paragraphs: list[tuple[int, str, int]] = []
-        self.open, self.held, self.anchor, self.linked_now = [0], [], 0, 0
+        self.open, self.held, self.anchor, self.linked_now, self.drawn = [0], [], 0, 0, 0
         self.read(source)
         while len(self.open) > 1:
             self.close()
         self.flush()
         self.last[0] = len(self.tag) - 1
+        self.score()
 
     def flush(self) -> None:
         """End the paragraph that is being read."""
@@ -73,8 +78,23 @@ class Page:
         if not text:
             return
         at = next(k for k in reversed(self.open) if self.tag[k] in BLOCKS or k == 0)
-        links = min(links, len(text))
-        self.paragraphs.append((at, text, links))
+        self.paragraphs.append((at, text, min(links, len(text))))
+
+    def score(self) -> None:
+        """Drop the forms that hold less than half of the text; give points."""
+        held = [0] * len(self.tag)
+        for at, text, _ in self.paragraphs:
+            held[at] += len(text)
+        for k in range(len(self.tag) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        for k, name in enumerate(self.tag):
+            if name in ("form", "fieldset") and not self.dropped[k] and 2 * held[k] < held[0]:
+                self.dropped[k : self.last[k] + 1] = [True] * (self.last[k] + 1 - k)
+        self.paragraphs = [x for x in self.paragraphs if not self.dropped[x[0]]]
+        for x in self.paragraphs:
+            self.gain(*x)
+
+    def gain(self, at: int, text: str, links: int) -> None:
         gain = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
         node, level = at, 0
         if self.tag[at] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt", "td", "pre"):
@@ -92,6 +112,7 @@ class Page:
         k = self.open.pop()
         self.last[k] = len(self.tag) - 1
         self.anchor -= self.tag[k] == "a"
+        self.drawn -= self.tag[k] in DRAWN
 
     def text(self, part: str) -> None:
         if part and not self.dropped[self.open[-1]]:
@@ -101,6 +122,7 @@ class Page:
 
     def starts(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
+            self.undraw()
             self.flush()
             if "p" in (self.tag[k] for k in self.open[-12:]):
                 self.ends("p")
@@ -125,6 +147,18 @@ class Page:
         self.linked.append(0)
         self.open.append(len(self.tag) - 1)
         self.anchor += name == "a"
+        self.drawn += name in DRAWN
+
+    def undraw(self) -> None:
+        """End an unclosed drawing or formula, unless it holds text of the page."""
+        if self.drawn:
+            for k in reversed(self.open):
+                if self.tag[k] in ("foreignobject", "annotation-xml"):
+                    return
+                if self.tag[k] in DRAWN:
+                    while self.open[-1] >= k:
+                        self.close()
+                    return
 
     def beside(self, name: str, attributes: str) -> bool:
         """Whether an element stands beside the article."""
@@ -136,7 +170,7 @@ class Page:
             return False
         for key, value in ATTRIBUTE.findall(attributes):
             key, words = key.lower(), frozenset(re.split(r"[\s_-]+", value.strip("\"'").lower()))
-            if key == "hidden" or key == "aria-hidden" and "true" in words or key == "role" and words & ROLES:
+            if key == "hidden" or key == "aria-hidden" and "true" in words or key == "role" and words & (ROLES - {"form"} if name == "form" else ROLES):
                 return True
             if key in ("class", "id") and words & BESIDE and not words & HOLDS - {"page", "text"} and name in BLOCKS:
                 return True
@@ -151,7 +185,7 @@ class Page:
                 while len(self.open) > depth:
                     self.close()
                 return
-            if tag in BLOCKS and (name not in BLOCKS or name == "p" and tag != "p"):
+            if tag in BLOCKS and (name not in BLOCKS and name not in EMBEDDED or name == "p" and tag != "p"):
                 return  # markup that crosses a block; it ends with the block
 
     def read(self, source: str) -> None:
@@ -163,12 +197,15 @@ class Page:
                 continue
             if m[1]:
                 self.ends(name)
-            elif name in RAW and not m[3].endswith("/"):
+            elif name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+                if m[3].endswith("/") and (not end or re.search(rf"<{name}\b", source[at : end.start()], re.I)):
+                    continue  # empty: no end tag is its own
                 at = end.end() if end else len(source)
-                if name not in ("svg", "math"):
+                self.text(" ")
+            elif not (m[3].endswith("/") and (name in EMBEDDED or self.drawn and name not in BLOCKS)):
+                if name in EMBEDDED - DRAWN:
                     self.text(" ")
-            else:
                 self.starts(name, m[3])
         self.text(UNENDED.sub("", source[at:]))
 

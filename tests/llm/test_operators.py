@@ -223,6 +223,21 @@ def test_page_fixture():
     assert html_text.main_text("<div>" * 3000 + "<p>deep, text</p>") == "deep, text"
 
 
+@pytest.mark.parametrize("part", ["<svg/>", "<svg class=icon/>", "<math/>", "<iframe src='x'/>", "<video/>", "<svg><path d='x'/><g>", "<svg><path/></svg>", "<object data=x><p>no</p></object>", "<p><video src=x></p>", "<script src='x'/></script>"])
+def test_page_keeps_what_follows(part):
+    body = "<p>First, of them, and more words.</p><p>Second, of them, and more words.</p>"
+    want = "First, of them, and more words.\nSecond, of them, and more words."
+    assert html_text.main_text(f"<body><div class=content>{part}{body}</div></body>") == want
+    assert html_text.main_text(f"<body><div>{part}</div><div class=content>{body}</div></body>") == want
+
+
+def test_page_in_a_form():
+    body = "<div class=content><p>First, of them, and more words.</p><p>Second, of them, and more words.</p></div>"
+    want = "First, of them, and more words.\nSecond, of them, and more words."
+    for page in (f"<form role=form>{body}<input><button>Go</button></form>", f"{body}<form>Your name, please <input></form>", f"<form>{body}<fieldset>Your name</fieldset></form>"):
+        assert html_text.main_text(f"<html><body>{page}</body></html>") == want
+
+
 def test_pages(spark, sf):
     import html
     import re
