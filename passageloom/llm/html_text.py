@@ -4,8 +4,9 @@ A page is read into a tree of elements in one pass. Each paragraph, a run of
 text between block boundaries, earns points for its length and its commas,
 discounted by the share of its text that is links; it passes them to its
 ancestors, less to the farther ones. The container with the most points, after
-a discount for its own link density, is the article, and siblings that hold
-like text are kept with it. Menus, page headers, footers, sidebars, notices,
+a discount for its own link density, is the article; with it are kept headings
+and blocks of few links next to it, also those next to its containers up to the
+enclosing article or main. Menus, page headers, footers, sidebars, notices,
 adverts, forms, scripts and reader comments are told by element, role and name
 and take no part.
 
@@ -18,7 +19,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,11 +51,16 @@ BESIDE = frozenset(
     " sharing sidebar sidebars sidenav skip social sponsor sponsored subscribe subscription signup login toolbar widget widgets".split()
 )
 HOLDS = frozenset("article articles body content entry hentry main page post story text".split())
+#: Those that tell one whose header is an article's own.
+POST = frozenset("article entry hentry post story".split())
 #: A start tag of the key ends open elements of the value, up to a boundary.
 ENDS = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}.items()}
 BOUNDARY = frozenset("ul ol dl table menu body html div section article".split())
 #: Points of an article or main element; how many ancestors get points.
 FAVOURED, LEVELS = 25.0, 6
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of a block's text from which links make it no part of the article.
+LINKED = 0.25
 
 
 class Page:
@@ -61,7 +68,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.last = ["#"], [-1], [0]
-        self.dropped, self.points, self.size, self.linked = [False], [0.0], [0], [0]
+        self.dropped, self.points, self.size, self.linked, self.post = [False], [0.0], [0], [0], [False]
         self.paragraphs: list[tuple[int, str, int]] = []
         self.open, self.held, self.anchor, self.linked_now, self.drawn = [0], [], 0, 0, 0
         self.read(source)
@@ -142,6 +149,7 @@ class Page:
         self.parent.append(up)
         self.last.append(0)
         self.dropped.append(self.dropped[up] or self.beside(name, attributes))
+        self.post.append(bool(POST & frozenset(re.split(r"[\s_-]+", " ".join(v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id"))))) if attributes and name in BLOCKS else False)
         self.points.append(FAVOURED if name in ("article", "main") else 0.0)
         self.size.append(0)
         self.linked.append(0)
@@ -165,7 +173,7 @@ class Page:
         if name in DROPPED:
             return True
         if name == "header":  # a page's header; an article's own holds its heading
-            return not any(self.tag[k] in ("article", "main") for k in self.open)
+            return not any(self.tag[k] in ("article", "main") or self.post[k] for k in self.open)
         if not attributes or name in ("html", "body", "article", "main"):
             return False
         for key, value in ATTRIBUTE.findall(attributes):
@@ -189,7 +197,7 @@ class Page:
                 return  # markup that crosses a block; it ends with the block
 
     def read(self, source: str) -> None:
-        at = 0
+        at, ended = 0, {}
         while m := TOKEN.search(source, at):
             self.text(source[at : m.start()])
             at = m.end()
@@ -203,6 +211,8 @@ class Page:
                     continue  # empty: no end tag is its own
                 at = end.end() if end else len(source)
                 self.text(" ")
+            elif name in EMBEDDED - DRAWN and at > (ended[name] if name in ended else ended.setdefault(name, source.lower().rfind(f"</{name}"))):
+                self.text(" ")  # never closed: it holds nothing
             elif not (m[3].endswith("/") and (name in EMBEDDED or self.drawn and name not in BLOCKS)):
                 if name in EMBEDDED - DRAWN:
                     self.text(" ")
@@ -217,14 +227,42 @@ class Page:
         top = max(range(len(self.tag)), key=lambda k: (value(k), -k))
         if value(top) <= 0:
             return [] if all(links for _, _, links in self.paragraphs) else [t for _, t, links in self.paragraphs if links < len(t) / 2]
-        kept, bar = [(top, self.last[top])], max(10.0, 0.2 * value(top))
+        kept, bare = self.around(top, value)
+        starts = [a for a, _ in kept]
+
+        def inside(at: int) -> bool:
+            k = bisect_right(starts, at) - 1
+            return k >= 0 and at <= kept[k][1]
+
+        return [t for at, t, links in self.paragraphs if (inside(at) or at in bare and links < LINKED * len(t)) and not self.menu(at)]
+
+    def around(self, top: int, value: Callable[[int], float]) -> tuple[list[tuple[int, int]], set[int]]:
+        """The elements of the article in page order, each with its last one: the
+        article or main around top with what stands next to it; without one, top
+        and what stands next to it and to its containers, while nothing beside
+        the article is met; and those containers, for text of their own."""
+        children: dict[int, list[int]] = {}
         for k in range(1, len(self.tag)):
-            if k != top and self.parent[k] == self.parent[top] and not self.dropped[k]:
-                density = self.linked[k] / max(1, self.size[k])
-                if value(k) >= bar or self.tag[k] == "p" and density < 0.25 and self.size[k] > 80:
+            if self.size[k] or self.dropped[k]:
+                children.setdefault(self.parent[k], []).append(k)
+        over, node = [], top
+        while node > 0:
+            over.append(node)
+            node = self.parent[node]
+        goal = next((k for tag in ("article", "main") for k in over if self.tag[k] == tag), 0)
+        node, bare, bar = goal or top, set(), max(10.0, 0.2 * value(top))
+        kept = [(node, self.last[node])]
+        while node > 0:
+            up = self.parent[node]
+            near = [k for k in children.get(up, ()) if k != node and not (self.tag[node] == "article" and self.tag[k] == "article" and value(k) < bar)]
+            for k in near:
+                if not self.dropped[k] and (self.tag[k] in HEADINGS or self.linked[k] < LINKED * self.size[k] or value(k) >= bar):
                     kept.append((k, self.last[k]))
-        inside = lambda at: any(a <= at <= b for a, b in kept)
-        return [t for at, t, links in self.paragraphs if inside(at) and not self.menu(at)]
+            if goal or up <= 0 or self.tag[up] in ("html", "body") or any(self.dropped[k] and self.tag[k] in BLOCKS - {"form", "fieldset"} for k in near):
+                break
+            node = up
+            bare.add(up)
+        return sorted(kept), bare
 
     def menu(self, at: int) -> bool:
         """Whether a paragraph stands in a list of links."""

@@ -223,7 +223,7 @@ def test_page_fixture():
     assert html_text.main_text("<div>" * 3000 + "<p>deep, text</p>") == "deep, text"
 
 
-@pytest.mark.parametrize("part", ["<svg/>", "<svg class=icon/>", "<math/>", "<iframe src='x'/>", "<video/>", "<svg><path d='x'/><g>", "<svg><path/></svg>", "<object data=x><p>no</p></object>", "<p><video src=x></p>", "<script src='x'/></script>"])
+@pytest.mark.parametrize("part", ["<svg/>", "<svg class=icon/>", "<math/>", "<iframe src='x'/>", "<video/>", "<svg><path d='x'/><g>", "<svg><path/></svg>", "<object data=x><p>no</p></object>", "<p><video src=x></p>", "<video src=x>", "<object data=x>", "<script src='x'/></script>"])
 def test_page_keeps_what_follows(part):
     body = "<p>First, of them, and more words.</p><p>Second, of them, and more words.</p>"
     want = "First, of them, and more words.\nSecond, of them, and more words."
@@ -231,6 +231,17 @@ def test_page_keeps_what_follows(part):
     assert html_text.main_text(f"<body><div>{part}</div><div class=content>{body}</div></body>") == want
 
 
+@pytest.mark.parametrize("n", [1, 3, 40])
+@pytest.mark.parametrize("outer", ["article", "main", "div class=post"])
+@pytest.mark.parametrize("head", ["<h1>Head</h1>", "<header><h1>Head</h1></header>"])
+def test_page_around_the_body(n, outer, head):
+    """The heading outside of the body's div and short last sections stay, at any length; what is beside goes."""
+    body = "".join(f"<p>Paragraph {k}, of them, and more words, for points.</p>" for k in range(n))
+    page = f"""<html><body><nav><a href=/>Home</a></nav><div class=sidebar><p>Side text, of some words.</p></div><div class=wrap><{outer}>{head}
+<div class=entry-content>{body}</div><p>By one.</p><div><h2>Note</h2><p>Short end.</p></div><ul><li><a href=1>More</a><li><a href=2>and more</a></ul></{outer.split()[0]}><aside>Aside</aside></div></body></html>"""
+    assert html_text.main_text(page).split("\n") == ["Head", *[f"Paragraph {k}, of them, and more words, for points." for k in range(n)], "By one.", "Note", "Short end."]
+
+
 def test_page_in_a_form():
     body = "<div class=content><p>First, of them, and more words.</p><p>Second, of them, and more words.</p></div>"
     want = "First, of them, and more words.\nSecond, of them, and more words."
