@@ -4,7 +4,9 @@ functions.
 The lines of a message carry a quote level, the number of ">" before them. A
 quoted line is normalised (A-Z lower-cased, white space collapsed), hashed and
 joined to the first earlier message of the conversation that says it unquoted;
-the texts are compared as well. The message it answers is the one that most of
+the texts are compared as well. Lines that are no line of an earlier message are
+joined to passages over their breaks and looked for in its text, whole or by
+sentence; see passage_votes. The message it answers is the one that most of
 its lines of the lowest quoted level come from, the later one on a tie. Replies
 then lead to the message that began their thread, found by doubling the links.
 Messages in the order of thread_turn and turn have every reply after what it
@@ -21,11 +23,17 @@ without a letter or digit link nothing.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import cat
 from .common import lower_ascii, materialise, text_of
 
 QUOTED = r"^(?:[ \t]*>)+[ \t]?"
+TELLING = r"[\p{L}\p{N}]"
+#: Words of a passage or sentence at least that is looked for within a text; what
+#: is shorter links as a whole line only.
+LEAST_WORDS = 3
 
 
 def lines(text: Column) -> Column:
@@ -46,23 +54,73 @@ def unquoted(text: Column) -> Column:
     return F.array_join(F.filter(lines(text), lambda x: level(x) == 0), "\n")
 
 
+def bare_words(passage: Column) -> Column:
+    """A normalised passage without anything but letters, digits and single spaces."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(passage, r"[^\p{L}\p{M}\p{N} ]+", ""), " +", " "))
+
+
+def windows(words: Column, n: Column) -> Column:
+    """Hashes of the runs of n words."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda k: F.xxhash64(F.array_join(F.slice(words, k, n), " ")))
+
+
+def passage_votes(quoted: DataFrame, said: DataFrame) -> DataFrame:
+    """conv, turn, level, origin and linked of quoted lines that are no line of an
+    earlier message: consecutive ones of a level make a passage, which is looked
+    for in the unquoted text of earlier messages over line breaks; where it isn't
+    found, its sentences are. A passage or sentence is met by the hash of its
+    first 2**k words, most of it, and compared as a text.
+
+    quoted: conv, turn, m, level, rn and passage; said: conv, turn and body."""
+    level = W.partitionBy("conv", "turn", "m", "level").orderBy("rn")
+    runs = (
+        quoted.withColumn("island", F.col("rn") - F.row_number().over(level))
+        .groupBy("conv", "turn", "m", "level", "island")
+        .agg(F.sort_array(F.collect_list(F.struct("rn", "passage"))).alias("x"))
+        .select("conv", "turn", "m", "level", "island", F.size("x").alias("n"), F.array_join(F.transform("x", lambda v: v["passage"]), " ").alias("text"))
+    )
+    whole = F.struct(F.lit(True).alias("whole"), bare_words(F.col("text")).alias("unit"), F.col("n").cast("long").alias("weight"))
+    each = F.transform(F.split("text", r"(?<=[.!?]) "), lambda v: F.struct(F.lit(False).alias("whole"), bare_words(v).alias("unit"), F.lit(1).cast("long").alias("weight")))
+    units = runs.select("conv", "turn", "m", "level", "island", F.explode(F.concat(F.array(whole), each)).alias("u")).select("conv", "turn", "m", "level", "island", "u.*")
+    units = materialise(units.withColumn("size", F.size(F.split("unit", " "))).where(F.col("size") >= LEAST_WORDS))
+    power = lambda n: F.floor(F.log2(n)).cast("int")
+    asked = units.select("conv", "unit", "size").distinct().withColumn("j", power(F.col("size")))
+    asked = asked.withColumn("h", F.xxhash64(F.array_join(F.slice(F.split("unit", " "), 1, F.pow(F.lit(2.0), F.col("j")).cast("int")), " ")))
+    told = said.join(asked.select("conv", "j").distinct(), "conv").withColumn("n", F.pow(F.lit(2.0), F.col("j")).cast("int"))
+    told = told.groupBy("conv", "body", "j", "n").agg(F.sort_array(F.collect_set("turn")).alias("origins"))
+    told = told.withColumn("words", F.split("body", " ")).where(F.size("words") >= F.col("n"))
+    told = told.select("conv", "j", "body", "origins", F.explode(F.array_distinct(windows(F.col("words"), F.col("n")))).alias("h"))
+    hits = asked.join(told, ["conv", "j", "h"]).where(F.contains(cat(" ", F.col("body"), " "), cat(" ", F.col("unit"), " ")))
+    first = hits.groupBy("conv", "unit").agg(F.min(F.element_at("origins", 1)).alias("origin"))
+    found = units.join(first, ["conv", "unit"]).where("origin < turn")
+    run = ["conv", "turn", "m", "level", "island"]
+    found = found.withColumn("any", F.max("whole").over(W.partitionBy(*run))).where("whole = any")
+    return found.groupBy("conv", "turn", "level", "origin").agg(F.sum("weight").alias("linked"))
+
+
 def reply_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """conv, turn, parent_turn and linked (quoted lines found in the parent)."""
-    said = (
-        messages.where(F.col(conv_col).isNotNull() & F.col(turn_col).isNotNull())
-        .select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.explode(lines(F.col(text_col))).alias("line"))
-        .select("conv", "turn", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("passage"))
-        .where(F.col("passage").rlike(r"[\p{L}\p{N}]"))
-        .withColumn("h", F.xxhash64("passage"))
+    """conv, turn, parent_turn and linked: quoted lines found in the parent, and
+    its sentences found where a quoted passage isn't whole."""
+    known = messages.where(F.col(conv_col).isNotNull() & F.col(turn_col).isNotNull()).select(
+        F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), lines(F.col(text_col)).alias("lines")
     )
-    quoted = said.where("level > 0").groupBy("conv", "turn", "level", "h", "passage").agg(F.count("*").alias("times"))
+    shape = lambda line: [level(line).alias("level"), normalised(line).alias("passage")]
+    telling = F.col("passage").rlike(TELLING)
+    said = known.select("conv", "turn", F.explode("lines").alias("line")).select("conv", "turn", *shape(F.col("line"))).where(telling).withColumn("h", F.xxhash64("passage"))
+    quoting = known.where(F.exists("lines", lambda x: level(x) > 0)).withColumn("m", F.xxhash64("lines"))
+    quoted = quoting.select("conv", "turn", "m", F.posexplode("lines").alias("pos", "line")).select("conv", "turn", "m", "pos", *shape(F.col("line"))).where(telling)
+    message = W.partitionBy("conv", "turn", "m").orderBy("pos")
+    quoted = materialise(quoted.withColumn("rn", F.dense_rank().over(message)).where("level > 0").withColumn("h", F.xxhash64("passage")))
+    asked = quoted.select("conv", "h", "passage").distinct()
     first = said.where("level = 0").groupBy("conv", "h", "passage").agg(F.min("turn").alias("origin"))
-    votes = (
-        quoted.join(first, ["conv", "h", "passage"])
-        .where("origin < turn")
-        .groupBy("conv", "turn", "level", "origin")
-        .agg(F.sum("times").alias("linked"))
-    )
+    first = materialise(first.join(asked, ["conv", "h", "passage"], "left_semi"))
+    votes = quoted.join(first, ["conv", "h", "passage"]).where("origin < turn").groupBy("conv", "turn", "level", "origin").agg(F.count("*").alias("linked"))
+    found = first.select(*[F.col(c).alias(f"f_{c}") for c in first.columns])
+    same = (F.col("conv") == F.col("f_conv")) & (F.col("h") == F.col("f_h")) & (F.col("passage") == F.col("f_passage")) & (F.col("f_origin") < F.col("turn"))
+    rest = materialise(quoted.join(found, same, "left_anti").select("conv", "turn", "m", "level", "rn", "passage").distinct())
+    unquoted_lines = F.filter(F.transform(F.filter("lines", lambda x: level(x) == 0), normalised), lambda x: x.rlike(TELLING))
+    bodies = known.join(rest.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", bare_words(F.array_join(unquoted_lines, " ")).alias("body"))
+    votes = votes.unionByName(passage_votes(rest, bodies)).groupBy("conv", "turn", "level", "origin").agg(F.sum("linked").alias("linked"))
     best = F.struct(-F.col("level"), "linked", "origin")
     chosen = votes.groupBy("conv", "turn").agg(F.max(best).alias("best"))
     return chosen.select("conv", "turn", F.col("best.origin").alias("parent_turn"), F.col("best.linked").alias("linked"))

@@ -195,6 +195,23 @@ def test_quotes_fixture(spark):
     assert quotes.reply_ordered(chat_frame(spark, [])).count() == 0
 
 
+def test_quotes_of_passages(spark):
+    long = "The engine runs hot after an hour. Is that, as such, a fault of the pump? I checked the oil twice."
+    rows = [
+        (1, 0, "user", f"Hello there.\n{long}"),
+        (1, 1, "user", "The engine is old, and so is the pump that I bought."),
+        (1, 2, "assistant", "> The engine runs hot after\n> an hour. Is that, as such, a\n> fault of the pump? I checked the\n> oil twice.\nIt may be."),
+        (1, 3, "assistant", "> is that, as such, a fault of the pump?\nYes."),
+        (1, 4, "user", "> > Is that, as such, a fault\n> > of the pump?\n> It may be.\nThanks."),
+        (1, 5, "user", "> I never said so before. I checked the oil\n> twice. And then left.\nOdd."),
+        (1, 6, "user", "> Nobody wrote any of this\n> in two lines.\nNo."),
+        (2, 1, "user", "> The engine runs hot after\n> an hour."),
+    ]
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.thread_turn, r.n_linked) for r in quotes.reply_ordered(chat_frame(spark, rows)).collect()}
+    assert got[1, 2] == (0, 0, 4) and got[1, 3] == (0, 0, 1) and got[1, 4] == (2, 0, 1) and got[1, 5] == (0, 0, 1)
+    assert got[1, 6] == (None, 6, 0) and got[2, 1] == (None, 1, 0) and got[1, 1] == (None, 1, 0)
+
+
 def test_quotes_fixture_equals_sql(spark):
     con = duckdb.connect()
     rows = [r for r in CHAT if r[:2] != (2, 1)]
