@@ -17,10 +17,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); where
-    it is unset, as in tests, a temporary one is made and set."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it
+    is unset, a local session, as in tests, gets a temporary one; a cluster gets
+    an error, as its executors would each write to a disk of their own."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         there = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -28,13 +31,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Write a narrow intermediate table to the shared folder and read it back,
-    so that later stages neither recompute it nor lose it with an executor."""
+    so that later stages neither recompute it nor lose it with an executor. The
+    tables of an application are in one folder; see discard."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession, *keep: DataFrame) -> None:
+    """Delete this application's intermediate tables but those that keep reads.
+    What was built on a deleted one must have been written before."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = {name.rsplit("/", 2)[-2] for df in keep for name in df.inputFiles()}
+    for found in files.listStatus(at) if files.exists(at) else []:
+        if found.getPath().getName() not in held:
+            files.delete(found.getPath(), True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, lengthened until it is no column of df, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def release() -> None:
     """Give freed memory back at the end of a task: Python workers live on, and
     several may wait on one executor."""

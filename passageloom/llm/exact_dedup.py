@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, materialise
+from .common import free_name, lower_ascii, materialise
 
 #: Characters of a chunk at least; it ends after the first BOUNDARY from there,
 #: or at MAX_CHUNK.
@@ -84,6 +84,8 @@ def exact_dedup(
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that exact_dedup keeps, with all their columns."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id"))
-    return docs.join(keep.distinct().hint("merge"), docs[id_col].eqNullSafe(F.col("kept_id")), "left_semi")
+    """The documents that exact_dedup keeps, with all their columns. Rows that
+    share the largest id of a group all stay."""
+    own = free_name(docs, "kept_id")
+    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(own))
+    return docs.join(keep.distinct().hint("merge"), docs[id_col].eqNullSafe(F.col(own)), "left_semi")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, text_of
+from .common import WORD, free_name, materialise, text_of
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 BUCKET = 512
@@ -121,11 +121,10 @@ def mixing_plan(
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The documents of the mix with all their columns, each as often as it is
-    taken. Of rows that share an id each is taken as often as the most taken."""
+    taken. Rows that share an id (or have none) are each taken as often as the
+    one of them that is taken most."""
+    own, copies = free_name(docs, "mix_id"), free_name(docs, "mix_copies")
     plan = mixing_plan(docs, id_col, text_col, source_col, **options)
-    plan = plan.groupBy(F.col(id_col).alias("mix_id")).agg(F.max("copies").alias("mix_copies")).where("mix_copies > 0")
-    return (
-        docs.join(plan.hint("merge"), F.col(id_col).eqNullSafe(F.col("mix_id")))
-        .withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
-        .select(*[docs[c] for c in docs.columns])
-    )
+    plan = plan.groupBy(F.col(id_col).alias(own)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    taken = docs.join(plan.hint("merge"), docs[id_col].eqNullSafe(F.col(own)))
+    return taken.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)

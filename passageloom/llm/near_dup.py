@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialise, release, text_of
+from .common import WORD, free_name, materialise, release, text_of
 
 #: Coordinates of a signature, documents of a block, words remembered by a worker.
 SIZE, BLOCK, MEMO = 48, 256, 400_000
@@ -284,5 +284,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """The documents that near_duplicates keeps, with all their columns."""
-    keep = near_duplicates(docs, id_col, text_col, words, percent).where("kept").select(F.col(id_col).alias("kept_id"))
-    return docs.join(keep.distinct().hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    own = free_name(docs, "kept_id")
+    keep = near_duplicates(docs, id_col, text_col, words, percent).where("kept").select(F.col(id_col).alias(own))
+    return docs.join(keep.distinct().hint("merge"), docs[id_col].cast("long").eqNullSafe(F.col(own)), "left_semi")

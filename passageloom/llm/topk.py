@@ -1,136 +1,286 @@
 """Exact top-k search by inner product, with a three-phase uniform threshold.
 
 A vector's dimensions are cut into SLICES; a slice's partial inner products are
-one local score list of a query. Candidates and queries are dealt into blocks of
-bounded size, and every pair of blocks is one unit of work.
+one local score list of a query. Vectors are dealt into blocks of vectors that
+lie near one of a few pivots, PIVOTS rows at most that are taken by a hash; every
+row is in a block. Queries are dealt into groups.
 
-1. Each unit gathers, for each of its queries, the candidates at the top of each
-   local list and resolves them exactly; over all units the k-th best of these
-   is a cutoff that no entry of the result is below.
-2. The cutoff goes back to the units. An entry can only reach it if one of its
-   m partial scores reaches an m-th of it, so those entries are sufficient.
-3. Entries whose known partial scores leave the cutoff in reach are resolved
-   exactly; those that reach it are ranked.
+1. Each block gathers, for each query that stands in it, the entries at the top
+   of each local list and resolves them: the k-th best score is a cutoff that no
+   entry of the result is below. The block also tells the centre and the radius
+   of each of its slices.
+2. The cutoffs go to all blocks. By centre and radius, a block can rule out that
+   any entry reaches a query's cutoff; only blocks that can't get the query. There,
+   a list whose bound is under an m-th of the cutoff, for m lists, isn't computed;
+   the entries that reach an m-th in some list are sufficient.
+3. Of these, entries whose known partial scores leave the cutoff in reach are
+   resolved exactly, and a block's k best for each query are ranked with those of
+   the other blocks.
 
-Components are floor(1024 * x) as integers. Products are taken in double
-precision while all sums stay below 2 ** 53, else in Python integers; components
-and scores beyond the range of long are held at its end, where scores then tie.
+Components are floor(1024 * x) as integers. Bounds are taken in double precision
+with room for its errors; scores are exact, in Python integers where sums may
+reach 2 ** 53. Components and scores beyond the range of long are held at its
+end, where scores then tie.
 
 Rows: vectors that are null, or hold a null or non-finite component, take no
 part, as do rows without an id. Only vectors of the query's length are compared
-with it. Of repeated ids every row counts; a row of the query's own id doesn't.
+with it; a query whose block holds fewer than k others has no cutoff and meets
+all of them. Of repeated ids every row counts; a row of the query's own id
+doesn't.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 SCALE, K, SLICES = 1024, 10, 4
-#: Rows of a block of candidates or queries, about.
-BLOCK = 4096
-LONG = (-(2**63), 2**63 - 1)
+#: Rows of a block of vectors and of a group of queries, about; pivots at most.
+BLOCK, GROUP, PIVOTS = 2048, 1024, 256
+#: Queries worked at a time, pairs resolved at a time, blocks whose bounds are one task's.
+TILE, PAIRS, STATS = 128, 1 << 15, 64
+LEAST, MOST = -(2**63), 2**63 - 1
+#: Room for rounding in bounds, as a share of the lengths that are multiplied.
+SLACK = 1e-9
+SENT = "ib int, dims int, qg int, id long, cutoff long, v array<double>"
+FOUND = "query_id long, vec_id long, score long"
 
 
-def matrix(rows: pd.Series) -> np.ndarray:
-    return np.array(rows.tolist(), dtype=np.float64).reshape(len(rows), -1)
+def matrix(table: pa.Table) -> np.ndarray:
+    """The vectors of a table (v), one a row."""
+    v = table.column("v").combine_chunks()
+    return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
 
 
-def products(queries: np.ndarray, items: np.ndarray) -> np.ndarray:
-    """All inner products, exact."""
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(items).max(initial=0)) * max(1, queries.shape[1])
-    if most < 2.0**53:
-        return queries @ items.T
-    whole = lambda x: np.array([[int(v) for v in row] for row in x], dtype=object).reshape(x.shape)
-    return whole(queries) @ whole(items).T
+def ints(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy().astype(np.int64, copy=False)
 
 
-def partial_scores(queries: np.ndarray, items: np.ndarray, slices: int) -> list[np.ndarray]:
-    cuts = np.array_split(np.arange(queries.shape[1]), max(1, min(slices, queries.shape[1])))
-    return [products(queries[:, c], items[:, c]) for c in cuts]
+def need_of(cutoff: np.ndarray) -> np.ndarray:
+    """Cutoffs as doubles that don't exceed them; none where every score will do."""
+    return np.where(cutoff == LEAST, -math.inf, np.nextafter(cutoff.astype(np.float64), -math.inf))
 
 
-def found(query: np.ndarray, vec: np.ndarray, score: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"query_id": query, "vec_id": vec, "score": [min(max(int(s), LONG[0]), LONG[1]) for s in score]})
+class Block:
+    """Vectors with the bounds of their slices."""
 
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, slices: int = SLICES):
+        self.ids, self.x = ids, vectors
+        dims = vectors.shape[1]
+        self.cuts = np.array_split(np.arange(dims), max(1, min(slices, dims)))
+        self.most = float(np.abs(vectors).max(initial=0))
+        self.length = float(np.sqrt((vectors**2).sum(1)).max(initial=0))
+        self.centre = vectors.mean(0) if len(vectors) else np.zeros(dims)
+        apart = vectors - self.centre
+        self.radius = np.array([np.sqrt((apart[:, c] ** 2).sum(1)).max(initial=0) for c in self.cuts])
 
-def topk(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, slices: int = SLICES, block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score of each query's k best, all if
-    fewer; ties go to the smaller vec_id."""
+
+def bounds(queries: np.ndarray, centre: np.ndarray, radius: np.ndarray, length: float, slices: int) -> np.ndarray:
+    """For each query and slice, what no partial score of the block exceeds; the
+    room for rounding is in it."""
+    cuts = np.array_split(np.arange(queries.shape[1]), len(radius) if slices is None else max(1, min(slices, queries.shape[1])))
+    norm = np.sqrt((queries**2).sum(1))
+    return np.stack([queries[:, c] @ centre[c] + np.sqrt((queries[:, c] ** 2).sum(1)) * r + SLACK * norm * length for c, r in zip(cuts, radius)], 1)
+
+
+def resolved(queries: np.ndarray, block: Block, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Exact scores of pairs, held in the range of long."""
+    exact = float(np.abs(queries).max(initial=0)) * block.most * max(1, queries.shape[1]) < 2.0**53
+    out = np.empty(len(row), np.int64)
+    for at in range(0, len(row), PAIRS):
+        a, b = queries[row[at : at + PAIRS]], block.x[col[at : at + PAIRS]]
+        if exact:
+            out[at : at + PAIRS] = np.einsum("ij,ij->i", a, b).astype(np.int64)
+        else:
+            whole = [sum(int(p) * int(q) for p, q in zip(x, y)) for x, y in zip(a, b)]
+            out[at : at + PAIRS] = [min(max(s, LEAST), MOST) for s in whole]
+    return out
+
+
+def best_of(row: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k best entries, ties to the smaller id."""
+    order = np.lexsort((ids, ~score, row))
+    first = np.searchsorted(row[order], row[order])
+    return order[np.arange(len(order)) - first < k]
+
+
+def local_cutoffs(asks: np.ndarray, block: Block, k: int) -> np.ndarray:
+    """Phase 1 for the rows of a block that ask: the k-th best score of the tops
+    of the local lists, LEAST where there are fewer entries."""
+    out = np.full(len(asks), LEAST, np.int64)
+    own = min(len(block.ids), k + int(np.unique(block.ids, return_counts=True)[1].max(initial=1)))
+    for at in range(0, len(asks), TILE):
+        mine = asks[at : at + TILE]
+        tops = []
+        for c in block.cuts:
+            p = block.x[mine][:, c] @ block.x[:, c].T
+            tops.append(np.argpartition(-p, own - 1, axis=1)[:, :own])
+        found = np.concatenate(tops, 1)
+        found.sort(axis=1)
+        fresh = np.ones(found.shape, bool)
+        fresh[:, 1:] = found[:, 1:] != found[:, :-1]
+        row, place = np.nonzero(fresh & (block.ids[found] != block.ids[mine][:, None]))
+        col = found[row, place]
+        score = resolved(block.x[mine], block, row, col)
+        order = np.lexsort((~score, row))
+        nth = np.arange(len(order)) - np.searchsorted(row[order], row[order])
+        out[at + row[order][nth == k - 1]] = score[order][nth == k - 1]
+    return out
+
+
+def scan(ids: np.ndarray, queries: np.ndarray, cutoff: np.ndarray, block: Block, k: int) -> tuple[pa.Table, int]:
+    """Phases 2 and 3 of queries at a block: each query's k best entries that
+    reach its cutoff, and how many partial products were computed."""
+    parts, work = [], 0
+    every = bounds(queries, block.centre, block.radius, block.length, len(block.cuts))
+    need = need_of(cutoff)
+    todo = np.flatnonzero(every.sum(1) >= need)
+    for at in range(0, len(todo), TILE):
+        mine = todo[at : at + TILE]
+        q, bar, most = queries[mine], need[mine], every[mine]
+        share = bar / len(block.cuts)
+        enough, reach = np.zeros((len(mine), len(block.ids)), bool), np.zeros((len(mine), len(block.ids)))
+        for j, c in enumerate(block.cuts):
+            rows = np.flatnonzero(most[:, j] >= share)  # the lists that can hold a sufficient entry
+            reach += np.where(np.isin(np.arange(len(mine)), rows), 0.0, share)[:, None]
+            if len(rows):
+                p = q[rows][:, c] @ block.x[:, c].T + (SLACK * block.length * np.sqrt((q[rows] ** 2).sum(1)))[:, None]
+                work += p.size
+                known = p >= share[rows][:, None]
+                enough[rows] |= known
+                reach[rows] += np.where(known, p, share[rows][:, None])
+        row, col = np.nonzero(enough & (reach >= bar[:, None]) & (ids[mine][:, None] != block.ids[None, :]))
+        score = resolved(q, block, row, col)
+        good = np.flatnonzero(score >= cutoff[mine][row])
+        good = good[best_of(row[good], score[good], block.ids[col[good]], k)]
+        parts.append((ids[mine][row[good]], block.ids[col[good]], score[good]))
+    joined = [np.concatenate(x) for x in zip(*parts)] if parts else [np.zeros(0, np.int64)] * 3
+    return pa.table(joined, names=["query_id", "vec_id", "score"]), work
+
+
+def placed(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str, block: int) -> DataFrame:
+    """id, v, dims, asks, salt and cell, the nearest pivot of a sound vector."""
     x = F.col(vec_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < math.inf))
-    rows = materialise(
-        vectors.where(sound).select(
-            F.col(id_col).cast("long").alias("id"),
-            F.transform(x, lambda v: F.floor(v * SCALE).cast("double")).alias("v"),
-            F.size(x).alias("dims"),
-            F.coalesce(is_query, F.lit(False)).alias("asks"),
-        )
+    rows = vectors.where(sound).select(
+        F.col(id_col).cast("long").alias("id"),
+        F.transform(x, lambda v: F.floor(v * SCALE).cast("double")).alias("v"),
+        F.size(x).alias("dims"),
+        F.coalesce(is_query, F.lit(False)).alias("asks"),
+        F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
     )
-    n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
-    item_blocks, query_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(asking / block))
-    place = lambda m, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(m)).cast("int")
-    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    items = rows.select("id", "v", "dims", place(item_blocks, 1).alias("ib"), every(query_blocks).alias("qb"))
-    own = [F.col(c).alias(c) for c in ("id", "v", "dims")]
-    queries = rows.where("asks").select(*own, place(query_blocks, 2).alias("qb"), every(item_blocks).alias("ib"))
-    unit = ["ib", "qb", "dims"]
-
-    def first(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return found(*[np.zeros(0, np.int64)] * 3)
-        a, b = matrix(q["v"]), matrix(d["v"])
-        parts = partial_scores(a, b, slices)
-        qi, di, own = q["id"].to_numpy(), d["id"].to_numpy(), min(k + 1, len(d))
-        lists = np.concatenate([np.argpartition(-p, own - 1, axis=1)[:, :own] if own < len(d) else np.tile(np.arange(len(d)), (len(q), 1)) for p in parts], 1)
-        total = sum(np.take_along_axis(p, lists, 1) for p in parts)
+    n = rows.count()
+    some = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, math.ceil(n / block)))).select("v").collect()
+    pivots: dict[int, list] = {}
+    for v in dict.fromkeys(tuple(r.v) for r in some):
+        pivots.setdefault(len(v), []).append(v)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {d: np.array(p) for d, p in pivots.items() if d}
+        first = dict(zip(pivots, np.cumsum([0, *[len(p) for p in pivots.values()]]).tolist()))
+        for batch in batches:
+            dims = batch.column(2).to_numpy()
+            cell = np.zeros(batch.num_rows, np.int32)
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                if d in known:
+                    p, v = known[d], matrix(pa.table([batch.column(1).take(pa.array(at))], names=["v"]))
+                    near = ((p**2).sum(1)[None, :] - 2 * (v @ p.T)).argmin(1)
+                    cell[at] = first[d] + near
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
+        release()
+
+    return materialise(rows.mapInArrow(assign, "id long, v array<double>, dims int, asks boolean, salt long, cell int"))
+
+
+def dealt(rows: DataFrame, block: int, group: int) -> tuple[DataFrame, int, int]:
+    """rows with ib, their block, and qg, their group as a query; and how many
+    there are of each. There are PIVOTS cells at most."""
+    sizes = {r.cell: (r.n, r.q) for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()}
+    parts, before, starts, asked = [], [], [], []
+    for cell in range(max(sizes, default=0) + 1):
+        n, q = sizes.get(cell, (0, 0))
+        before.append(sum(parts))
+        parts.append(max(1, math.ceil(n / block)))
+        starts.append(sum(asked))
+        asked.append(q)
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("cell") + 1)
+    unit = F.pmod(F.xxhash64("salt"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    ib = of(before) + F.pmod(F.col("salt"), of(parts)).cast("int")
+    qg = F.floor((of(starts) + unit * of(asked)) / group).cast("int")
+    return rows.withColumns({"ib": ib.cast("int"), "qg": qg}), sum(parts), max(1, math.ceil(sum(asked) / group))
+
+
+def sufficient(rows: DataFrame, blocks: int, groups: int, k: int, slices: int) -> DataFrame:
+    """Phase 1, and the cutoffs' way to the blocks: one row per query and block
+    that may hold an entry which reaches its cutoff (SENT)."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        ids, x = ints(table, "id"), matrix(table)
+        block, asks = Block(ids, x, slices), np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
+        cut = local_cutoffs(asks, block, k)
+        n, ib, dims = len(asks), table.column("ib")[0].as_py(), table.column("dims")[0].as_py()
+        told = [block.centre.tolist() + block.radius.tolist() + [block.length]]
+        return pa.table({
+            "ib": pa.array([ib] * (n + 1), pa.int32()), "dims": pa.array([dims] * (n + 1), pa.int32()),
+            "qg": pa.array(np.append(ints(table, "qg")[asks], -1), pa.int32()), "id": np.append(ids[asks], 0),
+            "cutoff": np.append(cut, LEAST), "v": pa.array([*x[asks].tolist(), *told], pa.list_(pa.float64())),
+        })
+
+    gathered = materialise(rows.groupBy("ib", "dims").applyInArrow(gather, SENT))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    told = gathered.where("qg < 0").select("ib", "dims", "v", F.floor(F.col("ib") / STATS).cast("int").alias("sg")).select("*", every(groups).alias("qg"))
+    asked = gathered.where("qg >= 0").select("id", "dims", "cutoff", "v", "qg").select("*", every(math.ceil(blocks / STATS)).alias("sg"))
+
+    def send(asked: pa.Table, told: pa.Table) -> pa.Table:
         out = []
-        for r in range(len(q)):
-            c, at = np.unique(lists[r], return_index=True)
-            c, s = c[di[c] != qi[r]], total[r][at][di[c] != qi[r]]
-            best = np.lexsort((di[c], -s if s.dtype != object else [-v for v in s]))[:k]
-            out.append(found(np.full(len(best), qi[r]), di[c][best], s[best]))
-        return pd.concat(out)
-
-    shape = "query_id long, vec_id long, score long"
-    gathered = queries.groupBy(*unit).cogroup(items.groupBy(*unit)).applyInPandas(lambda q, d: first(q, d), shape)
+        if asked.num_rows and told.num_rows:
+            q, cut = matrix(asked), ints(asked, "cutoff")
+            need, dims, group = need_of(cut), asked.column("dims")[0].as_py(), asked.column("qg")[0].as_py()
+            for ib, v in zip(told.column("ib").to_pylist(), told.column("v").to_pylist()):
+                v = np.array(v)
+                may = np.flatnonzero(bounds(q, v[:dims], v[dims:-1], v[-1], len(v) - dims - 1).sum(1) >= need)
+                part, n = asked.take(pa.array(may)), len(may)
+                out.append(pa.table([pa.array([x] * n, pa.int32()) for x in (ib, dims, group)] + [part.column(c) for c in ("id", "cutoff", "v")], names=["ib", "dims", "qg", "id", "cutoff", "v"]))
+        shape = pa.schema([("ib", pa.int32()), ("dims", pa.int32()), ("qg", pa.int32()), ("id", pa.int64()), ("cutoff", pa.int64()), ("v", pa.list_(pa.float64()))])
+        return pa.concat_tables([t.cast(shape) for t in out]) if out else shape.empty_table()
+
+    unit = ["qg", "sg", "dims"]
+    return materialise(asked.groupBy(*unit).cogroup(told.groupBy(*unit)).applyInArrow(send, SENT))
+
+
+def topk(
+    vectors: DataFrame,
+    is_query: Column,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    k: int = K,
+    slices: int = SLICES,
+    block: int = BLOCK,
+    group: int = GROUP,
+) -> DataFrame:
+    """query_id, rank (from 1), vec_id and score of each query's k best, all if
+    fewer; ties go to the smaller vec_id."""
+    rows, blocks, groups = dealt(placed(vectors, is_query, id_col, vec_col, block), block, group)
+    sent = sufficient(rows, blocks, groups, k, slices)
+    wanted = sent.groupBy(F.col("ib").alias("to"), F.col("dims").alias("length"), F.col("qg").alias("group")).agg(F.count("*").alias("queries"))
+    items = rows.select("id", "v", "dims", "ib").join(wanted.hint("merge"), (F.col("ib") == F.col("to")) & (F.col("dims") == F.col("length")))
+
+    def resolve(asked: pa.Table, held: pa.Table) -> pa.Table:
+        if not asked.num_rows or not held.num_rows:
+            return scan(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), Block(np.zeros(0, np.int64), np.zeros((0, 1))), k)[0]
+        return scan(ints(asked, "id"), matrix(asked), ints(asked, "cutoff"), Block(ints(held, "id"), matrix(held), slices), k)[0]
+
+    unit = ["ib", "dims", "qg"]
+    items = items.select(F.col("to").alias("ib"), F.col("length").alias("dims"), F.col("group").alias("qg"), "id", "v")
+    entries = sent.groupBy(*unit).cogroup(items.groupBy(*unit)).applyInArrow(resolve, FOUND)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    cutoff = (
-        gathered.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("cutoff"))
-    )
-    cutoff = materialise(cutoff.select("query_id", F.when(F.col("n") >= k, F.col("cutoff")).alias("cutoff")))
-
-    def rest(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(d):
-            return found(*[np.zeros(0, np.int64)] * 3)
-        a, b = matrix(q["v"]), matrix(d["v"])
-        parts = partial_scores(a, b, slices)
-        qi, di = q["id"].to_numpy(), d["id"].to_numpy()
-        bar = q["cutoff"].astype(object)
-        need = np.array([-math.inf if pd.isna(v) else float(v) for v in bar])[:, None]
-        share = need / len(parts)
-        enough = np.zeros(parts[0].shape, bool)
-        reach = np.zeros(parts[0].shape)
-        for p in parts:
-            known = p >= share
-            enough |= known
-            reach = reach + np.where(known, p, share)
-        row, col = np.nonzero(enough & ~(reach < need) & (qi[:, None] != di[None, :]))
-        score = sum(p[row, col] for p in parts)
-        keep = np.array([need[r, 0] == -math.inf or s >= need[r, 0] for r, s in zip(row, score)], bool)
-        return found(qi[row[keep]], di[col[keep]], score[keep])
-
-    asked = queries.join(cutoff, F.col("id") == F.col("query_id"), "left").drop("query_id")
-    entries = asked.groupBy(*unit).cogroup(items.groupBy(*unit)).applyInPandas(lambda q, d: rest(q, d), shape)
-    return (
-        entries.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    return entries.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

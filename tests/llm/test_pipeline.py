@@ -4,7 +4,9 @@ import collections
 import hashlib
 
 import public_tokenizers as vocabularies
+import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from passageloom.llm import bpe
@@ -47,3 +49,37 @@ def test_stages(spark, sf):
 
 def test_run_agrees_with_stages(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0 and len(corpus_pipeline.STAGES) == 5
+
+
+CLASHES = ["kept_id", "mix_id", "mix_copies", "score", "toxic", "threshold", "i", "n", "t", "rep", "kept", "source_size", "recipe", "ids", "size"]
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES[:-1])
+def test_stage_edges(spark, sf, name, stage):
+    """Nulls, repeated rows and clashing columns keep their columns; an empty table stays one."""
+    rows = [(1, "Some words of a text.", "en", "a", 21), (1, "Some words of a text.", "en", "a", 21), (2, None, None, None, None), (None, "Other words stand in this one.", "fr", "b", 3), (3, "", "en", "a", 0), (4, "w " * 20000, "de", "b", 40000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit("x") for c in CLASHES})
+    got = stage(spark, docs, sf)
+    assert got.columns == docs.columns
+    made = got.collect()
+    assert {tuple(r) for r in made} <= {tuple(r) for r in docs.collect()} and {r.kept_id for r in made} == {"x"}
+    if name != "mixing":  # nothing here is toxic or a near copy; of equal texts the largest id stays, with its repeats
+        assert sorted((r.doc_id or 0, len(r.text or "")) for r in made) == sorted((i or 0, len(t or "")) for i, t, *_ in rows if name != "exact dedup" or i != 2)
+    assert stage(spark, docs.limit(0), sf).count() == 0
+
+
+def test_last_stage_edges(spark, sf):
+    docs = spark.createDataFrame([(1, None), (None, "a b"), (2, "a b"), (2, "a b")], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("ids", "n_tokens", "decoded_sha256")})
+    got = sorted(map(str, corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id", "n_tokens").collect()))
+    assert len(got) == 4 and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), sf).count() == 0
+
+
+def test_tables_are_discarded(spark, sf):
+    from passageloom.llm import common
+
+    kept, gone = common.materialise(spark.range(3)), common.materialise(spark.range(4))
+    common.discard(spark, kept)
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="does not exist|FILE_NOT_EXIST|No such|not found"):
+        gone.count()
