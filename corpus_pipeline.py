@@ -3,26 +3,30 @@
 Each stage takes all that its predecessor kept and returns a DataFrame, which is
 written and read again for the next one. All but the last return the columns of
 documents.
+
+Rows: nulls in any column, empty and very long texts, repeated rows and columns of
+any further names are taken as they are: a null text counts as an empty one, and a
+stage either keeps a row with all its columns or not (mixing: once, twice or not).
+A row without an id is kept unless its text is toxic, a copy of one that has an id,
+or the mix leaves it out. Of an empty table every stage makes an empty one.
 """
 
 from __future__ import annotations
 
 import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from passageloom.llm.bpe import bpe_digest
 from passageloom.llm.common import materialise
 from passageloom.llm.exact_dedup import keep_distinct
 from passageloom.llm.mixing import mix
 from passageloom.llm.near_dup import keep_representatives
-from passageloom.llm.toxicity import fit, score_toxicity
+from passageloom.llm.toxicity import fit, keep_clean
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays under their language's threshold."""
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_toxicity(docs, model).where(~F.col("toxic")).select(docs.columns)
+    return keep_clean(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
