@@ -11,8 +11,9 @@ adverts, forms, scripts and reader comments are told by element, role and name
 and take no part.
 
 Rows: a null or empty page, or one without text, gives an empty text. Broken
-markup is read as it comes: unclosed elements end with their parent. Repeated
-rows give the same text.
+markup is read as it comes: unclosed elements end with their parent. Very long
+and very deep pages take time in proportion to their length. Repeated rows give
+the same text; rows without an id or url are rows like others.
 """
 
 from __future__ import annotations
@@ -27,9 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-UNENDED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")  # a tag that the page breaks off in
+MARK = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: quoted values may hold ">".
+REST = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>""")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Where a name of a class or id is cut into words.
+JOINT = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -53,24 +58,56 @@ BESIDE = frozenset(
 HOLDS = frozenset("article articles body content entry hentry main page post story text".split())
 #: Those that tell one whose header is an article's own.
 POST = frozenset("article entry hentry post story".split())
+#: Words of BESIDE that say nothing in a name that also tells a holder; words that
+#: make a name tell what an element has, or that it goes around several.
+FAINT = frozenset("widget widgets header masthead skip".split())
+AROUND = frozenset("and has layout no outer with without wrap wrapper".split())
+#: Names that make even an article element no part of the article.
+REMARKS = frozenset("comment comments related recommended promoted sponsored".split())
 #: A start tag of the key ends open elements of the value, up to a boundary.
 ENDS = {k: frozenset(v.split()) for k, v in {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}.items()}
 BOUNDARY = frozenset("ul ol dl table menu body html div section article".split())
 #: Points of an article or main element; how many ancestors get points.
 FAVOURED, LEVELS = 25.0, 6
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol menu".split())
 #: Share of a block's text from which links make it no part of the article.
 LINKED = 0.25
 
 
+def named_words(attributes: str) -> list[list[str]]:
+    """The words of each name in the classes and the id."""
+    names = " ".join(v.strip("\"'") for k, v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id"))
+    return [[w.lower() for w in JOINT.split(name) if w] for name in names.split()]
+
+
+def beside_names(names: list[list[str]]) -> bool:
+    """Whether names tell an element beside the article. A name that is one such
+    word does; one that has such a word does too, whatever else it tells
+    (article-comments), unless another name tells a holder."""
+    told = False
+    for words in names:
+        found = BESIDE.intersection(words)
+        if not found or AROUND.intersection(words) or found <= FAINT and HOLDS.intersection(words):
+            continue
+        if len(words) == 1 and not found <= FAINT:
+            return True
+        told = True
+    return told and not any(words[-1:] and words[-1] in HOLDS - {"page", "text"} and not BESIDE.intersection(words) for words in names)
+
+
 class Page:
-    """Elements in the order of their start tags, and the paragraphs."""
+    """Elements in the order of their start tags, and the paragraphs. Each step
+    costs what is read or closed, never the depth: where[name] has the depths of
+    the open elements of a name, blocks those of open blocks."""
 
     def __init__(self, source: str):
         self.tag, self.parent, self.last = ["#"], [-1], [0]
         self.dropped, self.points, self.size, self.linked, self.post = [False], [0.0], [0], [0], [False]
         self.paragraphs: list[tuple[int, str, int]] = []
-        self.open, self.held, self.anchor, self.linked_now, self.drawn = [0], [], 0, 0, 0
+        self.open, self.held, self.linked_now, self.own = [0], [], 0, 0
+        self.where: dict[str, list[int]] = {}
+        self.blocks = [0]
         self.read(source)
         while len(self.open) > 1:
             self.close()
@@ -82,24 +119,34 @@ class Page:
         """End the paragraph that is being read."""
         text, links = " ".join(html.unescape("".join(self.held)).split()), self.linked_now
         self.held, self.linked_now = [], 0
-        if not text:
-            return
-        at = next(k for k in reversed(self.open) if self.tag[k] in BLOCKS or k == 0)
-        self.paragraphs.append((at, text, min(links, len(text))))
+        if text:
+            self.paragraphs.append((self.open[self.blocks[-1]], text, min(links, len(text))))
+
+    def sums(self, each: list[int]) -> list[int]:
+        """What the nodes and all below them hold."""
+        for k in range(len(self.tag) - 1, 0, -1):
+            each[self.parent[k]] += each[k]
+        return each
 
     def score(self) -> None:
         """Drop the forms that hold less than half of the text; give points."""
         held = [0] * len(self.tag)
         for at, text, _ in self.paragraphs:
             held[at] += len(text)
-        for k in range(len(self.tag) - 1, 0, -1):
-            held[self.parent[k]] += held[k]
+        self.sums(held)
         for k, name in enumerate(self.tag):
             if name in ("form", "fieldset") and not self.dropped[k] and 2 * held[k] < held[0]:
                 self.dropped[k : self.last[k] + 1] = [True] * (self.last[k] + 1 - k)
         self.paragraphs = [x for x in self.paragraphs if not self.dropped[x[0]]]
-        for x in self.paragraphs:
-            self.gain(*x)
+        for at, text, links in self.paragraphs:
+            self.size[at] += len(text)
+            self.linked[at] += links
+            self.gain(at, text, links)
+        self.sums(self.size)
+        self.sums(self.linked)
+        self.list = [0] * len(self.tag)  # the nearest list that a node is or stands in
+        for k in range(1, len(self.tag)):
+            self.list[k] = k if self.tag[k] in LISTS else self.list[self.parent[k]]
 
     def gain(self, at: int, text: str, links: int) -> None:
         gain = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
@@ -109,115 +156,136 @@ class Page:
         while node > 0 and level < LEVELS:
             self.points[node] += gain / (1 if not level else 2 * level)
             node, level = self.parent[node], level + 1
-        node = at
-        while node >= 0:
-            self.size[node] += len(text)
-            self.linked[node] += links
-            node = self.parent[node]
+
+    def depth(self, names: frozenset[str] | tuple[str, ...]) -> int:
+        """The depth of the innermost open element of the names, 0 if none is."""
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=0)
 
     def close(self) -> None:
         k = self.open.pop()
         self.last[k] = len(self.tag) - 1
-        self.anchor -= self.tag[k] == "a"
-        self.drawn -= self.tag[k] in DRAWN
+        self.where[self.tag[k]].pop()
+        self.own -= self.post[k] or self.tag[k] in ("article", "main")
+        if self.tag[k] in BLOCKS:
+            self.blocks.pop()
 
     def text(self, part: str) -> None:
         if part and not self.dropped[self.open[-1]]:
             self.held.append(part)
-            if self.anchor:
+            if self.where.get("a"):
                 self.linked_now += len(part.strip())
 
     def starts(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
             self.undraw()
             self.flush()
-            if "p" in (self.tag[k] for k in self.open[-12:]):
-                self.ends("p")
-        if name in ENDS:
-            for k in reversed(self.open):
-                if self.tag[k] in ENDS[name]:
-                    self.ends(self.tag[k])
-                    break
-                if self.tag[k] in BOUNDARY:
-                    break
+            self.ends("p")
+        if name in ENDS and (found := self.depth(ENDS[name])) > self.depth(BOUNDARY):
+            self.ends(self.tag[self.open[found]])
         if name == "br":
             self.text(" ")
         if name in VOID:
             return
-        up = self.open[-1]
+        up, names = self.open[-1], named_words(attributes) if attributes and name in BLOCKS else []
         self.tag.append(name)
         self.parent.append(up)
         self.last.append(0)
-        self.dropped.append(self.dropped[up] or self.beside(name, attributes))
-        self.post.append(bool(POST & frozenset(re.split(r"[\s_-]+", " ".join(v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attributes) if k.lower() in ("class", "id"))))) if attributes and name in BLOCKS else False)
+        self.dropped.append(self.dropped[up] or self.beside(name, attributes, names))
+        self.post.append(any(POST.intersection(words) for words in names))
         self.points.append(FAVOURED if name in ("article", "main") else 0.0)
         self.size.append(0)
         self.linked.append(0)
+        self.where.setdefault(name, []).append(len(self.open))
+        if name in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.own += self.post[-1] or name in ("article", "main")
         self.open.append(len(self.tag) - 1)
-        self.anchor += name == "a"
-        self.drawn += name in DRAWN
 
     def undraw(self) -> None:
         """End an unclosed drawing or formula, unless it holds text of the page."""
-        if self.drawn:
-            for k in reversed(self.open):
-                if self.tag[k] in ("foreignobject", "annotation-xml"):
-                    return
-                if self.tag[k] in DRAWN:
-                    while self.open[-1] >= k:
-                        self.close()
-                    return
+        if (found := self.depth(DRAWN)) > self.depth(("foreignobject", "annotation-xml")):
+            while len(self.open) > found:
+                self.close()
 
-    def beside(self, name: str, attributes: str) -> bool:
+    def beside(self, name: str, attributes: str, names: list[list[str]]) -> bool:
         """Whether an element stands beside the article."""
         if name in DROPPED:
             return True
         if name == "header":  # a page's header; an article's own holds its heading
-            return not any(self.tag[k] in ("article", "main") or self.post[k] for k in self.open)
-        if not attributes or name in ("html", "body", "article", "main"):
+            return not self.own
+        if not attributes or name in ("html", "body", "main"):
             return False
+        if name == "article":
+            return beside_names([words for words in names if REMARKS.intersection(words)]) and beside_names(names)
         for key, value in ATTRIBUTE.findall(attributes):
-            key, words = key.lower(), frozenset(re.split(r"[\s_-]+", value.strip("\"'").lower()))
+            key, words = key.lower(), frozenset(value.strip("\"'").lower().split())
             if key == "hidden" or key == "aria-hidden" and "true" in words or key == "role" and words & (ROLES - {"form"} if name == "form" else ROLES):
                 return True
-            if key in ("class", "id") and words & BESIDE and not words & HOLDS - {"page", "text"} and name in BLOCKS:
-                return True
-        return False
+        return beside_names(names)
 
     def ends(self, name: str) -> None:
-        for depth in range(len(self.open) - 1, 0, -1):
-            tag = self.tag[self.open[depth]]
-            if tag == name:
-                if name in BLOCKS:
-                    self.flush()
-                while len(self.open) > depth:
-                    self.close()
-                return
-            if tag in BLOCKS and (name not in BLOCKS and name not in EMBEDDED or name == "p" and tag != "p"):
-                return  # markup that crosses a block; it ends with the block
+        depth = self.depth((name,))
+        if not depth or (name == "p" or name not in BLOCKS and name not in EMBEDDED) and self.blocks[-1] > depth:
+            return  # not open, or markup that crosses a block; it ends with the block
+        if name in BLOCKS:
+            self.flush()
+        while len(self.open) > depth:
+            self.close()
 
     def read(self, source: str) -> None:
-        at, ended = 0, {}
-        while m := TOKEN.search(source, at):
-            self.text(source[at : m.start()])
-            at = m.end()
-            if not (name := (m[2] or "").lower()):
+        """Go through the tags once. What a search to the end didn't find isn't
+        looked for again: a tag whose quotes never close ends, as do all after
+        it, with the next ">"."""
+        at, plain, low, gone = 0, False, None, {}
+        found: dict[str, int] = {}
+
+        def after(what: str, place: int) -> int:
+            """Where what stands next, -1 if nowhere; linear over all calls."""
+            if found.get(what, place - 1) < place and what not in gone:
+                found[what] = low.find(what, place)
+                if found[what] < 0:
+                    gone[what] = True
+            return -1 if what in gone else found[what]
+
+        low = source.lower() if len(source.lower()) == len(source) else "".join(c.lower() if c.isascii() else c for c in source)
+        while m := MARK.search(source, at):
+            here, kind = m.start(), m[0]
+            if kind in ("<!--", "<![CDATA["):
+                end = after("-->" if kind == "<!--" else "]]>", m.end())
+                if end < 0 and kind == "<!--":
+                    self.text(source[at:here])
+                    return
+                stop = end + 3 if end >= 0 else after(">", here) + 1
+            elif kind in ("<!", "<?"):
+                stop = after(">", here) + 1
+            else:
+                name = NAME.match(source, here)
+                rest = None if plain else REST.match(source, name.end())
+                plain = rest is None
+                stop = after(">", name.end()) + 1 if plain else rest.end()
+            self.text(source[at:here])
+            if not stop:
+                return  # the page breaks off in a tag
+            at = stop
+            if kind[-1] in "-[!?":
                 continue
-            if m[1]:
-                self.ends(name)
-            elif name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                if m[3].endswith("/") and (not end or re.search(rf"<{name}\b", source[at : end.start()], re.I)):
+            tag, attributes = name[2].lower(), source[name.end() : stop - 1]
+            if name[1]:
+                self.ends(tag)
+            elif tag in RAW:
+                end = after(f"</{tag}", at)
+                if attributes.endswith("/") and (end < 0 or 0 <= after(f"<{tag}", at) < end):
                     continue  # empty: no end tag is its own
-                at = end.end() if end else len(source)
+                close = after(">", end) if end >= 0 else -1
+                at = close + 1 if close >= 0 else len(source)
                 self.text(" ")
-            elif name in EMBEDDED - DRAWN and at > (ended[name] if name in ended else ended.setdefault(name, source.lower().rfind(f"</{name}"))):
+            elif tag in EMBEDDED - DRAWN and after(f"</{tag}", at) < 0:
                 self.text(" ")  # never closed: it holds nothing
-            elif not (m[3].endswith("/") and (name in EMBEDDED or self.drawn and name not in BLOCKS)):
-                if name in EMBEDDED - DRAWN:
+            elif not (attributes.endswith("/") and (tag in EMBEDDED or self.depth(DRAWN) and tag not in BLOCKS)):
+                if tag in EMBEDDED - DRAWN:
                     self.text(" ")
-                self.starts(name, m[3])
-        self.text(UNENDED.sub("", source[at:]))
+                self.starts(tag, attributes)
+        self.text(source[at:])
 
     def main(self) -> list[str]:
         """The blocks of the article, in page order."""
@@ -266,9 +334,8 @@ class Page:
 
     def menu(self, at: int) -> bool:
         """Whether a paragraph stands in a list of links."""
-        while at > 0 and self.tag[at] not in ("ul", "ol", "menu"):
-            at = self.parent[at]
-        return at > 0 and self.linked[at] >= 0.9 * self.size[at]
+        k = self.list[at]
+        return k > 0 and self.linked[k] >= 0.9 * self.size[k]
 
 
 def main_text(source: str | None) -> str:

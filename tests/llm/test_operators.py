@@ -309,3 +309,51 @@ def test_held_out_rows(spark):
 
     got = spark.range(50).select("id", toxicity.held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+BODY = "<p>First, of them, and more words.</p><p>Second, of them, and more words.</p>"
+READ = "First, of them, and more words.\nSecond, of them, and more words."
+
+
+@pytest.mark.parametrize("name", ["article-comments", "post-comments", "entry-comments", "main-menu", "article-footer", "story-related", "commentsList", "commentList-2", "post_sidebar", "comment-body", "related-articles", "sponsored-content", "sidebar", "cookie-notice"])
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<main>{}</main>", "<div class=content>{}</div>", "<div>{}</div>"])
+def test_page_beside_by_any_name(name, outer):
+    """Comments and menus whose class also names the article, inside and after it."""
+    other = f'<div class="{name}"><p>I, for one, liked it, and this is long, too, with many commas, and more, of it.</p></div>'
+    for tag in ("class", "id"):
+        part = other.replace("class", tag)
+        assert html_text.main_text(f"<html><body>{outer.format(BODY + part)}</body></html>") == READ
+        assert html_text.main_text(f"<html><body><div>{outer.format(BODY)}{part}</div></body></html>") == READ
+
+
+@pytest.mark.parametrize("name", ["post-12 post hentry category-nav tag-footer", "content has-sidebar", "content-sidebar-wrap", "elementor-widget-theme-post-content", "entry-header", "main-content", "no-sidebar", "story"])
+def test_page_names_that_hold(name):
+    assert html_text.main_text(f'<body><nav>x</nav><div class="{name}">{BODY}</div></body>') == READ
+
+
+def test_page_split_containers():
+    """An article in two containers, the second short, with an advert between."""
+    page = f"<body><nav>Home</nav><div class=content>{BODY * 5}</div><div class=ad>Buy now, or never.</div><div class=content><p>The end.</p></div><div class=footer>Imprint</div></body>"
+    assert html_text.main_text(page) == "\n".join([READ] * 5 + ["The end."])
+    deep = "<b>" * 40 + "bold"
+    assert html_text.main_text(f"<article><p>One {deep}<p>Two, of them</article>") == "One bold\nTwo, of them"
+    assert html_text.main_text(f"<body><article class=comment>{BODY}</article><article>{BODY}<p>More.</article></body>") == READ + "\nMore."
+
+
+@pytest.mark.parametrize("page", [
+    "<div>a" * 100_000, '<a "' * 100_000, "<a " * 100_000, "<![CDATA[" * 100_000, "<!" * 100_000, "<script/>" * 50_000 + "</script>", "</script" * 100_000,
+    "<p><b>" * 50_000 + "<div></div>" * 50_000, "<blockquote>" * 50_000 + "<li>x" * 50_000, "<ul><li>a" * 50_000, "<form>x" * 50_000, "<svg>" * 50_000 + "<div>x" * 50_000, "<header>x" * 50_000, "<a class=" * 50_000, "<i class='a " * 50_000 + ">x",
+])
+def test_page_in_linear_time(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 6
+
+
+def test_page_rows(spark):
+    rows = [(1, "u", "<div>" * 20000 + BODY), (1, "u", BODY), (None, None, BODY), (2, None, ""), (3, "u", "<p>" + "word, " * 200_000 + "</p>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("x") for c in ("text", "n_chars", "title")})
+    got = sorted(((r.page_id or 0, r.n_chars) for r in html_text.page_text(df).collect()))
+    assert got == [(0, len(READ)), (1, len(READ)), (1, len(READ)), (2, 0), (3, 6 * 200_000 - 1)]
