@@ -1,10 +1,16 @@
 """Exact de-duplication by content-defined chunk recipes.
 
-Each normalised text (A-Z lower-cased) is cut where its own content says so, so
-equal passages give equal chunks wherever they stand. A document then is the
-ordered list of its chunks' identifiers, its recipe, and only recipes are
-grouped: a long text crosses the network once, as chunks, when the identifiers
-are verified, and copies of a chunk collapse before that shuffle.
+Each normalised text (A-Z lower-cased) is cut where four letters in a row
+say so, about once in a few hundred characters. The least chunk is short beside
+that, so texts that share a passage cut it alike soon after its start, wherever it
+stands. A document then is the ordered list of its chunks' identifiers, its
+recipe, and only recipes are grouped: a long text crosses the network once, as
+chunks, when the identifiers are verified, and copies of a chunk collapse before
+that shuffle.
+
+Rows go back to their groups by a join on the recipe. Groups of at least a
+HOT-th of all rows, HOT groups at most, are joined by broadcast, so that no task
+gets them whole; the others by sort-merge.
 
 Rows: a null text counts as empty; empty texts equal each other. Repeated rows
 count as rows; of rows that share the largest doc_id of a group all are kept. A
@@ -22,9 +28,20 @@ from .common import free_name, lower_ascii, materialise
 
 #: Characters of a chunk at least; it ends after the first BOUNDARY from there,
 #: or at MAX_CHUNK.
-MIN_CHUNK, MAX_CHUNK = 1024, 8192
-#: A blank after one of these letters ends a chunk.
-BOUNDARY = "[ahns] "
+MIN_CHUNK, MAX_CHUNK = 64, 8192
+
+
+def letters(rest: int) -> str:
+    """A pattern of the letters whose code divided by four leaves rest, and of a
+    share of the ideographs."""
+    some = "".join("\\x{%x}" % c for c in [*range(0x20, 0x7F), *range(0xA1, 0x100)] if c % 4 == rest)
+    return f"[{some}{chr(0x4E00)}-{chr(0x5FFF)}]" if rest else f"[{some}{chr(0x6000)}-{chr(0x7FFF)}]"
+
+
+#: Four letters in turn from one set and the other end a chunk.
+BOUNDARY = (letters(1) + letters(0)) * 2
+#: Groups of recipes that are broadcast, at most, and rows of one at least.
+HOT, HOT_ROWS = 1000, 512
 
 
 def chunks(text: Column, min_chunk: int = MIN_CHUNK, max_chunk: int = MAX_CHUNK) -> Column:
@@ -73,8 +90,12 @@ def exact_dedup(
         )
         keys.append("whole")
 
-    groups = recipes.groupBy(*keys).agg(F.max("i").alias("keep_id"), F.count("*").alias("group_size"))
-    return recipes.join(groups, keys).select(
+    limit = max(recipes.count() / HOT, HOT_ROWS)
+    groups = materialise(recipes.groupBy(*keys).agg(F.max("i").alias("keep_id"), F.count("*").alias("group_size")))
+    hot = F.broadcast(groups.where(F.col("group_size") >= limit))
+    rest = recipes.join(hot.select(*keys), keys, "left_anti").join(groups.where(F.col("group_size") < limit).hint("merge"), keys)
+    joined = recipes.join(hot, keys).select(*rest.columns).union(rest)
+    return joined.select(
         F.col("i").alias(id_col),
         "keep_id",
         "group_size",

@@ -7,10 +7,15 @@ expected copies are summed up along the source's documents, one random offset
 is added, and a document is taken once for each integer that its step crosses:
 the number of copies is the expected one, rounded up or down.
 
-Documents stand in the order of a coarse class of their size, then of a hash,
-so that what is taken comes near the target in words too. A document's place in
-that order is found from counts of buckets of about BUCKET rows, never by a
-window over a whole source, which may hold a third of all rows.
+Documents stand in the order of their size. The TOP longest of a source are taken
+first, from the longest on: what is expected so far, in words, less what was taken
+is counted in the document's own size, and with the offset gives the boundaries
+crossed; for documents of one size that is the rule above. The others share what is
+left of the target alike, so a source's words differ from its target by less than
+the longest of the others. A place in the order is found from counts by size and of
+buckets of about BUCKET rows, never by a window over a whole source, which may hold
+a third of all rows; those of the sources themselves from counts of ranges, so that
+no task holds all sources.
 
 Rows: a null text has no words, and a null source is a source of its own, the
 last in order. A source without words has the target 0. Repeated rows count as
@@ -27,6 +32,8 @@ from .common import WORD, free_name, materialise, text_of
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
 BUCKET = 512
+#: Longest documents of a source that are taken one by one.
+TOP = 32
 
 
 def hashed(key: Column, digits: int) -> Column:
@@ -34,6 +41,20 @@ def hashed(key: Column, digits: int) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, digits), 16, 10).cast("long")
 
 
+def summed_up(df: DataFrame, order: list[Column], **totals: Column) -> DataFrame:
+    """df with, under each name, the sum of a column over all rows before, in a
+    total order. Rows are dealt into ranges; a sum is that of the ranges before,
+    of which there are as many as shuffle partitions, plus that within the range."""
+    df = materialise(df.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()))
+    before = W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    ranges = df.groupBy("range_no").agg(*[F.sum(c).alias(f"_{n}") for n, c in totals.items()])
+    ranges = ranges.select(F.col("range_no").alias("of_range"), *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in totals])
+    inside = W.partitionBy("range_no").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    df = df.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in totals.items()})
+    df = df.join(F.broadcast(ranges), F.col("range_no") == F.col("of_range"))
+    return df.withColumns({n: F.col(n) + F.col(f"_{n}") for n in totals}).drop("range_no", "of_range", *[f"_{n}" for n in totals])
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """source, source_size -> those and target, one row a source.
 
@@ -42,22 +63,18 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     weight that is left after a prefix grows until the prefix is the right one,
     and falls from there on.
     """
-    everything, in_order = W.partitionBy(F.lit(0)), W.partitionBy(F.lit(0)).orderBy("ratio", "place")
-    before = in_order.rowsBetween(W.unboundedPreceding, -1)
-    level = (F.col("budget") - F.col("cut")) / (F.col("all_weight") - F.col("cut_weight"))
-    ranked = (
-        sources.withColumn("place", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
-        .withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("place") - 1) % len(weights) + 1))
-        .withColumn("most", F.col("source_size") * cap)
-        .withColumn("ratio", F.col("most") / F.col("weight"))
-        .withColumn("budget", F.sum("source_size").over(everything) * F.lit(float(share)))
-        .withColumn("all_weight", F.sum("weight").over(everything))
-        .withColumn("cut", F.coalesce(F.sum("most").over(before), F.lit(0)))
-        .withColumn("cut_weight", F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        .withColumn("level", level)
-        .withColumn("level", F.max(F.col("level")).over(everything))
-    )
-    wanted = F.least(F.col("most").cast("double"), F.coalesce(F.col("level") * F.col("weight"), F.lit(0.0)))
+    ranked = summed_up(sources, [F.col("source").asc_nulls_last()], place=F.lit(1))
+    ranked = ranked.select(
+        "source", "source_size", "place",
+        F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int")).cast("long").alias("weight"),
+        (F.col("source_size") * cap).alias("most"),
+    )
+    ranked = summed_up(ranked.withColumn("ratio", F.col("most") / F.col("weight")), [F.col("ratio"), F.col("place")], cut=F.col("most"), cut_weight=F.col("weight"))
+    ranked = materialise(ranked)
+    size, weight = ranked.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit((size or 0) * float(share)) - F.col("cut")) / (F.lit(weight or 0) - F.col("cut_weight"))
+    top = ranked.agg(F.max(level)).first()[0]
+    wanted = F.least(F.col("most").cast("double"), F.coalesce(F.lit(top).cast("double") * F.col("weight"), F.lit(0.0)))
     return ranked.select("source", "source_size", wanted.alias("target"))
 
 
@@ -74,49 +91,61 @@ def mixing_plan(
     """One row per row of docs: id_col, size, source_size, target, copies and
     taken, copies times size."""
     size = F.regexp_count(text_of(F.col(text_col)), F.lit(WORD)).cast("long")
-    bits = F.length(F.bin("size"))
-    fine = F.when(bits > 3, F.expr("shiftright(size, length(bin(size)) - 4)") % 8).otherwise(0)
     rows = materialise(
         docs.select(F.col(id_col).alias("i"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
-        .withColumn("class", (bits * 8 + fine).cast("int"))
         .withColumn("key", F.coalesce(F.col("i").cast("string"), F.lit("")))
     )
-    classes = rows.groupBy("source", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-    classes = materialise(
-        classes.withColumn("before", F.sum("n").over(W.partitionBy("source").orderBy("class")) - F.col("n"))
-    )
-    wanted = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, cap)
+    sizes = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
+    own = W.partitionBy("source")
+    sizes = sizes.withColumns({"before": F.sum("n").over(own.orderBy("size")) - F.col("n"), "all": F.sum("n").over(own)})
+    sizes = materialise(sizes)
+    longer = F.col("all") - F.col("before") - F.col("n")
+    top = sizes.where(longer < TOP).select("source", "size", F.explode(F.sequence(F.lit(1), F.least("n", TOP - longer).cast("int"))))
+    top = top.groupBy("source").agg(F.sort_array(F.collect_list("size"), asc=False).alias("top"))
+    wanted = targets(sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap)
+    wanted = wanted.alias("w").join(top.alias("p"), F.col("w.source").eqNullSafe(F.col("p.source"))).select("w.*", "top")
     wanted = wanted.withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    told = classes.alias("c").join(wanted.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-    told = told.select("c.*", "source_size", "target", "each")
-
-    same = F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.class") == F.col("t.class"))
+    wanted = wanted.withColumn("offset", hashed(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit(""))), 5) / F.lit(float(1 << 20)))
+
+    def take(so_far: Column, size: Column) -> Column:
+        due = so_far["due"] + F.col("each") * size
+        n = F.when(size > 0, F.least(F.lit(cap), F.greatest(F.lit(0), F.floor(due / size + F.col("offset"))))).otherwise(0).cast("int")
+        return F.struct((due - n * size).alias("due"), F.concat(so_far["copies"], F.array(n)).alias("copies"), (so_far["words"] + n * size).alias("words"))
+
+    none = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<int>").alias("copies"), F.lit(0).cast("long").alias("words"))
+    wanted = wanted.withColumn("first", F.aggregate("top", none, take))
+    rest = F.col("source_size") - F.aggregate("top", F.lit(0).cast("long"), lambda a, v: a + v)
+    share_of = F.when(rest > 0, F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), (F.col("target") - F.col("first.words")) / rest))).otherwise(0.0)
+    wanted = wanted.select("source", "source_size", "target", "offset", share_of.alias("each"), F.col("first.copies").alias("first"))
+    told = sizes.alias("c").join(wanted.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
+    told = told.select("c.*", "source_size", "target", "offset", "each", F.when(longer < TOP, F.col("first")).alias("first"))
+
+    same = F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.size") == F.col("t.size"))
     dealt = (
         rows.alias("r")
         .join(told.alias("t"), same)
-        .select("r.*", "n", "before", "source_size", "target", "each")
+        .select("r.*", "n", "before", "all", "source_size", "target", "offset", "each", "first")
         .withColumn("bucket", F.expr(f"shiftright({'conv(substring(md5(cast(key AS BINARY)), 1, 8), 16, 10)'} * ceil(n / {BUCKET}), 32)").cast("long"))
     )
-    buckets = dealt.groupBy("source", "class", "bucket").agg(F.count("*").alias("here"))
-    run = W.partitionBy("source", "class").orderBy("bucket")
+    buckets = dealt.groupBy("source", "size", "bucket").agg(F.count("*").alias("here"))
+    run = W.partitionBy("source", "size").orderBy("bucket")
     buckets = buckets.withColumn("skip", F.sum("here").over(run) - F.col("here")).drop("here")
     same = (
         F.col("d.source").eqNullSafe(F.col("b.source"))
-        & (F.col("d.class") == F.col("b.class"))
+        & (F.col("d.size") == F.col("b.size"))
         & (F.col("d.bucket") == F.col("b.bucket"))
     )
-    inside = W.partitionBy("source", "class", "bucket").orderBy(F.md5(F.col("key").cast("binary")), "i", "size")
+    inside = W.partitionBy("source", "size", "bucket").orderBy(F.md5(F.col("key").cast("binary")), "i")
     placed = (
         dealt.alias("d")
         .join(buckets.alias("b"), same)
         .select("d.*", "skip")
         .withColumn("rank", F.col("before") + F.col("skip") + F.row_number().over(inside) - 1)
-        .withColumn("offset", hashed(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit(""))), 5) / F.lit(float(1 << 20)))
     )
     crossed = F.floor((F.col("rank") + 1) * F.col("each") + F.col("offset")) - F.floor(F.col("rank") * F.col("each") + F.col("offset"))
-    return placed.select(
-        F.col("i").alias(id_col), "size", "source_size", "target", crossed.cast("long").alias("copies")
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+    longer = (F.col("all") - 1 - F.col("rank")).cast("int")
+    copies = F.when(longer < TOP, F.get("first", longer)).otherwise(crossed).cast("long")
+    return placed.select(F.col("i").alias(id_col), "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
