@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What is stripped from a word before it may be masked, how long
@@ -49,7 +49,12 @@ def length_bound(n_words: Column, eighths: int, minimum: int) -> Column:
 def quote_in(quote: Column, passage: Column) -> Column:
     """Whether the passage holds the quote, whatever its case and spacing; an
     empty quote is in every passage."""
-    return F.contains(F.lower(collapse(passage)), F.lower(collapse(quote)))
+    return F.contains(flat(passage), flat(quote))
+
+
+def flat(text: Column) -> Column:
+    """What quotes are looked for in: lower case, spacing collapsed."""
+    return F.lower(collapse(text))
 
 
 def replace_first(text: Column, old: Column, new: Column) -> Column:
@@ -91,6 +96,24 @@ def json_objects(items: Column, *names: str) -> Column:
     return cat("[", F.array_join(F.transform(items, one), ", "), "]")
 
 
+def json_indented(**fields: Column) -> Column:
+    """A JSON object of strings as it is printed with an indent of two and sorted
+    keys; a null is null."""
+    lines = [cat(f'  "{name}": ', F.when(value.isNull(), "null").otherwise(json_string(value))) for name, value in sorted(fields.items())]
+    return cat("{\n", F.concat_ws(",\n", *lines), "\n}")
+
+
+def barrier(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once, however often they are used: the
+    optimiser copies a projected expression into each of its uses, but never
+    through a generator."""
+    if not columns:
+        return df
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("once_")
+    kept = [F.col(c) for c in df.columns if c not in columns]
+    return df.select(*kept, made).select(*kept, *[F.col(f"once_.{n}").alias(n) for n in columns])
+
+
 def list_literal(items: Column) -> Column:
     """The items as a Python list of strings is printed."""
 
@@ -106,8 +129,13 @@ def list_literal(items: Column) -> Column:
 def maskable(text: Column) -> Column:
     """Distinct alphabetic words of six letters or more, the longest first; ties
     by lower case, then as they are."""
+    return maskable_of(words(text))
+
+
+def maskable_of(found: Column) -> Column:
+    """maskable, from the words of the text."""
     edge = "[" + "".join("\\" + c for c in WORD_EDGES) + "]"
-    bare = F.transform(words(text), lambda w: F.regexp_replace(w, f"^{edge}+|{edge}+$", ""))
+    bare = F.transform(found, lambda w: F.regexp_replace(w, f"^{edge}+|{edge}+$", ""))
     fit = F.array_distinct(F.filter(bare, lambda w: (F.length(w) >= MASKABLE) & w.rlike(r"^\p{L}+$")))
     ranked = F.array_sort(F.transform(fit, lambda w: F.struct((-F.length(w)).alias("n"), F.lower(w).alias("l"), w.alias("w"))))
     return F.transform(ranked, lambda x: x["w"])

@@ -5,45 +5,91 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bucket, cat, count_words
-from ..plans.tasks import TASKS, Task, list_tasks, resolve_tasks
+from ..functions.text import barrier, bucket, cat, count_words, flat
+from ..plans.tasks import GATE, ROWS_TYPE, TASKS, Task, drawn, list_tasks, resolve_tasks, selector
+from ..sources.files import files_of, write_jsonl
 from .chunk import chunk_text, usable
-from .runtime import RuleRuntime, Runtime
+from .judge import add_reasoning
+from .runtime import Parts, RuleRuntime, Runtime, ask, ddl, with_parts
 
 ROW = ["instruction", "input", "output"]
-
-
-def unit(key: Column) -> Column:
-    """A number from 0 to 1 that depends on the key only."""
-    return bucket(key, 1 << 32) / F.lit(float(1 << 32))
+KEYS = ["task", "format", "generation", "variation", "row_no"]
 
 
 def calls_of(passages: DataFrame, task: Task, id_col: str, text_col: str) -> DataFrame:
-    """One row per passage, format, generation and variation; variation 0 is the
-    base answer that the others depart from."""
+    """One row per passage, format and generation; variation 0 is the base answer
+    that the others depart from."""
     spec = F.explode(F.array(*map(F.lit, task.formats))).alias("format")
     made = passages.select("*", spec).select("*", F.explode(F.sequence(F.lit(0), F.lit(task.generations - 1))).alias("generation"))
     made = made.withColumns({"call_id": F.col(id_col), "passage": F.col(text_col), "n_words": count_words(F.col(text_col))})
     return made.withColumns({"variation": F.lit(0), "previous": F.lit(None).cast("string")})
 
 
-def answered(passages: DataFrame, task: Task, runtime: Runtime, id_col: str, text_col: str) -> DataFrame:
-    """The calls of a task with out and error, variations included."""
-    base = runtime.apply(calls_of(passages, task, id_col, text_col), task)
-    if not task.variations:
-        return base
-    again = base.where("out IS NOT NULL").withColumn("previous", F.to_json("out")).drop("out", "error")
-    again = again.withColumn("variation", F.explode(F.sequence(F.lit(1), F.lit(task.variations))))
-    return base.unionByName(runtime.apply(again, task).select(base.columns))
+def base_calls(passages: DataFrame, id_col: str, text_col: str, selected: str | None) -> DataFrame:
+    names = F.col(selected) if selected else F.lit(None).cast("array<string>")
+    return passages.select(F.col(id_col).alias("call_id"), F.col(text_col).alias("passage"), names.alias("selected_"))
+
+
+def wanted(name: str, selected: str | None) -> Column:
+    return F.array_contains("selected_", name) if selected else F.lit(True)
 
 
-def rows_of(calls: DataFrame, task: Task, id_col: str) -> DataFrame:
-    """Training rows of answered calls."""
-    built = F.lit(None)
-    for name, make in task.formats.items():
-        built = F.when(F.col("format") == name, make(F.col("passage"), F.col("out"))).otherwise(built)
-    exploded = calls.where("out IS NOT NULL").select(id_col, "format", "generation", "variation", F.posexplode(built).alias("row_no", "r"))
-    return exploded.select(id_col, F.lit(task.name).alias("task"), "format", "generation", "variation", "row_no", *[F.col(f"r.{c}").alias(c) for c in ROW])
+def drafted(passages: DataFrame, tasks: list[Task], id_col: str, text_col: str, selected: str | None = None) -> DataFrame:
+    """call_id, passage, the keys and the row of answers that rules draft, for all
+    tasks in one pass: parts of a passage, drafts and rows are computed once."""
+    x = Parts()
+    drafts = {f"o{k}_": F.when(wanted(t.name, selected), t.draft(x).cast(f"struct<{ddl(t.schema)}>")) for k, t in enumerate(tasks)}
+    calls = with_parts(base_calls(passages, id_col, text_col, selected), x.taken)
+    calls = barrier(calls, **drafts, **({"flat_": flat(F.col("passage"))} if any(t.quotes for t in tasks) else {}))
+    sets = []
+    for k, t in enumerate(tasks):
+        out = F.col(f"o{k}_")
+        for name, make in t.formats.items():
+            made = F.when(t.valid(out, F.col("n_words")), make(F.col("passage"), out)).cast(ROWS_TYPE)
+            sets.append(F.struct(F.lit(t.name).alias("task"), F.lit(name).alias("format"), F.lit(t.generations).alias("g"), F.lit(t.variations + 1).alias("v"), made.alias("rows")))
+    found = calls.select("call_id", "passage", F.explode(F.array(*sets)).alias("x")).where(F.size("x.rows") > 0)
+    if any(t.generations * (t.variations + 1) > 1 for t in tasks):
+        found = found.select("*", F.explode(F.sequence(F.lit(0), F.col("x.g") * F.col("x.v") - 1)).alias("n"))
+    else:
+        found = found.withColumn("n", F.lit(0))
+    keys = [F.col("x.task").alias("task"), F.col("x.format").alias("format"), F.floor(F.col("n") / F.col("x.v")).cast("int").alias("generation"), (F.col("n") % F.col("x.v")).alias("variation")]
+    return found.select("call_id", "passage", *keys, F.posexplode("x.rows").alias("row_no", "r"))
+
+
+def answers(passages: DataFrame, tasks: list[Task], runtime: Runtime, id_col: str, text_col: str, selected: str | None = None) -> DataFrame:
+    """What a runtime answers to all tasks, in one pass: call_id, passage, n_words,
+    task, format, generation, variation, raw and error. Variations are asked right
+    after the answer that they depart from."""
+    specs = F.array(*[F.struct(F.lit(t.name).alias("task"), F.lit(f).alias("format"), F.lit(g).alias("generation"), F.lit(t.variations).alias("variations")) for t in tasks for f in t.formats for g in range(t.generations)])
+    mine = F.filter(specs, lambda s: F.array_contains("selected_", s["task"])) if selected else specs
+    calls = base_calls(passages, id_col, text_col, selected).select("call_id", "passage", count_words(F.col("passage")).alias("n_words"), F.explode(mine).alias("x"))
+    calls = calls.select("call_id", "passage", "n_words", "x.*", F.lit(0).alias("variation"), F.lit(None).cast("string").alias("previous"))
+    return runtime.raw(calls, {t.name: t for t in tasks})
+
+
+def built(asked: DataFrame, tasks: list[Task]) -> DataFrame:
+    """call_id, passage, the keys and the row of valid answers."""
+    parsed = {f"o{k}_": F.when(F.col("task") == t.name, F.from_json("raw", t.schema)) for k, t in enumerate(tasks)}
+    asked = barrier(asked, **parsed, **({"flat_": flat(F.col("passage"))} if any(t.quotes for t in tasks) else {}))
+    made = F.lit(None).cast(ROWS_TYPE)
+    for k, t in enumerate(tasks):
+        out = F.col(f"o{k}_")
+        for name, make in t.formats.items():
+            fits = (F.col("task") == t.name) & (F.col("format") == name) & F.col("error").isNull() & t.valid(out, F.col("n_words"))
+            made = F.when(fits, make(F.col("passage"), out).cast(ROWS_TYPE)).otherwise(made)
+    return asked.select("call_id", "passage", *KEYS[:4], F.posexplode(made).alias("row_no", "r"))
+
+
+def rows_of(passages: DataFrame, tasks: list[Task], runtime: Runtime | None, id_col: str, text_col: str, selected: str | None = None) -> DataFrame:
+    """id_col, passage_, the keys and the rows of all tasks. Tasks that need no
+    model never ask the runtime; where both kinds are wanted, passages are read
+    once for each kind."""
+    ruled = [t for t in tasks if t.native or runtime is None or isinstance(runtime, RuleRuntime)]
+    others = [t for t in tasks if t not in ruled]
+    parts = [drafted(passages, ruled, id_col, text_col, selected)] if ruled else []
+    parts += [built(answers(passages, others, runtime, id_col, text_col, selected), others)] if others else []
+    made = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return made.select(F.col("call_id").alias(id_col), F.col("passage").alias("passage_"), *KEYS, *[F.col(f"r.{c}").alias(c) for c in ROW])
 
 
 def sample_templates(rows: DataFrame, pools: dict[str, list[str]], id_col: str, seed: int = 0) -> DataFrame:
@@ -62,8 +108,7 @@ def run_task(passages: DataFrame, task: Task | str, runtime: Runtime | None = No
     and output of one task over passages that are usable already. Tasks that
     need no model never ask the runtime."""
     (task,) = resolve_tasks(task)
-    source = RuleRuntime() if task.native else runtime or RuleRuntime()
-    rows = rows_of(answered(passages, task, source, id_col, text_col), task, id_col)
+    rows = rows_of(passages, [task], runtime, id_col, text_col).drop("passage_")
     return sample_templates(rows, task.templates(), id_col, seed) if templates else rows
 
 
@@ -73,23 +118,28 @@ def infer_mode(tasks: object) -> str:
     return "auto" if tasks is None else "sample" if isinstance(tasks, dict) else "explicit"
 
 
-def prefilter(passages: DataFrame, text_col: str = "text") -> DataFrame:
-    """Passages worth augmenting, by rule: ten words, and half of the characters
-    letters."""
-    t = F.col(text_col)
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]", ""))
-    return passages.where((count_words(t) >= 10) & (letters * 2 >= F.length(t)))
+def gated(passages: DataFrame, runtime: Runtime | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """passages with gate, a struct of is_quality, and gate_error; none is dropped."""
+    return ask(passages, GATE, runtime, F.col(id_col), F.col(text_col), "gate", "gate_error")
 
 
-def sampled_tasks(chances: dict[str, float], id_col: str = "doc_id", seed: int = 0) -> Column:
-    """The tasks that a passage draws, each by its own chance."""
+def prefilter(passages: DataFrame, text_col: str = "text", runtime: Runtime | None = None, id_col: str = "doc_id") -> DataFrame:
+    """Passages that the gate finds worth augmenting; by rule, those of ten words
+    of which half of the characters are letters. What it fails on is left out."""
+    return gated(passages, runtime, id_col, text_col).where(F.coalesce(F.col("gate.is_quality"), F.lit(False))).select(*passages.columns)
+
+
+def checked_chances(chances: dict[str, float]) -> dict[str, float]:
     for name, p in chances.items():
         if not 0 <= p <= 1:
             raise ValueError(f"the chance of {name!r} must be between 0 and 1")
         resolve_tasks(name)
-    key = F.col(id_col).cast("string")
-    drawn = [F.when(unit(cat(key, f"|{name}|{seed}")) < p, F.lit(name)) for name, p in chances.items()]
-    return F.array_compact(F.array(*drawn)) if drawn else F.array().cast("array<string>")
+    return chances
+
+
+def sampled_tasks(chances: dict[str, float], id_col: str = "doc_id", seed: int = 0) -> Column:
+    """The tasks that a passage draws, each by its own chance."""
+    return drawn({"id": F.col(id_col)}, checked_chances(chances), seed)
 
 
 def selected_tasks(menu: list[str] | None = None, chance: float = 0.25, id_col: str = "doc_id", seed: int = 0) -> Column:
@@ -98,6 +148,20 @@ def selected_tasks(menu: list[str] | None = None, chance: float = 0.25, id_col:
     return sampled_tasks(dict.fromkeys(menu or list_tasks(), chance), id_col, seed)
 
 
+def select_tasks(
+    passages: DataFrame, tasks: list[str | Task] | None = None, runtime: Runtime | None = None, id_col: str = "doc_id", text_col: str = "text", gate: bool = True, chance: float = 0.25, seed: int = 0,
+) -> DataFrame:
+    """passages with selected, the tasks of the menu (by default all) that suit
+    each by their hints, and selection_error. What the gate turns down selects
+    nothing. The gate and the selector are calls of the runtime."""
+    menu = resolve_tasks(list(tasks) if tasks else list(TASKS))
+    ready = gated(passages, runtime, id_col, text_col) if gate else passages
+    fit = F.coalesce(F.col("gate.is_quality"), F.lit(False)) if gate else F.lit(True)
+    asked = ask(ready.where(fit), selector(menu, chance, seed), runtime, F.col(id_col), F.col(text_col), "choice", "selection_error")
+    names = F.coalesce(F.col("choice.selected"), F.array().cast("array<string>"))
+    return asked.select(*passages.columns, names.alias("selected"), "selection_error")
+
+
 def augment(
     passages: DataFrame,
     tasks: str | Task | list[str | Task] | dict[str, float] | None = None,
@@ -108,38 +172,59 @@ def augment(
     templates: bool = True,
     gate: bool = True,
     seed: int = 0,
+    reasoning: bool = False,
+    save_to: str | None = None,
 ) -> DataFrame:
     """Training rows of passages.
 
     explicit runs the tasks on every passage, without a gate. sample draws tasks
     by chance first and gates what drew any. auto gates, then selects from the
-    menu. Passages that can't be used are left out; see chunk.validated.
+    menu by the tasks' hints. Gate, selector, tasks and reasoning are calls of the
+    runtime; without one, rules. Passages that can't be used are left out; see
+    chunk.validated. With save_to, rows are appended there as JSON lines, and what
+    this call wrote is returned, so that no call is repeated by reading it.
     """
     mode = mode or infer_mode(tasks)
     if mode not in ("explicit", "sample", "auto"):
-        raise ValueError(f"Unknown mode {mode!r}")
-    ready = usable(passages, text_col)
+        raise ValueError(f"Unknown mode {mode!r}. Available: auto, explicit, sample")
+    if mode == "sample" and not isinstance(tasks, dict) or mode == "auto" and isinstance(tasks, dict) or mode == "explicit" and (tasks is None or isinstance(tasks, dict)):
+        raise TypeError(f"mode {mode!r} needs {'chances' if mode == 'sample' else 'a list of tasks'}")
+    ready = usable(passages.select(id_col, text_col), text_col)
     if mode == "explicit":
-        chosen, wanted = ready, {t.name: t for t in resolve_tasks(tasks)}
+        chosen, menu = ready, resolve_tasks(tasks)
+    elif mode == "sample":
+        chosen, menu = ready.withColumn("selected", sampled_tasks(tasks, id_col, seed)).where(F.size("selected") > 0), resolve_tasks(list(tasks))
+        chosen = prefilter(chosen, text_col, runtime, id_col) if gate else chosen
     else:
-        names = list(tasks) if tasks else list(TASKS)
-        drawn = sampled_tasks(tasks, id_col, seed) if mode == "sample" else selected_tasks(names, id_col=id_col, seed=seed)
-        wanted = {t.name: t for t in resolve_tasks(names)}
-        if mode == "sample":
-            chosen = ready.withColumn("selected", drawn).where(F.size("selected") > 0)
-            chosen = prefilter(chosen, text_col) if gate else chosen
-        else:
-            chosen = (prefilter(ready, text_col) if gate else ready).withColumn("selected", drawn)
-    made = None
-    for name, t in wanted.items():
-        mine = chosen if mode == "explicit" else chosen.where(F.array_contains("selected", name)).drop("selected")
-        rows = run_task(mine, t, runtime, id_col, text_col, templates, seed)
-        made = rows if made is None else made.unionByName(rows)
-    return made
-
-
-def long_text_rows(docs: DataFrame, task: Task | str, runtime: Runtime | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = 2000, overlap: int = 0) -> DataFrame:
-    """Training rows of every chunk of long texts; no gate, no selection."""
+        menu = resolve_tasks(tasks if tasks else list(TASKS))
+        chosen = select_tasks(ready, menu, runtime, id_col, text_col, gate, seed=seed)
+    rows = rows_of(chosen, menu, runtime, id_col, text_col, None if mode == "explicit" else "selected")
+    if templates:
+        rows = sample_templates(rows, {k: v for t in menu for k, v in t.templates().items()}, id_col, seed)
+    if reasoning:
+        rows = add_reasoning(rows, runtime=runtime, passage=F.col("passage_"), key=row_key(id_col))
+    rows = rows.drop("passage_", "reasoning_error")
+    return saved(rows, save_to) if save_to else rows
+
+
+def row_key(id_col: str = "doc_id") -> Column:
+    """What tells a training row: its passage and the keys."""
+    return F.concat_ws(":", *[F.col(c).cast("string") for c in (id_col, *KEYS)])
+
+
+def saved(rows: DataFrame, path: str) -> DataFrame:
+    """Append rows to path as JSON lines, and give back what was written now."""
+    spark, full = rows.sparkSession, rows if "reasoning" in rows.columns else rows.withColumn("reasoning", F.lit(None).cast("string"))
+    before = {f.rsplit("/", 1)[-1] for f in files_of(spark, path)}
+    at = write_jsonl(full, path)
+    mine = [f for f in files_of(spark, at) if f.rsplit("/", 1)[-1] not in before]
+    return spark.read.schema(full.schema).json(mine) if mine else spark.createDataFrame([], full.schema)
+
+
+def long_text_rows(docs: DataFrame, task: Task | str, runtime: Runtime | None = None, id_col: str = "doc_id", text_col: str = "text", size: int = 2000, overlap: int = 0, save_to: str | None = None) -> DataFrame:
+    """Training rows of every chunk of long texts; no gate, no selection. With
+    save_to they are written there first, as by augment."""
     pieces = chunk_text(docs, id_col, text_col, size, overlap)
     pieces = pieces.select(cat(F.col(id_col).cast("string"), ":", F.col("chunk_no").cast("string")).alias("chunk_id"), "text")
-    return run_task(usable(pieces, most=None), task, runtime, "chunk_id")
+    rows = run_task(usable(pieces, most=None), task, runtime, "chunk_id")
+    return saved(rows, save_to) if save_to else rows

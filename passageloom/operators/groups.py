@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import cat, maskable, strip
-from ..plans.tasks import COMPARISON, passage_list, retrieval_rows, row
+from ..functions.text import cat, count_words, maskable, strip
+from ..plans.tasks import COMPARISON, NO_ANSWER, REASON, RETRIEVAL, passage_list, retrieval_rows
+from ..sources.files import shared_dir
+from .runtime import RuleRuntime, Runtime, ask, checked, completed
 
 #: Fixed value: passages of a group at least.
 LEAST = 2
@@ -38,8 +39,7 @@ def all_groups(docs: DataFrame, size: int = 3, by: str = "source", id_col: str =
     the rank in a partition plus the counts of those before; no window holds a
     source."""
     spark = docs.sparkSession
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-groups-")).rstrip("/")
-    at = f"{shared}/groups-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark)}/groups-{uuid.uuid4().hex}"
     ready = docs.select(F.col(by).alias("by"), F.col(id_col).alias("i"), strip(F.col(text_col)).alias("t")).where("t <> ''")
     ready.repartitionByRange("by", "i").withColumn("part", F.spark_partition_id()).write.parquet(at)
     ready = spark.read.parquet(at)
@@ -77,39 +77,53 @@ def shuffled(passages: Column, seed: int = 0) -> Column:
     return F.transform(keyed, lambda x: x["p"])
 
 
-def comparison_rows(pairs: DataFrame, generations: int = COMPARISON.generations) -> DataFrame:
-    """group_id, generation and the row of each pair of passages; the answer is
-    drafted from a telling word of each."""
+def comparison_rows(pairs: DataFrame, generations: int = COMPARISON.generations, runtime: Runtime | None = None) -> DataFrame:
+    """group_id, generation and the row of each pair of passages, cleaned; groups
+    that aren't two passages then have none. Each generation is a call of the
+    runtime; without one, a rule names a telling word of each passage."""
+    ready = pairs.select("group_id", cleaned(F.col("passages")).alias("passages")).where(F.size("passages") == 2)
+    ready = ready.withColumn("generation", F.explode(F.sequence(F.lit(0), F.lit(generations - 1))))
     word = lambda k: F.coalesce(F.get(maskable(F.col("passages")[k]), F.lit(0)), F.lit("nothing"))
-    answer = cat("The first passage speaks of ", word(0), "; the second speaks of ", word(1), ".")
-    made = pairs.where(F.size("passages") == 2).withColumn("answer", answer)
-    made = made.withColumn("generation", F.explode(F.sequence(F.lit(0), F.lit(generations - 1))))
-    r = row(COMPARISON.prompt, passage_list(F.col("passages")), F.col("answer"))
-    return made.select("group_id", "generation", r.alias("r")).select("group_id", "generation", *[F.col(f"r.{c}").alias(c) for c in ROW])
+    key = cat(F.col("group_id").cast("string"), ":", F.col("generation").cast("string"))
+    fields = {"first_word": word(0), "second_word": word(1), "n_words": count_words(F.col("passages")[0]) + count_words(F.col("passages")[1])}
+    made = ask(ready, COMPARISON, runtime, key, passage_list(F.col("passages")), **fields)
+    r = F.explode(COMPARISON.formats["plain"](F.col("passages"), F.col("out")))
+    made = made.where("out IS NOT NULL").select("group_id", "generation", r.alias("r"))
+    return made.select("group_id", "generation", *[F.col(f"r.{c}").alias(c) for c in ROW])
 
 
-def drafted_questions(passage: Column) -> Column:
-    ask = lambda w: cat("Which passage mentions ", w, "?")
-    return F.transform(F.slice(maskable(passage), 1, 2), ask)
-
-
-def retrieval(groups: DataFrame, negatives: bool = True, most_passages: int | None = None, most_questions: int | None = None, seed: int | None = 0) -> DataFrame:
+def retrieval(
+    groups: DataFrame, negatives: bool = True, most_passages: int | None = None, most_questions: int | None = None, seed: int | None = 0, runtime: Runtime | None = None,
+) -> DataFrame:
     """group_id, passage_no, question_no, negative and the rows of each question:
-    two with its passage among the group's, two with the others only."""
+    two with its passage among the group's, two with the others only. Questions on
+    each passage and the reason of each answer are calls of the runtime."""
     for most in (most_passages, most_questions):
         if most is not None and most <= 0:
             raise ValueError("a limit must be greater than 0")
+    source = runtime or RuleRuntime()
     ps = F.col("passages") if seed is None else shuffled(F.col("passages"), seed)
     made = groups.select("group_id", (ps if most_passages is None else F.slice(ps, 1, most_passages)).alias("ps"))
     made = made.select("group_id", "ps", F.posexplode("ps").alias("passage_no", "p"))
-    asked = drafted_questions(F.col("p"))
-    made = made.select("group_id", "ps", "passage_no", F.posexplode(asked if most_questions is None else F.slice(asked, 1, most_questions)).alias("question_no", "q"))
-    here = retrieval_rows(F.col("ps"), F.col("passage_no"), F.col("q"), F.lit("It mentions the word."))
+    text = lambda c: F.col(c).cast("string")
+    asked = ask(made, RETRIEVAL, source, cat(text("group_id"), ":", text("passage_no")), F.col("p"))
+    found = F.col("out.questions") if most_questions is None else F.slice("out.questions", 1, most_questions)
+    made = asked.select("group_id", "ps", "passage_no", "p", F.posexplode(found).alias("question_no", "q"))
     others = F.filter("ps", lambda p, i: i != F.col("passage_no"))
-    absent = retrieval_rows(others, F.lit(None).cast("int"), F.col("q"), F.lit("No passage mentions the word."))
-    kinds = [F.struct(F.lit(False).alias("negative"), here.alias("rows"))]
+    kinds = [F.struct(F.lit(False).alias("negative"), F.lit(REASON.name).alias("task"), F.array("p").alias("shown"))]
     if negatives:
-        kinds.append(F.struct(F.lit(True).alias("negative"), F.when(F.size(others) > 0, absent).alias("rows")))
-    made = made.select("group_id", "passage_no", "question_no", F.explode(F.array(*kinds)).alias("k"))
-    made = made.select("group_id", "passage_no", "question_no", "k.negative", F.posexplode("k.rows").alias("row_no", "r"))
+        kinds.append(F.struct(F.lit(True).alias("negative"), F.lit(NO_ANSWER.name).alias("task"), others.alias("shown")))
+    made = made.select("group_id", "ps", "passage_no", "question_no", "q", F.explode(F.array(*kinds)).alias("k")).select("*", "k.*").drop("k").where(F.size("shown") > 0)
+    key = F.concat_ws(":", text("group_id"), text("passage_no"), text("question_no"))
+    calls = made.select(F.struct(*made.columns).alias("own_"), "task", key.alias("call_id"), cat(passage_list(F.col("shown")), "\n\nQuestion: ", F.col("q")).alias("passage"))
+    if isinstance(source, RuleRuntime):
+        why = F.when(F.col("task") == REASON.name, REASON.draft({})).otherwise(NO_ANSWER.draft({}))
+        told = calls.select("own_", why.alias("out"))
+    else:
+        raw = source.raw(completed(calls), {t.name: t for t in (REASON, NO_ANSWER)})
+        told = checked(raw, REASON, F.from_json("raw", REASON.schema), F.col("raw"))  # both reasons have one schema and bound
+    made = told.where("out IS NOT NULL").select("own_.*", F.col("out.why").alias("why"))
+    given = F.when(F.col("negative"), F.filter("ps", lambda p, i: i != F.col("passage_no"))).otherwise(F.col("ps"))
+    rows = retrieval_rows(given, F.when(~F.col("negative"), F.col("passage_no")), F.col("q"), F.col("why"))
+    made = made.select("group_id", "passage_no", "question_no", "negative", F.posexplode(rows).alias("row_no", "r"))
     return made.select("group_id", "passage_no", "question_no", "negative", "row_no", *[F.col(f"r.{c}").alias(c) for c in ROW])

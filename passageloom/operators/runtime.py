@@ -1,17 +1,19 @@
 """Where structured answers come from.
 
-A runtime takes calls, one row each with call_id, passage, n_words and what a
-task adds, and returns them with out, the task's struct (null where there is no
-valid answer), and error.
+A runtime takes calls, one row each with call_id, passage and what a task adds,
+and returns them with out, the task's struct (null where there is no valid
+answer), and error.
 
 RuleRuntime drafts an answer from the passage by rule, in native columns. It is
 no model and says nothing of one; with it every task runs at any size and can be
-checked. TableRuntime looks answers up. HttpRuntime asks a chat endpoint.
+checked. TableRuntime looks answers up. HttpRuntime asks a chat endpoint, the
+variations of an answer right after it, so that each is asked once.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
 import urllib.request
 from abc import ABC, abstractmethod
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import maskable, sentences, words
+from ..functions.text import barrier, count_words, maskable_of, sentences, words
 from ..plans.tasks import Task
 
 #: What a model offers by the first of these that its name holds;
@@ -44,43 +46,91 @@ MODELS = (
 MODES = ("auto", "json_schema", "json_object")
 
 
+#: What a call has besides call_id and passage, where nothing else is said.
+DEFAULTS = {"task": ("", "string"), "format": ("", "string"), "generation": (0, "int"), "variation": (0, "int"), "variations": (0, "int"), "previous": (None, "string")}
+
+
+def completed(calls: DataFrame) -> DataFrame:
+    missing = {n: F.lit(v).cast(kind) for n, (v, kind) in DEFAULTS.items() if n not in calls.columns}
+    if "n_words" not in calls.columns:
+        missing["n_words"] = count_words(F.col("passage"))
+    return calls.withColumns(missing) if missing else calls
+
+
 class Runtime(ABC):
     @abstractmethod
+    def raw(self, calls: DataFrame, tasks: dict[str, Task]) -> DataFrame:
+        """Calls of several tasks (task), each with as many variations as it says
+        (variations), as one row per answer: with variation, raw and error."""
+
     def apply(self, calls: DataFrame, task: Task) -> DataFrame:
         """calls with out and error."""
+        asked = self.raw(completed(calls).withColumn("task", F.lit(task.name)), {task.name: task})
+        found = checked(asked, task, F.from_json("raw", task.schema), F.col("raw"))
+        return found.select(*calls.columns, *[c for c in ("format", "generation", "variation") if c not in calls.columns], "out", "error")
 
 
 def checked(calls: DataFrame, task: Task, out: Column, raw: Column | None = None) -> DataFrame:
     """calls with out where it is valid, and error where it isn't."""
-    made = calls.withColumn("out", out)
+    made = barrier(calls, out=out)
     good = task.valid(F.col("out"), F.col("n_words"))
     missing = F.lit("no answer") if raw is None else F.when(raw.isNull() | (raw == ""), "empty response").otherwise("no valid answer")
     found = F.coalesce(F.col("error"), F.when(~good, missing)) if "error" in calls.columns else F.when(~good, missing)
     return made.withColumn("error", found).withColumn("out", F.when(F.col("error").isNull(), F.col("out")))
 
 
-def parts(calls: DataFrame) -> DataFrame:
-    """calls with what rules look at: words, sentences and maskable words."""
+class Parts(dict):
+    """What rules look at: id, t (text), w, s and c (words, sentences, maskable
+    words), and any further column of the call; notes which were taken."""
+
+    def __init__(self):
+        self.taken: set[str] = set()
+
+    def __getitem__(self, name: str) -> Column:
+        self.taken.add(name)
+        return F.col({"id": "call_id", "t": "passage", "w": "w_", "s": "s_", "c": "c_"}.get(name, name))
+
+
+def with_parts(calls: DataFrame, taken: set[str]) -> DataFrame:
+    """calls with those parts and n_words, each computed once."""
     p = F.col("passage")
-    return calls.withColumns({"w_": words(p), "s_": sentences(p), "c_": maskable(p)})
+    first = {"w_": words(p)} | ({"s_": sentences(p)} if "s" in taken else {})
+    calls = barrier(calls, **first).withColumn("n_words", F.size("w_"))
+    return barrier(calls, c_=maskable_of(F.col("w_"))) if "c" in taken else calls
 
 
 class RuleRuntime(Runtime):
+    def raw(self, calls: DataFrame, tasks: dict[str, Task]) -> DataFrame:
+        raise NotImplementedError("rules draft structs; see apply and augment.drafted")
+
     def apply(self, calls: DataFrame, task: Task) -> DataFrame:
-        x = {"id": F.col("call_id"), "t": F.col("passage"), "w": F.col("w_"), "s": F.col("s_"), "c": F.col("c_")}
-        return checked(parts(calls), task, task.draft(x).cast(f"struct<{ddl(task.schema)}>")).drop("w_", "s_", "c_")
+        x = Parts()
+        out = task.draft(x).cast(f"struct<{ddl(task.schema)}>")
+        made = checked(with_parts(calls, x.taken), task, out)
+        return made.drop(*({"w_", "s_", "c_", "n_words"} - set(calls.columns)))
 
 
 class TableRuntime(Runtime):
-    """Answers from a table (task, call_id, raw): raw is JSON."""
+    """Answers from a table (task, call_id, raw): raw is JSON. Variations of an
+    answer are the answer."""
 
     def __init__(self, answers: DataFrame):
         self.answers = answers
 
-    def apply(self, calls: DataFrame, task: Task) -> DataFrame:
-        mine = self.answers.where(F.col("task") == task.name).select(F.col("call_id").alias("answer_id"), "raw")
-        joined = calls.join(mine, F.col("call_id") == F.col("answer_id"), "left").drop("answer_id")
-        return checked(joined, task, F.from_json("raw", task.schema), F.col("raw")).drop("raw")
+    def raw(self, calls: DataFrame, tasks: dict[str, Task]) -> DataFrame:
+        found = self.answers.where(F.col("task").isin(*tasks)).select(F.col("task").alias("of_task"), F.col("call_id").cast("string").alias("answer_id"), "raw")
+        joined = calls.join(found, (F.col("task") == F.col("of_task")) & (F.col("call_id").cast("string") == F.col("answer_id")), "left").drop("of_task", "answer_id")
+        joined = joined.withColumn("variation", F.explode(F.sequence(F.col("variation"), F.col("variation") + F.col("variations"))))
+        return joined.withColumn("error", F.lit(None).cast("string"))
+
+
+def ask(rows: DataFrame, task: Task, runtime: Runtime | None, call_id: Column, passage: Column, out: str = "out", error: str = "error", **fields: Column) -> DataFrame:
+    """rows with out and error of one call each; fields are what the task's rule
+    looks at besides the passage. Columns of those names are replaced."""
+    own = [c for c in rows.columns if c not in (out, error)]
+    calls = rows.select(F.struct(*own).alias("own_"), call_id.alias("call_id"), passage.alias("passage"), *[v.alias(k) for k, v in fields.items()])
+    made = (runtime or RuleRuntime()).apply(calls, task)
+    return made.select("own_.*", F.col("out").alias(out), F.col("error").alias(error))
 
 
 def ddl(schema: str) -> str:
@@ -104,21 +154,13 @@ def json_schema(schema: str | dict) -> dict:
 
 
 def balanced_object(text: str) -> str | None:
-    """The first balanced JSON object in a text, strings minded."""
-    start = text.find("{")
-    while start >= 0:
-        depth, quoted, escaped = 0, False, False
-        for k in range(start, len(text)):
-            ch = text[k]
-            if quoted:
-                quoted, escaped = (ch != '"' or escaped), ch == "\\" and not escaped
-            elif ch == '"':
-                quoted = True
-            elif ch in "{}":
-                depth += 1 if ch == "{" else -1
-                if not depth:
-                    return text[start : k + 1]
-        start = text.find("{", start + 1)
+    """The first JSON object in a text; a "{" that begins none is passed over."""
+    decoder, at = json.JSONDecoder(), text.find("{")
+    while at >= 0:
+        try:
+            return text[at : decoder.raw_decode(text, at)[1]]
+        except (json.JSONDecodeError, RecursionError):
+            at = text.find("{", at + 1)
     return None
 
 
@@ -126,13 +168,24 @@ def recovered(raw: str | None) -> str | None:
     """raw where it is a JSON object, else the first object in it."""
     if not raw:
         return raw
-    for candidate in (raw.strip(), balanced_object(raw)):
-        try:
-            if isinstance(json.loads(candidate or ""), dict):
-                return candidate
-        except ValueError:
-            continue
-    return raw
+    try:
+        if isinstance(json.loads(raw.strip()), dict):
+            return raw.strip()
+    except (ValueError, RecursionError):
+        pass
+    return balanced_object(raw) or raw
+
+
+def bare(raw: str | None, schema: dict) -> str | None:
+    """raw as the object of a schema with one string field, where the model has
+    answered with the string alone."""
+    fields = schema.get("properties", {})
+    if not raw or len(fields) != 1 or raw.lstrip()[:1] in ("{", "["):
+        return raw
+    name, kind = next(iter(fields.items()))
+    if kind.get("type") == "boolean" and raw.strip().lower() in ("true", "false"):
+        return json.dumps({name: raw.strip().lower() == "true"})
+    return json.dumps({name: raw.strip().strip('"')}) if kind.get("type") == "string" else raw
 
 
 def response_mode(model: str, mode: str = "auto") -> str:
@@ -166,23 +219,43 @@ def with_schema(chat: list[dict[str, str]], schema: str) -> list[dict[str, str]]
     return [{**m, "content": f"{m['content']}\n\n{note}"} if k == last else m for k, m in enumerate(chat)]
 
 
+#: How hard a model may be asked to think; names of the token limit.
+EFFORTS = ("none", "minimal", "low", "medium", "high", "xhigh")
+LIMITS = ("max_tokens", "max_completion_tokens")
+
+
 class HttpRuntime(Runtime):
     """Asks an endpoint that speaks the chat-completions protocol.
 
-    Each task keeps at most `concurrent` requests open; partitions times that is
-    the load on the endpoint. Failed requests are tried again, and what fails for
-    good becomes an error column, never an exception. Materialise what comes
-    back before it is read twice, else calls are repeated.
+    model, base_url and api_key are taken from the environment where they aren't
+    given: PASSAGELOOM_MODEL, OPENAI_BASE_URL and OPENAI_API_KEY. Each task keeps
+    at most `concurrent` requests open; partitions times that is the load on the
+    endpoint. Failed requests are tried again, and what fails for good becomes an
+    error column, never an exception. Materialise what comes back before it is
+    read twice, else calls are repeated.
     """
 
-    def __init__(self, model: str, base_url: str, api_key: str = "", mode: str = "auto", concurrent: int = 8, attempts: int = 3, pause: float = 0.5, timeout: float = 120, partitions: int | None = None, extra: dict | None = None):
+    def __init__(
+        self, model: str | None = None, base_url: str | None = None, api_key: str | None = None, mode: str = "auto", concurrent: int = 8, attempts: int = 3, pause: float = 0.5,
+        timeout: float = 120, partitions: int | None = None, extra: dict | None = None, effort: str | None = None, limit_name: str = "max_tokens",
+    ):
+        given = {"PASSAGELOOM_MODEL": model, "OPENAI_BASE_URL": base_url, "OPENAI_API_KEY": api_key}
+        found = {name: value or os.environ.get(name, "") for name, value in given.items()}
+        if lacking := [name for name in ("PASSAGELOOM_MODEL", "OPENAI_BASE_URL") if not found[name]]:
+            raise ValueError(f"give model and base_url, or set {' and '.join(lacking)}")
         if concurrent <= 0:
             raise ValueError("concurrent must be greater than 0")
-        self.model, self.url, self.key, self.mode = model, base_url.rstrip("/") + "/chat/completions", api_key, response_mode(model, mode)
-        self.concurrent, self.attempts, self.pause, self.timeout, self.partitions, self.extra = concurrent, attempts, pause, timeout, partitions, extra or {}
+        if effort is not None and effort not in EFFORTS:
+            raise ValueError(f"Unknown effort {effort!r}. Available: {', '.join(EFFORTS)}")
+        if limit_name not in LIMITS:
+            raise ValueError(f"Unknown name of the token limit {limit_name!r}. Available: {', '.join(LIMITS)}")
+        self.model, base_url, self.key = found.values()
+        self.url, self.mode = base_url.rstrip("/") + "/chat/completions", response_mode(self.model, mode)
+        self.concurrent, self.attempts, self.pause, self.timeout, self.partitions = concurrent, attempts, pause, timeout, partitions
+        self.extra, self.limit_name = ({"reasoning_effort": effort} if effort else {}) | (extra or {}), limit_name
 
     def body(self, task: Task, chat: list[dict[str, str]], variation: bool) -> bytes:
-        sent = {"model": self.model, "messages": chat, "temperature": task.variation_temperature if variation else task.temperature, "max_tokens": task.max_tokens}
+        sent = {"model": self.model, "messages": chat, "temperature": task.variation_temperature if variation else task.temperature, self.limit_name: task.max_tokens}
         sent["response_format"] = response_format(self.mode, task.schema)
         return json.dumps(sent | self.extra).encode()
 
@@ -202,24 +275,30 @@ class HttpRuntime(Runtime):
             time.sleep(self.pause * (n + 1))
         return None, said[:500]
 
-    def apply(self, calls: DataFrame, task: Task) -> DataFrame:
-        # what a worker needs of the task; DDL is read here, on the driver
-        plain = task.with_knobs(formats={}, checks=(), draft=None, schema=json_schema(task.schema))
+    def raw(self, calls: DataFrame, tasks: dict[str, Task]) -> DataFrame:
+        # what a worker needs of the tasks; DDL is read here, on the driver
+        plain = {n: t.with_knobs(formats={}, checks=(), draft=None, schema=json_schema(t.schema)) for n, t in tasks.items()}
+
+        def chain(task: str, passage: str, fmt: str, variation: int, variations: int, previous: str | None) -> list[tuple]:
+            """variation, raw and error of an answer and its variations."""
+            out, t = [], plain[task]
+            for v in range(variation, variation + variations + 1):
+                text, error = self.ask(self.body(t, messages(t, passage, fmt, previous), bool(v)))
+                out.append((v, bare(recovered(text), t.schema), error))
+                if v == variation and text is None:
+                    break  # nothing to depart from
+                previous = out[0][1] if previous is None else previous
+            return out
 
         def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with ThreadPoolExecutor(self.concurrent) as pool:
                 for frame in frames:
-                    asked = [messages(plain, p, f, o) for p, f, o in zip(frame["passage"], frame["format"], frame["previous"])]
-                    bodies = [self.body(plain, chat, bool(v)) for chat, v in zip(asked, frame["variation"])]
-                    found = list(pool.map(self.ask, bodies))
-                    frame["raw"], frame["error"] = [recovered(r) for r, _ in found], [e for _, e in found]
-                    yield frame
-
-        for name, kind in (("format", "string"), ("variation", "int"), ("previous", "string")):
-            if name not in calls.columns:
-                calls = calls.withColumn(name, F.lit(None).cast(kind) if name != "variation" else F.lit(0))
+                    given = [frame[c].tolist() for c in ("task", "passage", "format", "variation", "variations", "previous")]
+                    found = list(pool.map(chain, *given))
+                    made = frame.loc[frame.index.repeat([len(x) for x in found])].copy()
+                    made["variation"], made["raw"], made["error"] = ([x[k] for f in found for x in f] for k in range(3))
+                    yield made
+
         if self.partitions:
             calls = calls.repartition(self.partitions)
-        schema = T.StructType([*calls.schema.fields, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())])
-        asked = calls.mapInPandas(answer, schema)
-        return checked(asked, task, F.from_json("raw", task.schema), F.col("raw")).drop("raw")
+        return calls.mapInPandas(answer, T.StructType([*calls.schema.fields, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())]))

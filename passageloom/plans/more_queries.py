@@ -3,11 +3,9 @@ templates, judging and sinks; and the same as SQL."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -17,7 +15,7 @@ from ..operators.runtime import TableRuntime
 from ..sources import files
 from . import queries as Q
 from . import tasks as K
-from .queries import BASE, DOC_ROW, documents, eligible, js, json_list, md5_bucket, one, q, quote_in, replaced, row, sentences, strip, text, words
+from .queries import BASE, CHUNKS, DOC_ROW, documents, js, json_list, md5_bucket, one, q, passages, quote_in, replaced, row, sentences, strip, text, words
 
 ROW = ["instruction", "input", "output"]
 CHANCES = {"title": 0.25, "summarize": 0.5, "cloze": 1.0, "bullets": 0.0}
@@ -67,26 +65,26 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = groups.passage_groups(sources(spark, sf_dir))
+    made = groups.all_groups(sources(spark, sf_dir))
     return made.select("group_id", F.size("ids").alias("n"), F.array_join("ids", ",").alias("ids"), F.md5(F.array_join("passages", "\n")).alias("digest"))
 
 
-def short_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.passage_groups(sources(spark, sf_dir).where("length(text) <= 1500"))
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return groups.neighbours(groups.all_groups(sources(spark, sf_dir), size=2))
 
 
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.comparison_rows(short_groups(spark, sf_dir).withColumn("passages", F.slice("passages", 1, 2)))
+    return groups.comparison_rows(pairs(spark, sf_dir))
 
 
 def retrieval_of(negative: bool):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return groups.retrieval(short_groups(spark, sf_dir)).where(F.col("negative") == negative).drop("negative")
+        return groups.retrieval(groups.all_groups(sources(spark, sf_dir))).where(F.col("negative") == negative).drop("negative")
 
     return query
 
 
-def template_sampling(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+def template_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.run_task(passages(spark, sf_dir), TEMPLATED, templates=True, seed=3).select(DOC_ROW)
 
 
@@ -95,16 +93,16 @@ def task_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", F.array_join("tasks", ",").alias("tasks"))
 
 
-def mode_sample(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+def mode_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = A.augment(passages(spark, sf_dir), {"title": 0.3, "rephrase": 0.2}, templates=False, seed=1)
     return made.select("doc_id", "task", "row_no", *ROW)
 
 
-def mode_explicit(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+def mode_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.augment(passages(spark, sf_dir), ["title", "rephrase"], templates=False).select("doc_id", "task", "row_no", *ROW)
 
 
-def mode_auto(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+def mode_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = A.augment(passages(spark, sf_dir), ["title", "rephrase"], mode="auto", templates=False)
     return made.select("doc_id", "task", "row_no", *ROW)
 
@@ -118,12 +116,12 @@ def task_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.groupBy("task").agg(F.count("*").alias("passages"))
 
 
-def judged(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.routed(judge.postfilter(A.run_task(passages(spark, sf_dir), "title")))
 
 
-def postfilter_routing(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
-    return judged(spark, sf_dir, passages).select("doc_id", "row_no", F.col("judge.is_quality").alias("is_quality"), F.col("judge.reason").alias("reason"), "route")
+def postfilter_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(spark, sf_dir).select("doc_id", "row_no", F.col("judge.is_quality").alias("is_quality"), F.col("judge.reason").alias("reason"), "route")
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +145,7 @@ def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(F.count("*").alias("n_decisions"), F.count_if("judge_error").alias("n_retryable"), F.count_if("is_quality").alias("n_kept"))
 
 
-def add_reasoning(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+def add_reasoning(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge.add_reasoning(A.run_task(passages(spark, sf_dir), "title")).select("doc_id", "row_no", "reasoning")
 
 
@@ -155,19 +153,20 @@ def long_text_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.long_text_rows(documents(spark, sf_dir), "continuation").select("chunk_id", "row_no", *ROW)
 
 
-def generations(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     task = K.get_task("title").with_knobs(generations=2, variations=1)
     return A.run_task(passages(spark, sf_dir), task).select("doc_id", "generation", "variation", "row_no", *ROW)
 
 
-def custom_task_template(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+def custom_task_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     draft = lambda x: K.struct(statistic=F.size(x["w"]).cast("string"), context=K.left(K.s(x, 0), 80))
     task = K.task(prompt="Find a number.", schema="statistic string, context string", output="{statistic} words: {context}", instruction="Count the words.", draft=draft)
     return A.run_task(passages(spark, sf_dir), task).select(DOC_ROW)
 
 
-def table_runtime(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
-    """Answers from JSON in a table; every seventh is broken and gives no row."""
+def table_runtime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers from JSON in a table; those of every seventh document are broken
+    and give no row."""
     docs = passages(spark, sf_dir)
     raw = F.when(F.substring_index(F.col("doc_id").cast("string"), ":", 1).cast("long") % 7 == 0, '{"title": ').otherwise(F.to_json(F.struct(F.lit("T").alias("title"), F.substring("text", 1, 20).alias("headline"))))
     answers = docs.select(F.lit("title").alias("task"), F.col("doc_id").alias("call_id"), raw.alias("raw"))
@@ -179,10 +178,111 @@ def custom_preprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "source", "title", "cleaned_text", F.array_join("keywords", ",").alias("keywords"))
 
 
-def jsonl_roundtrip(spark: SparkSession, sf_dir: str, passages: Callable = eligible) -> DataFrame:
+def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.run_task(passages(spark, sf_dir), "title").select("instruction", "input", "output", F.lit(None).cast("string").alias("reasoning"))
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-rows-")).rstrip("/")
-    return files.read_jsonl(spark, files.write_jsonl(rows, f"{shared}/rows-{uuid.uuid4().hex}")).select(*ROW, "reasoning")
+    return files.read_jsonl(spark, files.write_jsonl(rows, f"{files.shared_dir(spark)}/rows-{uuid.uuid4().hex}")).select(*ROW, "reasoning")
+
+
+# -- calls of a runtime that answers from a table --------------------------------
+def modelled(docs: DataFrame, task: str, raw: Column, key: Column) -> DataFrame:
+    return docs.select(F.lit(task).alias("task"), key.cast("string").alias("call_id"), raw.alias("raw"))
+
+
+def joined_answers(*tables: DataFrame) -> TableRuntime:
+    made = tables[0]
+    for t in tables[1:]:
+        made = made.unionByName(t)
+    return TableRuntime(made)
+
+
+def length_answers(docs: DataFrame) -> TableRuntime:
+    """A gate that takes texts of even length; a selector that takes title, and
+    for every third length rephrase too; titles that name the length."""
+    n = F.length("text")
+    both = F.when(n % 3 == 0, '{"selected": ["title", "rephrase"]}').otherwise('{"selected": ["title"]}')
+    title = F.to_json(F.struct(n.cast("string").alias("title"), F.lit("H").alias("headline")))
+    return joined_answers(
+        modelled(docs, "gate", F.when(n % 2 == 0, '{"is_quality": true}').otherwise('{"is_quality": false}'), F.col("doc_id")),
+        modelled(docs, "selector", F.when(n % 5 == 0, '{"selected": ["nothing such"]}').otherwise(both), F.col("doc_id")),
+        modelled(docs, "title", title, F.col("doc_id")),
+        modelled(docs, "rephrase", F.lit('{"rephrased": "R"}'), F.col("doc_id")),
+    )
+
+
+def gate_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = passages(spark, sf_dir)
+    return A.prefilter(docs, runtime=length_answers(docs)).select("doc_id", F.length("text").alias("n_chars"))
+
+
+def selector_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = passages(spark, sf_dir)
+    made = A.select_tasks(docs, ["title", "rephrase"], length_answers(docs))
+    return made.select("doc_id", F.array_join("selected", ",").alias("selected"), F.col("selection_error").isNotNull().alias("failed"))
+
+
+def auto_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = passages(spark, sf_dir)
+    return A.augment(docs, ["title", "rephrase"], "auto", length_answers(docs), templates=False).select("doc_id", "task", "row_no", *ROW)
+
+
+def judge_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A judge that keeps rows with outputs of even length and fails on every seventh."""
+    rows = A.run_task(passages(spark, sf_dir), "title")
+    n, key = F.length("output"), F.concat_ws(":", "doc_id", F.col("row_no").cast("string"))
+    raw = F.when(n % 7 == 0, "no JSON").otherwise(F.to_json(F.struct((n % 2 == 0).alias("is_quality"), n.cast("string").alias("reason"))))
+    judged = judge.routed(judge.postfilter(rows, runtime=TableRuntime(modelled(rows, "judge", raw, key)), key=key))
+    return judged.select("doc_id", "row_no", "route", F.col("judge.reason").alias("reason"))
+
+
+def reasoning_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = A.run_task(passages(spark, sf_dir), "title")
+    key = F.concat_ws(":", "doc_id", F.col("row_no").cast("string"))
+    raw = F.to_json(F.struct(F.concat(F.lit("As it says "), F.col("output")).alias("reasoning")))
+    made = judge.add_reasoning(rows, runtime=TableRuntime(modelled(rows, "reasoning", raw, key)), key=key)
+    return made.select("doc_id", "row_no", "reasoning")
+
+
+def comparison_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three answers to each pair, of which the last is too long to be valid."""
+    made = pairs(spark, sf_dir).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    said = F.when(F.col("g") == 2, F.repeat(F.lit("x"), 10**6)).otherwise(F.concat(F.lit("answer "), F.col("g").cast("string")))
+    answers = modelled(made, "comparison", F.to_json(F.struct(said.alias("answer"))), F.concat_ws(":", F.col("group_id").cast("string"), F.col("g").cast("string")))
+    return groups.comparison_rows(pairs(spark, sf_dir), runtime=TableRuntime(answers)).select("group_id", "generation", "output", F.md5("input").alias("digest"))
+
+
+def retrieval_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question on each passage; a reason for it, and, for even groups, one why
+    no other passage answers."""
+    made = groups.all_groups(sources(spark, sf_dir))
+    each = made.select("group_id", F.posexplode("ids").alias("k", "i"))
+    key = F.concat_ws(":", F.col("group_id").cast("string"), F.col("k").cast("string"))
+    answers = joined_answers(
+        modelled(each, "retrieval", F.lit('{"questions": ["Which is it?"]}'), key),
+        modelled(each, "retrieval_reason", F.lit('{"why": "It is."}'), F.concat(key, F.lit(":0"))),
+        modelled(each.where("group_id % 2 = 0"), "no_answer_reason", F.lit('{"why": "It is not."}'), F.concat(key, F.lit(":0"))),
+    )
+    found = groups.retrieval(made, runtime=answers)
+    return found.select("group_id", "passage_no", "negative", "row_no", "output", F.md5("input").alias("digest"))
+
+
+def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The decision log written as JSON lines, read by its schema, and compacted
+    with the rows that it kept."""
+    d = decisions(spark, sf_dir).orderBy("seq")
+    row_ = F.struct(*[F.lit(c).alias(c) for c in (*ROW, "reasoning")])
+    at = f"{files.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    for n in range(3):
+        part = d.where(F.col("seq") == n)
+        files.write_jsonl(part.select("row_index", "is_quality", F.col("seq").cast("string").alias("reason"), "judge_error", row_.alias("row")), f"{at}/decisions")
+    files.compact_outputs(spark, f"{at}/decisions", f"{at}/kept", f"{at}/rejected")
+    kept, rejected = files.count_jsonl(spark, f"{at}/kept"), files.count_jsonl(spark, f"{at}/rejected")
+    done = spark.read.schema(files.DECISION_SCHEMA).json(files.named(f"{at}/decisions"))
+    return done.agg(F.count("*").alias("n_done"), F.count_if("is_quality").alias("n_quality"), F.lit(kept).cast("long").alias("n_kept"), F.lit(rejected).cast("long").alias("n_rejected"))
+
+
+def judged_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Datapoints as a judge is shown them."""
+    return A.run_task(passages(spark, sf_dir), "title").withColumn("reasoning", F.lit(None).cast("string")).select("doc_id", "row_no", judge.row_json(*ROW, "reasoning").alias("shown"))
 
 
 # -- SQL ---------------------------------------------------------------------------
@@ -201,14 +301,25 @@ u AS (SELECT doc_id, task, unnest(rows) AS r, (generate_subscripts(rows, 1) - 1)
 SELECT doc_id, task, row_no, r.instruction AS instruction, r.input AS input, r.output AS output FROM u"""
 
 
-GATE = r"length(regexp_replace(t, '[^\p{L}]', '', 'g')) * 2 >= length(t)"
+LETTERS = r"length(regexp_replace(t, '[^\p{L}]', '', 'g')) * 2 >= length(t)"
+GATE = f"len(w) >= 10 AND {LETTERS}"
 ROWS_OF = {"title": TITLE_ROWS, "rephrase": [REPHRASED]}
-GROUPS = f"""
-g0 AS (SELECT source, doc_id AS i, {strip("text")} AS t, floor(doc_id / 1000) AS span FROM documents WHERE {strip("text")} <> '' AND length(text) <= %d),
-g1 AS (SELECT *, (row_number() OVER (PARTITION BY source, span ORDER BY i) - 1) // 3 AS g FROM g0),
-g2 AS (SELECT min(i) AS group_id, list(i ORDER BY i) AS ids, list(t ORDER BY i) AS ps FROM g1 GROUP BY source, span, g HAVING count(*) >= 2)
+
+
+def groups_sql(size: int = 3) -> str:
+    """Neighbours of a source in id order, size each; a last single one joins the
+    group before."""
+    return f"""
+g0 AS (SELECT source, doc_id AS i, {strip("text")} AS t FROM documents WHERE {strip("text")} <> ''),
+g1 AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM g0),
+g1b AS (SELECT *, CASE WHEN n % {size} = 1 AND r = n - 1 AND r >= {size} THEN r // {size} - 1 ELSE r // {size} END AS g FROM g1),
+g2 AS (SELECT min(i) AS group_id, list(i ORDER BY i) AS ids, list(t ORDER BY i) AS ps FROM g1b GROUP BY source, g HAVING count(*) >= 2)
+"""
+
+
+PAIRS = f"""{groups_sql(2)},
+g3 AS (SELECT unnest(list_transform(range(1, len(ids)), lambda k: {{'group_id': ids[k], 'a': ps[k], 'b': ps[k + 1]}})) AS x FROM g2)
 """
-ANY = 1 << 40
 
 
 def retrieval_sql(negative: bool) -> str:
@@ -220,7 +331,7 @@ def retrieval_sql(negative: bool) -> str:
     out = f"'**Passage:** ' || {place} || chr(10) || chr(10) || '**Why:** {why}'"
     out_json = f"'{{\"passage\": ' || {number} || ', \"why\": \"{why}\"}}'"
     rows = f"[{row(q(K.FIND), given, out)}, {row(q(K.FIND_JSON), given, out_json)}]"
-    return f"""WITH {GROUPS % 1500},
+    return f"""WITH {groups_sql()},
 g3 AS (SELECT group_id, list_transform(list_sort(list_transform(ps, lambda p, i: {{'h': md5('0|' || p), 'i': i, 'p': p}})), lambda v: v.p) AS ps FROM g2),
 g4 AS (SELECT group_id, ps, unnest(ps) AS p, (generate_subscripts(ps, 1) - 1)::INTEGER AS pno FROM g3),
 g5 AS (SELECT *, list_transform(({Q.maskable("p")})[1:2], lambda v: 'Which passage mentions ' || v || '?') AS qs FROM g4),
@@ -230,13 +341,35 @@ u AS (SELECT group_id, pno, qno, unnest(rows) AS r, (generate_subscripts(rows, 1
 SELECT group_id, pno AS passage_no, qno AS question_no, row_no, r.instruction AS instruction, r.input AS input, r.output AS output FROM u"""
 
 
+COMPARED = text("Passage 1:\n", "=x.a", "\n\nPassage 2:\n", "=x.b")
+
+
 def comparison_sql() -> str:
-    word = lambda k: f"coalesce(({Q.maskable(f'ps[{k}]')})[1], 'nothing')"
-    shown = text("Passage 1:\n", "=ps[1]", "\n\nPassage 2:\n", "=ps[2]")
-    answer = text("The first passage speaks of ", "=" + word(1), "; the second speaks of ", "=" + word(2), ".")
-    return f"""WITH {GROUPS % 1500}
-SELECT group_id, generation::INTEGER AS generation, {q(K.COMPARE)} AS instruction, {shown} AS input, {answer} AS output
-FROM g2, range(3) AS n(generation)"""
+    word = lambda p: f"coalesce(({Q.maskable(p)})[1], 'nothing')"
+    answer = text("The first passage speaks of ", "=" + word("x.a"), "; the second speaks of ", "=" + word("x.b"), ".")
+    return f"""WITH {PAIRS}
+SELECT x.group_id AS group_id, generation::INTEGER AS generation, {q(K.COMPARE)} AS instruction, {COMPARED} AS input, {answer} AS output
+FROM g3, range(3) AS n(generation)"""
+
+
+def retrieval_model_sql() -> str:
+    shown = lambda list_: Q.joined(f"list_transform({list_}, lambda v, k: {text('Passage ', '=k', ':' + chr(10), '=v')})", "chr(10) || chr(10)") + f" || {text(chr(10) * 2 + 'Question: Which is it?')}"
+    others = "list_filter(ps, lambda v, k: k <> pno + 1)"
+    md = lambda place, why: f"'**Passage:** ' || {place} || chr(10) || chr(10) || '**Why:** {why}'"
+    js_ = lambda place, why: f"'{{\"passage\": ' || {place} || ', \"why\": \"{why}\"}}'"
+    n = "(pno + 1)::VARCHAR"
+    rows = f"""[{{'negative': false, 'row_no': 0::INTEGER, 'output': {md(n, 'It is.')}, 'input': {shown('ps')}}}, {{'negative': false, 'row_no': 1, 'output': {js_(n, 'It is.')}, 'input': {shown('ps')}}}]"""
+    no = f"""[{{'negative': true, 'row_no': 0::INTEGER, 'output': {md("'None'", 'It is not.')}, 'input': {shown(others)}}}, {{'negative': true, 'row_no': 1, 'output': {js_("'null'", 'It is not.')}, 'input': {shown(others)}}}]"""
+    return f"""WITH {groups_sql()},
+g3 AS (SELECT group_id, list_transform(list_sort(list_transform(ps, lambda p, i: {{'h': md5('0|' || p), 'i': i, 'p': p}})), lambda v: v.p) AS ps FROM g2),
+g4 AS (SELECT group_id, ps, unnest(range(len(ps))) AS pno FROM g3),
+u AS (SELECT group_id, pno, unnest({rows} || CASE WHEN group_id % 2 = 0 THEN {no} ELSE [] END) AS r FROM g4)
+SELECT group_id, pno::INTEGER AS passage_no, r.negative AS negative, r.row_no AS row_no, r.output AS output, md5(r.input) AS digest FROM u"""
+
+
+def shown_json() -> str:
+    lines = [f"'  \"{n}\": ' || {js(n)}" for n in ("input", "instruction", "output")]
+    return "'{' || chr(10) || " + " || ',' || chr(10) || ".join(lines) + " || ',' || chr(10) || '  \"reasoning\": null' || chr(10) || '}'"
 
 
 def templates_sql() -> str:
@@ -246,12 +379,6 @@ def templates_sql() -> str:
     return f"SELECT * REPLACE (CASE instruction {cases} END AS instruction) FROM ({Q.TASK_SQL[TEMPLATED]})"
 
 
-CHUNKS = f"""
-c0 AS (SELECT doc_id, {strip("text")} AS t FROM documents),
-c1 AS (SELECT doc_id, t, unnest(range(0, length(t), %d)) AS start FROM c0),
-c2 AS (SELECT doc_id, start, substr(t, start + 1, 2000) AS text FROM c1),
-c3 AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS chunk_no, text FROM c2 WHERE {strip("text")} <> '')
-"""
 DECISIONS = """
 d AS (SELECT doc_id AS row_index, quality = 1 AS is_quality, seq::INTEGER AS seq, (doc_id + seq) % 5 = 0 AS judge_error
       FROM labels, range(3) AS n(seq) WHERE quality IS NOT NULL AND (doc_id + seq) % 2 = 0),
@@ -265,7 +392,8 @@ QUERIES = {
         chunk_text, word_count_bounds, size_guard, quote_verify, replace_first, renderers, passage_groups, comparison, template_sampling,
         task_sampling, mode_sample, mode_explicit, mode_auto, prefilter_gate, task_selection, postfilter_routing, decision_compaction,
         resume_anti_join, decision_counts, add_reasoning, long_text_rows, generations, custom_task_template, table_runtime,
-        custom_preprocessing, jsonl_roundtrip,
+        custom_preprocessing, jsonl_roundtrip, gate_model, selector_model, auto_model, judge_model, reasoning_model, comparison_model,
+        retrieval_model, decision_log, judged_json,
     )
 } | {"retrieval_positive": retrieval_of(False), "retrieval_negative": retrieval_of(True)}
 
@@ -278,7 +406,7 @@ ORACLE_SQL = {
     "quote_verify": f"SELECT doc_id, {quote_in('replace(lower(s[len(s)]), q1, q2)', 'text')} AS respaced, {quote_in(q(K.FABRICATED), 'text')} AS fabricated, true AS empty FROM (SELECT doc_id, text, {sentences('text')} AS s, ' ' AS q1, '  ' AS q2 FROM documents) WHERE len(s) > 0",
     "replace_first": f"SELECT doc_id, {replaced('text', 'lower(w[2])', q('REPLACED'))} AS changed, {replaced('text', q('qqqq'), q('x'))} AS absent FROM (SELECT doc_id, text, {words('text')} AS w FROM documents) WHERE len(w) > 1",
     "renderers": f"SELECT doc_id, {Q.python_list('s')} AS literal, {json_list('s')} AS json, {Q.numbered('s')} AS numbered FROM (SELECT doc_id, ({sentences('text')})[1:3] AS s FROM documents)",
-    "passage_groups": f"WITH {GROUPS % ANY} SELECT group_id, len(ids)::INTEGER AS n, array_to_string(ids, ',') AS ids, md5(array_to_string(ps, chr(10))) AS digest FROM g2",
+    "passage_groups": f"WITH {groups_sql()} SELECT group_id, len(ids)::INTEGER AS n, array_to_string(ids, ',') AS ids, md5(array_to_string(ps, chr(10))) AS digest FROM g2",
     "comparison": comparison_sql(),
     "retrieval_positive": retrieval_sql(False),
     "retrieval_negative": retrieval_sql(True),
@@ -287,7 +415,7 @@ ORACLE_SQL = {
     "mode_sample": tasks_sql({n: f"{GATE} AND {unit_sql(f'doc_id || {q(f"|{n}|1")}')} < {p}" for n, p in (("title", 0.3), ("rephrase", 0.2))}, ROWS_OF),
     "mode_explicit": tasks_sql(dict.fromkeys(("title", "rephrase"), "true"), ROWS_OF),
     "mode_auto": tasks_sql({n: f"{GATE} AND {unit_sql(f'doc_id || {q(f"|{n}|0")}')} < 0.25" for n in ("title", "rephrase")}, ROWS_OF),
-    "prefilter_gate": f"SELECT doc_id, n::INTEGER AS n_words FROM (SELECT doc_id, text AS t, {N} AS n FROM documents) WHERE n >= 10 AND {GATE}",
+    "prefilter_gate": f"SELECT doc_id, n::INTEGER AS n_words FROM (SELECT doc_id, text AS t, {N} AS n FROM documents) WHERE n >= 10 AND {LETTERS}",
     "task_selection": "SELECT task, count(*) AS passages FROM (" + " UNION ALL ".join(f"SELECT {q(n)} AS task FROM documents WHERE {unit_sql(f'doc_id || {q(f"|{n}|0")}')} < 0.4" for n in MENU) + ") GROUP BY task",
     "postfilter_routing": f"""SELECT doc_id, row_no, output <> '' AND length(output) <= length(input) AS is_quality,
         CASE WHEN output = '' THEN 'the output is empty' WHEN length(output) <= length(input) THEN 'the output fits' ELSE 'the output is longer than the input' END AS reason,
@@ -302,7 +430,19 @@ ORACLE_SQL = {
         SELECT chunk_id, row_no, r.instruction AS instruction, r.input AS input, r.output AS output FROM u""",
     "generations": f"SELECT doc_id, g::INTEGER AS generation, v::INTEGER AS variation, row_no, instruction, input, output FROM ({TITLE_SQL}), range(2) AS a(g), range(2) AS b(v)",
     "custom_task_template": one(row("'Count the words.'", "t", text("=len(w)", " words: ", "=substr(s[1], 1, 80)"))),
-    "table_runtime": f"SELECT * REPLACE (CASE row_no WHEN 0 THEN 'T' ELSE substr(input, 1, 20) END AS output) FROM ({TITLE_SQL}) WHERE doc_id % 7 <> 0",
+    "table_runtime": f"SELECT * REPLACE (CASE row_no WHEN 0 THEN 'T' ELSE substr(input, 1, 20) END AS output) FROM ({TITLE_SQL}) WHERE split_part(doc_id, ':', 1)::BIGINT % 7 <> 0",
     "custom_preprocessing": f"SELECT doc_id, 'corpus' AS source, substr(string_split(t, '.')[1], 1, 80) AS title, t AS cleaned_text, array_to_string((list_filter(string_split(t, ' '), lambda v: v <> ''))[1:3], ',') AS keywords FROM (SELECT doc_id, {Q.collapse('text')} AS t FROM documents)",
+    "gate_model": f"{BASE} SELECT doc_id, length(t)::INTEGER AS n_chars FROM e WHERE length(t) % 2 = 0",
+    "selector_model": f"""{BASE} SELECT doc_id, CASE WHEN length(t) % 5 = 0 THEN '' WHEN length(t) % 3 = 0 THEN 'title,rephrase' ELSE 'title' END AS selected,
+        length(t) % 5 = 0 AS failed FROM e WHERE length(t) % 2 = 0""",
+    "auto_model": tasks_sql({"title": "length(t) % 2 = 0 AND length(t) % 5 <> 0", "rephrase": "length(t) % 2 = 0 AND length(t) % 5 <> 0 AND length(t) % 3 = 0"},
+                            {"title": [row(q(K.TITLE), "t", "length(t)::VARCHAR"), row(q(K.HEADLINE), "t", "'H'")], "rephrase": [row(q(K.REPHRASE), "t", "'R'")]}),
+    "judge_model": f"""SELECT doc_id, row_no, CASE WHEN length(output) % 7 = 0 THEN 'error' WHEN length(output) % 2 = 0 THEN 'kept' ELSE 'rejected' END AS route,
+        CASE WHEN length(output) % 7 <> 0 THEN length(output)::VARCHAR END AS reason FROM ({TITLE_SQL})""",
+    "reasoning_model": f"SELECT doc_id, row_no, 'As it says ' || output AS reasoning FROM ({TITLE_SQL})",
+    "comparison_model": f"WITH {PAIRS} SELECT x.group_id AS group_id, generation::INTEGER AS generation, 'answer ' || generation AS output, md5({COMPARED}) AS digest FROM g3, range(2) AS n(generation)",
+    "retrieval_model": retrieval_model_sql(),
+    "decision_log": f"WITH {DECISIONS} SELECT count(*) AS n_done, count(*) FILTER (is_quality) AS n_quality, count(*) FILTER (is_quality) AS n_kept, count(*) FILTER (NOT is_quality) AS n_rejected FROM f",
+    "judged_json": f"SELECT doc_id, row_no, {shown_json()} AS shown FROM ({TITLE_SQL})",
     "jsonl_roundtrip": f"SELECT instruction, input, output, NULL::VARCHAR AS reasoning FROM ({TITLE_SQL})",
 }

@@ -19,13 +19,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def eligible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passages that every drafting rule can work on."""
-    t = F.col("text")
-    return chunk.usable(documents(spark, sf_dir)).where((X.count_words(t) >= 10) & (F.size(X.sentences(t)) >= 3) & (F.size(X.maskable(t)) >= 2))
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in chunks; doc_id is document:chunk. No other filter: the
+    checks of a task decide what it takes."""
+    pieces = chunk.usable(chunk.chunk_text(documents(spark, sf_dir)), most=None)
+    return pieces.select(X.cat(F.col("doc_id").cast("string"), ":", F.col("chunk_no").cast("string")).alias("doc_id"), "text")
 
 
-def of_task(task: str | K.Task, passages: Callable = eligible):
+def of_task(task: str | K.Task):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return A.run_task(passages(spark, sf_dir), task).select(DOC_ROW)
 
@@ -102,27 +103,38 @@ def md5_bucket(key: str, n: str) -> str:
     return f"(('0x' || substr(md5({key}), 1, 8))::BIGINT % {n})"
 
 
+CHUNKS = f"""
+c0 AS (SELECT doc_id, {strip("text")} AS t FROM documents),
+c1 AS (SELECT doc_id, t, unnest(range(0, length(t), %d)) AS start FROM c0),
+c2 AS (SELECT doc_id, start, substr(t, start + 1, 2000) AS text FROM c1),
+c3 AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INTEGER AS chunk_no, text FROM c2 WHERE {strip("text")} <> '')
+"""
 BASE = f"""
-WITH d AS (SELECT doc_id, {strip("text")} AS t FROM documents WHERE length(text) <= 3000 AND {strip("text")} <> ''),
-x AS (SELECT doc_id, t, {words("t")} AS w, {sentences("t")} AS s, {maskable("t")} AS c FROM d),
-e AS (SELECT * FROM x WHERE len(w) >= 10 AND len(s) >= 3 AND len(c) >= 2)
+WITH {CHUNKS % 2000},
+d AS (SELECT doc_id || ':' || chunk_no AS doc_id, {strip("text")} AS t FROM c3),
+e AS MATERIALIZED (SELECT doc_id, t, {words("t")} AS w, {sentences("t")} AS s, {maskable("t")} AS c FROM d)
 """
 
 
-def rows_sql(forms: dict[str, str], variations: int = 0) -> str:
-    """SQL of a task: for each format the expression of its list of rows."""
+def rows_sql(forms: dict[str, str], variations: int = 0, where: str = "true") -> str:
+    """SQL of a task: for each format the expression of its list of rows; where
+    says which passages its rule has a valid answer for."""
     parts = []
     for form, rows in forms.items():
         for v in range(variations + 1):
-            parts.append(f"SELECT doc_id, {q(form)} AS format, {v} AS variation, ({rows}) AS rows FROM e")
+            parts.append(f"SELECT doc_id, {q(form)} AS format, {v} AS variation, ({rows}) AS rows FROM e WHERE {where}")
     union = " UNION ALL ".join(parts)
     return f"""{BASE}, a AS ({union}),
 u AS (SELECT doc_id, format, variation, unnest(rows) AS r, (generate_subscripts(rows, 1) - 1)::INTEGER AS row_no FROM a)
 SELECT doc_id, format, variation, row_no, r.instruction AS instruction, r.input AS input, r.output AS output FROM u"""
 
 
-def one(*rows: str) -> str:
-    return rows_sql({"plain": f"[{', '.join(rows)}]"})
+def one(*rows: str, where: str = "true") -> str:
+    return rows_sql({"plain": f"[{', '.join(rows)}]"}, where=where)
+
+
+def least(sentences: int = 0, terms: int = 0) -> str:
+    return f"len(s) >= {sentences} AND len(c) >= {terms}"
 
 
 def each(items: str, *rows: str) -> str:
@@ -190,10 +202,11 @@ def cloze_rows() -> str:
     masked = "t"
     for k, w in enumerate(C, 1):
         hit = rf"regexp_replace({masked}, '(^|[^\p{{L}}\p{{N}}\p{{M}}_])' || {w} || '($|[^\p{{L}}\p{{N}}\p{{M}}_])', '\1[BLANK {k}]\2')"
-        masked = f"CASE WHEN len(c) >= {k} THEN {hit} ELSE {masked} END" if k > 2 else hit
+        masked = f"CASE WHEN len(c) >= {k} THEN {hit} ELSE {masked} END"
     answers = joined("list_transform(c[1:3], lambda v, i: '[BLANK ' || i || ']: ' || v)", "chr(10)")
     middle = joined("list_transform(s, lambda v, i: CASE WHEN i = len(s) // 2 + 1 THEN '[MISSING SENTENCE]' ELSE v END)")
-    return f"[{row(q(K.FILL_WORDS), masked, answers)}, {row(q(K.FILL_SENTENCE), middle, 's[len(s) // 2 + 1]')}]"
+    word = f"CASE WHEN len(c) > 0 THEN [{row(q(K.FILL_WORDS), masked, answers)}] ELSE [] END"
+    return f"{word} || CASE WHEN len(s) >= 3 THEN [{row(q(K.FILL_SENTENCE), middle, 's[len(s) // 2 + 1]')}] ELSE [] END"
 
 
 def method_sql() -> str:
@@ -205,7 +218,7 @@ def method_sql() -> str:
     missing = row(q(K.MISSING_STEP), f"{process} || {text('Steps:' + chr(10))} || {masked}", "v")
     following = row(q(K.NEXT_STEP), f"{process} || {text('Completed steps:' + chr(10))} || {done}", "v")
     more = f"flatten(list_transform({steps}, lambda v, i: CASE WHEN i > 1 THEN [{following}, {missing}] ELSE [{missing}] END))"
-    return rows_sql({"plain": f"[{row(q(K.STEPS), 't', numbered(steps))}, {row(q(K.PROCESS), 't', name)}] || {more}"})
+    return rows_sql({"plain": f"[{row(q(K.STEPS), 't', numbered(steps))}, {row(q(K.PROCESS), 't', name)}] || {more}"}, where=least(2, 1))
 
 
 def records_sql() -> str:
@@ -218,7 +231,7 @@ def records_sql() -> str:
         row(q(K.ATTRIBUTE_OF), passage("Subject: ", "=v.a", "\nValue: ", "=v.d"), "v.b"),
         row(q(K.SUBJECT_OF), passage("Attribute: ", "=v.b", "\nValue: ", "=v.d"), "v.a"),
     )
-    return rows_sql({"plain": f"[{row(q(K.RECORDS_JSON), 't', objects)}, {row(q(K.RECORDS_TEXT), 't', lines)}] || {more}"})
+    return rows_sql({"plain": f"[{row(q(K.RECORDS_JSON), 't', objects)}, {row(q(K.RECORDS_TEXT), 't', lines)}] || {more}"}, where=least(2, 2))
 
 
 def evidence_sql() -> str:
@@ -231,7 +244,7 @@ def evidence_sql() -> str:
     given = passage("Claim: ", "=" + left(S[1], 300), "\n\nCandidate quotes:\n", "=" + numbered(c))
     yes = f"list_transform(list_filter({c}, lambda v: {quote_in('v', 't')}), lambda v: {row(q(K.SUPPORTS), passage('Claim: ', '=' + left(S[1], 300), chr(10) * 2 + 'Quote: ', '=v'), f'CASE WHEN v = {b} THEN {q("yes")} ELSE {q("no")} END')})"
     second = f"CASE WHEN list_contains({c}, {b}) THEN [{row(q(K.SELECT), given, b)}, {row(q(K.RATIONALE), given, q('It is not a candidate.'))}] || {yes} ELSE [] END"
-    return rows_sql({"plain": f"({first}) || ({second})"})
+    return rows_sql({"plain": f"({first}) || ({second})"}, where=least(3))
 
 
 def equivalence_sql() -> str:
@@ -274,7 +287,7 @@ def distractor_sql() -> str:
         row(q(K.CORRECT_PASSAGE), both, "t"),
         row(q(K.NAME_WORD), both, f"{left(C[0], 80)} || ' -> nothing'"),
     ]
-    return one(*rows)
+    return one(*rows, where=least(0, 2))
 
 
 def triplets_forms() -> dict[str, str]:
@@ -289,7 +302,7 @@ def entity_sql() -> str:
     make = lambda k: f"{{'name': {left(C[k], 120)}, 'type': {choice('entity_extraction', k, K.ENTITY_TYPES)}, 'context': {left(S[0], 300)}}}"
     items = f"CASE WHEN len(c) >= 3 THEN [{make(0)}, {make(1)}, {make(2)}] ELSE [{make(0)}, {make(1)}] END"
     objects = f"'[' || {joined(f'list_transform({items}, lambda v: {json_object(name="v.name", type="v.type", context="v.context")})', q(', '))} || ']'"
-    return rows_sql({"plain": f"[{row(q(K.ENTITIES), 't', objects)}] || {each(items, row(q(K.ENTITY_TYPE), passage('Entity: ', '=v.name'), 'v.type'))}"})
+    return rows_sql({"plain": f"[{row(q(K.ENTITIES), 't', objects)}] || {each(items, row(q(K.ENTITY_TYPE), passage('Entity: ', '=v.name'), 'v.type'))}"}, where=least(0, 2))
 
 
 def extractive_sql() -> str:
@@ -302,12 +315,12 @@ def claims_sql() -> str:
     items = "[" + ", ".join(f"{{'claim': {left(S[k], 300)}, 'label': {q(K.CLAIM_LABELS[k])}, 'evidence': {left(S[k], 600)}}}" for k in range(3)) + "]"
     given = passage("Claim: ", "=v.claim")
     return rows_sql({"plain": each(items, row(q(K.LABEL_EVIDENCE), given, text("Label: ", "=v.label", "\nEvidence: ", "=v.evidence")), row(q(K.LABEL_ONLY), given, "v.label"),
-                                   row(q(K.EVIDENCE_ONLY), text("=" + given, "\n\nLabel: ", "=v.label"), "v.evidence"), row(q(K.LABEL_JSON), given, json_object(label="v.label", evidence="v.evidence")))})
+                                   row(q(K.EVIDENCE_ONLY), text("=" + given, "\n\nLabel: ", "=v.label"), "v.evidence"), row(q(K.LABEL_JSON), given, json_object(label="v.label", evidence="v.evidence")))}, where=least(3))
 
 
-BAD = f"substr(coalesce({replaced('t', C[0], f'reverse({C[0]})')}, t), 1, 2000)"
+BAD = replaced("t", C[0], f"reverse({C[0]})")
 HEAD = left(f"{C[0]} || ' ' || {C[1]}", 100)
-QUERIES_OF = f"[{C[0]}, {C[1]}, {C[0]} || ' ' || {C[1]}]"
+QUERIES_OF = f"list_filter([{C[0]}, {C[1]}, {C[0]} || ' ' || {C[1]}], lambda x: x IS NOT NULL)"
 STYLE = K.get_task("style_transfer").instructions[0]
 
 TASK_SQL = {
@@ -317,34 +330,30 @@ TASK_SQL = {
     }, variations=1),
     "qa_pairs": rows_sql(qa_forms()),
     "rephrase": one(row(q(K.REPHRASE), "t", left(collapse("t"), "greatest(1000, len(w) * 40)"))),
-    "continuation": rows_sql({"plain": continuation_sql("e")}),
+    "continuation": rows_sql({"plain": continuation_sql("e")}, where="len(w) >= 10"),
     "triplets": rows_sql(triplets_forms()),
     "summarize": one(row(q(K.TLDR), "t", left(S[0], 200)), row(q(K.SUMMARY), "t", left(joined("s[1:3]"), "greatest(1000, len(w) * 4)"))),
     "title": one(row(q(K.TITLE), "t", left(joined("w[1:8]"), 120)), row(q(K.HEADLINE), "t", left(S[0], 200))),
-    "cloze": rows_sql({"plain": cloze_rows()}),
+    "cloze": rows_sql({"plain": cloze_rows()}, where="len(w) >= 10"),
     "extractive_qa": extractive_sql(),
-    "classification": one(row(q(K.TOPIC), "t", left(C[0], 80)), row(q(K.TONE), "t", choice("classification", 0, K.TONES)), row(q(K.AUDIENCE), "t", choice("classification", 1, K.AUDIENCES))),
+    "classification": one(row(q(K.TOPIC), "t", left(C[0], 80)), row(q(K.TONE), "t", choice("classification", 0, K.TONES)), row(q(K.AUDIENCE), "t", choice("classification", 1, K.AUDIENCES)), where=least(0, 1)),
     "style_transfer": one(row(q(STYLE), "t", left("lower(t)", "greatest(2000, len(w) * 24)"))),
-    "backtranslation": one(row(text("Write a passage about ", "=" + left(C[0], 300), "."), "''", "t")),
-    "counterfactual": one(row(text("Counterfactual premise: Suppose this were not so: ", "=" + left(S[0], 200), "\n\nWhat would follow?"), "t", left(S[1], 1000))),
+    "backtranslation": one(row(text("Write a passage about ", "=" + left(C[0], 300), "."), "''", "t"), where=least(0, 1)),
+    "counterfactual": one(row(text("Counterfactual premise: Suppose this were not so: ", "=" + left(S[0], 200), "\n\nWhat would follow?"), "t", left(S[1], 1000)), where=least(2)),
     "claim_evidence_plan": claim_evidence_sql(),
     "evidence_selection": evidence_sql(),
     "claim_verification": claims_sql(),
     "entity_extraction": entity_sql(),
-    "definition_extraction": one(row(q(K.DEFINE), passage("Term: ", "=" + left(C[0], 120)), left(S[0], 500)), row(q(K.DEFINE_QUOTE), passage("Term: ", "=" + left(C[0], 120)), left(S[0], 500))),
+    "definition_extraction": one(row(q(K.DEFINE), passage("Term: ", "=" + left(C[0], 120)), left(S[0], 500)), row(q(K.DEFINE_QUOTE), passage("Term: ", "=" + left(C[0], 120)), left(S[0], 500)), where=least(2, 2)),
     "method_steps": method_sql(),
     "structured_records": records_sql(),
-    "section_heading": one(row(q(K.HEADING), "t", HEAD), row(q(K.HEADING_WHY), passage("Heading: ", "=" + HEAD), "'It names the main words.'")),
+    "section_heading": one(row(q(K.HEADING), "t", HEAD), row(q(K.HEADING_WHY), passage("Heading: ", "=" + HEAD), "'It names the main words.'"), where=least(0, 2)),
     "sentence_equivalence_plan": equivalence_sql(),
     "sentence_contrast_plan": contrast_sql(),
-    "query_generation": rows_sql({"plain": f"[{row(q(K.QUERIES), 't', joined(QUERIES_OF, 'chr(10)'))}] || {each(QUERIES_OF, row(q(K.QUERY_PASSAGE), 'v', 't'))}"}),
+    "query_generation": rows_sql({"plain": f"[{row(q(K.QUERIES), 't', joined(QUERIES_OF, 'chr(10)'))}] || {each(QUERIES_OF, row(q(K.QUERY_PASSAGE), 'v', 't'))}"}, where=least(0, 1)),
     "distractor_qa": distractor_sql(),
-    "error_correction": one(row(q(K.FIX), BAD, "t"), row(q(K.FIX_NOTES), BAD, "'A word is spelled backwards.'")),
+    "error_correction": one(row(q(K.FIX), BAD, "t"), row(q(K.FIX_NOTES), BAD, "'A word is spelled backwards.'"), where=f"({BAD}) IS NOT NULL"),
 }
 
-# Its SQL cuts the corrupted passage to 2000 characters; the task itself doesn't.
-CUT = K.get_task("error_correction").with_knobs(
-    draft=lambda x: K.struct(corrupted_passage=K.left(F.coalesce(X.replace_first(x["t"], K.c(x, 0), F.reverse(K.c(x, 0))), x["t"]), 2000), correction_notes="A word is spelled backwards.")
-)
-QUERIES = {name: of_task(CUT if name == CUT.name else name) for name in K.TASKS}
+QUERIES = {name: of_task(name) for name in K.TASKS}
 ORACLE_SQL = dict(TASK_SQL)

@@ -22,6 +22,7 @@ from ..functions.text import (
     cat,
     collapse,
     dashed,
+    flat,
     joined,
     json_list,
     json_object,
@@ -32,7 +33,6 @@ from ..functions.text import (
     mask_words,
     numbered,
     part_of,
-    quote_in,
     replace_first,
     strip,
     template,
@@ -77,6 +77,11 @@ def each(items: Column, make: Callable[[Column], list[Column]]) -> Column:
 ROWS_TYPE = "array<struct<instruction: string, input: string, output: string>>"
 
 
+def quoted(quote: Column) -> Column:
+    """Whether the passage of the call holds a quote; flat_ is its text, once."""
+    return F.contains(F.col("flat_"), flat(quote))
+
+
 def only_if(condition: Column, rows: Column) -> Column:
     return F.when(condition, rows).otherwise(F.array().cast(ROWS_TYPE))
 
@@ -132,13 +137,16 @@ class Task:
     pool: int = 5  # wordings of an instruction
     instructions: tuple[str, ...] = ()  # those that have other wordings
     format_prompts: dict[str, str] = field(default_factory=dict)
+    quotes: bool = False  # its rows look for quotes in the passage
 
     def with_knobs(self, **knobs: object) -> Task:
         return replace(self, **knobs)
 
     def valid(self, out: Column, n_words: Column) -> Column:
-        """Whether an answer is there and within its bounds."""
+        """Whether an answer is there, with all its fields, and within its bounds."""
         ok = out.isNotNull()
+        for part in split_fields(self.schema):
+            ok = ok & out[part.strip().split()[0]].isNotNull()
         for check in self.checks:
             ok = ok & F.coalesce(check(out, n_words), F.lit(False))
         return ok
@@ -333,7 +341,7 @@ def equivalence_rows(p: Column, o: Column) -> Column:
     a = o["source_sentence"]
     other = F.filter(o["equivalent_sentences"], lambda e: (strip(e) != "") & (strip(e) != strip(a)))
     make = lambda e: [row(SIMILAR, pair(a, e), "1.0"), row(EQUIVALENT, pair(a, e), "equivalent"), row(NLI, nli(a, e), "entailment"), row(NLI, nli(e, a), "entailment")]
-    return only_if(quote_in(a, p), each(other, make))
+    return only_if(quoted(a), each(other, make))
 
 
 def contrast_rows(p: Column, o: Column) -> Column:
@@ -351,7 +359,7 @@ def contrast_rows(p: Column, o: Column) -> Column:
             row(NAME_CHANGE, both, cat(m["old"], " -> ", m["new"])),
         ]
 
-    return only_if(quote_in(a, p), each(made, make))
+    return only_if(quoted(a), each(made, make))
 
 
 def claim_evidence_rows(p: Column, o: Column) -> Column:
@@ -359,15 +367,15 @@ def claim_evidence_rows(p: Column, o: Column) -> Column:
     evidence = lambda q: cat("Claim: ", c, "\n\nEvidence: ", q)
     candidates = cat("Claim: ", c, "\n\nCandidate quotes:\n", numbered(F.array(good, other)))
     rows = F.array(row(VERIFY, evidence(good), "supported"), row(VERIFY, evidence(other), "not enough information"), row(CHOOSE, candidates, good))
-    return only_if(quote_in(good, p) & quote_in(other, p) & (good != other), rows)
+    return only_if(quoted(good) & quoted(other) & (good != other), rows)
 
 
 def evidence_selection_rows(p: Column, o: Column) -> Column:
-    right = F.filter(o["items"], lambda x: F.array_contains(x["candidate_quotes"], x["supporting_quote"]) & quote_in(x["supporting_quote"], p))
+    right = F.filter(o["items"], lambda x: F.array_contains(x["candidate_quotes"], x["supporting_quote"]) & quoted(x["supporting_quote"]))
 
     def rows(x: Column) -> Column:
         given = in_passage(p, "Claim: ", x["claim"], "\n\nCandidate quotes:\n", numbered(x["candidate_quotes"]))
-        verified = F.filter(x["candidate_quotes"], lambda q: quote_in(q, p))
+        verified = F.filter(x["candidate_quotes"], lambda q: quoted(q))
         answer = lambda q: row(SUPPORTS, in_passage(p, "Claim: ", x["claim"], "\n\nQuote: ", q), F.when(q == x["supporting_quote"], "yes").otherwise("no"))
         return F.concat(F.array(row(SELECT, given, x["supporting_quote"]), row(RATIONALE, given, x["rationale"])), F.transform(verified, answer))
 
@@ -393,7 +401,7 @@ def entity_rows(p: Column, o: Column) -> Column:
 
 
 def definition_rows(p: Column, o: Column) -> Column:
-    right = F.filter(o["definitions"], lambda d: quote_in(d["supporting_quote"], p))
+    right = F.filter(o["definitions"], lambda d: quoted(d["supporting_quote"]))
     term = lambda d: in_passage(p, "Term: ", d["term"])
     return each(right, lambda d: [row(DEFINE, term(d), d["definition"]), row(DEFINE_QUOTE, term(d), d["supporting_quote"])])
 
@@ -536,8 +544,8 @@ SINGLE = [
     simple("cloze", "Cut words and a sentence out of the passage.", "word_masked_passage string, word_answers string, sentence_masked_passage string, sentence_answer string",
            cloze_rows, draft=cloze_draft, native=True, hint="the passage has several sentences with telling words.", pool=7, instructions=(FILL_WORDS, FILL_SENTENCE)),
     simple("extractive_qa", "Write questions that an exact quote from the passage answers.", "items array<struct<question string, supporting_quote string>>",
-           lambda p, o: each(F.filter(o["items"], lambda i: quote_in(i["supporting_quote"], p)), lambda i: [row(EXTRACT, in_passage(p, "Question: ", i["question"]), i["supporting_quote"])]),
-           checks=(count("items", 1, 5), all_items("items", question=300, supporting_quote=500)),
+           lambda p, o: each(F.filter(o["items"], lambda i: quoted(i["supporting_quote"])), lambda i: [row(EXTRACT, in_passage(p, "Question: ", i["question"]), i["supporting_quote"])]),
+           quotes=True, checks=(count("items", 1, 5), all_items("items", question=300, supporting_quote=500)),
            draft=lambda x: struct(items=F.transform(F.concat(F.transform(F.slice(x["s"], 1, 4), lambda v: left(v, 500)), F.array(F.lit(FABRICATED))),
                                                     lambda v, i: struct(question=cat("Which words make statement ", (i + 1).cast("string"), "?"), supporting_quote=v))),
            hint="the passage holds answers word for word.", temperature=0.3, pool=8, instructions=(EXTRACT,)),
@@ -555,12 +563,12 @@ SINGLE = [
            checks=(longest("original_claim", 300), longest("altered_premise", 300), longest("question", 300), longest("consequence", 1000)),
            draft=lambda x: struct(original_claim=left(s(x, 0), 200), altered_premise=cat("Suppose this were not so: ", left(s(x, 0), 200)), question="What would follow?", consequence=left(s(x, 1), 1000)),
            hint="the passage argues from a premise.", temperature=0.7),
-    simple("claim_evidence_plan", "Give a claim with a quote that supports it and one that does not.", "claim string, supporting_quote string, unrelated_quote string", claim_evidence_rows,
+    simple("claim_evidence_plan", "Give a claim with a quote that supports it and one that does not.", "claim string, supporting_quote string, unrelated_quote string", claim_evidence_rows, quotes=True,
            checks=(longest("claim", 300), longest("supporting_quote", 500), longest("unrelated_quote", 500)),
            draft=lambda x: struct(claim=left(s(x, 0), 300), supporting_quote=left(s(x, 0), 500), unrelated_quote=left(F.element_at(x["s"], -1), 500)),
            hint="the passage makes claims and gives evidence.", temperature=0.3, pool=4, instructions=(VERIFY, CHOOSE)),
     simple("evidence_selection", "Give claims with candidate quotes of which one supports the claim.",
-           "items array<struct<claim string, candidate_quotes array<string>, supporting_quote string, rationale string>>", evidence_selection_rows,
+           "items array<struct<claim string, candidate_quotes array<string>, supporting_quote string, rationale string>>", evidence_selection_rows, quotes=True,
            checks=(count("items", 1, 4), all_items("items", claim=300, supporting_quote=500, rationale=400), lambda o, n: F.forall(o["items"], lambda i: F.size(i["candidate_quotes"]).between(2, 5))),
            draft=lambda x: struct(items=F.array(
                struct(claim=left(s(x, 0), 300), candidate_quotes=F.array(left(s(x, 0), 500), left(s(x, 1), 500), F.lit(FABRICATED)), supporting_quote=left(s(x, 0), 500), rationale="It says the same."),
@@ -574,7 +582,7 @@ SINGLE = [
            checks=(count("entities", 1, 12), all_items("entities", name=120, type=ENTITY_TYPES, context=300)),
            draft=lambda x: struct(entities=F.when(F.size(x["c"]) >= 3, F.array(entity(x, 0), entity(x, 1), entity(x, 2))).otherwise(F.array(entity(x, 0), entity(x, 1)))),
            hint="the passage names things.", pool=5, instructions=(ENTITIES, ENTITY_TYPE)),
-    simple("definition_extraction", "List the terms that the passage defines, with a quote.", "definitions array<struct<term string, definition string, supporting_quote string>>", definition_rows,
+    simple("definition_extraction", "List the terms that the passage defines, with a quote.", "definitions array<struct<term string, definition string, supporting_quote string>>", definition_rows, quotes=True,
            checks=(count("definitions", 1, 6), all_items("definitions", term=120, definition=500, supporting_quote=500)),
            draft=lambda x: struct(definitions=F.array(struct(term=left(c(x, 0), 120), definition=left(s(x, 0), 500), supporting_quote=left(s(x, 0), 500)),
                                                       struct(term=left(c(x, 1), 120), definition=left(s(x, 1), 500), supporting_quote=FABRICATED))),
@@ -591,12 +599,12 @@ SINGLE = [
            lambda p, o: F.array(row(HEADING, p, o["heading"]), row(HEADING_WHY, in_passage(p, "Heading: ", o["heading"]), o["rationale"])),
            checks=(longest("heading", 100), longest("rationale", 300)), draft=lambda x: struct(heading=left(cat(c(x, 0), " ", c(x, 1)), 100), rationale="It names the main words."),
            hint="the passage could stand under a heading.", temperature=0.3, pool=5, instructions=(HEADING, HEADING_WHY)),
-    simple("sentence_equivalence_plan", "Quote a sentence of the passage and reword it without changing its meaning.", "source_sentence string, equivalent_sentences array<string>", equivalence_rows,
+    simple("sentence_equivalence_plan", "Quote a sentence of the passage and reword it without changing its meaning.", "source_sentence string, equivalent_sentences array<string>", equivalence_rows, quotes=True,
            checks=(longest("source_sentence", 500), count("equivalent_sentences", 1, 4)),
            draft=lambda x: struct(source_sentence=left(s(x, 0), 500), equivalent_sentences=F.array(cat("In other words: ", s(x, 0)), left(s(x, 0), 500))),
            hint="the passage has sentences that can be worded otherwise.", temperature=0.4, pool=4, instructions=(SIMILAR, EQUIVALENT, NLI)),
     simple("sentence_contrast_plan", "Quote a sentence of the passage and contradict it by small replacements.",
-           "source_sentence string, replacements array<struct<original string, replacement string, contradiction_type string>>", contrast_rows,
+           "source_sentence string, replacements array<struct<original string, replacement string, contradiction_type string>>", contrast_rows, quotes=True,
            checks=(longest("source_sentence", 500), count("replacements", 1, 4), all_items("replacements", original=120, replacement=120, contradiction_type=CONTRADICTIONS)),
            draft=lambda x: struct(source_sentence=left(s(x, 0), 500), replacements=F.array(
                struct(original=left(words(s(x, 0))[0], 120), replacement="never", contradiction_type="negation"), struct(original="qqqq", replacement="x", contradiction_type="attribute"))),
@@ -624,9 +632,74 @@ SINGLE = [
 
 COMPARISON = Task(
     "comparison", COMPARE, "answer string",
-    {"plain": lambda ps, o: F.array(row(COMPARE, passage_list(ps), o["answer"]))}, passages=2, generations=3,
+    {"plain": lambda ps, o: F.array(row(COMPARE, passage_list(ps), o["answer"]))}, (grows("answer", 24, 500),),
+    lambda x: struct(answer=cat("The first passage speaks of ", x["first_word"], "; the second speaks of ", x["second_word"], ".")),
+    temperature=0.5, passages=2, generations=3,
+)
+RETRIEVAL = Task(
+    "retrieval", "Write questions that one passage answers and no other does.", "questions array<string>", {}, (count("questions", 1, 4),),
+    lambda x: struct(questions=F.transform(F.slice(x["c"], 1, 2), lambda w: cat("Which passage mentions ", w, "?"))), passages=2,
+)
+REASON = Task(
+    "retrieval_reason", "Say in a sentence why the passage answers the question.", "why string", {}, (longest("why", 300),),
+    lambda x: struct(why="It mentions the word."),
+)
+NO_ANSWER = Task(
+    "no_answer_reason", "Say in a sentence why none of the passages answers the question.", "why string", {}, (longest("why", 300),),
+    lambda x: struct(why="No passage mentions the word."),
+)
+
+# -- calls around the tasks ------------------------------------------------------
+GATE = Task(
+    "gate", "Decide whether a passage is worth making training data of: it holds prose of ten words or more that means something, and is no markup, code, heading or boilerplate.",
+    "is_quality boolean", {}, (),
+    lambda x: struct(is_quality=(F.size(x["w"]) >= LEAST_WORDS) & (F.length(F.regexp_replace(x["t"], r"[^\p{L}]", "")) * 2 >= F.length(x["t"]))),
+    temperature=0.1, max_tokens=20,
+)
+CRITERIA = "The output answers the instruction correctly from the input, and is complete and well formed."
+
+
+def judge_draft(x: Passage) -> Column:
+    """There is an output, no longer than the input."""
+    good = (x["output"] != "") & (F.length(x["output"]) <= F.length(x["input"]))
+    why = F.when(x["output"] == "", "the output is empty").when(good, "the output fits").otherwise("the output is longer than the input")
+    return F.struct(F.coalesce(good, F.lit(False)).alias("is_quality"), F.coalesce(why, F.lit("the output is empty")).alias("reason"))
+
+
+JUDGE = Task(
+    "judge", "Judge a training datapoint by the criteria given, and by nothing else. Say in few words why it is kept or rejected.",
+    "is_quality boolean, reason string", {}, (), judge_draft, temperature=0.0, max_tokens=500,
+)
+REASONING = Task(
+    "reasoning", "Set out, step by step and in impersonal words, how the response follows from what the passage says. Don't speak of the task, of the form of the response or of yourself.",
+    "reasoning string", {}, (),
+    lambda x: struct(reasoning=cat("The instruction asks: ", x["instruction"], " The input has ", F.length(x["input"]).cast("string"), " characters. The output follows from it.")),
+    max_tokens=1000,
 )
-RETRIEVAL = Task("retrieval", "Write questions that one passage answers and no other does.", "questions array<string>", {}, (count("questions", 1, 4),), passages=2)
+
+
+def drawn(x: Passage, chances: dict[str, float], seed: int) -> Column:
+    """The names that a hash of the call's id falls on, each by its chance."""
+    key = x["id"].cast("string")
+    unit = lambda name: bucket(cat(key, f"|{name}|{seed}"), 1 << 32) / F.lit(float(1 << 32))
+    found = [F.when(unit(n) < p, F.lit(n)) for n, p in chances.items()]
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+
+
+def selector(menu: list[Task], chance: float = 0.25, seed: int = 0) -> Task:
+    """The call that picks from a menu what suits a passage, by the tasks' hints.
+    Its rule draws each by chance."""
+    for t in menu:
+        if not t.hint.strip():
+            raise ValueError(f"{t.name!r} has no hint that tells when to select it")
+    names = tuple(t.name for t in menu)
+    options = "\n".join(f"- {t.name}: select it if {t.hint}" for t in menu)
+    return Task(
+        "selector", f"Select from this list the tasks that suit the passage: none, one or several.\n{options}", "selected array<string>", {},
+        (lambda o, n: F.forall(o["selected"], lambda v: v.isin(*names)),) if names else (),
+        lambda x: struct(selected=drawn(x, dict.fromkeys(names, chance), seed)), temperature=0.1, max_tokens=1024,
+    )
+
 
 TASKS = {t.name: t for t in SINGLE}
 MULTI_TASKS = {t.name: t for t in (RETRIEVAL, COMPARISON)}

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,19 @@ ROW_SCHEMA = "instruction string, input string, output string, reasoning string"
 DECISION_SCHEMA = f"row_index bigint, is_quality boolean, reason string, judge_error boolean, row struct<{ROW_SCHEMA.replace(' string', ': string')}>"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it
+    is unset, a local session gets a temporary one; a cluster gets an error, as
+    its executors would each write to a disk of their own."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        there = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set("spark.checkpoint.dir", there)
+    return there.rstrip("/")
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
@@ -65,3 +80,46 @@ def write_metadata(spark: SparkSession, path: str, **facts: object) -> None:
     """Facts of a run as one JSON file next to its output."""
     line = json.dumps(facts, ensure_ascii=False, sort_keys=True)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """Files of a JSONL folder, none where there is none."""
+    return spark.read.text(named(path)).inputFiles() if path_exists(spark, named(path)) else []
+
+
+def read_prompt(spark: SparkSession, path: str | None, default: str) -> str:
+    """A prompt from a file, or the default; blank ones are refused."""
+    text = default if path is None else "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    if not text.strip():
+        raise ValueError(f"the prompt {path or ''} is blank")
+    return text.strip()
+
+
+def rewrite_jsonl(spark: SparkSession, rows: DataFrame, path: str) -> str:
+    """Replace a JSONL folder by rows, which may be read from it: they are written
+    beside it first, and take its name when they are complete."""
+    at, side = named(path), f"{named(path)}-{uuid.uuid4().hex}"
+    rows.write.option("ignoreNullFields", "false").json(side)
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    files = place(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = f"{side}-old"
+    if files.exists(place(at)):
+        files.rename(place(at), place(old))
+    files.rename(place(side), place(at))
+    files.delete(place(old), True)
+    return at
+
+
+def compact_outputs(spark: SparkSession, decisions: str, kept: str, rejected: str, schema: str = DECISION_SCHEMA) -> DataFrame:
+    """Rewrite a decision log and the rows it kept and rejected: the last finished
+    decision of each row stays, failed ones go. Returns the finished decisions."""
+    from ..operators.judge import compacted
+
+    log = spark.read.schema(schema).json(named(decisions))
+    log = log.withColumn("seq", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    last = compacted(log).drop("seq").withColumn("judge_error", F.lit(False))
+    rewrite_jsonl(spark, last, decisions)
+    done = spark.read.schema(schema).json(named(decisions))
+    rewrite_jsonl(spark, done.where("is_quality").select("row.*"), kept)
+    rewrite_jsonl(spark, done.where("NOT is_quality"), rejected)
+    return done

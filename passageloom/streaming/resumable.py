@@ -1,8 +1,12 @@
 """Judging as a stream that can be stopped and resumed.
 
 Single-passage tasks are stateless, so their plans run on a stream as they are.
-The filter below keeps no log of its own: the checkpoint holds what was read,
-and a row that was decided in an earlier run is skipped by an anti join.
+The filter below keeps a log of decisions; the checkpoint holds what was read. A
+row that was decided is skipped when it comes again, and rows on which judging
+failed are judged again, from the log, at the start of each run.
+
+The log is cut by ranges of the key (SPAN) and by route. A batch reads the ranges
+that it has rows of, and a retry the failed rows, never the whole log.
 """
 
 from __future__ import annotations
@@ -14,8 +18,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.judge import postfilter, routed
+from ..operators.runtime import Runtime
 from ..sources.files import path_exists
 
+#: Keys of one folder of the log.
+SPAN = 1_000_000
+
+
+def span_of(key: str) -> Column:
+    """The range of a key: by value for numbers, by hash for others."""
+    number = F.col(key).try_cast("bigint")
+    return F.coalesce(F.floor(number / SPAN), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(64)))
+
+
+def write_log(decided: DataFrame, at: str) -> None:
+    decided.write.mode("append").partitionBy("span", "route").parquet(at)
+
+
+def read_log(spark: SparkSession, out: str) -> DataFrame:
+    """All decisions, with span and route."""
+    return spark.read.option("mergeSchema", "true").parquet(f"{out}/decisions")
+
+
+def failed_rows(log: DataFrame, key: str = "row_index") -> DataFrame:
+    """The rows on which judging has failed and that have no decision since, with
+    tries, how often."""
+    bad = log.where("route = 'error'")
+    bad = bad.groupBy(key).agg(F.max_by(F.struct(*[c for c in log.columns if c != key]), "seq").alias("x"), F.count("*").alias("tries"))
+    bad = bad.select(key, "tries", "x.*")
+    done = log.where("route <> 'error'").select("span", key).distinct()
+    return bad.join(done, ["span", key], "left_anti")
+
 
 def judge_stream(
     spark: SparkSession,
@@ -25,15 +58,31 @@ def judge_stream(
     key: str = "row_index",
     judge: Column | None = None,
     write: Callable[[DataFrame, str], None] | None = None,
+    runtime: Runtime | None = None,
+    criteria: str | None = None,
 ) -> StreamingQuery:
     """Judge all rows that are there, then stop. Decisions go to out/decisions,
-    one folder per route; a rerun adds what is new only."""
+    one folder per range of keys and route; a rerun adds what is new, and judges
+    again what failed. judge is a column, which may come with a column judge_error
+    of the source; or runtime judges by the criteria."""
+    columns, done = source.columns, f"{out}/decisions"
+
+    def decide(rows: DataFrame, number: int) -> None:
+        judged = postfilter(rows, judge, runtime, criteria, F.col(key).cast("string") if runtime else None)
+        (write or write_log)(routed(judged).withColumns({"seq": F.lit(number).cast("long"), "span": span_of(key)}), done)
 
     def batch(rows: DataFrame, number: int) -> None:
-        done = f"{out}/decisions"
         if path_exists(spark, done):
-            rows = rows.join(spark.read.parquet(done).where("route <> 'error'").select(key), key, "left_anti")
-        decided = routed(postfilter(rows, judge)).withColumn("seq", F.lit(number))
-        (write or (lambda d, p: d.write.mode("append").partitionBy("route").parquet(p)))(decided, done)
+            spans = [r.span for r in rows.select(span_of(key).alias("span")).distinct().limit(1000).collect()]
+            log = spark.read.parquet(done).where("route <> 'error'")
+            log = log.where(F.col("span").isin(spans)) if len(spans) < 1000 else log
+            rows = rows.join(log.select(key), key, "left_anti")
+        decide(rows, number)
 
+    if path_exists(spark, done):
+        log = spark.read.parquet(done)
+        again = failed_rows(log, key)
+        if again.limit(1).count():
+            last = log.agg(F.max("seq")).first()[0]
+            decide(again.select(columns), last)
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
