@@ -18,8 +18,12 @@ def cat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+#: Unicode white space.
+BLANK = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def words(text: Column) -> Column:
@@ -127,16 +131,10 @@ def list_literal(items: Column) -> Column:
 
 
 def maskable(text: Column) -> Column:
-    """Distinct alphabetic words of six letters or more, the longest first; ties
-    by lower case, then as they are."""
-    return maskable_of(words(text))
-
-
-def maskable_of(found: Column) -> Column:
-    """maskable, from the words of the text."""
-    edge = "[" + "".join("\\" + c for c in WORD_EDGES) + "]"
-    bare = F.transform(found, lambda w: F.regexp_replace(w, f"^{edge}+|{edge}+$", ""))
-    fit = F.array_distinct(F.filter(bare, lambda w: (F.length(w) >= MASKABLE) & w.rlike(r"^\p{L}+$")))
+    """Distinct alphabetic words of six letters or more, without the punctuation
+    at their edges, the longest first; ties by lower case, then as they are."""
+    edge = "[" + "".join("\\" + c for c in WORD_EDGES) + "]*"
+    fit = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?U)(?<!\S){edge}(\p{{L}}{{{MASKABLE},}}){edge}(?!\S)"), F.lit(1)))
     ranked = F.array_sort(F.transform(fit, lambda w: F.struct((-F.length(w)).alias("n"), F.lower(w).alias("l"), w.alias("w"))))
     return F.transform(ranked, lambda x: x["w"])
 

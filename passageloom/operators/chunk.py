@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strip
+from ..functions.text import barrier, strip
 
 #: Characters of a single passage at most, and of a chunk.
 MAX_PASSAGE, CHUNK = 3000, 2000
@@ -20,7 +20,10 @@ def chunks(text: Column, size: int = CHUNK, overlap: int = 0) -> Column:
         raise ValueError("overlap must not be negative")
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
-    t = strip(text)
+    return chunks_of(strip(text), size, overlap)
+
+
+def chunks_of(t: Column, size: int, overlap: int) -> Column:
     starts = F.sequence(F.lit(0), F.length(t) - 1, F.lit(size - overlap))
     made = F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring(t, i + 1, F.lit(size)).alias("text")))
     return F.when(F.length(t) > 0, F.filter(made, lambda c: strip(c["text"]) != ""))
@@ -28,7 +31,9 @@ def chunks(text: Column, size: int = CHUNK, overlap: int = 0) -> Column:
 
 def chunk_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = CHUNK, overlap: int = 0) -> DataFrame:
     """id_col, chunk_no (from 0 among the kept) and text of each chunk."""
-    exploded = docs.select(id_col, F.posexplode(chunks(F.col(text_col), size, overlap)).alias("chunk_no", "c"))
+    chunks(F.col(text_col), size, overlap)  # refuses sizes that don't fit
+    ready = barrier(docs.select(id_col, text_col), stripped_=strip(F.col(text_col)))
+    exploded = ready.select(id_col, F.posexplode(chunks_of(F.col("stripped_"), size, overlap)).alias("chunk_no", "c"))
     return exploded.select(id_col, "chunk_no", F.col("c.text").alias("text"))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import barrier, count_words, maskable_of, sentences, words
+from ..functions.text import barrier, count_words, maskable, sentences, words
 from ..plans.tasks import Task
 
 #: What a model offers by the first of these that its name holds;
@@ -94,9 +94,8 @@ class Parts(dict):
 def with_parts(calls: DataFrame, taken: set[str]) -> DataFrame:
     """calls with those parts and n_words, each computed once."""
     p = F.col("passage")
-    first = {"w_": words(p)} | ({"s_": sentences(p)} if "s" in taken else {})
-    calls = barrier(calls, **first).withColumn("n_words", F.size("w_"))
-    return barrier(calls, c_=maskable_of(F.col("w_"))) if "c" in taken else calls
+    first = {"w_": words(p)} | ({"s_": sentences(p)} if "s" in taken else {}) | ({"c_": maskable(p)} if "c" in taken else {})
+    return barrier(calls, **first).withColumn("n_words", F.size("w_"))
 
 
 class RuleRuntime(Runtime):
