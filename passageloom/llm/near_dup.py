@@ -9,12 +9,17 @@ are posted, which keeps values that many documents share out of the join.
 
 All documents that share a posted pair with its smallest document form a group
 around that pivot. Groups are dealt into blocks of BLOCK documents, and a block
-is worked through in one task: collisions of signatures are counted, pairs below
-the threshold are skipped, so are pairs that are connected already, the others
-are confirmed on their full sets, and only links that connect something new are
-returned. In groups of several blocks, documents outside the group's largest
-component are then compared, in blocks, with all of the group. So no pairs are
-listed, and no block grows with its group.
+is worked through in one task: the posted pairs of the block are merged, rarest
+first; only documents met in a short list are looked up in the long ones, pairs
+below the match threshold are skipped, so are pairs that are connected already,
+the others are confirmed on their full sets, and only links that connect something
+new are returned. So no pairs are listed, and no block grows with its group.
+
+A group of several blocks has its pivot in each, and each document's distance from
+it is measured. Documents outside the group's largest component are then asked, in
+blocks, of the group's documents whose distance differs by no more than a link
+may: as the Jaccard distance is a metric, no other can be alike. What is far from
+the bulk of a group thus never meets it.
 
 Rows: a null or empty text, or one of white space, has no shingles and is linked
 with nothing. Rows without an id aren't linked; their component is null and they
@@ -38,7 +43,8 @@ from .common import WORD, free_name, materialise, release, text_of
 
 #: Coordinates of a signature, documents of a block, words remembered by a worker.
 SIZE, BLOCK, MEMO = 48, 256, 400_000
-LINKS = "a long, b long"
+#: A link, or with d the distance of a from b, the pivot of its group.
+LINKS = "a long, b long, d double"
 
 
 def matches_of(percent: int, size: int = SIZE) -> int:
@@ -148,50 +154,100 @@ def with_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(fill, "rep long, sig array<int>, set array<long>")
 
 
+class Merged:
+    """The shingles of a block's sets as lists of the sets that hold each."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(x) for x in sets], np.int64)
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.value, self.start = np.unique(flat[order], return_index=True)
+        self.end = np.append(self.start[1:], len(flat))
+
+    def common(self, one: np.ndarray) -> np.ndarray:
+        """How many shingles each set shares with one."""
+        at = np.minimum(np.searchsorted(self.value, one), len(self.value) - 1)
+        at = at[self.value[at] == one]
+        n = self.end[at] - self.start[at]
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.start[at], n)
+        return np.bincount(self.owner[place], minlength=len(self.sizes))
+
+
+#: Pairs of one document from which on their full sets are merged at once.
+MERGED = 6
+
+
 class Linker:
     """Links within a block that connect what isn't connected yet."""
 
-    def __init__(self, percent: int, matches: int):
-        self.percent, self.matches = percent, matches
+    def __init__(self, percent: int, matches: int, block: int):
+        self.percent, self.matches, self.block = percent, matches, block
+        #: Distances of documents that are alike differ by less than this.
+        self.width = 1 - percent / 100 + 1e-6
+
+    @staticmethod
+    def common(a: np.ndarray, b: np.ndarray) -> int:
+        return len(np.intersect1d(a, b, assume_unique=True))
 
     def alike(self, a: np.ndarray, b: np.ndarray) -> bool:
         small, large = min(len(a), len(b)), max(len(a), len(b))
         if 100 * small < self.percent * large:
             return False
-        common = len(np.intersect1d(a, b, assume_unique=True))
+        common = self.common(a, b)
         return 100 * common >= self.percent * (len(a) + len(b) - common)
 
-    def between(self, left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        """Links from rows of left to rows of right; same: they are one table.
-        A column label, if any, tells what is connected from the start."""
-        known = "label" in left
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (up := root.get(x, x)) != x:
-                root[x] = root.get(up, up)
-                x = up
-            return x
-
-        li, ri = left["rep"].to_numpy(), right["rep"].to_numpy()
-        ll = (left["label"] if known else left["rep"]).to_numpy()
-        rl = (right["label"] if known else right["rep"]).to_numpy()
-        ls, rs = np.array(left["sig"].tolist(), np.int32).reshape(len(li), SIZE), np.array(right["sig"].tolist(), np.int32).reshape(len(ri), SIZE)
-        lsets, rsets = left["set"].tolist(), right["set"].tolist()
-        out = []
-        for k in range(len(li)):
-            agree = (rs == ls[k]).sum(axis=1)
-            if same:
-                agree[: k + 1] = 0
-            # the likeliest first, so that few pairs are left to confirm
-            for j in np.argsort(-agree, kind="stable"):
-                if agree[j] < self.matches:
+    def between(self, left: pd.DataFrame, right: pd.DataFrame | None = None) -> pd.DataFrame:
+        """Links from rows of left to rows of right, or among those of left. A
+        column label, if any, tells what is connected from the start."""
+        rows = left if right is None else pd.concat([left, right])
+        n, first = len(left), 0 if right is None else len(left)
+        ids, sets = rows["rep"].to_numpy(), rows["set"].tolist()
+        sig = np.array(rows["sig"].tolist(), np.int32).reshape(len(rows), SIZE)
+        comp = np.unique(rows["label" if "label" in rows else "rep"].to_numpy(), return_inverse=True)[1]
+        # coordinate-value pairs, each row's rarest first; those of one row only join nothing
+        token, held = np.unique(sig.astype(np.int64) + (np.arange(SIZE, dtype=np.int64) << 32), return_inverse=True)
+        held = held.reshape(sig.shape)
+        count = np.bincount(held.ravel(), minlength=len(token))
+        prefix = np.sort(count[held] * len(token) + held, axis=1)[:, : SIZE - self.matches + 1] % max(1, len(token))
+        posted = prefix[first:].ravel()
+        order = np.argsort(posted, kind="stable")
+        member, start = order // prefix.shape[1] + first, np.searchsorted(posted[order], np.arange(len(token) + 1))
+        out, merged = [], None
+        for k in range(n):
+            lists = [member[start[t] : start[t + 1]] for t in prefix[k] if count[t] > 1]
+            found = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+            found = found[(found > k) & (comp[found] != comp[k])]
+            agree = (sig[found] == sig[k]).sum(axis=1)
+            found = found[np.argsort(-agree, kind="stable")][: int((agree >= self.matches).sum())]
+            # the likeliest first, so that few pairs are left to confirm; many are confirmed at once
+            for place, j in enumerate(found.tolist()):
+                if place == MERGED and (rest := found[place:][comp[found[place:]] != comp[k]]).size > MERGED:
+                    merged = merged or Merged(sets[first:])
+                    both = merged.common(sets[k])[rest - first]
+                    good = 100 * both >= self.percent * (len(sets[k]) + merged.sizes[rest - first] - both)
+                    for j in rest[good].tolist():
+                        if comp[j] != comp[k]:
+                            comp[comp == comp[j]] = comp[k]
+                            out.append((int(ids[k]), int(ids[j]), None))
                     break
-                a, b = find(int(ll[k])), find(int(rl[j]))
-                if a != b and self.alike(lsets[k], rsets[j]):
-                    root[max(a, b)] = min(a, b)
-                    out.append((int(li[k]), int(ri[j])))
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+                if comp[j] != comp[k] and self.alike(sets[k], sets[j]):
+                    comp[comp == comp[j]] = comp[k]
+                    out.append((int(ids[k]), int(ids[j]), None))
+        return pd.DataFrame(out, columns=["a", "b", "d"]).astype({"a": np.int64, "b": np.int64, "d": np.float64})
+
+    def within(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Links of a block; in groups of several, its documents' distances from
+        the pivot too."""
+        rows = rows.drop_duplicates("rep")
+        made = self.between(rows)
+        if rows["size"].iloc[0] <= self.block:
+            return made
+        pivot = rows["pivot"].iloc[0]
+        (base,) = rows.loc[rows["rep"] == pivot, "set"]
+        shared = [self.common(base, x) for x in rows["set"]]
+        far = [1 - c / (len(base) + len(x) - c) for c, x in zip(shared, rows["set"])]
+        return pd.concat([made, pd.DataFrame({"a": rows["rep"], "b": pivot, "d": far})])
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -224,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """id_col, n_shingles, component_id (smallest id reachable over links of
     percent / 100 similarity or more) and kept (it is the smallest) per row."""
     matches = matches_of(percent)
-    linker = Linker(percent, matches)
+    linker = Linker(percent, matches, BLOCK)
     texts = docs.select(F.col(id_col).cast("long").alias("i"), text_of(F.col(text_col)).alias("t"))
     rows = materialise(sketches(texts, words))
     reps = rows.where("n > 0 AND i IS NOT NULL").groupBy("n", "d1", "d2", "sig").agg(F.min("i").alias("rep"))
@@ -244,31 +300,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         """rep, sig and set of each row, with the fields."""
         return sets.join(rows.select("rep", *fields).hint("merge"), "rep")
 
-    inside = lambda d: linker.between(d, d, True)
-    links = materialise(dealt(members, "pivot", "block").groupBy("pivot", "block").applyInPandas(lambda d: inside(d.drop_duplicates("rep")), LINKS))
+    blocks = lambda size: F.explode(F.sequence(F.lit(0), F.ceil(size / BLOCK).cast("int") - 1))
+    everywhere = (F.col("rep") == F.col("pivot")) & (F.col("size") > BLOCK)
+    spread = members.where(~everywhere).select("rep", "pivot", "size", "block").unionByName(members.where(everywhere).select("rep", "pivot", "size", blocks(F.col("size")).alias("block")))
+    found = materialise(dealt(spread, "pivot", "size", "block").groupBy("pivot", "block").applyInPandas(lambda d: linker.within(d), LINKS))
+    links = found.where("d IS NULL").select("a", "b")
     label = components(links)
 
     large = members.where(F.col("size") > BLOCK)
     if large.limit(1).count():
-        known = large.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        shares = known.groupBy("pivot", "label").agg(F.count("*").alias("share"))
-        most = shares.groupBy("pivot").agg(F.max(F.struct("share", -F.col("label"))).alias("most"), F.count("*").alias("labels"))
-        most = most.where("labels > 1").select("pivot", (-F.col("most.col2")).alias("main"))
-        known = known.join(most, "pivot")
-        apart = known.where("label <> main").groupBy("pivot").agg(F.count("*").alias("apart"))
-        known = materialise(known.join(apart, "pivot").withColumn("parts", F.ceil(F.col("apart") / BLOCK).cast("int")))
-        every = lambda n: F.sequence(F.lit(0), n - 1)
-        ask = known.where("label <> main").withColumn("ask", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int"))
-        asks = ask.withColumn("block", F.explode(every(F.ceil(F.col("size") / BLOCK).cast("int"))))
-        told = known.withColumn("ask", F.explode(every(F.col("parts"))))
-        fields = ["pivot", "block", "ask", "label", "asks"]
-        both = asks.withColumn("asks", F.lit(True)).select("rep", *fields).union(told.withColumn("asks", F.lit(False)).select("rep", *fields))
+        ring = F.floor(F.col("d") / linker.width).cast("int")
+        rings = found.where("d IS NOT NULL").select(F.col("a").alias("rep"), F.col("b").alias("pivot"), ring.alias("ring")).distinct()
+        known = large.join(rings, ["pivot", "rep"]).join(label.withColumnRenamed("node", "rep"), "rep", "left")
+        known = materialise(known.select("rep", "pivot", "size", "block", "ring", F.coalesce("label", "rep").alias("label")))
+        shares = known.groupBy("pivot", "label").agg(F.count("*").alias("share"), F.max("size").alias("size"))
+        most = shares.groupBy("pivot").agg(F.max(F.struct("share", -F.col("label"))).alias("most"), F.count("*").alias("labels"), F.max("size").alias("size"))
+        parts = F.ceil((F.col("size") - F.col("most.share")) / BLOCK).cast("int")
+        most = most.where("labels > 1").select(F.col("pivot").alias("p"), (-F.col("most.col2")).alias("main"), parts.alias("parts"), blocks(F.col("size")).alias("b"))
+        # by block as well, so that no task gets a group whole
+        known = materialise(known.join(most, (F.col("pivot") == F.col("p")) & (F.col("block") == F.col("b"))).drop("p", "b"))
+        ask = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("parts")).cast("int")
+        apart = known.where("label <> main").select("rep", "pivot", "size", "label", ask.alias("ask"), F.explode(F.sequence(F.col("ring") - 1, F.col("ring") + 1)).alias("ring"))
+        asks = apart.select("*", blocks(F.col("size")).alias("block"))
+        heard = apart.groupBy("pivot", "ring", "size").agg(F.collect_set("ask").alias("parts")).select("*", blocks(F.col("size")).alias("block"))
+        told = known.select("rep", "pivot", "block", "ring", "label").join(heard.drop("size"), ["pivot", "ring", "block"])
+        told = told.select("rep", "pivot", "block", "ring", "label", F.explode("parts").alias("ask"))
+        fields = ["pivot", "ring", "block", "ask", "label", "asks"]
+        both = asks.withColumn("asks", F.lit(True)).select("rep", *fields).unionByName(told.withColumn("asks", F.lit(False)).select("rep", *fields))
 
         def across(d: pd.DataFrame) -> pd.DataFrame:
-            return linker.between(d[d["asks"]], d[~d["asks"]], False)
+            return linker.between(d[d["asks"]], d[~d["asks"]])
 
-        more = dealt(both, *fields).groupBy("pivot", "block", "ask").applyInPandas(lambda d: across(d), LINKS)
-        label = components(links.union(more))
+        more = dealt(both, *fields).groupBy("pivot", "ring", "block", "ask").applyInPandas(lambda d: across(d), LINKS)
+        label = components(links.union(more.select("a", "b")))
 
     label = label.select(F.col("node").alias("rep"), "label")
     classes = reps.select("n", "d1", "d2", "rep").join(label, "rep", "left").select("n", "d1", "d2", F.coalesce("label", "rep").alias("label"))
