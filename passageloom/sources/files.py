@@ -97,26 +97,34 @@ def read_prompt(spark: SparkSession, path: str | None, default: str) -> str:
 
 def rewrite_jsonl(spark: SparkSession, rows: DataFrame, path: str) -> str:
     """Replace a JSONL folder by rows, which may be read from it: they are written
-    beside it first, and take its name when they are complete."""
+    beside it first, and take its name when they are complete. What was there is
+    deleted last; if that name can't be taken, it stays beside it."""
     at, side = named(path), f"{named(path)}-{uuid.uuid4().hex}"
     rows.write.option("ignoreNullFields", "false").json(side)
     place = spark._jvm.org.apache.hadoop.fs.Path
     files = place(at).getFileSystem(spark._jsc.hadoopConfiguration())
     old = f"{side}-old"
+
+    def move(source: str, target: str) -> None:
+        if not files.rename(place(source), place(target)):
+            raise OSError(f"can't rename {source} to {target}")
+
     if files.exists(place(at)):
-        files.rename(place(at), place(old))
-    files.rename(place(side), place(at))
+        move(at, old)
+    move(side, at)
     files.delete(place(old), True)
     return at
 
 
 def compact_outputs(spark: SparkSession, decisions: str, kept: str, rejected: str, schema: str = DECISION_SCHEMA) -> DataFrame:
     """Rewrite a decision log and the rows it kept and rejected: the last finished
-    decision of each row stays, failed ones go. Returns the finished decisions."""
+    decision of each row stays, by the time of its file and the place in it, failed
+    ones go. Returns the finished decisions."""
     from ..operators.judge import compacted
 
     log = spark.read.schema(schema).json(named(decisions))
-    log = log.withColumn("seq", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
+    written = [f"_metadata.{c}" for c in ("file_modification_time", "file_path", "file_block_start")]
+    log = log.withColumn("seq", F.struct(*written, F.monotonically_increasing_id()))
     last = compacted(log).drop("seq").withColumn("judge_error", F.lit(False))
     rewrite_jsonl(spark, last, decisions)
     done = spark.read.schema(schema).json(named(decisions))

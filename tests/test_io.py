@@ -74,6 +74,17 @@ def test_files(spark, tmp_path):
     assert json.loads(spark.read.text(f"{tmp_path}/meta").first()[0]) == {"model": "m", "rows": 2}
 
 
+def test_last_decision_is_the_latest_file(spark, tmp_path):
+    at = f"{tmp_path}/decisions"
+    for k in range(5):
+        decision = (1, k % 2 == 0, str(k), False, ("i", "in", str(k), None))
+        files.write_jsonl(spark.createDataFrame([decision], files.DECISION_SCHEMA).coalesce(1), at)
+    files.write_jsonl(spark.createDataFrame([(1, False, "failed", True, None)], files.DECISION_SCHEMA).coalesce(1), at)
+    done = files.compact_outputs(spark, at, f"{tmp_path}/kept", f"{tmp_path}/rejected")
+    assert [(r.row_index, r.reason, r.is_quality) for r in done.collect()] == [(1, "4", True)]
+    assert files.read_jsonl(spark, f"{tmp_path}/kept").first().output == "4" and files.count_jsonl(spark, f"{tmp_path}/rejected") == 0
+
+
 def test_stream_resumes(spark, tmp_path):
     def add(part, first, n):
         rows = [(k, "in put", "out" if k % 2 else "") for k in range(first, first + n)]
