@@ -147,7 +147,9 @@ up AS (
 th AS (SELECT conv_id, turn, min(thread_turn) AS thread_turn FROM up GROUP BY ALL),
 m AS (
   SELECT conv_id, turn, role, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '^([ \t]*>)+'))) AS n_quoted,
-    array_to_string(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: NOT regexp_matches(x, '^([ \t]*>)+')), chr(10)) AS text
+    array_to_string(list_filter(string_split(regexp_replace(coalesce(text, ''),
+      '(^|\n)(?:On [^\n]*[^ \t\r\n.!?:;][ \t\r]*\n)?[ \t]*(?:[^ \t\n>][^\n]*[ \t])?wrote:[ \t\r]*\n((?:[ \t\r]*\n)?[ \t]*>)', '\1\2', 'g'),
+      chr(10)), lambda x: NOT regexp_matches(x, '^([ \t]*>)+')), chr(10)) AS text
   FROM conversations)
 SELECT m.conv_id, coalesce(th.thread_turn, m.turn) AS thread_turn, m.turn, m.role, b.parent_turn, m.n_quoted::BIGINT AS n_quoted,
   coalesce(b.linked, 0)::BIGINT AS n_linked, m.text, '<|' || coalesce(m.role, 'user') || '|>' || chr(10) || m.text AS chat

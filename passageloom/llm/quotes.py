@@ -17,7 +17,9 @@ no conversation is gathered in one task: one may hold a third of all messages.
 
 Rows: a null text is empty. Messages without a conversation or turn aren't
 linked. Messages that share both count as one when they are linked. Lines
-without a letter or digit link nothing.
+without a letter or digit link nothing. Lines that announce a quotation go from
+the text with it, and are lines like any other when messages are linked. Very long
+texts are read line by line, whole. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ from ..functions.text import cat
 from .common import lower_ascii, materialise, text_of
 
 QUOTED = r"^(?:[ \t]*>)+[ \t]?"
+#: "On Monday Ann wrote:" right before a quotation, or with a blank line between; a
+#: line that begins with "On" and ends in no full stop belongs to it.
+ANNOUNCED = r"(^|\n)(?:On [^\n]*[^ \t\r\n.!?:;][ \t\r]*\n)?[ \t]*(?:[^ \t\n>][^\n]*[ \t])?wrote:[ \t\r]*\n((?:[ \t\r]*\n)?[ \t]*>)"
 TELLING = r"[\p{L}\p{N}]"
 #: Words of a passage or sentence at least that is looked for within a text; what
 #: is shorter links as a whole line only.
@@ -50,8 +55,9 @@ def normalised(line: Column) -> Column:
 
 
 def unquoted(text: Column) -> Column:
-    """The text without its quoted lines."""
-    return F.array_join(F.filter(lines(text), lambda x: level(x) == 0), "\n")
+    """The text without its quoted lines and the lines that announce them."""
+    bare = F.regexp_replace(text_of(text), ANNOUNCED, "$1$2")
+    return F.array_join(F.filter(lines(bare), lambda x: level(x) == 0), "\n")
 
 
 def bare_words(passage: Column) -> Column:
@@ -138,6 +144,13 @@ def threads(links: DataFrame) -> DataFrame:
         at = at.drop("moved")
 
 
+def conversations(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """The rows of reply_ordered, sorted: written out, each conversation stands in
+    one piece, thread by thread, with every reply after what it answers; a long one
+    runs over several files, so no task gets it whole."""
+    return reply_ordered(messages, conv_col, turn_col, role_col, text_col).orderBy("conv_id", "thread_turn", "turn")
+
+
 def reply_ordered(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv, thread_turn, turn, role, parent_turn, n_quoted
     (quoted lines), n_linked, text without quotes, and chat, the text under a

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 
 import duckdb
 import public_tokenizers as vocabularies
@@ -112,6 +113,23 @@ def test_token_counts(spark, sf):
         assert (r.n_words, r.n_tokens, r.n_unknown) == (len(words), sum(counts) + counts.count(0), counts.count(0))
 
 
+def test_token_counts_query(spark):
+    """The query over its whole table and whole texts, and repeated rows."""
+    sf = "/root/testdata/sf0.01"
+    pieces = set(token_counts.sentencepiece_vocabulary(vocabularies.path("piece_bpe_32k.model")))
+    known = {}
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        counts = [known[w] if w in known else known.setdefault(w, greedy("▁" + w, pieces)) for w in words]
+        want.append((r.doc_id, len(words), sum(counts) + counts.count(0), counts.count(0)))
+    got = queries.op3_token_counts(spark, sf)
+    assert got.columns == ["doc_id", "n_words", "n_tokens", "n_unknown"] and sorted(map(tuple, got.collect())) == sorted(want)
+    twice = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, None)], "doc_id long, text string")
+    counted = token_counts.document_token_counts(twice, vocabularies.path("piece_bpe_32k.model")).collect()
+    assert sorted(r.n_words for r in counted) == [0, 2, 2] and token_counts.document_token_counts(twice.limit(0), vocabularies.path("piece_bpe_32k.model")).count() == 0
+
+
 # -- mixing
 def test_mixing_query(same):
     same(queries.op4_mixing, queries.OP4_SQL)
@@ -174,6 +192,11 @@ CHAT = [
     (2, 1, "user", "> Where is the key?\nrepeated turn"),
     (None, 3, "user", "> x\ny"),
     (3, None, "user", "z"),
+    (4, 0, "user", "On the way home\nI saw it."),
+    (4, 1, "user", "On Mon, 3 May, Ann <a@b.org> wrote:\n> I saw it.\nMe too."),
+    (4, 2, "user", "On Tue, 4 May,\nBob Hill wrote:\n\n> Me too.\nFine.\nShe wrote:\nAll.\nAnn wrote:\r\n> I saw it."),
+    (4, 3, "user", "I left.\nwrote:\n> Fine."),
+    (4, 4, "user", "On Monday I left.\nAnn wrote:\n> Fine."),
 ]
 
 
@@ -192,9 +215,23 @@ def test_quotes_fixture(spark):
     assert link[1, 5, "user"] == (None, 5, 0) and link[2, 1, "user"] == (0, 0, 1) and link[None, 3, "user"] == (None, 3, 0)
     assert got[1, 3, "assistant"].text == "No, in the bag." and got[1, 3, "assistant"].n_quoted == 2
     assert got[1, 0, "user"].chat == "<|user|>\nWhere is the Key?\nI lost it."
+    said = [got[4, k, "user"].text for k in range(5)]
+    assert said == ["On the way home\nI saw it.", "Me too.", "\nFine.\nShe wrote:\nAll.", "I left.", "On Monday I left."]
     assert quotes.reply_ordered(chat_frame(spark, [])).count() == 0
 
 
+def test_conversations_in_reply_order(spark):
+    got = [(r.conv_id, r.turn) for r in quotes.conversations(chat_frame(spark).repartition(3)).collect() if r.conv_id == 1]
+    assert got == [(1, 0), (1, 1), (1, 3), (1, 2), (1, 4), (1, 5)]
+
+
+def test_quotes_of_very_long_texts(spark):
+    long = "\n".join(f"line {k} of many, wrote: no" for k in range(40_000))
+    rows = [(1, 0, "user", long), (1, 1, "user", "Ann wrote:\n> " + long.replace("\n", "\n> ") + "\nYes."), (1, 2, "user", "x" * 500_000), (1, 3, "user", "> " + "x" * 500_000)]
+    got = {r.turn: r for r in quotes.reply_ordered(chat_frame(spark, rows)).collect()}
+    assert (got[1].parent_turn, got[1].n_linked, got[1].text) == (0, 40_000, "Yes.") and got[3].parent_turn == 2
+
+
 def test_quotes_of_passages(spark):
     long = "The engine runs hot after an hour. Is that, as such, a fault of the pump? I checked the oil twice."
     rows = [
