@@ -6,7 +6,8 @@ row that was decided is skipped when it comes again, and rows on which judging
 failed are judged again, from the log, at the start of each run.
 
 The log is cut by ranges of the key (SPAN) and by route. A batch reads the ranges
-that it has rows of, and a retry the failed rows, never the whole log.
+that it has rows of, all of them where it has rows of 1000, and a retry the failed
+rows.
 """
 
 from __future__ import annotations
