@@ -9,16 +9,19 @@ prefixes, built where they can matter only:
    buckets that tell which ones several documents share.
 2. Blocks send the passages around shared minimizers, each distinct one once
    with the smallest id that holds it, to buckets by minimizer: equal strings
-   meet in one bucket.
+   meet in one bucket. Those of minimizers that many blocks hold first meet
+   within teams of blocks, each of which sends them on once.
 3. A bucket builds the Burrows-Wheeler transform of its passages. Breadth-first
    backward extension of intervals sets the common prefixes of neighbouring
    suffixes in increasing order and stops at LENGTH: neighbours without a value
    by then share a string of LENGTH bytes, whose smallest id is thus known.
-4. What was found goes back to the blocks, which mark and cut their documents.
+4. What was found goes back to the blocks, by their teams where they have one,
+   and they mark and cut their documents.
 
 What crosses the network grows with the text of the corpus, not with the square
 of a group: a string comes to its bucket once from each block, however many
-documents hold it. The documents themselves are dealt to blocks once; the three
+documents hold it, and at most about twice the square root of the blocks' number
+of times in all. The documents themselves are dealt to blocks once; the three
 steps that need them read the same exchange.
 
 Rows: a null text is empty and loses nothing. Rows without an id lose nothing
@@ -41,12 +44,14 @@ LENGTH, GRAM = 50, 24
 #: Bytes of text in a block and behind a bucket; strings of one passage; bytes
 #: hashed at a time.
 BLOCK_BYTES, BUCKET_BYTES, RUN, SLICE = 4 << 20, 1 << 20, 64, 1 << 20
-EXCHANGED = "block int, kind int, bucket int, a binary, b binary, c binary"
-NAMES = ["block", "kind", "bucket", "a", "b", "c"]
+#: Blocks for each team, beyond which those that hold a minimizer meet in teams.
+PER_TEAM = 2
+EXCHANGED = "block int, kind int, bucket int, team int, a binary, b binary, c binary"
+NAMES = ["block", "kind", "bucket", "team", "a", "b", "c"]
 
 
 def packed(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32()] * 3 + [pa.binary()] * 3
+    kinds = [pa.int32()] * 4 + [pa.binary()] * 3
     return pa.table([pa.array(list(x), k) for x, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], names=NAMES)
 
 
@@ -116,21 +121,23 @@ class Runs:
         return start + at, np.minimum(count, RUN), doc + first, least[start]
 
     def distinct(self, ids: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct minimizers by bucket: those, whether several documents have
-        them, their buckets, and each run's place among them."""
+        """Distinct minimizers by bucket: 32 bits that tell them apart there, but
+        for a few that then count as shared, whether several documents have them,
+        their buckets, and each run's place among them."""
         order = np.argsort(self.hash, kind="stable")
         h, i = self.hash[order], ids[self.doc[order]]
         head = np.ones(len(h), bool)
         head[1:] = h[1:] != h[:-1]
         at = np.flatnonzero(head)
         several = np.minimum.reduceat(i, at) < np.maximum.reduceat(i, at) if len(at) else np.zeros(0, bool)
-        bucket = (mixed(h[at] + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+        spread = mixed(h[at] + np.uint64(1))
+        bucket = (spread % np.uint64(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         place = np.empty(len(at), np.int64)
         place[by] = np.arange(len(at))
         runs = np.empty(len(h), np.int64)
         runs[order] = place[np.cumsum(head) - 1]
-        return h[at][by], several[by], bucket[by], runs, order
+        return (spread >> np.uint64(32)).astype(np.uint32)[by], several[by], bucket[by], runs, order
 
 
 def cut_by(bucket: np.ndarray) -> list[tuple[int, slice]]:
@@ -140,9 +147,10 @@ def cut_by(bucket: np.ndarray) -> list[tuple[int, slice]]:
     return [(int(bucket[a]), slice(int(a), int(b))) for a, b in zip(at, ends)]
 
 
-def shared_of(rows: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
-    """For each block's minimizers and several flags: which ones documents share."""
-    hashes = [np.frombuffer(a, np.uint64) for a, _ in rows]
+def shared_of(rows: list[tuple[bytes, bytes]], many: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each block's minimizers and several flags: which ones documents share,
+    and which ones more than many blocks hold."""
+    hashes = [np.frombuffer(a, np.uint32) for a, _ in rows]
     several = [np.unpackbits(np.frombuffer(b, np.uint8), count=len(h)).astype(bool) for (_, b), h in zip(rows, hashes)]
     h, s = np.concatenate(hashes), np.concatenate(several)
     order = np.argsort(h, kind="stable")
@@ -150,26 +158,29 @@ def shared_of(rows: list[tuple[bytes, bytes]]) -> list[np.ndarray]:
     head = np.ones(len(h), bool)
     head[1:] = sorted_h[1:] != sorted_h[:-1]
     at = np.flatnonzero(head)
-    shared = (np.diff(np.append(at, len(h))) > 1) | np.logical_or.reduceat(sorted_s, at)
-    out = np.empty(len(h), bool)
-    out[order] = shared[np.cumsum(head) - 1]
-    return np.split(out, np.cumsum([len(x) for x in hashes])[:-1])
+    held = np.diff(np.append(at, len(h)))
+    out = np.empty((2, len(h)), bool)
+    out[:, order] = np.stack([(held > 1) | np.logical_or.reduceat(sorted_s, at), held > many])[:, np.cumsum(head) - 1]
+    return list(zip(*(np.split(x, np.cumsum([len(x) for x in hashes])[:-1]) for x in out)))
 
 
 class Passages:
-    """The distinct passages of a block around shared minimizers, by bucket."""
+    """The distinct passages of a block around shared minimizers, by bucket: first
+    the out buckets, then hot ones for minimizers that many blocks hold."""
 
-    def __init__(self, table: pa.Table, masks: list[tuple[int, bytes]], buckets: int, out: int):
+    def __init__(self, table: pa.Table, masks: list[tuple[int, bytes, bytes]], buckets: int, out: int, hot: int):
         self.x, self.begins = column_bytes(table.column("t"))
         self.ids = table.column("i").to_numpy()
         self.runs = runs = Runs(self.x, self.begins)
         hashes, _, bucket, place, _ = runs.distinct(self.ids, buckets)
-        shared, where = np.zeros(len(hashes), bool), dict(cut_by(bucket))
-        for b, mask in masks:
+        told, where = np.zeros((2, len(hashes)), bool), dict(cut_by(bucket))
+        for b, *bits in masks:
             s = where[b]
-            shared[s] = np.unpackbits(np.frombuffer(mask, np.uint8), count=s.stop - s.start).astype(bool)
-        self.kept = np.flatnonzero(shared[place])
-        raw, spread = self.x.tobytes(), mixed(runs.hash[self.kept] + np.uint64(2)) % np.uint64(out)
+            for row, x in zip(told, bits):
+                row[s] = np.unpackbits(np.frombuffer(x, np.uint8), count=s.stop - s.start).astype(bool)
+        self.kept = np.flatnonzero(told[0][place])
+        raw, spread = self.x.tobytes(), mixed(runs.hash[self.kept] + np.uint64(2))
+        spread = np.where(told[1][place[self.kept]], spread % np.uint64(hot) + np.uint64(out), spread % np.uint64(out))
         a = runs.start[self.kept]
         b = a + runs.count[self.kept] + runs.length - 1
         texts = [raw[p:q] for p, q in zip(a.tolist(), b.tolist())]
@@ -300,6 +311,56 @@ def pieces(blob: bytes, sizes: bytes) -> list[bytes]:
     return [blob[a:b] for a, b in zip([0, *ends], ends)]
 
 
+class Gathered:
+    """The distinct passages that several rows send, with their smallest ids."""
+
+    def __init__(self, rows: dict[str, list]):
+        number: dict[bytes, int] = {}
+        self.rows, self.places = rows, []
+        for blob, sizes in zip(rows["a"], rows["b"]):
+            mine = pieces(blob, sizes)
+            self.places.append(np.fromiter((number.setdefault(x, len(number)) for x in mine), np.int32, len(mine)))
+        self.passages = list(number)
+        self.known = [np.frombuffer(c, np.int64).reshape(2, -1) for c in rows["c"]]
+        self.least = np.full(len(number), np.iinfo(np.int64).max)
+        self.most = np.full(len(number), np.iinfo(np.int64).min)
+        for at, k in zip(self.places, self.known):
+            np.minimum.at(self.least, at, k[0])
+            np.maximum.at(self.most, at, k[1])
+
+    def extended(self) -> list[tuple[bytes, bytes, bytes]]:
+        """For each row, the entries, offsets and least ids of its strings that a
+        smaller id holds."""
+        least, begins = least_ids(self.passages, self.least)
+        # strings of one passage in a row with one least id go back as one
+        head = np.ones(len(least), bool)
+        head[1:] = least[1:] != least[:-1]
+        head[begins[:-1]] = True
+        heads = np.flatnonzero(head)
+        lowest = np.minimum.reduceat(least, begins[:-1])
+        out = []
+        for at, k in zip(self.places, self.known):
+            tell = np.flatnonzero(lowest[at] < k[1])
+            first, last = np.searchsorted(heads, begins[at[tell]]), np.searchsorted(heads, begins[at[tell] + 1])
+            nth, place = stretches(first, last)
+            entry, place = tell[nth], heads[place]
+            offset = place - begins[at[entry]]
+            out.append((entry.astype(np.int32).tobytes(), offset.astype(np.uint8).tobytes(), least[place].tobytes()))
+        return out
+
+
+def stretches(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers from each first up to its last, and whose they are."""
+    n = last - first
+    return np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+
+
+def told_of(rows: dict[str, list], kind: int) -> tuple[list[int], list[np.ndarray]]:
+    """The rows of a kind; their entries, offsets and least ids."""
+    mine = [k for k, x in enumerate(rows["kind"]) if x == kind]
+    return mine, [np.concatenate([np.frombuffer(rows[c][k], t) for k in mine] or [np.zeros(0, t)]) for c, t in (("a", np.int32), ("b", np.uint8), ("c", np.int64))]
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """i, spans (array of start and size, in bytes, maximal) and kept (binary)
     of each document."""
@@ -307,56 +368,64 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     total = texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks, buckets = max(1, math.ceil(total / BLOCK_BYTES)), max(1, math.ceil(total / BUCKET_BYTES))
     hash_buckets = max(1, math.ceil(buckets / 8))
+    # minimizers that many blocks hold have buckets of their own
+    teams, hot_buckets = math.isqrt(blocks - 1) + 1, hash_buckets
+    many = PER_TEAM * teams
     dealt = texts.where("i IS NOT NULL").select(F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("block"), "i", "t")
 
     def offer(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()
         runs = Runs(*column_bytes(table.column("t")))
         hashes, several, bucket, _, _ = runs.distinct(table.column("i").to_numpy(), hash_buckets)
-        return packed([(block, 0, b, hashes[s].tobytes(), np.packbits(several[s]).tobytes(), None) for b, s in cut_by(bucket)])
+        return packed([(block, 0, b, 0, hashes[s].tobytes(), np.packbits(several[s]).tobytes(), None) for b, s in cut_by(bucket)])
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
-        masks = shared_of(list(zip(rows["a"], rows["b"])))
-        return packed([(k, 1, b, np.packbits(m).tobytes(), None, None) for k, b, m in zip(rows["block"], rows["bucket"], masks)])
+        masks = shared_of(list(zip(rows["a"], rows["b"])), many)
+        return packed([(k, 1, b, 0, *(np.packbits(m).tobytes() for m in both), None) for k, b, both in zip(rows["block"], rows["bucket"], masks)])
 
     def send(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows or not told.num_rows:
             return packed([])
         rows, block = told.to_pydict(), table.column("block")[0].as_py()
-        p = Passages(table, list(zip(rows["bucket"], rows["a"])), hash_buckets, buckets)
+        p = Passages(table, list(zip(rows["bucket"], rows["a"], rows["b"])), hash_buckets, buckets, hot_buckets)
         out = []
         for b, s in p.cuts:
             mine = [x for _, x in p.passages[s]]
             sizes = np.fromiter(map(len, mine), np.int32, len(mine))
-            out.append((block, 2, b, b"".join(mine), sizes.tobytes(), np.concatenate([p.least[s], p.most[s]]).tobytes()))
+            out.append((block, 2, b, -1 if b < buckets else block % teams, b"".join(mine), sizes.tobytes(), np.concatenate([p.least[s], p.most[s]]).tobytes()))
         return packed(out)
 
-    def extend(table: pa.Table) -> pa.Table:
+    def meet(table: pa.Table) -> pa.Table:
+        """A bucket's answers to its blocks; in a team, its passages and where
+        each of its blocks has them."""
         rows = table.to_pydict()
-        mine = [pieces(a, b) for a, b in zip(rows["a"], rows["b"])]
-        known = [np.frombuffer(c, np.int64).reshape(2, -1) for c in rows["c"]]
-        number: dict[bytes, int] = {}
-        places = [np.fromiter((number.setdefault(x, len(number)) for x in m), np.int64, len(m)) for m in mine]
-        ids = np.full(len(number), np.iinfo(np.int64).max)
-        for at, k in zip(places, known):
-            np.minimum.at(ids, at, k[0])
-        least, begins = least_ids(list(number), ids)
-        # strings of one passage in a row with one least id go back as one
-        head = np.ones(len(least), bool)
-        head[1:] = least[1:] != least[:-1]
-        head[begins[:-1]] = True
-        heads = np.flatnonzero(head)
-        lowest = np.minimum.reduceat(least, begins[:-1])
+        both, bucket, team = Gathered(rows), rows["bucket"][0], rows["team"][0]
+        if team < 0:
+            return packed([(k, 3, bucket, team, *found) for k, found in zip(rows["block"], both.extended())])
+        out = [(k, 4, bucket, team, at.tobytes(), None, None) for k, at in zip(rows["block"], both.places)]
+        sizes = np.fromiter(map(len, both.passages), np.int32, len(both.passages))
+        return packed([*out, (team, 5, bucket, -1, b"".join(both.passages), sizes.tobytes(), np.concatenate([both.least, both.most]).tobytes())])
+
+    def settle(table: pa.Table) -> pa.Table:
+        """A hot bucket's answers to its teams."""
+        if table.column("kind")[0].as_py() != 5:
+            return table
+        rows = table.to_pydict()
+        return packed([(-1, 6, rows["bucket"][0], team, *found) for team, found in zip(rows["block"], Gathered(rows).extended())])
+
+    def pass_on(table: pa.Table) -> pa.Table:
+        """A team's answers to its blocks."""
+        if table.column("team")[0].as_py() < 0:
+            return table
+        rows = table.to_pydict()
+        _, (entry, offset, least) = told_of(rows, 6)
         out = []
-        for block, bucket, at, k in zip(rows["block"], rows["bucket"], places, known):
-            tell = np.flatnonzero(lowest[at] < k[1])
-            first, last = np.searchsorted(heads, begins[at[tell]]), np.searchsorted(heads, begins[at[tell] + 1])
-            n = last - first
-            entry = np.repeat(tell, n)
-            place = heads[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)]
-            offset = place - begins[at[entry]]
-            out.append((block, 3, bucket, entry.astype(np.int32).tobytes(), offset.astype(np.uint8).tobytes(), least[place].tobytes()))
+        for k, block in enumerate(rows["block"]):
+            if rows["kind"][k] == 4:
+                at = np.frombuffer(rows["a"][k], np.int32)
+                mine, place = stretches(np.searchsorted(entry, at), np.searchsorted(entry, at, "right"))
+                out.append((block, 3, rows["bucket"][k], -1, mine.astype(np.int32).tobytes(), offset[place].tobytes(), least[place].tobytes()))
         return packed(out)
 
     kept_type = pa.list_(pa.struct([("start", pa.int32()), ("size", pa.int32())]))
@@ -366,20 +435,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         x, begins = column_bytes(texts)
         gone = np.zeros(len(x) + 1, np.int32)
         rows = told.to_pydict()
-        found = [k for k in range(told.num_rows) if rows["kind"][k] == 3]
+        found, (entry, offset, least) = told_of(rows, 3)
         if table.num_rows and found:
-            p = Passages(table, [(b, a) for b, a, kind in zip(rows["bucket"], rows["a"], rows["kind"]) if kind == 1], hash_buckets, buckets)
+            masks = [x for *x, kind in zip(rows["bucket"], rows["a"], rows["b"], rows["kind"]) if kind == 1]
+            p = Passages(table, masks, hash_buckets, buckets, hot_buckets)
             where, strings = dict(p.cuts), np.array([len(t) for _, t in p.passages], np.int64) - LENGTH + 1
-            entry = np.concatenate([np.frombuffer(rows["a"][k], np.int32) + where[rows["bucket"][k]].start for k in found]).astype(np.int64)
-            offset = np.concatenate([np.frombuffer(rows["b"][k], np.uint8) for k in found]).astype(np.int64)
-            least = np.concatenate([np.frombuffer(rows["c"][k], np.int64) for k in found])
+            entry = entry + np.repeat([where[rows["bucket"][k]].start for k in found], [len(rows["b"][k]) for k in found])
+            offset = offset.astype(np.int64)
             order = np.lexsort((offset, entry))
             entry, offset, least = entry[order], offset[order], least[order]
             end = np.where(np.append(entry[1:] == entry[:-1], False), np.append(offset[1:], 0), strings[entry]) if len(entry) else offset
             first, last = np.searchsorted(entry, p.number), np.searchsorted(entry, p.number, "right")
-            n = last - first  # stretches told of each passage, wherever it stands
-            run = np.repeat(np.arange(len(n)), n)
-            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+            run, k = stretches(first, last)  # told of each passage, wherever it stands
             mine = least[k] < p.ids[p.runs.doc[p.kept[run]]]
             run, k = run[mine], k[mine]
             start = p.runs.start[p.kept[run]]
@@ -412,7 +479,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     offered = dealt.groupBy("block").applyInArrow(offer, EXCHANGED)
     masks = offered.groupBy("bucket").applyInArrow(compare, EXCHANGED)
     sent = dealt.groupBy("block").cogroup(masks.groupBy("block")).applyInArrow(send, EXCHANGED)
-    found = sent.groupBy("bucket").applyInArrow(extend, EXCHANGED)
+    found = sent.groupBy("bucket", "team").applyInArrow(meet, EXCHANGED)
+    for step in (settle, pass_on):
+        found = found.groupBy("bucket", "team").applyInArrow(step, EXCHANGED)
     told = masks.union(found)
     shape = "i long, spans array<struct<start: int, size: int>>, kept binary"
     done = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut, shape)

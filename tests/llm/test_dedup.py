@@ -148,6 +148,32 @@ def test_suffix_blocks(spark, monkeypatch):
     assert digests(suffix_dedup.suffix_dedup(edge(spark, rows))) == brute_spans([(i, t.encode()) for i, t, _ in rows], 50)
 
 
+@pytest.mark.parametrize("per_team", [0, 2, 1 << 30])
+def test_suffix_teams(spark, monkeypatch, per_team):
+    """Passages in most blocks, with neighbours that differ, meet in teams first;
+    with every minimizer in a team, or none, the result is the same."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 700)
+    monkeypatch.setattr(suffix_dedup, "PER_TEAM", per_team)
+    rng = random.Random(4)
+    common = "".join(rng.choice("abcdefgh ") for _ in range(150))
+    rare = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(20)]
+    rows = []
+    for k in rng.sample(range(1000), 60):
+        a = rng.randint(0, 80)
+        rows.append((k, rng.choice("xyz") + common[a : a + rng.randint(45, 150)] + rng.choice("xyz") + rng.choice(rare) + common[:60], "s"))
+    want = brute_spans([(i, t.encode()) for i, t, _ in rows], 50)
+    assert digests(suffix_dedup.suffix_dedup(edge(spark, rows))) == want
+
+def test_shared_minimizers():
+    held = [np.arange(9, dtype=np.uint32), np.arange(5, 9, dtype=np.uint32), np.array([0, 7], np.uint32)]
+    several = np.arange(9) == 4
+    rows = [(h.tobytes(), np.packbits(several[: len(h)] if len(h) == 9 else np.zeros(len(h), bool)).tobytes()) for h in held]
+    got = suffix_dedup.shared_of(rows, 2)
+    assert [x.tolist() for x in got[0]] == [[k in (0, 4, 5, 6, 7, 8) for k in range(9)], [k == 7 for k in range(9)]]
+    assert [x.tolist() for x in got[2]] == [[True, True], [False, True]]
+
+
 def test_suffix_edges(spark):
     long = "0123456789" * 6
     rows = [(1, None, "a"), (2, "", "a"), (3, long, "a"), (3, long, "a"), (4, "x" + long, "a"), (None, long, "a"), (5, "y" * 49, "a"), (6, "y" * 49, "a")]
