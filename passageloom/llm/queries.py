@@ -12,6 +12,7 @@ from .html_text import page_text
 from .mixing import mixing_plan
 from .near_dup import near_duplicates
 from .quotes import reply_ordered
+from .repair import damaged, repair_report
 from .suffix_dedup import suffix_dedup
 from .token_counts import document_token_counts
 from .topk import topk
@@ -73,6 +74,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(damaged(read(spark, sf_dir, "conversations")))
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
@@ -156,6 +161,57 @@ SELECT m.conv_id, coalesce(th.thread_turn, m.turn) AS thread_turn, m.turn, m.rol
 FROM m LEFT JOIN b ON m.conv_id = b.conv_id AND m.turn = b.turn LEFT JOIN th ON m.conv_id = th.conv_id AND m.turn = th.turn
 """
 
+#: A state of the fold is written as ten digits of cost and then its audit, so that
+#: the least string is the least pair.
+def _sql_then(x: str, cost: str, letter: str) -> str:
+    return f"(printf('%010d', {x}[1:10]::BIGINT + {cost}) || {x}[11:] || {letter})"
+
+
+def _sql_put(x: str, role: str) -> str:
+    return _sql_then(x, f"CASE WHEN i = '{role}' THEN cut ELSE cut + 2 END", f"CASE WHEN i = '{role}' THEN 'K' ELSE 'R' END")
+
+
+_FAR = "'1000000000'"
+_GONE = {k: _sql_then(k, "3", "'D'") for k in "esua"}
+OP11_SQL = rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda ch: [ascii(ch)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))) AS crc FROM conversations),
+h AS (SELECT *, xor(crc, 4294967295) % 20 AS kind FROM raw),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM h, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS k, role[1:1] AS i,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM d),
+f AS (SELECT *, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS before, bare = '' AS blank,
+    bare <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS dup FROM o),
+g AS (SELECT *, blank OR dup AS gone, CASE WHEN NOT blank AND NOT dup AND bare[-1:] NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS cut FROM f),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(blank)::BIGINT AS blank, count_if(dup)::BIGINT AS duplicate,
+    sum(cut)::BIGINT AS truncated, count_if(before || i NOT IN ('su', 'ua', 'au'))::BIGINT AS illegal FROM g GROUP BY conv_id),
+z AS (
+  SELECT conv_id, 0::BIGINT AS k, '0000000000' AS e, {_FAR} AS s, {_FAR} AS u, {_FAR} AS a FROM n
+  UNION ALL
+  SELECT conv_id, k, {_GONE['e']},
+    CASE WHEN gone OR i <> 's' THEN {_GONE['s']} ELSE least({_GONE['s']}, {_sql_then('e', 'cut', "'K'")}) END,
+    CASE WHEN gone THEN {_GONE['u']} ELSE least({_GONE['u']}, {_sql_put('least(e, s, a)', 'u')}) END,
+    CASE WHEN gone THEN {_GONE['a']} ELSE least({_GONE['a']}, {_sql_put('u', 'a')}) END
+  FROM (SELECT conv_id, k, i, gone, cut, e, s, u, least(a, {_sql_then('u', '2', "'I'")}) AS a
+    FROM (SELECT z.conv_id, g.k, g.i, g.gone, g.cut, e, s, least(u, {_sql_then('e', '2', "'I'")}, {_sql_then('s', '2', "'I'")}, {_sql_then('a', '2', "'I'")}) AS u, a
+      FROM z JOIN g ON g.conv_id IS NOT DISTINCT FROM z.conv_id AND g.k = z.k + 1))),
+b AS (SELECT z.conv_id, n.gaps, n.blank, n.duplicate, n.truncated, n.illegal, least(e, a, {_sql_then('u', '2', "'I'")}, {_sql_then('s', '4', "'II'")}) AS best
+  FROM z JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id AND n.n = z.k),
+l AS (SELECT b.conv_id, j, best[10 + j] AS op, length(replace(best[11:10 + j], 'I', '')) AS row, length(replace(best[11:10 + j], 'D', '')) AS place
+  FROM b, unnest(range(1, length(best) - 9)) AS t(j)),
+w AS (SELECT l.*, g.role, g.text, max(CASE WHEN place = 1 AND op = 'K' AND g.i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY l.conv_id) AS sys
+  FROM l LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM l.conv_id AND g.k = l.row WHERE op <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role WHEN (place - 1 + sys) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS said
+  FROM w GROUP BY conv_id)
+SELECT c.conv_id, coalesce(b.gaps, 0) AS gaps, coalesce(b.blank, 0) AS blank, coalesce(b.duplicate, 0) AS duplicate, coalesce(b.truncated, 0) AS truncated, coalesce(b.illegal, 0) AS illegal,
+  coalesce(best[1:10]::BIGINT, 0) AS cost, coalesce(best[11:], '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
 QUERIES = {
     "op1_exact_topk": op1_exact_topk,
     "op4_mixing": op4_mixing,
@@ -167,10 +223,12 @@ QUERIES = {
     "op6_byte_bpe": op6_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 ORACLE_SQL = {
     "op1_exact_topk": OP1_SQL,
     "op4_mixing": OP4_SQL,
     "op9_quote_linking": OP9_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
