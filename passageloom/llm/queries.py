@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .align import alignment_report
 from .bpe import bpe_digest
 from .common import read
 from .exact_dedup import exact_dedup
 from .html_text import page_text
 from .mixing import mixing_plan
 from .near_dup import near_duplicates
+from .pieces import piece_digest
 from .quotes import reply_ordered
 from .repair import damaged, repair_report
 from .suffix_dedup import suffix_dedup
@@ -78,6 +80,18 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_report(damaged(read(spark, sf_dir, "conversations")))
 
 
+def op12_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    return piece_digest(read(spark, sf_dir, "documents"), vocabularies.path("piece_bpe_32k.model"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as vocabularies
+
+    return alignment_report(read(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), vocabularies.PATTERN, vocabularies.path("piece_bpe_32k.model"))
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
@@ -224,6 +238,8 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_piece_bpe": op12_piece_bpe,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLE_SQL = {
     "op1_exact_topk": OP1_SQL,

@@ -214,7 +214,7 @@ def edits(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     blank_end = F.struct(F.lit(0).cast("long").alias("cost"), F.lit("").alias("audit"), F.lit("").alias("path"))
     v = F.get("m", F.lit(0))
     add = lambda x, n: F.struct((x["cost"] + n * INSERT).alias("cost"), F.concat(x["audit"], F.lit("I" * n)).alias("audit"), x["path"].alias("path"))
-    best = F.coalesce(F.least(v["e"], v["a"], add(v["u"], 1), add(v["s"], 2), add(v["e"], 2)), blank_end)
+    best = F.when(F.col("m").isNotNull(), F.least(v["e"], v["a"], add(v["u"], 1), add(v["s"], 2))).otherwise(blank_end)
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     gaps = F.when(F.col("least").isNotNull(), F.col("most") - F.col("least") + 1 - F.col("new_turn")).otherwise(0).cast("long")
     return barrier(whole, best=best).select("c", "conv_id", gaps.alias("gaps"), *map(count, ("blank", "duplicate", "truncated", "illegal")), "best.cost", "best.audit", "best.path")
