@@ -118,6 +118,11 @@ def barrier(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, made).select(*kept, *[F.col(f"once_.{n}").alias(n) for n in columns])
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is computed once, within an expression."""
+    return F.transform(F.array(value), use)[0]
+
+
 def list_literal(items: Column) -> Column:
     """The items as a Python list of strings is printed."""
 

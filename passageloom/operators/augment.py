@@ -10,7 +10,7 @@ from ..plans.tasks import GATE, ROWS_TYPE, TASKS, Task, drawn, list_tasks, resol
 from ..sources.files import files_of, write_jsonl
 from .chunk import chunk_text, usable
 from .judge import add_reasoning
-from .runtime import Parts, RuleRuntime, Runtime, ask, ddl, with_parts
+from .runtime import Parts, RuleRuntime, Runtime, ask, typed, with_parts
 
 ROW = ["instruction", "input", "output"]
 KEYS = ["task", "format", "generation", "variation", "row_no"]
@@ -38,7 +38,7 @@ def drafted(passages: DataFrame, tasks: list[Task], id_col: str, text_col: str,
     """call_id, passage, the keys and the row of answers that rules draft, for all
     tasks in one pass: parts of a passage, drafts and rows are computed once."""
     x = Parts()
-    drafts = {f"o{k}_": F.when(wanted(t.name, selected), t.draft(x).cast(f"struct<{ddl(t.schema)}>")) for k, t in enumerate(tasks)}
+    drafts = {f"o{k}_": F.when(wanted(t.name, selected), t.draft(x).cast(t.tree.ddl())) for k, t in enumerate(tasks)}
     calls = with_parts(base_calls(passages, id_col, text_col, selected), x.taken)
     calls = barrier(calls, **drafts, **({"flat_": flat(F.col("passage"))} if any(t.quotes for t in tasks) else {}))
     sets = []
@@ -69,14 +69,12 @@ def answers(passages: DataFrame, tasks: list[Task], runtime: Runtime, id_col: st
 
 def built(asked: DataFrame, tasks: list[Task]) -> DataFrame:
     """call_id, passage, the keys and the row of valid answers."""
-    parsed = {f"o{k}_": F.when(F.col("task") == t.name, F.from_json("raw", t.schema)) for k, t in enumerate(tasks)}
-    asked = barrier(asked, **parsed, **({"flat_": flat(F.col("passage"))} if any(t.quotes for t in tasks) else {}))
+    asked = typed(asked, tasks, **({"flat_": flat(F.col("passage"))} if any(t.quotes for t in tasks) else {}))
     made = F.lit(None).cast(ROWS_TYPE)
     for k, t in enumerate(tasks):
         out = F.col(f"o{k}_")
         for name, make in t.formats.items():
-            fits = (F.col("task") == t.name) & (F.col("format") == name) & F.col("error").isNull() & t.valid(out, F.col("n_words"))
-            made = F.when(fits, make(F.col("passage"), out).cast(ROWS_TYPE)).otherwise(made)
+            made = F.when(out.isNotNull() & (F.col("format") == name), make(F.col("passage"), out).cast(ROWS_TYPE)).otherwise(made)
     return asked.select("call_id", "passage", *KEYS[:4], F.posexplode(made).alias("row_no", "r"))
 
 

@@ -11,29 +11,18 @@ from pyspark.sql import functions as F
 from ..functions.text import cat, count_words, maskable, strip
 from ..plans.tasks import COMPARISON, NO_ANSWER, REASON, RETRIEVAL, passage_list, retrieval_rows
 from ..sources.files import shared_dir
-from .runtime import RuleRuntime, Runtime, ask, checked, completed
+from .runtime import RuleRuntime, Runtime, ask, completed, typed
 
 #: Fixed value: passages of a group at least.
 LEAST = 2
 ROW = ["instruction", "input", "output"]
 
 
-def passage_groups(docs: DataFrame, size: int = 3, by: str = "source", id_col: str = "doc_id", text_col: str = "text", span: int = 1000) -> DataFrame:
-    """group_id, ids and passages: up to size neighbours in id order that share
-    `by`; ids are cut into spans first, so that no window holds a whole source."""
-    ready = docs.select(by, F.col(id_col).alias("i"), strip(F.col(text_col)).alias("t"), F.floor(F.col(id_col) / span).alias("span")).where("t <> ''")
-    numbered = ready.withColumn("g", F.floor((F.row_number().over(W.partitionBy(by, "span").orderBy("i")) - 1) / size))
-    grouped = numbered.groupBy(by, "span", "g").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("x"))
-    grouped = grouped.where(F.size("x") >= LEAST)
-    ids, texts = F.transform("x", lambda v: v["i"]), F.transform("x", lambda v: v["t"])
-    return grouped.select(F.element_at(ids, 1).alias("group_id"), ids.alias("ids"), texts.alias("passages"))
-
-
 def all_groups(docs: DataFrame, size: int = 3, by: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """group_id, ids and passages as of passage_groups, but of every document:
-    the documents of a source are numbered in id order whatever their ids, and a
-    last single one joins the group before it. Only the single document of a
-    source is in no group.
+    """group_id, ids and passages: up to size neighbours in id order that share
+    `by`, of every document: the documents of a source are numbered in id order
+    whatever their ids, and a last single one joins the group before it. Only the
+    single document of a source is in no group.
 
     Rows are range-partitioned by source and id and written, so that a number is
     the rank in a partition plus the counts of those before; no window holds a
@@ -121,7 +110,7 @@ def retrieval(
         told = calls.select("own_", why.alias("out"))
     else:
         raw = source.raw(completed(calls), {t.name: t for t in (REASON, NO_ANSWER)})
-        told = checked(raw, REASON, F.from_json("raw", REASON.schema), F.col("raw"))  # both reasons have one schema and bound
+        told = typed(raw, [REASON, NO_ANSWER]).withColumn("out", F.coalesce("o0_", "o1_"))
     made = told.where("out IS NOT NULL").select("own_.*", F.col("out.why").alias("why"))
     given = F.when(F.col("negative"), F.filter("ps", lambda p, i: i != F.col("passage_no"))).otherwise(F.col("ps"))
     rows = retrieval_rows(given, F.when(~F.col("negative"), F.col("passage_no")), F.col("q"), F.col("why"))

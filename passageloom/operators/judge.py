@@ -53,15 +53,15 @@ def judge_rule() -> Column:
 
 def postfilter(rows: DataFrame, judge: Column | None = None, runtime: Runtime | None = None, criteria: str | None = None, key: Column | None = None, datapoint: Column | None = None) -> DataFrame:
     """rows with judge, a struct of is_quality and reason; none is dropped. With a
-    runtime its answer by the criteria, and judge_error where it failed for good
-    (then judge is null and judge_reason says why)."""
+    runtime its answer by the criteria, judge_attempts, and judge_error where it
+    failed for good (then judge is null and judge_reason says why)."""
     if runtime is None:
         if criteria is not None:
             judge_prompt(F.lit(""), criteria)
         return rows.withColumn("judge", judge_rule() if judge is None else judge)
     shown = row_json(*[c for c in (*ROW, "reasoning") if c in rows.columns]) if datapoint is None else datapoint
     fields = {c: F.col(c) for c in ("input", "output") if c in rows.columns}
-    asked = ask(rows, JUDGE, runtime, default_key(rows) if key is None else key, judge_prompt(shown, criteria), "judge", "judge_reason", **fields)
+    asked = ask(rows, JUDGE, runtime, default_key(rows) if key is None else key, judge_prompt(shown, criteria), "judge", "judge_reason", "judge_attempts", **fields)
     return asked.withColumn("judge_error", F.col("judge_reason").isNotNull())
 
 

@@ -8,6 +8,9 @@ RuleRuntime drafts an answer from the passage by rule, in native columns. It is
 no model and says nothing of one; with it every task runs at any size and can be
 checked. TableRuntime looks answers up. HttpRuntime asks a chat endpoint, the
 variations of an answer right after it, so that each is asked once.
+
+What a model answers is read as VARIANT and walked by the task's schema tree; see
+typed and quarantine.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import time
+import urllib.error
 import urllib.request
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
@@ -26,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import barrier, count_words, maskable, sentences, words
+from ..plans.schema import Fields, from_ddl
 from ..plans.tasks import Task
 
 #: What a model offers by the first of these that its name holds;
@@ -64,21 +69,48 @@ class Runtime(ABC):
         (variations), as one row per answer: with variation, raw and error."""
 
     def apply(self, calls: DataFrame, task: Task) -> DataFrame:
-        """calls with out and error."""
+        """calls with out, error and attempts, how often it was asked for."""
         asked = self.raw(completed(calls).withColumn("task", F.lit(task.name)), {task.name: task})
-        found = checked(asked, task, F.from_json("raw", task.schema), F.col("raw"))
-        return found.select(*calls.columns, *[c for c in ("format", "generation", "variation") if c not in calls.columns], "out", "error")
+        found = typed(asked, [task]).withColumn("out", F.col("o0_"))
+        return found.select(*calls.columns, *[c for c in ("format", "generation", "variation") if c not in calls.columns], "out", "error", "attempts")
 
 
-def checked(calls: DataFrame, task: Task, out: Column, raw: Column | None = None) -> DataFrame:
-    """calls with out where it is valid, and error where it isn't."""
+def checked(calls: DataFrame, task: Task, out: Column) -> DataFrame:
+    """calls with out, a struct, where it is valid, and error where it isn't."""
     made = barrier(calls, out=out)
-    good = task.valid(F.col("out"), F.col("n_words"))
-    missing = F.lit("no answer") if raw is None else F.when(raw.isNull() | (raw == ""), "empty response").otherwise("no valid answer")
-    found = F.coalesce(F.col("error"), F.when(~good, missing)) if "error" in calls.columns else F.when(~good, missing)
+    found = F.when(~task.valid(F.col("out"), F.col("n_words")), "no answer")
     return made.withColumn("error", found).withColumn("out", F.when(F.col("error").isNull(), F.col("out")))
 
 
+def typed(asked: DataFrame, tasks: list[Task], **more: Column) -> DataFrame:
+    """Raw answers read strictly: asked with o0_, o1_ and so on, the struct of each
+    task where the answer is one of it and valid; problems_, what is wrong by place,
+    null where no answer came; and error. more are columns computed with them."""
+    raw, v, n, task = (F.col(c) for c in ("raw", "v_", "n_words", "task"))
+    read = barrier(asked, v_=F.try_parse_json(raw), **more)
+    found = F.array(F.lit("no such task"))
+    for t in tasks:
+        found = F.when(task == t.name, t.tree.problems(v, F.lit(""), n)).otherwise(found)
+    said = F.when(raw.isNull() | (raw == ""), F.array(F.lit("empty response"))).when(v.isNull(), F.array(F.lit("not JSON"))).otherwise(found)
+    read = barrier(read, problems_=F.when(F.col("error").isNull(), said))
+    good = F.size("problems_") == 0
+    read = barrier(read, **{f"o{k}_": F.when(good & (task == t.name), t.tree.value(v)) for k, t in enumerate(tasks)})
+    wrong = F.when(F.size("problems_") > 0, F.array_join("problems_", "; "))
+    return read.drop("v_").withColumn("error", F.coalesce("error", wrong))
+
+
+def quarantine(asked: DataFrame, tasks: list[Task]) -> DataFrame:
+    """What is wrong with answers, a row for each thing: call_id, task, format,
+    generation, variation, place (null where no answer came), problem and raw."""
+    bad = typed(asked, tasks).where("error IS NOT NULL")
+    each = F.explode(F.coalesce("problems_", F.array("error"))).alias("p")
+    bad = bad.select("call_id", "task", "format", "generation", "variation", each, (F.col("problems_").isNotNull()).alias("came"), "raw")
+    placed = F.col("came") & F.col("p").contains(": ")
+    place = F.when(placed, F.substring_index("p", ": ", 1))
+    problem = F.when(placed, F.substring(F.col("p"), F.length(place) + 3, F.length("p"))).otherwise(F.col("p"))
+    return bad.select("call_id", "task", "format", "generation", "variation", place.alias("place"), problem.alias("problem"), "raw")
+
+
 class Parts(dict):
     """What rules look at: id, t (text), w, s and c (words, sentences, maskable
     words), and any further column of the call; notes which were taken."""
@@ -104,8 +136,8 @@ class RuleRuntime(Runtime):
 
     def apply(self, calls: DataFrame, task: Task) -> DataFrame:
         x = Parts()
-        out = task.draft(x).cast(f"struct<{ddl(task.schema)}>")
-        made = checked(with_parts(calls, x.taken), task, out)
+        out = task.draft(x).cast(task.tree.ddl())
+        made = checked(with_parts(calls, x.taken), task, out).withColumn("attempts", F.lit(0))
         return made.drop(*({"w_", "s_", "c_", "n_words"} - set(calls.columns)))
 
 
@@ -120,36 +152,25 @@ class TableRuntime(Runtime):
         found = self.answers.where(F.col("task").isin(*tasks)).select(F.col("task").alias("of_task"), F.col("call_id").cast("string").alias("answer_id"), "raw")
         joined = calls.join(found, (F.col("task") == F.col("of_task")) & (F.col("call_id").cast("string") == F.col("answer_id")), "left").drop("of_task", "answer_id")
         joined = joined.withColumn("variation", F.explode(F.sequence(F.col("variation"), F.col("variation") + F.col("variations"))))
-        return joined.withColumn("error", F.lit(None).cast("string"))
+        return joined.withColumns({"error": F.lit(None).cast("string"), "attempts": F.lit(1)})
 
 
-def ask(rows: DataFrame, task: Task, runtime: Runtime | None, call_id: Column, passage: Column, out: str = "out", error: str = "error", **fields: Column) -> DataFrame:
-    """rows with out and error of one call each; fields are what the task's rule
-    looks at besides the passage. Columns of those names are replaced."""
-    own = [c for c in rows.columns if c not in (out, error)]
+def ask(rows: DataFrame, task: Task, runtime: Runtime | None, call_id: Column, passage: Column, out: str = "out", error: str = "error", attempts: str | None = None, **fields: Column) -> DataFrame:
+    """rows with out and error of one call each, and attempts if it has a name;
+    fields are what the task's rule looks at besides the passage. Columns of those
+    names are replaced."""
+    own = [c for c in rows.columns if c not in (out, error, attempts)]
     calls = rows.select(F.struct(*own).alias("own_"), call_id.alias("call_id"), passage.alias("passage"), *[v.alias(k) for k, v in fields.items()])
     made = (runtime or RuleRuntime()).apply(calls, task)
-    return made.select("own_.*", F.col("out").alias(out), F.col("error").alias(error))
-
-
-def ddl(schema: str) -> str:
-    """A table schema as the fields of a struct type."""
-    return ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in T.StructType.fromDDL(schema).fields)
+    return made.select("own_.*", F.col("out").alias(out), F.col("error").alias(error), *([F.col("attempts").alias(attempts)] if attempts else []))
 
 
-def json_schema(schema: str | dict) -> dict:
-    """The JSON schema of a DDL schema; one that is there already stays."""
+def json_schema(schema: str | dict | Fields, n_words: int | None = None) -> dict:
+    """The JSON schema of a tree or of a table schema, with bounds for a passage of
+    n_words; one that is there already stays."""
     if isinstance(schema, dict):
         return schema
-
-    def of(kind: T.DataType) -> dict:
-        if isinstance(kind, T.ArrayType):
-            return {"type": "array", "items": of(kind.elementType)}
-        if isinstance(kind, T.StructType):
-            return {"type": "object", "properties": {f.name: of(f.dataType) for f in kind.fields}, "required": kind.names, "additionalProperties": False}
-        return {"type": "boolean" if isinstance(kind, T.BooleanType) else "string"}
-
-    return of(T.StructType.fromDDL(schema))
+    return (from_ddl(schema) if isinstance(schema, str) else schema).json_schema(n_words)
 
 
 def balanced_object(text: str) -> str | None:
@@ -195,21 +216,21 @@ def response_mode(model: str, mode: str = "auto") -> str:
     return next((kind for part, kind in MODELS if part in model.lower()), "json_object")
 
 
-def response_format(mode: str, schema: str | dict) -> dict:
+def response_format(mode: str, schema: str | dict | Fields) -> dict:
     if mode == "json_schema":
         return {"type": "json_schema", "json_schema": {"name": "answer", "strict": True, "schema": json_schema(schema)}}
     return {"type": "json_object"}
 
 
-def messages(task: Task, passage: str, fmt: str = "", previous: str | None = None) -> list[dict[str, str]]:
+def messages(task: Task, passage: str, fmt: str = "", previous: str | None = None, n_words: int | None = None) -> list[dict[str, str]]:
     """The chat of a call; previous is the answer that a variation departs from."""
     extra = task.format_prompts.get(fmt, "")
     system = "\n\n".join(x for x in (task.prompt.strip(), extra.strip()) if x)
     user = passage if previous is None else f"{passage}\n\nGive another answer of the same form, unlike this one:\n{previous}"
-    return with_schema([{"role": "system", "content": system}, {"role": "user", "content": user}], task.schema)
+    return with_schema([{"role": "system", "content": system}, {"role": "user", "content": user}], task.tree.json_schema(n_words))
 
 
-def with_schema(chat: list[dict[str, str]], schema: str) -> list[dict[str, str]]:
+def with_schema(chat: list[dict[str, str]], schema: str | dict | Fields) -> list[dict[str, str]]:
     """The chat with the schema in its last system message, or in a new first one."""
     note = "Answer with one JSON object of this schema:\n" + json.dumps(json_schema(schema), ensure_ascii=False)
     last = max((k for k, m in enumerate(chat) if m["role"] == "system"), default=None)
@@ -218,9 +239,18 @@ def with_schema(chat: list[dict[str, str]], schema: str) -> list[dict[str, str]]
     return [{**m, "content": f"{m['content']}\n\n{note}"} if k == last else m for k, m in enumerate(chat)]
 
 
-#: How hard a model may be asked to think; names of the token limit.
+#: How hard a model may be asked to think; names of the token limit;
+#: client errors that may pass.
 EFFORTS = ("none", "minimal", "low", "medium", "high", "xhigh")
 LIMITS = ("max_tokens", "max_completion_tokens")
+PASSING = (408, 409, 425, 429)
+
+
+def spread(calls: DataFrame, partitions: int) -> DataFrame:
+    """calls dealt to partitions so that each gets as many of any length, the long
+    ones first: sorted by length in ranges, each range dealt out in turn."""
+    ranged = calls.repartitionByRange(F.col("n_words").desc())
+    return ranged.repartition(partitions).sortWithinPartitions(F.col("n_words").desc())
 
 
 class HttpRuntime(Runtime):
@@ -228,62 +258,83 @@ class HttpRuntime(Runtime):
 
     model, base_url and api_key are taken from the environment where they aren't
     given: PASSAGELOOM_MODEL, OPENAI_BASE_URL and OPENAI_API_KEY. Each task keeps
-    at most `concurrent` requests open; partitions times that is the load on the
-    endpoint. Failed requests are tried again, and what fails for good becomes an
-    error column, never an exception. Materialise what comes back before it is
-    read twice, else calls are repeated.
+    at most `concurrent` requests open. With `cap`, calls are dealt to so few tasks,
+    evenly by length, that no more than cap requests are open at once, however many
+    cores there are; with `partitions`, to so many tasks. Failed requests and answers
+    that the task's schema refuses are tried again, `attempts` times in all, after a
+    growing pause; errors that stay, such as a wrong key, aren't. What fails for good
+    becomes an error column, never an exception. Materialise what comes back before
+    it is read twice, else calls are repeated.
     """
 
     def __init__(
         self, model: str | None = None, base_url: str | None = None, api_key: str | None = None, mode: str = "auto", concurrent: int = 8, attempts: int = 3, pause: float = 0.5,
-        timeout: float = 120, partitions: int | None = None, extra: dict | None = None, effort: str | None = None, limit_name: str = "max_tokens",
+        timeout: float = 120, partitions: int | None = None, extra: dict | None = None, effort: str | None = None, limit_name: str = "max_tokens", cap: int | None = None,
     ):
         given = {"PASSAGELOOM_MODEL": model, "OPENAI_BASE_URL": base_url, "OPENAI_API_KEY": api_key}
         found = {name: value or os.environ.get(name, "") for name, value in given.items()}
         if lacking := [name for name in ("PASSAGELOOM_MODEL", "OPENAI_BASE_URL") if not found[name]]:
             raise ValueError(f"give model and base_url, or set {' and '.join(lacking)}")
-        if concurrent <= 0:
-            raise ValueError("concurrent must be greater than 0")
+        for name, number in (("concurrent", concurrent), ("attempts", attempts), ("cap", 1 if cap is None else cap)):
+            if number <= 0:
+                raise ValueError(f"{name} must be greater than 0")
+        if cap is not None and partitions is not None:
+            raise ValueError("give cap or partitions")
         if effort is not None and effort not in EFFORTS:
             raise ValueError(f"Unknown effort {effort!r}. Available: {', '.join(EFFORTS)}")
         if limit_name not in LIMITS:
             raise ValueError(f"Unknown name of the token limit {limit_name!r}. Available: {', '.join(LIMITS)}")
         self.model, base_url, self.key = found.values()
         self.url, self.mode = base_url.rstrip("/") + "/chat/completions", response_mode(self.model, mode)
-        self.concurrent, self.attempts, self.pause, self.timeout, self.partitions = concurrent, attempts, pause, timeout, partitions
+        self.concurrent, self.attempts, self.pause, self.timeout = min(concurrent, cap or concurrent), attempts, pause, timeout
+        self.partitions = partitions if cap is None else cap // self.concurrent
         self.extra, self.limit_name = ({"reasoning_effort": effort} if effort else {}) | (extra or {}), limit_name
 
-    def body(self, task: Task, chat: list[dict[str, str]], variation: bool) -> bytes:
+    def body(self, task: Task, chat: list[dict[str, str]], variation: bool, n_words: int | None = None) -> bytes:
         sent = {"model": self.model, "messages": chat, "temperature": task.variation_temperature if variation else task.temperature, self.limit_name: task.max_tokens}
-        sent["response_format"] = response_format(self.mode, task.schema)
+        sent["response_format"] = response_format(self.mode, task.tree.json_schema(n_words))
         return json.dumps(sent | self.extra).encode()
 
-    def ask(self, body: bytes) -> tuple[str | None, str | None]:
-        """The answer's text and the error, one of them null."""
-        said = "no attempt"
-        for n in range(self.attempts):
-            try:
-                head = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
-                with urllib.request.urlopen(urllib.request.Request(self.url, body, head), timeout=self.timeout) as got:
-                    text = json.load(got)["choices"][0]["message"]["content"]
-                if text:
-                    return text, None
-                said = "empty response"
-            except Exception as why:  # noqa: BLE001  it becomes the row's error
-                said = f"{type(why).__name__}: {why}"
-            time.sleep(self.pause * (n + 1))
-        return None, said[:500]
+    def once(self, body: bytes) -> tuple[str | None, str | None, bool]:
+        """The answer's text, the error, and whether it may pass."""
+        try:
+            head = {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"}
+            with urllib.request.urlopen(urllib.request.Request(self.url, body, head), timeout=self.timeout) as got:
+                text = json.load(got)["choices"][0]["message"]["content"]
+            return (text, None, True) if text else (None, "empty response", True)
+        except Exception as why:  # noqa: BLE001  it becomes the row's error
+            stays = isinstance(why, urllib.error.HTTPError) and 400 <= why.code < 500 and why.code not in PASSING
+            return None, f"{type(why).__name__}: {why}"[:500], not stays
+
+    def ask(self, body: bytes, task: Task, n_words: int) -> tuple[str | None, str | None, int]:
+        """The answer's JSON, the error and how often was asked. An answer that is
+        refused to the end is returned as it is, to be refused by its column."""
+        text = error = None
+        for n in range(1, self.attempts + 1):
+            text, error, passing = self.once(body)
+            if text is not None:
+                text = bare(recovered(text), json_schema(task.tree))
+                try:
+                    if not task.tree.problems_of(json.loads(text), n_words=n_words):
+                        break
+                except (ValueError, RecursionError):
+                    pass
+            elif not passing:
+                break
+            if n < self.attempts:
+                time.sleep(self.pause * n)
+        return text, error, n
 
     def raw(self, calls: DataFrame, tasks: dict[str, Task]) -> DataFrame:
-        # what a worker needs of the tasks; DDL is read here, on the driver
-        plain = {n: t.with_knobs(formats={}, checks=(), draft=None, schema=json_schema(t.schema)) for n, t in tasks.items()}
+        # what a worker needs of the tasks; table schemas are read here, on the driver
+        plain = {n: t.with_knobs(formats={}, draft=None, shape=t.tree) for n, t in tasks.items()}
 
-        def chain(task: str, passage: str, fmt: str, variation: int, variations: int, previous: str | None) -> list[tuple]:
-            """variation, raw and error of an answer and its variations."""
+        def chain(task: str, passage: str, fmt: str, variation: int, variations: int, previous: str | None, n_words: int) -> list[tuple]:
+            """variation, raw, error and attempts of an answer and its variations."""
             out, t = [], plain[task]
             for v in range(variation, variation + variations + 1):
-                text, error = self.ask(self.body(t, messages(t, passage, fmt, previous), bool(v)))
-                out.append((v, bare(recovered(text), t.schema), error))
+                text, error, n = self.ask(self.body(t, messages(t, passage, fmt, previous, n_words), bool(v), n_words), t, n_words)
+                out.append((v, text, error, n))
                 if v == variation and text is None:
                     break  # nothing to depart from
                 previous = out[0][1] if previous is None else previous
@@ -292,12 +343,12 @@ class HttpRuntime(Runtime):
         def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             with ThreadPoolExecutor(self.concurrent) as pool:
                 for frame in frames:
-                    given = [frame[c].tolist() for c in ("task", "passage", "format", "variation", "variations", "previous")]
+                    given = [frame[c].tolist() for c in ("task", "passage", "format", "variation", "variations", "previous", "n_words")]
                     found = list(pool.map(chain, *given))
                     made = frame.loc[frame.index.repeat([len(x) for x in found])].copy()
-                    made["variation"], made["raw"], made["error"] = ([x[k] for f in found for x in f] for k in range(3))
+                    made["variation"], made["raw"], made["error"], made["attempts"] = ([x[k] for f in found for x in f] for k in range(4))
                     yield made
 
         if self.partitions:
-            calls = calls.repartition(self.partitions)
-        return calls.mapInPandas(answer, T.StructType([*calls.schema.fields, T.StructField("raw", T.StringType()), T.StructField("error", T.StringType())]))
+            calls = spread(calls, self.partitions)
+        return calls.mapInPandas(answer, T.StructType([*calls.schema.fields, *T.StructType.fromDDL("raw string, error string, attempts int").fields]))

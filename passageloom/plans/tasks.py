@@ -38,6 +38,7 @@ from ..functions.text import (
     template,
     words,
 )
+from .schema import Fields, Flag, Text, fields, from_ddl, many
 
 #: Closed sets of the schemas.
 TONES = ("formal", "informal", "technical", "persuasive", "narrative", "instructional")
@@ -61,7 +62,6 @@ FRAMES = (
 
 Passage = dict[str, Column]
 Rows = Callable[[Column, Column], Column]
-Check = Callable[[Column, Column], Column]
 
 
 def row(instruction: Column | str, input: Column | str, output: Column | str) -> Column:
@@ -86,45 +86,12 @@ def only_if(condition: Column, rows: Column) -> Column:
     return F.when(condition, rows).otherwise(F.array().cast(ROWS_TYPE))
 
 
-# Bounds of an answer, as predicates of it and of the passage's words.
-def longest(path: str, most: int) -> Check:
-    return lambda o, n: F.length(o[path]) <= most
-
-
-def grows(path: str, eighths: int, minimum: int) -> Check:
-    return lambda o, n: F.length(o[path]) <= length_bound(n, eighths, minimum)
-
-
-def count(path: str, least: int, most: int) -> Check:
-    return lambda o, n: F.size(o[path]).between(least, most)
-
-
-def one_of(path: str, choices: tuple[str, ...]) -> Check:
-    return lambda o, n: o[path].isin(*choices)
-
-
-def all_items(path: str, **most: int | tuple[str, ...]) -> Check:
-    """Each item's fields: a longest length, or the values that may be."""
-
-    def check(o: Column, n: Column) -> Column:
-        def fits(x: Column) -> Column:
-            ok = F.lit(True)
-            for name, bound in most.items():
-                ok = ok & (x[name].isin(*bound) if isinstance(bound, tuple) else F.length(x[name]) <= bound)
-            return ok
-
-        return F.forall(o[path], fits)
-
-    return check
-
-
 @dataclass(frozen=True)
 class Task:
     name: str
     prompt: str
-    schema: str
+    shape: Fields | str
     formats: dict[str, Rows]
-    checks: tuple[Check, ...] = ()
     draft: Callable[[Passage], Column] | None = None
     hint: str = ""
     native: bool = False  # needs no model
@@ -142,14 +109,18 @@ class Task:
     def with_knobs(self, **knobs: object) -> Task:
         return replace(self, **knobs)
 
+    @property
+    def tree(self) -> Fields:
+        """What an answer may look like, with its bounds."""
+        return from_ddl(self.shape) if isinstance(self.shape, str) else self.shape
+
+    @property
+    def schema(self) -> str:
+        return self.tree.table
+
     def valid(self, out: Column, n_words: Column) -> Column:
         """Whether an answer is there, with all its fields, and within its bounds."""
-        ok = out.isNotNull()
-        for part in split_fields(self.schema):
-            ok = ok & out[part.strip().split()[0]].isNotNull()
-        for check in self.checks:
-            ok = ok & F.coalesce(check(out, n_words), F.lit(False))
-        return ok
+        return self.tree.fits(out, n_words)
 
     def templates(self) -> dict[str, list[str]]:
         return {i: [f.format(i) if "{" not in i else f.replace("{}", i) for f in FRAMES[: self.pool]] for i in self.instructions}
@@ -477,9 +448,8 @@ def style_task(style: str = "eli5", description: str | None = None) -> Task:
     return Task(
         "style_transfer",
         f"Rewrite the passage in {description}. Keep all that it says.",
-        "rewritten string",
+        fields(rewritten=Text(grows=(24, 2000))),
         {"plain": lambda p, o: F.array(row(instruction, p, o["rewritten"]))},
-        (grows("rewritten", 24, 2000),),
         lambda x: struct(rewritten=left(F.lower(x["t"]), length_bound(F.size(x["w"]), 24, 2000))),
         "the passage can be told in another style.",
         temperature=0.5,
@@ -488,8 +458,8 @@ def style_task(style: str = "eli5", description: str | None = None) -> Task:
     )
 
 
-def simple(name: str, prompt: str, schema: str, rows: Rows, **more: object) -> Task:
-    return Task(name, prompt, schema, {"plain": rows}, **more)
+def simple(name: str, prompt: str, shape: Fields, rows: Rows, **more: object) -> Task:
+    return Task(name, prompt, shape, {"plain": rows}, **more)
 
 
 def s(x: Passage, k: int) -> Column:
@@ -506,153 +476,137 @@ def entity(x: Passage, k: int) -> Column:
 
 SINGLE = [
     Task(
-        "bullets", "List the important points of the passage, each short and grounded in it.", "bullets array<string>",
+        "bullets", "List the important points of the passage, each short and grounded in it.", fields(bullets=many(1, 6, Text())),
         {"markdown": lambda p, o: two(BULLETS_MD, p, dashed(o["bullets"])), "python_list": lambda p, o: two(BULLETS_PY, p, list_literal(o["bullets"]))},
-        (count("bullets", 1, 6),), lambda x: struct(bullets=F.slice(x["s"], 1, 6)), "the passage makes several separate points.",
+        lambda x: struct(bullets=F.slice(x["s"], 1, 6)), "the passage makes several separate points.",
         variations=1, pool=7, instructions=BULLETS_MD + BULLETS_PY, format_prompts={"markdown": "Points become markdown bullets.", "python_list": "Points become a Python list."},
     ),
     Task(
-        "qa_pairs", "Write important questions on the passage with their answers.", "qa_pairs array<struct<question string, answer string>>",
+        "qa_pairs", "Write important questions on the passage with their answers.", fields(qa_pairs=many(1, 3, question=Text(grows=(40, 300), beyond=300), answer=Text(grows=(40, 500), beyond=300))),
         {"markdown": qa_rows("markdown"), "json": qa_rows("json")},
-        (count("qa_pairs", 1, 3),),
         lambda x: struct(qa_pairs=F.transform(F.slice(x["s"], 1, 3), lambda v, i: struct(question=cat("What is stated in sentence ", (i + 1).cast("string"), "?"), answer=v))),
         "the passage states facts that can be asked for.", pool=6,
         instructions=(QA_ALL_MD, QA_ALL_JSON, QA_QUESTIONS_MD, QA_QUESTIONS_JSON, QA_ONE, QA_PAIR_MD, QA_PAIR_JSON),
     ),
-    simple("rephrase", "Rephrase the passage without changing what it says.", "rephrased string", lambda p, o: F.array(row(REPHRASE, p, o["rephrased"])),
-           checks=(grows("rephrased", 40, 1000),), draft=lambda x: struct(rephrased=left(collapse(x["t"]), length_bound(F.size(x["w"]), 40, 1000))),
+    simple("rephrase", "Rephrase the passage without changing what it says.", fields(rephrased=Text(grows=(40, 1000))), lambda p, o: F.array(row(REPHRASE, p, o["rephrased"])),
+           draft=lambda x: struct(rephrased=left(collapse(x["t"]), length_bound(F.size(x["w"]), 40, 1000))),
            hint="the passage is prose that can be worded otherwise.", temperature=0.5, pool=8, instructions=(REPHRASE,)),
     simple("continuation", "Cut the passage into beginnings and the text that follows.",
-           "prefix_10 string, rest_after_prefix_10 string, prefix_20 string, rest_after_prefix_20 string, prefix_10_suffix_10 string, middle_without_10_edges string",
+           fields(prefix_10=Text(), rest_after_prefix_10=Text(), prefix_20=Text(), rest_after_prefix_20=Text(), prefix_10_suffix_10=Text(), middle_without_10_edges=Text()),
            continuation_rows, draft=continuation_draft, native=True, hint="the passage is some sentences long, so that its parts mean something.", pool=7, instructions=(CONTINUE, CONTINUE_20, MIDDLE)),
     Task(
-        "triplets", "List subject, relation and object triplets that the passage supports.", "triplets array<struct<subject string, relation string, object string>>",
+        "triplets", "List subject, relation and object triplets that the passage supports.", fields(triplets=many(1, 2, subject=Text(120), relation=Text(120), object=Text(160))),
         {"markdown": lambda p, o: two(TRIPLES_MD, p, dashed(F.transform(o["triplets"], lambda t: cat("(", t["subject"], ", ", t["relation"], ", ", t["object"], ")")))),
          "json": lambda p, o: two(TRIPLES_JSON, p, json_objects(o["triplets"], "subject", "relation", "object"))},
-        (count("triplets", 1, 2), all_items("triplets", subject=120, relation=120, object=160)),
         lambda x: struct(triplets=F.transform(F.slice(F.filter(x["s"], lambda v: F.size(words(v)) >= 3), 1, 2), lambda v: struct(
             subject=left(words(v)[0], 120), relation=left(words(v)[1], 120), object=left(joined(F.slice(words(v), F.lit(3), F.size(words(v)))), 160)))),
         "the passage relates named things.", pool=7, instructions=TRIPLES_MD + TRIPLES_JSON,
     ),
-    simple("summarize", "Sum up the passage in one sentence and in a short paragraph.", "tldr string, summary string",
-           lambda p, o: F.array(row(TLDR, p, o["tldr"]), row(SUMMARY, p, o["summary"])), checks=(longest("tldr", 200), grows("summary", 4, 1000)),
+    simple("summarize", "Sum up the passage in one sentence and in a short paragraph.", fields(tldr=Text(200), summary=Text(grows=(4, 1000))),
+           lambda p, o: F.array(row(TLDR, p, o["tldr"]), row(SUMMARY, p, o["summary"])),
            draft=lambda x: struct(tldr=left(s(x, 0), 200), summary=left(joined(F.slice(x["s"], 1, 3)), length_bound(F.size(x["w"]), 4, 1000))),
            hint="the passage is long enough to be shortened.", temperature=0.3, pool=7, instructions=(TLDR, SUMMARY)),
-    simple("title", "Write a title and a headline for the passage.", "title string, headline string", lambda p, o: F.array(row(TITLE, p, o["title"]), row(HEADLINE, p, o["headline"])),
-           checks=(longest("title", 120), longest("headline", 200)), draft=lambda x: struct(title=left(joined(F.slice(x["w"], 1, 8)), 120), headline=left(s(x, 0), 200)),
+    simple("title", "Write a title and a headline for the passage.", fields(title=Text(120), headline=Text(200)), lambda p, o: F.array(row(TITLE, p, o["title"]), row(HEADLINE, p, o["headline"])),
+           draft=lambda x: struct(title=left(joined(F.slice(x["w"], 1, 8)), 120), headline=left(s(x, 0), 200)),
            hint="the passage has one theme.", temperature=0.4, pool=7, instructions=(TITLE, HEADLINE)),
-    simple("cloze", "Cut words and a sentence out of the passage.", "word_masked_passage string, word_answers string, sentence_masked_passage string, sentence_answer string",
+    simple("cloze", "Cut words and a sentence out of the passage.", fields(word_masked_passage=Text(), word_answers=Text(), sentence_masked_passage=Text(), sentence_answer=Text()),
            cloze_rows, draft=cloze_draft, native=True, hint="the passage has several sentences with telling words.", pool=7, instructions=(FILL_WORDS, FILL_SENTENCE)),
-    simple("extractive_qa", "Write questions that an exact quote from the passage answers.", "items array<struct<question string, supporting_quote string>>",
+    simple("extractive_qa", "Write questions that an exact quote from the passage answers.", fields(items=many(1, 5, question=Text(300), supporting_quote=Text(500))),
            lambda p, o: each(F.filter(o["items"], lambda i: quoted(i["supporting_quote"])), lambda i: [row(EXTRACT, in_passage(p, "Question: ", i["question"]), i["supporting_quote"])]),
-           quotes=True, checks=(count("items", 1, 5), all_items("items", question=300, supporting_quote=500)),
+           quotes=True,
            draft=lambda x: struct(items=F.transform(F.concat(F.transform(F.slice(x["s"], 1, 4), lambda v: left(v, 500)), F.array(F.lit(FABRICATED))),
                                                     lambda v, i: struct(question=cat("Which words make statement ", (i + 1).cast("string"), "?"), supporting_quote=v))),
            hint="the passage holds answers word for word.", temperature=0.3, pool=8, instructions=(EXTRACT,)),
-    simple("classification", "Name topic, tone and audience of the passage.", "topic string, tone string, audience string",
+    simple("classification", "Name topic, tone and audience of the passage.", fields(topic=Text(80), tone=Text(choices=TONES), audience=Text(choices=AUDIENCES)),
            lambda p, o: F.array(row(TOPIC, p, o["topic"]), row(TONE, p, o["tone"]), row(AUDIENCE, p, o["audience"])),
-           checks=(longest("topic", 80), one_of("tone", TONES), one_of("audience", AUDIENCES)),
            draft=lambda x: struct(topic=left(c(x, 0), 80), tone=pick(x, "classification", 0, TONES), audience=pick(x, "classification", 1, AUDIENCES)),
            hint="the passage has a clear topic and tone.", temperature=0.1, max_tokens=1024, pool=7, instructions=(TOPIC, TONE, AUDIENCE)),
     style_task(),
-    simple("backtranslation", "Write the instruction that the passage would be an answer to.", "instruction string", lambda p, o: F.array(row(o["instruction"], "", p)),
-           checks=(longest("instruction", 400),), draft=lambda x: struct(instruction=cat("Write a passage about ", left(c(x, 0), 300), ".")),
+    simple("backtranslation", "Write the instruction that the passage would be an answer to.", fields(instruction=Text(400)), lambda p, o: F.array(row(o["instruction"], "", p)),
+           draft=lambda x: struct(instruction=cat("Write a passage about ", left(c(x, 0), 300), ".")),
            hint="the passage reads like an answer.", temperature=0.5, max_tokens=1024),
-    simple("counterfactual", "Change a premise of the passage and say what would follow.", "original_claim string, altered_premise string, question string, consequence string",
+    simple("counterfactual", "Change a premise of the passage and say what would follow.", fields(original_claim=Text(300), altered_premise=Text(300), question=Text(300), consequence=Text(1000)),
            lambda p, o: F.array(row(cat("Counterfactual premise: ", o["altered_premise"], "\n\n", o["question"]), p, o["consequence"])),
-           checks=(longest("original_claim", 300), longest("altered_premise", 300), longest("question", 300), longest("consequence", 1000)),
            draft=lambda x: struct(original_claim=left(s(x, 0), 200), altered_premise=cat("Suppose this were not so: ", left(s(x, 0), 200)), question="What would follow?", consequence=left(s(x, 1), 1000)),
            hint="the passage argues from a premise.", temperature=0.7),
-    simple("claim_evidence_plan", "Give a claim with a quote that supports it and one that does not.", "claim string, supporting_quote string, unrelated_quote string", claim_evidence_rows, quotes=True,
-           checks=(longest("claim", 300), longest("supporting_quote", 500), longest("unrelated_quote", 500)),
+    simple("claim_evidence_plan", "Give a claim with a quote that supports it and one that does not.", fields(claim=Text(300), supporting_quote=Text(500), unrelated_quote=Text(500)), claim_evidence_rows, quotes=True,
            draft=lambda x: struct(claim=left(s(x, 0), 300), supporting_quote=left(s(x, 0), 500), unrelated_quote=left(F.element_at(x["s"], -1), 500)),
            hint="the passage makes claims and gives evidence.", temperature=0.3, pool=4, instructions=(VERIFY, CHOOSE)),
     simple("evidence_selection", "Give claims with candidate quotes of which one supports the claim.",
-           "items array<struct<claim string, candidate_quotes array<string>, supporting_quote string, rationale string>>", evidence_selection_rows, quotes=True,
-           checks=(count("items", 1, 4), all_items("items", claim=300, supporting_quote=500, rationale=400), lambda o, n: F.forall(o["items"], lambda i: F.size(i["candidate_quotes"]).between(2, 5))),
+           fields(items=many(1, 4, claim=Text(300), candidate_quotes=many(2, 5, Text()), supporting_quote=Text(500), rationale=Text(400))), evidence_selection_rows, quotes=True,
            draft=lambda x: struct(items=F.array(
                struct(claim=left(s(x, 0), 300), candidate_quotes=F.array(left(s(x, 0), 500), left(s(x, 1), 500), F.lit(FABRICATED)), supporting_quote=left(s(x, 0), 500), rationale="It says the same."),
                struct(claim=left(s(x, 1), 300), candidate_quotes=F.array(left(s(x, 0), 500), F.lit(FABRICATED)), supporting_quote=left(s(x, 2), 500), rationale="It is not a candidate."))),
            hint="the passage has several statements to choose from.", temperature=0.3, pool=5, instructions=(SELECT, RATIONALE, SUPPORTS)),
-    simple("claim_verification", "Give claims, label each by the passage, and give the evidence.", "items array<struct<claim string, label string, evidence string>>", claim_verification_rows,
-           checks=(count("items", 1, 5), all_items("items", claim=300, label=CLAIM_LABELS, evidence=600)),
+    simple("claim_verification", "Give claims, label each by the passage, and give the evidence.", fields(items=many(1, 5, claim=Text(300), label=Text(choices=CLAIM_LABELS), evidence=Text(600))), claim_verification_rows,
            draft=lambda x: struct(items=F.array(*[struct(claim=left(s(x, k), 300), label=CLAIM_LABELS[k], evidence=left(s(x, k), 600)) for k in range(3)])),
            hint="the passage makes claims that can be checked.", temperature=0.4, pool=5, instructions=(LABEL_EVIDENCE, LABEL_ONLY, EVIDENCE_ONLY, LABEL_JSON)),
-    simple("entity_extraction", "List the entities of the passage with type and context.", "entities array<struct<name string, type string, context string>>", entity_rows,
-           checks=(count("entities", 1, 12), all_items("entities", name=120, type=ENTITY_TYPES, context=300)),
+    simple("entity_extraction", "List the entities of the passage with type and context.", fields(entities=many(1, 12, name=Text(120), type=Text(choices=ENTITY_TYPES), context=Text(300))), entity_rows,
            draft=lambda x: struct(entities=F.when(F.size(x["c"]) >= 3, F.array(entity(x, 0), entity(x, 1), entity(x, 2))).otherwise(F.array(entity(x, 0), entity(x, 1)))),
            hint="the passage names things.", pool=5, instructions=(ENTITIES, ENTITY_TYPE)),
-    simple("definition_extraction", "List the terms that the passage defines, with a quote.", "definitions array<struct<term string, definition string, supporting_quote string>>", definition_rows, quotes=True,
-           checks=(count("definitions", 1, 6), all_items("definitions", term=120, definition=500, supporting_quote=500)),
+    simple("definition_extraction", "List the terms that the passage defines, with a quote.", fields(definitions=many(1, 6, term=Text(120), definition=Text(500), supporting_quote=Text(500))), definition_rows, quotes=True,
            draft=lambda x: struct(definitions=F.array(struct(term=left(c(x, 0), 120), definition=left(s(x, 0), 500), supporting_quote=left(s(x, 0), 500)),
                                                       struct(term=left(c(x, 1), 120), definition=left(s(x, 1), 500), supporting_quote=FABRICATED))),
            hint="the passage defines terms.", pool=5, instructions=(DEFINE, DEFINE_QUOTE)),
-    simple("method_steps", "Name the process of the passage and list its steps.", "process_name string, steps array<struct<step string>>", method_rows,
-           checks=(longest("process_name", 120), count("steps", 2, 8), all_items("steps", step=250)),
+    simple("method_steps", "Name the process of the passage and list its steps.", fields(process_name=Text(120), steps=many(2, 8, step=Text(250))), method_rows,
            draft=lambda x: struct(process_name=left(c(x, 0), 120), steps=F.transform(F.slice(x["s"], 1, 4), lambda v: struct(step=left(v, 250)))),
            hint="the passage describes a procedure.", temperature=0.3, pool=5, instructions=(STEPS, PROCESS, NEXT_STEP, MISSING_STEP)),
-    simple("structured_records", "List the facts of the passage as subject, attribute and value.", "records array<struct<subject string, attribute string, value string>>", record_rows,
-           checks=(count("records", 1, 10), all_items("records", subject=160, attribute=160, value=240)),
+    simple("structured_records", "List the facts of the passage as subject, attribute and value.", fields(records=many(1, 10, subject=Text(160), attribute=Text(160), value=Text(240))), record_rows,
            draft=lambda x: struct(records=F.array(*[struct(subject=left(c(x, k), 160), attribute="sentence", value=left(s(x, k), 240)) for k in range(2)])),
            hint="the passage holds facts about things.", pool=5, instructions=(RECORDS_JSON, RECORDS_TEXT, VALUE_OF, ATTRIBUTE_OF, SUBJECT_OF)),
-    simple("section_heading", "Write a section heading for the passage and say why it fits.", "heading string, rationale string",
+    simple("section_heading", "Write a section heading for the passage and say why it fits.", fields(heading=Text(100), rationale=Text(300)),
            lambda p, o: F.array(row(HEADING, p, o["heading"]), row(HEADING_WHY, in_passage(p, "Heading: ", o["heading"]), o["rationale"])),
-           checks=(longest("heading", 100), longest("rationale", 300)), draft=lambda x: struct(heading=left(cat(c(x, 0), " ", c(x, 1)), 100), rationale="It names the main words."),
+           draft=lambda x: struct(heading=left(cat(c(x, 0), " ", c(x, 1)), 100), rationale="It names the main words."),
            hint="the passage could stand under a heading.", temperature=0.3, pool=5, instructions=(HEADING, HEADING_WHY)),
-    simple("sentence_equivalence_plan", "Quote a sentence of the passage and reword it without changing its meaning.", "source_sentence string, equivalent_sentences array<string>", equivalence_rows, quotes=True,
-           checks=(longest("source_sentence", 500), count("equivalent_sentences", 1, 4)),
+    simple("sentence_equivalence_plan", "Quote a sentence of the passage and reword it without changing its meaning.", fields(source_sentence=Text(500), equivalent_sentences=many(1, 4, Text())), equivalence_rows, quotes=True,
            draft=lambda x: struct(source_sentence=left(s(x, 0), 500), equivalent_sentences=F.array(cat("In other words: ", s(x, 0)), left(s(x, 0), 500))),
            hint="the passage has sentences that can be worded otherwise.", temperature=0.4, pool=4, instructions=(SIMILAR, EQUIVALENT, NLI)),
     simple("sentence_contrast_plan", "Quote a sentence of the passage and contradict it by small replacements.",
-           "source_sentence string, replacements array<struct<original string, replacement string, contradiction_type string>>", contrast_rows, quotes=True,
-           checks=(longest("source_sentence", 500), count("replacements", 1, 4), all_items("replacements", original=120, replacement=120, contradiction_type=CONTRADICTIONS)),
+           fields(source_sentence=Text(500), replacements=many(1, 4, original=Text(120), replacement=Text(120), contradiction_type=Text(choices=CONTRADICTIONS))), contrast_rows, quotes=True,
            draft=lambda x: struct(source_sentence=left(s(x, 0), 500), replacements=F.array(
                struct(original=left(words(s(x, 0))[0], 120), replacement="never", contradiction_type="negation"), struct(original="qqqq", replacement="x", contradiction_type="attribute"))),
            hint="the passage has sentences that a word can contradict.", temperature=0.4, pool=4, instructions=(SIMILAR, EQUIVALENT, NLI, CORRECT_SENTENCE, NAME_CHANGE)),
-    simple("query_generation", "Write search queries that the passage answers.", "queries array<string>",
+    simple("query_generation", "Write search queries that the passage answers.", fields(queries=many(1, 6, Text())),
            lambda p, o: F.concat(F.array(row(QUERIES, p, F.array_join(o["queries"], "\n"))), F.transform(o["queries"], lambda q: row(QUERY_PASSAGE, q, p))),
-           checks=(count("queries", 1, 6),), draft=lambda x: struct(queries=F.array_compact(F.array(c(x, 0), c(x, 1), cat(c(x, 0), " ", c(x, 1))))),
+           draft=lambda x: struct(queries=F.array_compact(F.array(c(x, 0), c(x, 1), cat(c(x, 0), " ", c(x, 1))))),
            hint="the passage answers something people look for.", temperature=0.5, pool=5, instructions=(QUERIES, QUERY_PASSAGE)),
     simple("distractor_qa", "Write multiple-choice questions on the passage, with keywords that can be replaced.",
-           "questions array<struct<question string, correct_answer string, distractors array<string>, explanation string, keyword_replacements array<struct<keyword string, replacement string>>>>", distractor_rows,
-           checks=(count("questions", 1, 4), all_items("questions", question=300, correct_answer=200, explanation=500),
-                   lambda o, n: F.forall(o["questions"], lambda q: F.size(q["distractors"]).between(2, 4) & F.size(q["keyword_replacements"]).between(1, 4))),
+           fields(questions=many(1, 4, question=Text(300), correct_answer=Text(200), distractors=many(2, 4, Text()), explanation=Text(500), keyword_replacements=many(1, 4, keyword=Text(80), replacement=Text(80)))), distractor_rows,
            draft=lambda x: struct(questions=F.array(
                struct(question="Which word stands in the passage?", correct_answer=left(c(x, 0), 200), distractors=F.array(F.lit("none"), F.lit("other")), explanation="It stands there.",
                       keyword_replacements=F.array(struct(keyword=left(c(x, 0), 80), replacement="nothing"), struct(keyword="qqqq", replacement="x"))),
                struct(question="Which one is it?", correct_answer=left(c(x, 1), 200), distractors=F.array(left(c(x, 1), 200), F.lit("other")), explanation="Two choices are equal.",
                       keyword_replacements=F.array(struct(keyword=left(c(x, 1), 80), replacement="nothing"))))),
            hint="the passage holds facts that can be asked with choices.", temperature=0.5, pool=5, instructions=(CHOICE, CHOICE_ONLY, CHOICE_WHY, CHOICE_WRONG, VALID, CORRECT_PASSAGE, NAME_WORD)),
-    simple("error_correction", "Put errors into the passage and note them.", "corrupted_passage string, correction_notes string",
+    simple("error_correction", "Put errors into the passage and note them.", fields(corrupted_passage=Text(2000), correction_notes=Text(500)),
            lambda p, o: F.array(row(FIX, o["corrupted_passage"], p), row(FIX_NOTES, o["corrupted_passage"], o["correction_notes"])),
-           checks=(longest("corrupted_passage", 2000), longest("correction_notes", 500)),
            draft=lambda x: struct(corrupted_passage=replace_first(x["t"], c(x, 0), F.reverse(c(x, 0))), correction_notes="A word is spelled backwards."),
            hint="the passage is clean prose.", temperature=0.6, pool=5, instructions=(FIX, FIX_NOTES)),
 ]
 
 COMPARISON = Task(
-    "comparison", COMPARE, "answer string",
-    {"plain": lambda ps, o: F.array(row(COMPARE, passage_list(ps), o["answer"]))}, (grows("answer", 24, 500),),
+    "comparison", COMPARE, fields(answer=Text(grows=(24, 500))),
+    {"plain": lambda ps, o: F.array(row(COMPARE, passage_list(ps), o["answer"]))},
     lambda x: struct(answer=cat("The first passage speaks of ", x["first_word"], "; the second speaks of ", x["second_word"], ".")),
     temperature=0.5, passages=2, generations=3,
 )
 RETRIEVAL = Task(
-    "retrieval", "Write questions that one passage answers and no other does.", "questions array<string>", {}, (count("questions", 1, 4),),
+    "retrieval", "Write questions that one passage answers and no other does.", fields(questions=many(1, 4, Text())), {},
     lambda x: struct(questions=F.transform(F.slice(x["c"], 1, 2), lambda w: cat("Which passage mentions ", w, "?"))), passages=2,
 )
 REASON = Task(
-    "retrieval_reason", "Say in a sentence why the passage answers the question.", "why string", {}, (longest("why", 300),),
+    "retrieval_reason", "Say in a sentence why the passage answers the question.", fields(why=Text(300)), {},
     lambda x: struct(why="It mentions the word."),
 )
 NO_ANSWER = Task(
-    "no_answer_reason", "Say in a sentence why none of the passages answers the question.", "why string", {}, (longest("why", 300),),
+    "no_answer_reason", "Say in a sentence why none of the passages answers the question.", fields(why=Text(300)), {},
     lambda x: struct(why="No passage mentions the word."),
 )
 
 # -- calls around the tasks ------------------------------------------------------
 GATE = Task(
     "gate", "Decide whether a passage is worth making training data of: it holds prose of ten words or more that means something, and is no markup, code, heading or boilerplate.",
-    "is_quality boolean", {}, (),
+    fields(is_quality=Flag()), {},
     lambda x: struct(is_quality=(F.size(x["w"]) >= LEAST_WORDS) & (F.length(F.regexp_replace(x["t"], r"[^\p{L}]", "")) * 2 >= F.length(x["t"]))),
     temperature=0.1, max_tokens=20,
 )
@@ -668,11 +622,11 @@ def judge_draft(x: Passage) -> Column:
 
 JUDGE = Task(
     "judge", "Judge a training datapoint by the criteria given, and by nothing else. Say in few words why it is kept or rejected.",
-    "is_quality boolean, reason string", {}, (), judge_draft, temperature=0.0, max_tokens=500,
+    fields(is_quality=Flag(), reason=Text()), {}, judge_draft, temperature=0.0, max_tokens=500,
 )
 REASONING = Task(
     "reasoning", "Set out, step by step and in impersonal words, how the response follows from what the passage says. Don't speak of the task, of the form of the response or of yourself.",
-    "reasoning string", {}, (),
+    fields(reasoning=Text()), {},
     lambda x: struct(reasoning=cat("The instruction asks: ", x["instruction"], " The input has ", F.length(x["input"]).cast("string"), " characters. The output follows from it.")),
     max_tokens=1000,
 )
@@ -695,8 +649,7 @@ def selector(menu: list[Task], chance: float = 0.25, seed: int = 0) -> Task:
     names = tuple(t.name for t in menu)
     options = "\n".join(f"- {t.name}: select it if {t.hint}" for t in menu)
     return Task(
-        "selector", f"Select from this list the tasks that suit the passage: none, one or several.\n{options}", "selected array<string>", {},
-        (lambda o, n: F.forall(o["selected"], lambda v: v.isin(*names)),) if names else (),
+        "selector", f"Select from this list the tasks that suit the passage: none, one or several.\n{options}", fields(selected=many(0, None, Text(choices=names))), {},
         lambda x: struct(selected=drawn(x, dict.fromkeys(names, chance), seed)), temperature=0.1, max_tokens=1024,
     )
 
@@ -752,7 +705,7 @@ def task(
         return Task(name, prompt, schema, {"plain": rows}, hint=hint, **knobs)
     if not (instruction or instruction_variants):
         raise ValueError("an instruction is needed unless rows is given")
-    names = [part.strip().split()[0] for part in split_fields(schema)]
+    names = [n for n, _ in from_ddl(schema).of]
     if output is None and len(names) != 1:
         raise ValueError("output is needed where the schema has several fields")
     base = instruction or instruction_variants[0]
@@ -771,15 +724,3 @@ def task(
         pool = list(dict.fromkeys([base, *instruction_variants]))
         object.__setattr__(built, "templates", lambda: {base: pool})
     return built
-
-
-def split_fields(schema: str) -> list[str]:
-    """Top-level fields of a DDL schema."""
-    out, depth = [""], 0
-    for ch in schema:
-        depth += (ch in "<(") - (ch in ">)")
-        if ch == "," and not depth:
-            out.append("")
-        else:
-            out[-1] += ch
-    return out

@@ -1,9 +1,9 @@
 import pytest
 
-from passageloom.plans import more_queries, queries
+from passageloom.plans import more_queries, queries, run_queries
 
-QUERIES = queries.QUERIES | more_queries.QUERIES
-SQL = queries.ORACLE_SQL | more_queries.ORACLE_SQL
+QUERIES = queries.QUERIES | more_queries.QUERIES | run_queries.QUERIES
+SQL = queries.ORACLE_SQL | more_queries.ORACLE_SQL | run_queries.ORACLE_SQL
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
