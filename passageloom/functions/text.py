@@ -145,10 +145,17 @@ def maskable(text: Column) -> Column:
 
 
 def mask_words(text: Column, chosen: Column) -> Column:
-    """The first whole occurrence of each chosen word, in turn, as [BLANK n]."""
-    steps = F.transform(chosen, lambda w, i: F.struct(w.alias("w"), (i + 1).cast("string").alias("n")))
-    hide = lambda done, x: F.regexp_replace(done, cat(r"(?U)\A((?s:.*?))\b", x["w"], r"\b"), cat("$1[BLANK ", x["n"], "]"))
-    return F.aggregate(steps, text, hide)
+    """The first whole occurrence of each chosen word as [BLANK n]. Words and what
+    stands between them are cut out once; a whole occurrence is a word of its own, so
+    those of two chosen words never meet."""
+    word = r"(?U)\w+"
+
+    def splice(x: Column) -> Column:
+        at = F.transform(chosen, lambda w: F.array_position(x["words"], w))
+        shown = lambda k: let(F.array_position(at, (k + 1).cast("long")), lambda n: F.when(n > 0, cat("[BLANK ", n.cast("string"), "]")).otherwise(F.coalesce(F.get(x["words"], k), F.lit(""))))
+        return F.array_join(F.transform(x["between"], lambda s, k: cat(s, shown(k))), "")
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("words"), F.split(text, word).alias("between")), splice)
 
 
 def part_of(items: Column, divisor: int) -> Column:

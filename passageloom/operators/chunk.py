@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import barrier, strip
+from ..functions.text import barrier, let, strip
 
 #: Characters of a single passage at most, and of a chunk.
 MAX_PASSAGE, CHUNK = 3000, 2000
+#: Characters of a slab at least.
+SLAB = 1 << 15
 
 
 def chunks(text: Column, size: int = CHUNK, overlap: int = 0) -> Column:
@@ -24,8 +26,20 @@ def chunks(text: Column, size: int = CHUNK, overlap: int = 0) -> Column:
 
 
 def chunks_of(t: Column, size: int, overlap: int) -> Column:
-    starts = F.sequence(F.lit(0), F.length(t) - 1, F.lit(size - overlap))
-    made = F.transform(starts, lambda i: F.struct(i.alias("start"), F.substring(t, i + 1, F.lit(size)).alias("text")))
+    """In time linear to the text: one pass cuts it into slabs of whole steps, and a
+    chunk is looked for within its slab and the head of the next."""
+    step = size - overlap
+    slab = step * -(-max(SLAB, size) // step)
+
+    def within(whole: Column, k: Column, length: Column) -> Column:
+        starts = F.sequence(F.lit(0), length - 1, F.lit(step))
+        return F.transform(starts, lambda i: F.struct((k * slab + i).alias("start"), F.substring(whole, i + 1, F.lit(size)).alias("text")))
+
+    def cut(slabs: Column) -> Column:
+        head = lambda k: F.coalesce(F.substring(F.get(slabs, k + 1), F.lit(1), F.lit(overlap)), F.lit(""))
+        return F.flatten(F.transform(slabs, lambda s, k: let(F.concat(s, head(k)), lambda whole: within(whole, k, F.length(s)))))
+
+    made = let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{slab}}}"), F.lit(0)), cut)
     return F.when(F.length(t) > 0, F.filter(made, lambda c: strip(c["text"]) != ""))
 
 
