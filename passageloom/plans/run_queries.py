@@ -3,11 +3,17 @@ same as SQL."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import augment as A
 from ..operators.runtime import TableRuntime, quarantine
+from ..sources import files
+from ..sources.decision_log import DecisionLog
+from ..sources.scan import numbered
+from ..streaming.resumable import judge_rows, judged
 from . import tasks as K
 from .queries import documents, q
 
@@ -57,5 +63,33 @@ def answers_sql() -> str:
     return " UNION ALL ".join(parts)
 
 
-QUERIES = {f.__name__: f for f in (strict_answers,)}
-ORACLE_SQL = {"strict_answers": answers_sql()}
+def row_index_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents numbered as they stand in their file."""
+    return numbered(spark, f"{sf_dir}/documents.parquet").select("row_index", "doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"))
+
+
+def log_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents judged in three runs into a log of versions: every seventh fails at
+    first, every twenty-first for good. The last decision of each, from the log."""
+    rows = numbered(spark, f"{sf_dir}/documents.parquet").select("row_index", F.length("text").alias("n"))
+    fails = lambda run: rows.withColumn("judge_error", (F.col("row_index") % 7 == 0) & (F.lit(run) == 0) | (F.col("row_index") % 21 == 0))
+    log = DecisionLog(spark, f"{files.shared_dir(spark)}/log-{uuid.uuid4().hex}")
+    judge = F.struct((F.coalesce("n", F.lit(0)) % 2 == 0).alias("is_quality"), F.lit("by length").alias("reason"))
+    judge_rows(fails(0).where("row_index % 3 = 0"), log, judge)
+    judge_rows(fails(0), log, judge)  # a third is there already
+    for _ in range(2):
+        bad = log.failed().select("row_index", "tries")
+        log.add(judged(fails(1).join(bad, "row_index"), log.key, judge, None, None, tries=3))
+    log.merge(all_parts=True)
+    return log.read().select("row_index", "route", "tries", F.col("judge.is_quality").alias("is_quality"))
+
+
+#: A document's place is its number less one, as the test tables are written in order.
+PLACES = "(SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_index, doc_id, text, length(text) AS n FROM documents)"
+QUERIES = {f.__name__: f for f in (strict_answers, row_index_scan, log_snapshot)}
+ORACLE_SQL = {
+    "strict_answers": answers_sql(),
+    "row_index_scan": f"SELECT row_index, doc_id, md5(coalesce(text, '')) AS digest FROM {PLACES}",
+    "log_snapshot": f"""SELECT row_index, CASE WHEN row_index % 21 = 0 THEN 'failed' WHEN coalesce(n, 0) % 2 = 0 THEN 'kept' ELSE 'rejected' END AS route,
+        CASE WHEN row_index % 21 = 0 THEN 3 WHEN row_index % 7 = 0 THEN 2 ELSE 1 END::INTEGER AS tries, coalesce(n, 0) % 2 = 0 AS is_quality FROM {PLACES}""",
+}

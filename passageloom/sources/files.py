@@ -31,13 +31,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def read_passages(spark: SparkSession, path: str, kind: str = "parquet", text_col: str = "text", streaming: bool = False, schema: str | None = None) -> DataFrame:
-    """Passages from parquet, json or text files; a stream of them on request."""
+def read_passages(spark: SparkSession, path: str, kind: str = "parquet", text_col: str = "text", streaming: bool = False, schema: str | None = None, most_files: int | None = None) -> DataFrame:
+    """Passages from parquet, json or text files; a stream of them on request, which
+    takes at most most_files files at a time."""
     if kind not in ("parquet", "json", "text"):
         raise ValueError(f"Unknown kind {kind!r}")
     reader = spark.readStream if streaming else spark.read
     if schema or streaming and kind != "text":
         reader = reader.schema(schema or spark.read.format(kind).load(path).schema)
+    if streaming and most_files:
+        reader = reader.option("maxFilesPerTrigger", most_files)
     found = reader.format(kind).load(path)
     return found.withColumnRenamed("value", text_col) if kind == "text" else found
 

@@ -1,89 +1,62 @@
 """Judging as a stream that can be stopped and resumed.
 
-Single-passage tasks are stateless, so their plans run on a stream as they are.
-The filter below keeps a log of decisions; the checkpoint holds what was read. A
-row that was decided is skipped when it comes again, and rows on which judging
-failed are judged again, from the log, at the start of each run.
-
-The log is cut by ranges of the key (SPAN) and by route. A batch reads the ranges
-that it has rows of, all of them where it has rows of 1000, and a retry the failed
-rows.
+Single-passage tasks are stateless, so their plans run on a stream as they are. The
+filter below keeps a log of decisions (see sources.decision_log); the checkpoint holds
+what was read. A row that was decided is skipped when it comes again. Rows on which
+judging failed are judged again at the start of each run, `tries` times in all; then
+the failure is their decision, and they aren't asked for any more. The order of
+decisions is that of the log's versions, which a new checkpoint doesn't start anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.judge import postfilter, routed
 from ..operators.runtime import Runtime
-from ..sources.files import path_exists
-
-#: Keys of one folder of the log.
-SPAN = 1_000_000
-
-
-def span_of(key: str) -> Column:
-    """The range of a key: by value for numbers, by hash for others."""
-    number = F.col(key).try_cast("bigint")
-    return F.coalesce(F.floor(number / SPAN), F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(64)))
+from ..sources.decision_log import DecisionLog
 
 
-def write_log(decided: DataFrame, at: str) -> None:
-    decided.write.mode("append").partitionBy("span", "route").parquet(at)
+def judged(rows: DataFrame, key: str, judge: Column | None, runtime: Runtime | None, criteria: str | None, tries: int) -> DataFrame:
+    """rows with their decision, route and how often they were judged; a failure is
+    final at the last try. Rows may bring tries, of before."""
+    before = F.coalesce(F.col("tries"), F.lit(0)) if "tries" in rows.columns else F.lit(0)
+    made = routed(postfilter(rows, judge, runtime, criteria, F.col(key).cast("string") if runtime else None))
+    made = made.withColumn("tries", (before + 1).cast("int"))
+    return made.withColumn("route", F.when((F.col("route") == "error") & (F.col("tries") >= tries), "failed").otherwise(F.col("route")))
 
 
-def read_log(spark: SparkSession, out: str) -> DataFrame:
-    """All decisions, with span and route."""
-    return spark.read.option("mergeSchema", "true").parquet(f"{out}/decisions")
+def judge_rows(source: DataFrame, log: DecisionLog, judge: Column | None = None, runtime: Runtime | None = None, criteria: str | None = None, tries: int = 3, most: int | None = None) -> dict[str, int]:
+    """Judge what isn't in the log, with most the first so many by key; the counts of
+    what was added. What failed before is judge_again's."""
+    left = log.unfinished(source, most, failed=False)
+    return log.add(judged(left, log.key, judge, runtime, criteria, tries))
 
 
-def failed_rows(log: DataFrame, key: str = "row_index") -> DataFrame:
-    """The rows on which judging has failed and that have no decision since, with
-    tries, how often."""
-    bad = log.where("route = 'error'")
-    bad = bad.groupBy(key).agg(F.max_by(F.struct(*[c for c in log.columns if c != key]), "seq").alias("x"), F.count("*").alias("tries"))
-    bad = bad.select(key, "tries", "x.*")
-    done = log.where("route <> 'error'").select("span", key).distinct()
-    return bad.join(done, ["span", key], "left_anti")
+def judge_again(log: DecisionLog, columns: list[str], judge: Column | None = None, runtime: Runtime | None = None, criteria: str | None = None, tries: int = 3) -> dict[str, int] | None:
+    """Judge again what judging failed on; null if there is nothing."""
+    bad = log.failed() if log.facts()["error"] else None
+    return None if bad is None else log.add(judged(bad.select(*columns, "tries"), log.key, judge, runtime, criteria, tries))
 
 
 def judge_stream(
-    spark: SparkSession,
-    source: DataFrame,
-    out: str,
-    checkpoint: str,
-    key: str = "row_index",
-    judge: Column | None = None,
-    write: Callable[[DataFrame, str], None] | None = None,
-    runtime: Runtime | None = None,
-    criteria: str | None = None,
-) -> StreamingQuery:
-    """Judge all rows that are there, then stop. Decisions go to out/decisions,
-    one folder per range of keys and route; a rerun adds what is new, and judges
-    again what failed. judge is a column, which may come with a column judge_error
-    of the source; or runtime judges by the criteria."""
-    columns, done = source.columns, f"{out}/decisions"
-
-    def decide(rows: DataFrame, number: int) -> None:
-        judged = postfilter(rows, judge, runtime, criteria, F.col(key).cast("string") if runtime else None)
-        (write or write_log)(routed(judged).withColumns({"seq": F.lit(number).cast("long"), "span": span_of(key)}), done)
+    spark: SparkSession, source: DataFrame, out: str, checkpoint: str, key: str = "row_index", judge: Column | None = None, runtime: Runtime | None = None, criteria: str | None = None, tries: int = 3,
+) -> StreamingQuery:
+    """Judge all rows that are there, then stop. Decisions go to the log at out; a rerun
+    adds what is new, and judges again what failed. judge is a column, which may come
+    with a column judge_error of the source; or runtime judges by the criteria. How much
+    a batch takes is the source's to say; see files.read_passages."""
+    log = DecisionLog(spark, out, key)
+    judge_again(log, source.columns, judge, runtime, criteria, tries)
 
     def batch(rows: DataFrame, number: int) -> None:
-        if path_exists(spark, done):
-            spans = [r.span for r in rows.select(span_of(key).alias("span")).distinct().limit(1000).collect()]
-            log = spark.read.parquet(done).where("route <> 'error'")
-            log = log.where(F.col("span").isin(spans)) if len(spans) < 1000 else log
-            rows = rows.join(log.select(key), key, "left_anti")
-        decide(rows, number)
-
-    if path_exists(spark, done):
-        log = spark.read.parquet(done)
-        again = failed_rows(log, key)
-        if again.limit(1).count():
-            last = log.agg(F.max("seq")).first()[0]
-            decide(again.select(columns), last)
+        judge_rows(rows, log, judge, runtime, criteria, tries)
+
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_log(spark: SparkSession, out: str, key: str = "row_index") -> DataFrame:
+    """All decisions of a log, with route, tries and seq."""
+    return DecisionLog(spark, out, key).read()

@@ -10,7 +10,7 @@ from passageloom.operators import augment as A
 from passageloom.operators import runtime as R
 from passageloom.plans import tasks as K
 from passageloom.sources import files
-from passageloom.streaming.resumable import judge_stream
+from passageloom.streaming.resumable import judge_stream, read_log
 
 
 class Endpoint(BaseHTTPRequestHandler):
@@ -93,7 +93,7 @@ def test_stream_resumes(spark, tmp_path):
     def run():
         source = files.read_passages(spark, f"{tmp_path}/in", streaming=True)
         judge_stream(spark, source, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-        return spark.read.parquet(f"{tmp_path}/out/decisions").groupBy("route").count().collect()
+        return read_log(spark, f"{tmp_path}/out").groupBy("route").count().collect()
 
     add(0, 0, 6)
     assert {r.route: r["count"] for r in run()} == {"kept": 3, "rejected": 3}

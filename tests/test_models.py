@@ -14,6 +14,7 @@ from passageloom.operators import groups, judge
 from passageloom.operators import runtime as R
 from passageloom.plans import tasks as K
 from passageloom.sources import files
+from passageloom.sources.decision_log import DecisionLog
 from passageloom.streaming import resumable
 
 seen: Counter = Counter()
@@ -200,6 +201,6 @@ def test_failed_rows_are_judged_again(spark, model, tmp_path):
     assert run() == {"kept": 6, "rejected": 1, "error": 3}
     before = len(asked)
     assert run() == {"kept": 6, "rejected": 1, "error": 3} and len(asked) == before
-    log = resumable.read_log(spark, f"{tmp_path}/out")
-    assert resumable.failed_rows(log).count() == 0
-    assert judge.compacted(log).count() == 7 and judge.unfinished(spark.range(8).withColumnRenamed("id", "row_index"), log, most=1).first()[0] == 6
+    log = DecisionLog(spark, f"{tmp_path}/out")
+    assert log.failed().count() == 0 and judge.compacted(log.read()).count() == 7
+    assert log.unfinished(spark.range(8).withColumnRenamed("id", "row_index"), 1).first()[0] == 6
