@@ -9,7 +9,8 @@ piece at the end are written as bytes.
 
 No piece of such a vocabulary has the mark after another letter, so symbols never
 join over the start of a word: texts are cut there, and a worker puts each distinct
-word through the agenda once, remembering a bounded number. A vocabulary with other
+word through the agenda once, remembering a bounded number. Short words have theirs in
+arrays, many words a step (see joins), long ones in a heap. A vocabulary with other
 pieces is taken text by text. Spark deals out the texts in Arrow batches; checked()
 holds them against the library's own result.
 
@@ -33,10 +34,11 @@ from pyspark.sql import types as T
 
 from .bpe import slices
 from .common import release, text_of
+from .joins import Joins
 
 MARK = "▁"
-#: Words remembered by a worker.
-MEMO = 150_000
+#: Words remembered by a worker, and letters of a word that joins with others.
+MEMO, SHORT = 150_000, 48
 
 
 class Vocabulary:
@@ -65,6 +67,13 @@ class Vocabulary:
             if model.is_control(k) or model.is_unknown(k):
                 spelt[k] = model.decode([k]).encode()
         self.spelt = spelt
+        atoms = {c: n + k for k, c in enumerate(sorted({c for p in self.ids for c in p} - set(self.ids)))}
+        ranked = {s: k for k, s in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.joins = Joins(self.ids, {p: ranked[s] for p, s in self.score.items()}, atoms)
+        self.letter = np.full(0x110000, self.joins.none, np.int32)  # the symbol of each
+        for c, k in (atoms | self.ids).items():
+            if len(c) == 1:
+                self.letter[ord(c)] = k
 
 
 def joined(word: str, ids: dict[str, int], score: dict[str, float]) -> list[str]:
@@ -104,21 +113,46 @@ class PieceEncoder:
         self.memo: dict[str, int] = {}
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def word_ids(self, word: str) -> list[int]:
+    def long_word(self, word: str) -> list[int]:
         out, v = [], self.of
         for symbol in joined(word, v.ids, v.score):
             k = v.ids.get(symbol)
             out.extend([k] if k is not None else [v.bytes[b] for b in symbol.encode()])
         return out
 
+    def short_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words on end, and how many each has."""
+        v = self.of
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int32)
+        ids, began, counts = v.joins.joined(v.letter[letters], np.fromiter(map(len, words), np.int64, len(words)), letters)
+        if not (odd := ids >= len(v.pieces)).any():
+            return ids, counts
+        # letters that are no piece are written as their bytes
+        c = began[odd].astype(np.int64)
+        size = 1 + (c >= 0x80) + (c >= 0x800) + (c >= 0x10000)
+        wide = np.ones(len(ids), np.int64)
+        wide[odd] = size
+        place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        left = np.repeat(size, size) - 1 - place  # bytes after this one
+        bits = np.repeat(c, size) >> (6 * left)
+        lead = np.array([0, 0, 0xC0, 0xE0, 0xF0])[np.repeat(size, size)]
+        raw = np.where(place == 0, np.where(np.repeat(size, size) == 1, bits, lead | bits), 0x80 | bits & 0x3F)
+        out = np.repeat(ids, wide)
+        out[np.repeat(odd, wide)] = np.array([v.bytes[b] for b in range(256)], np.int32)[raw]
+        ends = np.cumsum(wide)[np.cumsum(counts) - 1]
+        return out, np.diff(ends, prepend=0)
+
     def learn(self, words: list[str]) -> None:
-        made = list(map(self.word_ids, words))
+        long = [w for w in words if len(w) > SHORT]
+        short = [w for w in words if len(w) <= SHORT] if long else words
         first = len(self.memo)
-        self.memo.update(zip(words, range(first, first + len(words))))
-        length = np.fromiter(map(len, made), np.int64, len(made))
+        self.memo.update(zip(short + long, range(first, first + len(words))))
+        ids, counts = self.short_words(short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        made = list(map(self.long_word, long))
+        length = np.concatenate([counts, np.fromiter(map(len, made), np.int64, len(made))])
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.flat = np.concatenate([self.flat, np.fromiter((x for w in made for x in w), np.int32, int(length.sum()))])
+        self.flat = np.concatenate([self.flat, ids, np.fromiter((x for w in made for x in w), np.int32, sum(map(len, made)))])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and where each text's ids end."""

@@ -153,8 +153,12 @@ def test_decoding_any_ids(spark):
         pieces.piece_decode(spark.createDataFrame([([32000],)], "ids array<int>"), PIECES).collect()
 
 
-def test_an_agenda_of_many_letters():
-    coder, model, rng = pieces.encoder(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(1)
+@pytest.mark.parametrize("short", [0, 6, 48, 10**6])
+def test_an_agenda_of_many_letters(monkeypatch, short):
+    monkeypatch.setattr(pieces, "SHORT", short)
+    coder, model, rng = pieces.PieceEncoder(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES), random.Random(1)
+    for text in ODD:
+        assert coder.encode([text])[0].tolist() == model.encode(text)
     for _ in range(300):
         text = "".join(rng.choice("aàetihn ▁'.1\n") for _ in range(rng.randint(1, 60)))
         ids, ends = coder.encode([text, "", text])
