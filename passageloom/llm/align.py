@@ -33,8 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Encoder, slices
+from .bpe import Encoder, merged, slices
 from .common import materialise, release, text_of
+from .joins import Joins
+from .pieces import SHORT
 from .pieces import encoder as piece_encoder
 from .pieces import spelling
 
@@ -71,10 +73,36 @@ def read_byte_level(path: str) -> dict[bytes, int]:
     return {bytes(letters[c] for c in token): k for token, k in vocabulary.items() if token not in special}
 
 
+class ByteEncoder(Encoder):
+    """Words that are no token join in arrays, many a step; long ones in a heap."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        super().__init__(ranks, pattern)
+        self.joins = Joins(ranks, ranks)
+        self.byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
+    def learn(self, tokens: list[str]) -> None:
+        raw = [t.encode("utf-8", "surrogatepass") for t in tokens]
+        whole = [self.known.get(b) for b in raw]
+        kind = [0 if k is not None else 1 if len(b) <= SHORT else 2 for k, b in zip(whole, raw)]
+        of = [[k for k, x in enumerate(kind) if x == n] for n in range(3)]
+        short = [raw[k] for k in of[1]]
+        letters = np.frombuffer(b"".join(short), np.uint8)
+        ids, _, counts = self.joins.joined(self.byte[letters], np.fromiter(map(len, short), np.int64, len(short)), letters)
+        long = [merged(raw[k], self.known) for k in of[2]]
+        first = len(self.memo)
+        self.memo.update(zip((tokens[k] for n in of for k in n), range(first, first + len(tokens))))
+        length = np.concatenate([np.ones(len(of[0]), np.int64), counts, np.fromiter(map(len, long), np.int64, len(long))])
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        flat = [np.fromiter((whole[k] for k in of[0]), np.int32, len(of[0])), ids, np.fromiter((x for w in long for x in w), np.int32, sum(map(len, long)))]
+        self.flat = np.concatenate([self.flat, *flat])
+
+
 class Aligner:
     def __init__(self, byte_path: str, pattern: str, piece_path: str):
         ranks = read_byte_level(byte_path)
-        self.a, self.b = Encoder(ranks, pattern), piece_encoder(piece_path)
+        self.a, self.b = ByteEncoder(ranks, pattern), piece_encoder(piece_path)
         by_id = {k: t for t, k in ranks.items()}
         spelt = [by_id.get(k, b"") for k in range(max(by_id, default=-1) + 1)]
         length = np.fromiter(map(len, spelt), np.int64, len(spelt))
