@@ -7,8 +7,11 @@ ancestors, less to the farther ones. The container with the most points, after
 a discount for its own link density, is the article; with it are kept headings
 and blocks of few links next to it, also those next to its containers up to the
 enclosing article or main. Menus, page headers, footers, sidebars, notices,
-adverts, forms, scripts and reader comments are told by element, role and name
-and take no part.
+adverts, forms, scripts and reader comments take no part. They are told by element,
+role and name, and by structure: siblings of one kind that each have an author or a
+date of their own are comments; a form goes unless the article stands in it; a
+heading goes with all that stood under it. Links within the page are no links here, so
+a table of contents in an article stays.
 
 Rows: a null or empty page, or one without text, gives an empty text. Broken
 markup is read as it comes: unclosed elements end with their parent. Very long
@@ -32,7 +35,7 @@ MARK = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-zA-Z])")
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 #: The rest of a tag: quoted values may hold ">".
 REST = re.compile(r"""[^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*>""")
-ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style|rel|itemprop)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Where a name of a class or id is cut into words.
 JOINT = re.compile(r"[-_:]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
 BLOCKS = frozenset(
@@ -46,15 +49,29 @@ RAW = frozenset("script style title textarea noscript iframe noembed noframes xm
 #: their parent, and drawings and formulas with the next block too.
 DRAWN = frozenset("svg math".split())
 EMBEDDED = DRAWN | frozenset("object canvas audio video template".split())
-DROPPED = RAW | EMBEDDED | frozenset("nav aside footer button select option datalist dialog menu label input head".split())
+DROPPED = RAW | EMBEDDED | frozenset("nav aside footer button select option datalist dialog menu head".split())
 ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar form".split())
 #: Words of a class or id that tell an element beside the article, and one that holds it.
 BESIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertisements adsense banner banners breadcrumb breadcrumbs comment comments commentlist"
-    " disqus respond replies consent cookie cookies gdpr notice notices alert alerts footer footnav header masthead menu menus nav"
-    " navbar navigation newsletter pager pagination popup modal overlay promo promos promoted promotion recommended related share"
-    " sharing sidebar sidebars sidenav skip social sponsor sponsored subscribe subscription signup login toolbar widget widgets".split()
+    "ad ads adv advert adverts advertisement advertisements adsense banner banners bio breadcrumb breadcrumbs comment comments commentlist"
+    " copyright discussion disqus feedback respond responses replies reviews consent cookie cookies gdpr notice notices alert alerts footer footnav header"
+    " masthead menu menus nav navbar navigation newsletter pager pagination popup modal overlay promo promos promoted promotion recommended related share"
+    " sharing sidebar sidebars sidenav skip social sponsor sponsored subscribe subscription signup login tagcloud taglist tags toolbar widget widgets".split()
 )
+#: What a word may begin with to be one of them, as in cookiebar or adbox.
+BEGINS = re.compile(r"advert|adbox|adslot|adunit|adspace|breadcrumb|comment|cookie|copyright|disqus|footer|newsletter|sharebar|sharebutton|sharedaddy|sidebar|sponsor|subscri")
+#: Words of a class that tell a column beside another; marks of who wrote something, and
+#: of when, as a class and as a short text of its own.
+SIDE = frozenset("right left rail secondary tertiary side sidecol sidecolumn".split())
+WHO = frozenset("author avatar byline commenter nick nickname reviewer user username".split())
+WHEN = frozenset("date datetime posted published time timestamp".split())
+SAYS = re.compile(r"(?:.{0,40}\b\d+ (?:second|minute|hour|day|week|month|year)s? ago|\S[^.!?]{0,40} (?:says|said|wrote|writes|schrieb|sagt|dit|escribió|dice)\W{0,3}(?:\d[^!?]{0,40})?)", re.I)
+DATE = re.compile(r".{0,40}\b(?:(?:19|20)\d\d-\d\d-\d\d|\d{1,2}[./]\d{1,2}[./](?:19|20)?\d\d|\d{1,2}\.? [^\W\d_]{3,9} (?:19|20)\d\d|[^\W\d_]{3,9} \d{1,2}, (?:19|20)\d\d)\b.{0,20}")
+#: Elements that may be a comment; those that make a form one around an article.
+REPEATED = frozenset("article blockquote dd div li section".split())
+WHOLE = frozenset("article main".split())
+HIDDEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+INNER = re.compile(r"""(?:^|\s)href\s*=\s*["']?\s*#""", re.I)
 HOLDS = frozenset("article articles body content entry hentry main page post story text".split())
 #: Those that tell one whose header is an article's own.
 POST = frozenset("article entry hentry post story".split())
@@ -87,7 +104,7 @@ def beside_names(names: list[list[str]]) -> bool:
     (article-comments), unless another name tells a holder."""
     told = False
     for words in names:
-        found = BESIDE.intersection(words)
+        found = BESIDE.intersection(words) or {w for w in words if BEGINS.match(w)}
         if not found or AROUND.intersection(words) or found <= FAINT and HOLDS.intersection(words):
             continue
         if len(words) == 1 and not found <= FAINT:
@@ -104,8 +121,10 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.last = ["#"], [-1], [0]
         self.dropped, self.points, self.size, self.linked, self.post = [False], [0.0], [0], [0], [False]
+        self.kind, self.signed, self.dated, self.side = [""], [0], [0], [False]
         self.paragraphs: list[tuple[int, str, int]] = []
         self.open, self.held, self.linked_now, self.own = [0], [], 0, 0
+        self.inner = False  # the open link leads to a place in the page
         self.where: dict[str, list[int]] = {}
         self.blocks = [0]
         self.read(source)
@@ -129,24 +148,132 @@ class Page:
         return each
 
     def score(self) -> None:
-        """Drop the forms that hold less than half of the text; give points."""
-        held = [0] * len(self.tag)
+        """Drop forms, comments and headings of nothing; give points."""
         for at, text, _ in self.paragraphs:
-            held[at] += len(text)
-        self.sums(held)
-        for k, name in enumerate(self.tag):
-            if name in ("form", "fieldset") and not self.dropped[k] and 2 * held[k] < held[0]:
-                self.dropped[k : self.last[k] + 1] = [True] * (self.last[k] + 1 - k)
+            if len(text) <= 80:
+                self.signed[at] += SAYS.fullmatch(text) is not None
+                self.dated[at] += DATE.fullmatch(text) is not None
+        self.sums(self.signed)
+        self.sums(self.dated)
+        self.drop_forms()
+        self.add_up()
+        if self.drop_comments() | self.drop_headings():
+            self.add_up()
+        self.list = [0] * len(self.tag)  # the nearest list that a node is or stands in
+        for k in range(1, len(self.tag)):
+            self.list[k] = k if self.tag[k] in LISTS else self.list[self.parent[k]]
+
+    def drop(self, k: int) -> None:
+        self.dropped[k : self.last[k] + 1] = [True] * (self.last[k] + 1 - k)
+
+    def add_up(self) -> None:
+        """Points and sizes of what isn't dropped."""
+        n = len(self.tag)
         self.paragraphs = [x for x in self.paragraphs if not self.dropped[x[0]]]
+        self.points = [FAVOURED if t in WHOLE else 0.0 for t in self.tag]
+        self.size, self.linked = [0] * n, [0] * n
         for at, text, links in self.paragraphs:
             self.size[at] += len(text)
             self.linked[at] += links
             self.gain(at, text, links)
         self.sums(self.size)
         self.sums(self.linked)
-        self.list = [0] * len(self.tag)  # the nearest list that a node is or stands in
+
+    def drop_forms(self) -> None:
+        """A form stays if an article or main element stands in it; if it has a first
+        heading and the page has no such thing outside; or if no heading or paragraph
+        stands outside. Every other form goes, whatever its size."""
+        forms = [k for k, t in enumerate(self.tag) if t in ("form", "fieldset") and not self.dropped[k]]
+        if not forms:
+            return
+        n, texts = len(self.tag), {at for at, _, _ in self.paragraphs}
+        upto: dict[str, list[int]] = {}
+        for what, has in (("whole", lambda k: self.tag[k] in WHOLE), ("top", lambda k: self.tag[k] in WHOLE or self.tag[k] == "h1"), ("any", lambda k: self.tag[k] in WHOLE or self.tag[k] in HEADINGS or self.tag[k] == "p" and k in texts)):
+            count = upto[what] = [0] * (n + 1)
+            for k in range(n):
+                count[k + 1] = count[k] + (has(k) and not self.dropped[k])
+        for k in forms:
+            if self.dropped[k]:
+                continue
+            inside = {w: c[self.last[k] + 1] - c[k] for w, c in upto.items()}
+            outside = {w: c[n] - inside[w] for w, c in upto.items()}
+            if not (inside["whole"] or inside["top"] and not outside["top"] or not outside["any"]):
+                self.drop(k)
+
+    def value(self, k: int) -> float:
+        return self.points[k] * (1 - self.linked[k] / max(1, self.size[k]))
+
+    def best(self, among: Callable[[int], bool] = lambda k: True) -> int:
+        return max((k for k in range(len(self.tag)) if among(k)), key=lambda k: (self.value(k), -k))
+
+    def drop_comments(self) -> bool:
+        """Siblings of one kind of which each has an author, or a date over some text
+        where nothing follows in the article, are comments, unless nothing of the page
+        is left without them."""
+        held = [0] * len(self.tag)  # paragraphs
+        for at, _, _ in self.paragraphs:
+            held[at] += 1
+        self.sums(held)
+        ends, last = [0] * len(self.tag), max((at for at, _, _ in self.paragraphs), default=0)  # of the text around each
         for k in range(1, len(self.tag)):
-            self.list[k] = k if self.tag[k] in LISTS else self.list[self.parent[k]]
+            ends[k] = self.last[k] if self.tag[k] in WHOLE else ends[self.parent[k]] or last
+        groups: dict[tuple[int, str, str], list[int]] = {}
+        for k in range(1, len(self.tag)):
+            told = self.signed[k] or self.dated[k] and held[k] > 1
+            if self.tag[k] in REPEATED and told and self.size[k] and not self.dropped[k]:
+                groups.setdefault((self.parent[k], self.tag[k], self.kind[k]), []).append(k)
+        articles = sum(t == "article" and size > 0 and not gone for t, size, gone in zip(self.tag, self.size, self.dropped))
+        # articles are comments beside one of another kind only
+        groups = {x: ks for x, ks in groups.items() if x[1] != "article" or articles > len(ks)}
+        texts = sorted(at for at, _, _ in self.paragraphs)
+        follows = lambda k: bisect_right(texts, self.last[k]) < bisect_right(texts, ends[k] if self.last[k] <= ends[k] else last)
+        groups = {x: ks for x, ks in groups.items() if all(self.signed[k] for k in ks) or not follows(ks[-1])}
+        found = sorted(k for (up, _, _), ks in groups.items() if len(ks) > 1 for k in ks)
+        if not found:
+            return False
+        inside, stop = [False] * len(self.tag), -1
+        for k in found:
+            if k > stop:
+                stop = self.last[k]
+                inside[k : stop + 1] = [True] * (stop + 1 - k)
+        left = sum(len(t) - links for at, t, links in self.paragraphs if not inside[at])
+        if not left or self.value(self.best(lambda k: not inside[k] and not any(k <= f <= self.last[k] for f in found[:1]) or self.tag[k] in WHOLE)) <= 0:
+            return False
+        for k in found:
+            self.drop(k)
+        return True
+
+    def drop_headings(self) -> bool:
+        """Headings below the first level after which, up to the next, everything has
+        been dropped."""
+        children: dict[int, list[int]] = {}
+        for k in range(1, len(self.tag)):
+            children.setdefault(self.parent[k], []).append(k)
+        kept = [False] * len(self.tag)
+        for at, _, _ in self.paragraphs:
+            kept[at] = kept[at] or not self.dropped[at]
+        for k in range(len(self.tag) - 1, 0, -1):
+            kept[self.parent[k]] = kept[self.parent[k]] or kept[k]
+        gone = []
+        own = {at for at, _, _ in self.paragraphs}
+        for up, ks in children.items():
+            after, text, below = False, False, ""  # of what follows, backwards
+            for k in reversed(ks):
+                if self.tag[k] in HEADINGS and not self.dropped[k]:
+                    if self.tag[k] != "h1" and after and not text and not below > self.tag[k] and not (up in own and self.tag[up] not in BLOCKS):
+                        gone.append(k)
+                    else:
+                        after, text, below = False, False, self.tag[k]
+                elif self.dropped[k] and self.tag[k] in BLOCKS:
+                    after = True
+                elif kept[k] or self.holds_dropped(k, children):
+                    text, after = text or kept[k], True
+        for k in gone:
+            self.drop(k)
+        return bool(gone)
+
+    def holds_dropped(self, k: int, children: dict[int, list[int]]) -> bool:
+        return any(self.dropped[c] and self.tag[c] in BLOCKS for c in children.get(k, ()))
 
     def gain(self, at: int, text: str, links: int) -> None:
         gain = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
@@ -172,7 +299,7 @@ class Page:
     def text(self, part: str) -> None:
         if part and not self.dropped[self.open[-1]]:
             self.held.append(part)
-            if self.where.get("a"):
+            if self.where.get("a") and not self.inner:
                 self.linked_now += len(part.strip())
 
     def starts(self, name: str, attributes: str) -> None:
@@ -187,6 +314,8 @@ class Page:
         if name in VOID:
             return
         up, names = self.open[-1], named_words(attributes) if attributes and name in BLOCKS else []
+        if name == "a":
+            self.inner = bool(INNER.search(attributes))
         self.tag.append(name)
         self.parent.append(up)
         self.last.append(0)
@@ -195,6 +324,12 @@ class Page:
         self.points.append(FAVOURED if name in ("article", "main") else 0.0)
         self.size.append(0)
         self.linked.append(0)
+        given = ATTRIBUTE.findall(attributes) if attributes else ()
+        self.kind.append(next((v.strip("\"'").split()[0] for a, v in given if a.lower() == "class" and v.strip("\"' ")), ""))
+        self.side.append(bool(names) and any(SIDE.intersection(w) for w in names))
+        marks = [w for a, v in given if a.lower() in ("class", "rel", "itemprop") for w in JOINT.split(v.strip("\"'").replace(" ", "-").lower())]
+        self.signed.append(int(not WHO.isdisjoint(marks)))
+        self.dated.append(int(name == "time" or not WHEN.isdisjoint(marks)))
         self.where.setdefault(name, []).append(len(self.open))
         if name in BLOCKS:
             self.blocks.append(len(self.open))
@@ -209,17 +344,19 @@ class Page:
 
     def beside(self, name: str, attributes: str, names: list[list[str]]) -> bool:
         """Whether an element stands beside the article."""
-        if name in DROPPED:
+        if name in DROPPED or name == "label" and self.where.get("form") and not self.where.get("p"):
             return True
         if name == "header":  # a page's header; an article's own holds its heading
             return not self.own
         if not attributes or name in ("html", "body", "main"):
             return False
+        if name not in BLOCKS:  # inline markup that isn't shown
+            return any(a.lower() == "hidden" or a.lower() == "style" and HIDDEN.search(v) for a, v in ATTRIBUTE.findall(attributes))
         if name == "article":
             return beside_names([words for words in names if REMARKS.intersection(words)]) and beside_names(names)
         for key, value in ATTRIBUTE.findall(attributes):
             key, words = key.lower(), frozenset(value.strip("\"'").lower().split())
-            if key == "hidden" or key == "aria-hidden" and "true" in words or key == "role" and words & (ROLES - {"form"} if name == "form" else ROLES):
+            if key == "hidden" or key == "aria-hidden" and "true" in words or key == "style" and HIDDEN.search(value) or key == "role" and words & (ROLES - {"form"} if name == "form" else ROLES):
                 return True
         return beside_names(names)
 
@@ -291,8 +428,7 @@ class Page:
         """The blocks of the article, in page order."""
         if not self.paragraphs:
             return []
-        value = lambda k: self.points[k] * (1 - self.linked[k] / max(1, self.size[k]))
-        top = max(range(len(self.tag)), key=lambda k: (value(k), -k))
+        value, top = self.value, self.best()
         if value(top) <= 0:
             return [] if all(links for _, _, links in self.paragraphs) else [t for _, t, links in self.paragraphs if links < len(t) / 2]
         kept, bare = self.around(top, value)
@@ -302,7 +438,26 @@ class Page:
             k = bisect_right(starts, at) - 1
             return k >= 0 and at <= kept[k][1]
 
-        return [t for at, t, links in self.paragraphs if (inside(at) or at in bare and links < LINKED * len(t)) and not self.menu(at)]
+        beside = self.columns(top)
+        firsts = [a for a, _ in beside]
+
+        def column(at: int) -> bool:
+            k = bisect_right(firsts, at) - 1
+            return k >= 0 and at <= beside[k][1]
+
+        return [t for at, t, links in self.paragraphs if (inside(at) or at in bare and links < LINKED * len(t)) and not self.menu(at) and not column(at)]
+
+    def columns(self, top: int) -> list[tuple[int, int]]:
+        """Columns beside top or what it stands in, by their names."""
+        found, node = [], top
+        over = {top}
+        while node > 0:
+            node = self.parent[node]
+            over.add(node)
+        for k in range(1, len(self.tag)):
+            if self.side[k] and self.parent[k] in over and k not in over:
+                found.append((k, self.last[k]))
+        return found
 
     def around(self, top: int, value: Callable[[int], float]) -> tuple[list[tuple[int, int]], set[int]]:
         """The elements of the article in page order, each with its last one: the
