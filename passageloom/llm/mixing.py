@@ -7,19 +7,19 @@ expected copies are summed up along the source's documents, one random offset
 is added, and a document is taken once for each integer that its step crosses:
 the number of copies is the expected one, rounded up or down.
 
-Documents stand in the order of their size. The TOP longest of a source are taken
-first, from the longest on: what is expected so far, in words, less what was taken
-is counted in the document's own size, and with the offset gives the boundaries
-crossed; for documents of one size that is the rule above. The others share what is
-left of the target alike, so a source's words differ from its target by less than
-the longest of the others. A place in the order is found from counts by size and of
-buckets of about BUCKET rows, never by a window over a whole source, which may hold
-a third of all rows; those of the sources themselves from counts of ranges, so that
-no task holds all sources.
+Documents stand in the order of their size, so whichever of two neighbours a boundary
+falls on, about as many words are taken. What is left is which of the longest are
+taken once more, and that is the offset's to say: OFFSETS of them are drawn, evenly
+from a random start, the words that each would take are summed up, and the one that
+comes nearest to the target is added. A place in the order is found from counts by size
+and of buckets of about BUCKET rows, never by a window over a whole source, which may
+hold a third of all rows; those of the sources themselves from counts of ranges, so
+that no task holds all sources.
 
 Rows: a null text has no words, and a null source is a source of its own, the
 last in order. A source without words has the target 0. Repeated rows count as
-rows. Reruns agree.
+rows. Texts of any length are counted whole. An empty table gives an empty one. Other
+columns, of whatever names, are left alone. Reruns agree.
 """
 
 from __future__ import annotations
@@ -31,9 +31,8 @@ from pyspark.sql import functions as F
 from .common import WORD, free_name, materialise, text_of
 
 WEIGHTS, SHARE, CAP = (5, 2, 1), 1.5, 2
-BUCKET = 512
-#: Longest documents of a source that are taken one by one.
-TOP = 32
+#: Rows of a bucket, and offsets that are tried.
+BUCKET, OFFSETS = 512, 64
 
 
 def hashed(key: Column, digits: int) -> Column:
@@ -97,34 +96,26 @@ def mixing_plan(
     )
     sizes = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
     own = W.partitionBy("source")
-    sizes = sizes.withColumns({"before": F.sum("n").over(own.orderBy("size")) - F.col("n"), "all": F.sum("n").over(own)})
+    sizes = sizes.withColumn("before", F.sum("n").over(own.orderBy("size")) - F.col("n"))
     sizes = materialise(sizes)
-    longer = F.col("all") - F.col("before") - F.col("n")
-    top = sizes.where(longer < TOP).select("source", "size", F.explode(F.sequence(F.lit(1), F.least("n", TOP - longer).cast("int"))))
-    top = top.groupBy("source").agg(F.sort_array(F.collect_list("size"), asc=False).alias("top"))
     wanted = targets(sizes.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, share, cap)
-    wanted = wanted.alias("w").join(top.alias("p"), F.col("w.source").eqNullSafe(F.col("p.source"))).select("w.*", "top")
     wanted = wanted.withColumn("each", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    wanted = wanted.withColumn("offset", hashed(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit(""))), 5) / F.lit(float(1 << 20)))
-
-    def take(so_far: Column, size: Column) -> Column:
-        due = so_far["due"] + F.col("each") * size
-        n = F.when(size > 0, F.least(F.lit(cap), F.greatest(F.lit(0), F.floor(due / size + F.col("offset"))))).otherwise(0).cast("int")
-        return F.struct((due - n * size).alias("due"), F.concat(so_far["copies"], F.array(n)).alias("copies"), (so_far["words"] + n * size).alias("words"))
-
-    none = F.struct(F.lit(0.0).alias("due"), F.array().cast("array<int>").alias("copies"), F.lit(0).cast("long").alias("words"))
-    wanted = wanted.withColumn("first", F.aggregate("top", none, take))
-    rest = F.col("source_size") - F.aggregate("top", F.lit(0).cast("long"), lambda a, v: a + v)
-    share_of = F.when(rest > 0, F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), (F.col("target") - F.col("first.words")) / rest))).otherwise(0.0)
-    wanted = wanted.select("source", "source_size", "target", "offset", share_of.alias("each"), F.col("first.copies").alias("first"))
-    told = sizes.alias("c").join(wanted.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")))
-    told = told.select("c.*", "source_size", "target", "offset", "each", F.when(longer < TOP, F.col("first")).alias("first"))
+    first = hashed(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit(""))), 5) / F.lit(float(1 << 20))
+    wanted = materialise(wanted.withColumn("first", first))
+    crossed = lambda rank, n, offset: F.floor((rank + n) * F.col("each") + offset) - F.floor(rank * F.col("each") + offset)
+    drawn = lambda k: (F.col("first") + k / OFFSETS) % 1
+    known = sizes.alias("c").join(wanted.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source"))).select("c.*", "source_size", "target", "each", "first")
+    words = [F.sum(F.col("size") * crossed(F.col("before"), F.col("n"), drawn(k))).alias(f"w{k}") for k in range(OFFSETS)]
+    tried = known.groupBy("source").agg(F.first("target").alias("target"), F.first("first").alias("first"), *words)
+    nearest = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), drawn(k).alias("offset")) for k in range(OFFSETS)]))
+    chosen = materialise(tried.select("source", nearest["offset"].alias("offset")))
+    told = known.alias("t").join(chosen.alias("o"), F.col("t.source").eqNullSafe(F.col("o.source"))).select("t.*", "offset")
 
     same = F.col("r.source").eqNullSafe(F.col("t.source")) & (F.col("r.size") == F.col("t.size"))
     dealt = (
         rows.alias("r")
         .join(told.alias("t"), same)
-        .select("r.*", "n", "before", "all", "source_size", "target", "offset", "each", "first")
+        .select("r.*", "n", "before", "source_size", "target", "offset", "each")
         .withColumn("bucket", F.expr(f"shiftright({'conv(substring(md5(cast(key AS BINARY)), 1, 8), 16, 10)'} * ceil(n / {BUCKET}), 32)").cast("long"))
     )
     buckets = dealt.groupBy("source", "size", "bucket").agg(F.count("*").alias("here"))
@@ -142,9 +133,7 @@ def mixing_plan(
         .select("d.*", "skip")
         .withColumn("rank", F.col("before") + F.col("skip") + F.row_number().over(inside) - 1)
     )
-    crossed = F.floor((F.col("rank") + 1) * F.col("each") + F.col("offset")) - F.floor(F.col("rank") * F.col("each") + F.col("offset"))
-    longer = (F.col("all") - 1 - F.col("rank")).cast("int")
-    copies = F.when(longer < TOP, F.get("first", longer)).otherwise(crossed).cast("long")
+    copies = crossed(F.col("rank"), F.lit(1), F.col("offset")).cast("long")
     return placed.select(F.col("i").alias(id_col), "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 

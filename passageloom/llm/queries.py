@@ -104,7 +104,7 @@ FROM s QUALIFY rank <= 10
 """
 
 OP4_SQL = r"""
-WITH RECURSIVE d AS (
+WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (
@@ -120,26 +120,20 @@ l AS (SELECT *, (budget - cut::DOUBLE) / (all_weight - cut_weight)::DOUBLE AS le
 t AS (
   SELECT source, source_size, least(most::DOUBLE,
          coalesce((SELECT max(level) FROM l) * weight, 0)) AS target FROM l),
+g AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS step,
+         ('0x' || md5('mix' || coalesce(source, ''))[1:5])::BIGINT / 1048576.0::DOUBLE AS first FROM t),
 p AS (
-  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS step,
-         row_number() OVER o - 1 AS rank, count(*) OVER (PARTITION BY d.source) - row_number() OVER o AS longer,
-         ('0x' || md5('mix' || coalesce(d.source, ''))[1:5])::BIGINT / 1048576.0::DOUBLE AS shift
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  SELECT d.doc_id, d.source, d.size, g.source_size, g.target, g.step, row_number() OVER o - 1 AS rank
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
   WINDOW o AS (PARTITION BY d.source ORDER BY size, md5(coalesce(doc_id::VARCHAR, '')), doc_id)),
-z AS (
-  SELECT DISTINCT source, -1::BIGINT AS k, 0::DOUBLE AS due, 0::BIGINT AS copies, 0::BIGINT AS words, 0::BIGINT AS top_words FROM p
-  UNION ALL
-  SELECT source, k + 1, due + step * size - c * size, c, words + c * size, top_words + size
-  FROM (SELECT z.source, z.k, z.due, z.words, z.top_words, p.size, p.step,
-          CASE WHEN p.size > 0 THEN least(2, greatest(0, floor((z.due + p.step * p.size) / p.size + p.shift)))::BIGINT ELSE 0 END AS c
-        FROM z JOIN p ON p.source IS NOT DISTINCT FROM z.source AND p.longer = z.k + 1 AND p.longer < 32)),
-e AS (SELECT source, max(words) AS words, max(top_words) AS top_words FROM z GROUP BY source),
-f AS (
-  SELECT p.*, CASE WHEN source_size > top_words THEN least(2.0::DOUBLE, greatest(0.0::DOUBLE, (target - words) / (source_size - top_words))) ELSE 0 END AS part
-  FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source)
-SELECT f.doc_id, f.size, f.source_size, f.target,
-       f.size * CASE WHEN f.longer < 32 THEN z.copies ELSE (floor((rank + 1) * part + shift) - floor(rank * part + shift))::BIGINT END AS taken
-FROM f LEFT JOIN z ON z.source IS NOT DISTINCT FROM f.source AND z.k = f.longer
+u AS (SELECT source, k, (first + k / 64.0::DOUBLE) % 1 AS shift FROM g, range(64) AS n(k)),
+v AS (
+  SELECT p.source, u.k, any_value(u.shift) AS shift, abs(sum(size * (floor((rank + 1) * step + shift) - floor(rank * step + shift))::BIGINT)::BIGINT - any_value(target)) AS off
+  FROM p JOIN u ON p.source IS NOT DISTINCT FROM u.source GROUP BY ALL),
+c2 AS (SELECT source, shift FROM v QUALIFY row_number() OVER (PARTITION BY source ORDER BY off, k) = 1)
+SELECT p.doc_id, p.size, p.source_size, p.target, p.size * (floor((rank + 1) * step + shift) - floor(rank * step + shift))::BIGINT AS taken
+FROM p JOIN c2 ON p.source IS NOT DISTINCT FROM c2.source
 """
 
 OP9_SQL = r"""

@@ -1,6 +1,8 @@
 """Chunks that meet again after a shift, hot groups, and distances to targets."""
 
 import collections
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def test_hot_groups(spark, monkeypatch, hot_rows):
 
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
 def test_sources_come_near_their_targets(spark, sf):
-    """Within 2 %, or a document that is no longer than any of the TOP longest."""
+    """Within 1 %, or half a document of the longest ones' size."""
     sf = f"/root/testdata/{sf}"
     source = {r.doc_id: r.source for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     taken, target, sizes = collections.Counter(), {}, collections.defaultdict(list)
@@ -45,8 +47,25 @@ def test_sources_come_near_their_targets(spark, sf):
         sizes[s].append(r.size)
         assert r.taken in (0, r.size, 2 * r.size)
     for s, n in taken.items():
-        left = sorted(sizes[s], reverse=True)[mixing.TOP - 1 :] or sorted(sizes[s])
-        assert abs(n - target[s]) <= max(0.02 * target[s], left[0])
+        assert abs(n - target[s]) <= max(0.01 * target[s], max(sizes[s]) / 2), (s, n, target[s])
+
+
+def test_small_sources_are_sampled_too(spark):
+    """One to forty documents a source: words that no other offset would bring nearer
+    by more than the steps between the offsets."""
+    rng = random.Random(8)
+    rows = [(s * 100 + k, "w " * rng.choice([1, 5, 40, rng.randint(1, 300)]), f"s{s:02d}") for s in range(12) for k in range(1 + 3 * s)]
+    plan = mixing.mixing_plan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    of = collections.defaultdict(list)
+    for r in plan:
+        of[r.doc_id // 100].append(r)
+    for s, mine in of.items():
+        mine.sort(key=lambda r: (r.size, r.copies))
+        words = sum(r.size for r in mine)
+        each = mine[0].target / words
+        assert all(r.copies in (math.floor(each), math.ceil(each)) for r in mine)
+        done = sum(r.taken for r in mine)
+        assert abs(done - mine[0].target) <= max(r.size for r in mine) / 2 + 0.02 * words
 
 
 def test_many_sources_in_ranges(spark):
