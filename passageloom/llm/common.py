@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import gc
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,8 @@ from ..sources.files import shared_dir
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Paths that the innermost temporary() has written.
+_written: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("written", default=None)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -23,10 +27,31 @@ def materialise(df: DataFrame) -> DataFrame:
     tables of an application are in one folder; see discard."""
     spark = df.sparkSession
     path = f"{tables_dir(spark)}/table-{uuid.uuid4().hex}"
+    if (made := _written.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths of tables that are written within, which are deleted at the end; take
+    one out of the list to keep it. Those of others are left alone."""
+    token = _written.set([])
+    made = _written.get()
+    try:
+        yield made
+    finally:
+        _written.reset(token)
+        delete(spark, *made)
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def tables_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 

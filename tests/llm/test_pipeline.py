@@ -47,8 +47,19 @@ def test_stages(spark, sf):
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
 
 
-def test_run_agrees_with_stages(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0 and len(corpus_pipeline.STAGES) == 5
+def tables(spark):
+    from passageloom.llm import common
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(common.tables_dir(spark))
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {f.getPath().getName() for f in files.listStatus(at)} if files.exists(at) else set()
+
+
+def test_run_leaves_one_table(spark, sf):
+    other, before = materialise(spark.range(5)), tables(spark)
+    made = corpus_pipeline.run(spark, sf)
+    assert made.count() > 0 and len(corpus_pipeline.STAGES) == 5
+    assert other.count() == 5 and before < tables(spark) and len(tables(spark) - before) == 1
 
 
 CLASHES = ["kept_id", "mix_id", "mix_copies", "score", "toxic", "threshold", "i", "n", "t", "rep", "kept", "source_size", "recipe", "ids", "size"]
