@@ -17,7 +17,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 
 from passageloom.llm.bpe import bpe_digest
-from passageloom.llm.common import materialise
+from passageloom.llm.common import delete, materialise, temporary
 from passageloom.llm.exact_dedup import keep_distinct
 from passageloom.llm.mixing import mix
 from passageloom.llm.near_dup import keep_representatives
@@ -62,7 +62,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """What the last stage makes. Of the tables on the way only the last stage's input
+    stays, which the result is read from; every other goes as soon as it has been read."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with temporary(spark) as made:
+            docs = materialise(stage(spark, docs, sf_dir))
+            kept = made.pop()
+        delete(spark, *before)
+        before = [kept]
     return STAGES[-1][1](spark, docs, sf_dir)
