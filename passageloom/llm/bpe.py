@@ -216,13 +216,13 @@ def decoder(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _decoders[path]
 
 
-def slices(texts: pa.Array) -> Iterator[list[str]]:
+def slices(texts: pa.Array, most: int = SLICE_CHARS) -> Iterator[list[str]]:
     """The texts, some at a time, null as empty."""
     held, chars = [], 0
     for t in texts:
         held.append(t.as_py() or "")
         chars += len(held[-1])
-        if chars >= SLICE_CHARS:
+        if chars >= most:
             yield held
             held, chars = [], 0
     if held:

@@ -38,7 +38,7 @@ from .joins import Joins
 
 MARK = "▁"
 #: Words remembered by a worker, and letters of a word that joins with others.
-MEMO, SHORT = 150_000, 48
+MEMO, SHORT = 400_000, 48
 
 
 class Vocabulary:

@@ -19,7 +19,8 @@ Rows: a null text is empty. Messages without a conversation or turn aren't
 linked. Messages that share both count as one when they are linked. Lines
 without a letter or digit link nothing. Lines that announce a quotation go from
 the text with it, and are lines like any other when messages are linked. Very long
-texts are read line by line, whole. An empty table gives no row.
+texts are read line by line, whole. An empty table gives no row. Other columns, of
+whatever names, are left alone.
 """
 
 from __future__ import annotations
@@ -37,8 +38,10 @@ QUOTED = r"^(?:[ \t]*>)+[ \t]?"
 ANNOUNCED = r"(^|\n)(?:On [^\n]*[^ \t\r\n.!?:;][ \t\r]*\n)?[ \t]*(?:[^ \t\n>][^\n]*[ \t])?wrote:[ \t\r]*\n((?:[ \t\r]*\n)?[ \t]*>)"
 TELLING = r"[\p{L}\p{N}]"
 #: Words of a passage or sentence at least that is looked for within a text; what
-#: is shorter links as a whole line only.
+#: is shorter links as a whole line or sentence only.
 LEAST_WORDS = 3
+#: A run that a passage is met by has 2**LONGEST words at most.
+LONGEST = 5
 
 
 def lines(text: Column) -> Column:
@@ -74,10 +77,13 @@ def passage_votes(quoted: DataFrame, said: DataFrame) -> DataFrame:
     """conv, turn, level, origin and linked of quoted lines that are no line of an
     earlier message: consecutive ones of a level make a passage, which is looked
     for in the unquoted text of earlier messages over line breaks; where it isn't
-    found, its sentences are. A passage or sentence is met by the hash of its
-    first 2**k words, most of it, and compared as a text.
+    found, its sentences are. A passage or sentence is met by the hash of 2**k of
+    its words in a row, most of a short one, and compared as a text; of all such runs the one
+    that fewest bodies of the conversation hold, so that a common opening leads to
+    no comparisons. One of fewer than LEAST_WORDS words is met as a sentence.
 
-    quoted: conv, turn, m, level, rn and passage; said: conv, turn and body."""
+    quoted: conv, turn, m, level, rn and passage; said: conv, turn, body and
+    sentences."""
     level = W.partitionBy("conv", "turn", "m", "level").orderBy("rn")
     runs = (
         quoted.withColumn("island", F.col("rn") - F.row_number().over(level))
@@ -88,16 +94,24 @@ def passage_votes(quoted: DataFrame, said: DataFrame) -> DataFrame:
     whole = F.struct(F.lit(True).alias("whole"), bare_words(F.col("text")).alias("unit"), F.col("n").cast("long").alias("weight"))
     each = F.transform(F.split("text", r"(?<=[.!?]) "), lambda v: F.struct(F.lit(False).alias("whole"), bare_words(v).alias("unit"), F.lit(1).cast("long").alias("weight")))
     units = runs.select("conv", "turn", "m", "level", "island", F.explode(F.concat(F.array(whole), each)).alias("u")).select("conv", "turn", "m", "level", "island", "u.*")
-    units = materialise(units.withColumn("size", F.size(F.split("unit", " "))).where(F.col("size") >= LEAST_WORDS))
-    power = lambda n: F.floor(F.log2(n)).cast("int")
-    asked = units.select("conv", "unit", "size").distinct().withColumn("j", power(F.col("size")))
-    asked = asked.withColumn("h", F.xxhash64(F.array_join(F.slice(F.split("unit", " "), 1, F.pow(F.lit(2.0), F.col("j")).cast("int")), " ")))
-    told = said.join(asked.select("conv", "j").distinct(), "conv").withColumn("n", F.pow(F.lit(2.0), F.col("j")).cast("int"))
-    told = told.groupBy("conv", "body", "j", "n").agg(F.sort_array(F.collect_set("turn")).alias("origins"))
+    units = materialise(units.withColumn("size", F.size(F.split("unit", " "))).where("unit <> ''"))
+    said = materialise(said)
+    power = lambda n: F.least(F.floor(F.log2(n)).cast("int"), F.lit(LONGEST))
+    run_of = F.pow(F.lit(2.0), F.col("j")).cast("int")
+    asked = units.where(F.col("size") >= LEAST_WORDS).select("conv", "unit", "size").distinct().withColumn("j", power(F.col("size")))
+    told = said.join(asked.select("conv", "j").distinct(), "conv").withColumn("n", run_of)
+    told = told.groupBy("conv", "body", "j", "n").agg(F.min("turn").alias("origin"))
     told = told.withColumn("words", F.split("body", " ")).where(F.size("words") >= F.col("n"))
-    told = told.select("conv", "j", "body", "origins", F.explode(F.array_distinct(windows(F.col("words"), F.col("n")))).alias("h"))
-    hits = asked.join(told, ["conv", "j", "h"]).where(F.contains(cat(" ", F.col("body"), " "), cat(" ", F.col("unit"), " ")))
-    first = hits.groupBy("conv", "unit").agg(F.min(F.element_at("origins", 1)).alias("origin"))
+    told = told.select("conv", "j", "body", "origin", F.explode(F.array_distinct(windows(F.col("words"), F.col("n")))).alias("h"))
+    held = told.groupBy("conv", "j", "h").agg(F.count("*").alias("bodies"))
+    runs_asked = asked.select("*", F.explode(F.array_distinct(windows(F.split("unit", " "), run_of))).alias("h"))
+    rarest = runs_asked.join(held, ["conv", "j", "h"], "left").groupBy("conv", "j", "unit").agg(F.min(F.struct(F.coalesce("bodies", F.lit(0)).alias("bodies"), "h")).alias("x"))
+    rarest = rarest.where("x.bodies > 0").select("conv", "j", "unit", F.col("x.h").alias("h"))
+    hits = rarest.join(told, ["conv", "j", "h"]).where(F.contains(cat(" ", F.col("body"), " "), cat(" ", F.col("unit"), " ")))
+    first = hits.groupBy("conv", "unit").agg(F.min("origin").alias("origin"))
+    brief = said.select("conv", "turn", F.explode(F.array_distinct("sentences")).alias("unit")).where(F.size(F.split("unit", " ")) < LEAST_WORDS)
+    brief = brief.groupBy("conv", "unit").agg(F.min("turn").alias("origin"))
+    first = first.unionByName(brief.join(units.select("conv", "unit").distinct(), ["conv", "unit"], "left_semi"))
     found = units.join(first, ["conv", "unit"]).where("origin < turn")
     run = ["conv", "turn", "m", "level", "island"]
     found = found.withColumn("any", F.max("whole").over(W.partitionBy(*run))).where("whole = any")
@@ -125,7 +139,8 @@ def reply_links(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     same = (F.col("conv") == F.col("f_conv")) & (F.col("h") == F.col("f_h")) & (F.col("passage") == F.col("f_passage")) & (F.col("f_origin") < F.col("turn"))
     rest = materialise(quoted.join(found, same, "left_anti").select("conv", "turn", "m", "level", "rn", "passage").distinct())
     unquoted_lines = F.filter(F.transform(F.filter("lines", lambda x: level(x) == 0), normalised), lambda x: x.rlike(TELLING))
-    bodies = known.join(rest.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", bare_words(F.array_join(unquoted_lines, " ")).alias("body"))
+    bodies = known.join(rest.select("conv").distinct(), "conv", "left_semi").select("conv", "turn", F.array_join(unquoted_lines, " ").alias("all"))
+    bodies = bodies.select("conv", "turn", bare_words(F.col("all")).alias("body"), F.transform(F.split("all", r"(?<=[.!?]) "), bare_words).alias("sentences"))
     votes = votes.unionByName(passage_votes(rest, bodies)).groupBy("conv", "turn", "level", "origin").agg(F.sum("linked").alias("linked"))
     best = F.struct(-F.col("level"), "linked", "origin")
     chosen = votes.groupBy("conv", "turn").agg(F.max(best).alias("best"))

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import duckdb
 import public_tokenizers as vocabularies
@@ -249,6 +250,29 @@ def test_quotes_of_passages(spark):
     assert got[1, 6] == (None, 6, 0) and got[2, 1] == (None, 1, 0) and got[1, 1] == (None, 1, 0)
 
 
+def test_quotes_of_short_sentences(spark):
+    rows = [(1, 0, "user", "Well. All good! I left\nearly. No"), (1, 1, "user", "Good news came in."), (1, 2, "user", "> All\n> good!\nFine."), (1, 3, "user", "> Good\n> news\nFine."), (1, 4, "user", "> no.\nSo.")]
+    got = {r.turn: (r.parent_turn, r.n_linked) for r in quotes.reply_ordered(chat_frame(spark, rows)).collect()}
+    assert got == {0: (None, 0), 1: (None, 0), 2: (0, 2), 3: (None, 0), 4: (0, 1)}
+
+
+def test_quotes_with_one_opening(spark):
+    """n messages that begin alike and n wrapped replies: each finds its own, and four
+    times as many take at most five times as long."""
+
+    def took(n):
+        said = lambda k: f"Dear customer thank you for your message of today about order {k} which has left us."
+        rows = [(1, k, "user", said(k)) for k in range(n)] + [(1, n + k, "user", "> Dear customer thank you for your\n> message of today about order " + f"{k}\n> which has left us.\nNoted.") for k in range(n)]
+        frame = chat_frame(spark, rows).repartition(4)
+        began = time.time()
+        got = quotes.reply_ordered(frame).where((F.col("turn") >= n) & (F.col("parent_turn") == F.col("turn") - n))
+        assert got.count() == n
+        return time.time() - began
+
+    took(50)
+    assert took(4000) < 5 * took(1000)
+
+
 def test_quotes_fixture_equals_sql(spark):
     con = duckdb.connect()
     rows = [r for r in CHAT if r[:2] != (2, 1)]
