@@ -10,8 +10,10 @@ row is in a block. Queries are dealt into groups.
    entry of the result is below. The block also tells the centre and the radius
    of each of its slices.
 2. The cutoffs go to all blocks. By centre and radius, a block can rule out that
-   any entry reaches a query's cutoff; only blocks that can't get the query. There,
-   a list whose bound is under an m-th of the cutoff, for m lists, isn't computed;
+   any entry reaches a query's cutoff; only blocks that can't get the query. What is
+   written of that is a bit for each query and block, a row for a block and a group
+   of queries. Vectors travel once for each group and SUPER blocks that meet, as
+   integers of 16 or 32 bits where they fit. There, a list whose bound is under an m-th of the cutoff, for m lists, isn't computed;
    the entries that reach an m-th in some list are sufficient.
 3. Of these, entries whose known partial scores leave the cutoff in reach are
    resolved exactly, and a block's k best for each query are ranked with those of
@@ -26,7 +28,8 @@ Rows: vectors that are null, or hold a null or non-finite component, take no
 part, as do rows without an id. Only vectors of the query's length are compared
 with it; a query whose block holds fewer than k others has no cutoff and meets
 all of them. Of repeated ids every row counts; a row of the query's own id
-doesn't.
+doesn't. Vectors may be of any length. An empty table gives an empty one. Other
+columns, of whatever names, are left alone.
 """
 
 from __future__ import annotations
@@ -44,13 +47,16 @@ from .common import materialise, release
 
 SCALE, K, SLICES = 1024, 10, 4
 #: Rows of a block of vectors and of a group of queries, about; pivots at most.
-BLOCK, GROUP, PIVOTS = 2048, 1024, 256
+BLOCK, GROUP, PIVOTS = 2048, 4096, 256
 #: Queries worked at a time, pairs resolved at a time, blocks whose bounds are one task's.
-TILE, PAIRS, STATS = 128, 1 << 15, 64
+TILE, PAIRS, STATS = 128, 1 << 15, 1024
+#: Blocks that a group of queries meets at a time.
+SUPER = 16
 LEAST, MOST = -(2**63), 2**63 - 1
 #: Room for rounding in bounds, as a share of the lengths that are multiplied.
 SLACK = 1e-9
-SENT = "ib int, dims int, qg int, id long, cutoff long, v array<double>"
+GATHERED = "ib int, dims int, qg int, key long, id long, cutoff long, stats array<double>, ids binary, x binary"
+MEMBERS = "ib int, dims int, qg int, members binary"
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -60,6 +66,25 @@ def matrix(table: pa.Table) -> np.ndarray:
     return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as hold all of them; the first tells how many."""
+    for size, kind in ((2, np.int16), (4, np.int32)):
+        if np.abs(x).max(initial=0) <= np.iinfo(kind).max:
+            return bytes([size]) + x.astype(kind).tobytes()
+    return bytes([8]) + x.astype(np.float64).tobytes()
+
+
+def unpacked(raw: bytes, n: int, dims: int) -> np.ndarray:
+    """n vectors of packed, one a row, as doubles."""
+    return np.frombuffer(raw, {2: np.int16, 4: np.int32, 8: np.float64}[raw[0]], offset=1).astype(np.float64).reshape(n, dims)
+
+
+def unpacked_rows(table: pa.Table, name: str) -> np.ndarray:
+    """The vectors of packed rows."""
+    dims = table.column("dims")[0].as_py()
+    return np.concatenate([unpacked(v.as_py(), 1, dims) for v in table.column(name)])
+
+
 def ints(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(np.int64, copy=False)
 
@@ -176,6 +201,7 @@ def placed(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str, bloc
         F.size(x).alias("dims"),
         F.coalesce(is_query, F.lit(False)).alias("asks"),
         F.xxhash64(F.monotonically_increasing_id()).alias("salt"),
+        F.monotonically_increasing_id().alias("key"),
     )
     n = rows.count()
     some = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, math.ceil(n / block)))).select("v").collect()
@@ -198,7 +224,7 @@ def placed(vectors: DataFrame, is_query: Column, id_col: str, vec_col: str, bloc
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell)], names=[*batch.schema.names, "cell"])
         release()
 
-    return materialise(rows.mapInArrow(assign, "id long, v array<double>, dims int, asks boolean, salt long, cell int"))
+    return materialise(rows.mapInArrow(assign, "id long, v array<double>, dims int, asks boolean, salt long, key long, cell int"))
 
 
 def dealt(rows: DataFrame, block: int, group: int) -> tuple[DataFrame, int, int]:
@@ -219,42 +245,44 @@ def dealt(rows: DataFrame, block: int, group: int) -> tuple[DataFrame, int, int]
     return rows.withColumns({"ib": ib.cast("int"), "qg": qg}), sum(parts), max(1, math.ceil(sum(asked) / group))
 
 
-def sufficient(rows: DataFrame, blocks: int, groups: int, k: int, slices: int) -> DataFrame:
-    """Phase 1, and the cutoffs' way to the blocks: one row per query and block
-    that may hold an entry which reaches its cutoff (SENT)."""
+def sufficient(rows: DataFrame, blocks: int, groups: int, k: int, slices: int) -> tuple[DataFrame, DataFrame]:
+    """Phase 1, and the cutoffs' way to the blocks: the queries with their cutoffs and
+    the blocks, packed (GATHERED, where qg is -1 for a block); and a row for each block
+    and group with members, a bit for each of the group's queries by key, set where the
+    block may hold an entry that reaches its cutoff (MEMBERS)."""
 
     def gather(table: pa.Table) -> pa.Table:
         ids, x = ints(table, "id"), matrix(table)
         block, asks = Block(ids, x, slices), np.flatnonzero(table.column("asks").to_numpy(zero_copy_only=False))
         cut = local_cutoffs(asks, block, k)
         n, ib, dims = len(asks), table.column("ib")[0].as_py(), table.column("dims")[0].as_py()
-        told = [block.centre.tolist() + block.radius.tolist() + [block.length]]
+        stats = block.centre.tolist() + block.radius.tolist() + [block.length]
         return pa.table({
-            "ib": pa.array([ib] * (n + 1), pa.int32()), "dims": pa.array([dims] * (n + 1), pa.int32()),
-            "qg": pa.array(np.append(ints(table, "qg")[asks], -1), pa.int32()), "id": np.append(ids[asks], 0),
-            "cutoff": np.append(cut, LEAST), "v": pa.array([*x[asks].tolist(), *told], pa.list_(pa.float64())),
+            "ib": pa.array([ib] * (n + 1), pa.int32()), "dims": pa.array([dims] * (n + 1), pa.int32()), "qg": pa.array(np.append(ints(table, "qg")[asks], -1), pa.int32()),
+            "key": np.append(ints(table, "key")[asks], 0), "id": np.append(ids[asks], 0), "cutoff": np.append(cut, LEAST), "stats": pa.array([None] * n + [stats], pa.list_(pa.float64())),
+            "ids": pa.array([None] * n + [ids.tobytes()], pa.binary()), "x": pa.array([packed(v) for v in x[asks]] + [packed(x)], pa.binary()),
         })
 
-    gathered = materialise(rows.groupBy("ib", "dims").applyInArrow(gather, SENT))
+    gathered = materialise(rows.groupBy("ib", "dims").applyInArrow(gather, GATHERED))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    told = gathered.where("qg < 0").select("ib", "dims", "v", F.floor(F.col("ib") / STATS).cast("int").alias("sg")).select("*", every(groups).alias("qg"))
-    asked = gathered.where("qg >= 0").select("id", "dims", "cutoff", "v", "qg").select("*", every(math.ceil(blocks / STATS)).alias("sg"))
+    told = gathered.where("qg < 0").select("ib", "dims", "stats", F.floor(F.col("ib") / STATS).cast("int").alias("sg")).select("*", every(groups).alias("qg"))
+    asked = gathered.where("qg >= 0").select("key", "dims", "cutoff", "x", "qg").select("*", every(math.ceil(blocks / STATS)).alias("sg"))
 
     def send(asked: pa.Table, told: pa.Table) -> pa.Table:
         out = []
         if asked.num_rows and told.num_rows:
-            q, cut = matrix(asked), ints(asked, "cutoff")
-            need, dims, group = need_of(cut), asked.column("dims")[0].as_py(), asked.column("qg")[0].as_py()
-            for ib, v in zip(told.column("ib").to_pylist(), told.column("v").to_pylist()):
+            asked = asked.sort_by("key")
+            q, need, dims, group = unpacked_rows(asked, "x"), need_of(ints(asked, "cutoff")), asked.column("dims")[0].as_py(), asked.column("qg")[0].as_py()
+            for ib, v in zip(told.column("ib").to_pylist(), told.column("stats").to_pylist()):
                 v = np.array(v)
-                may = np.flatnonzero(bounds(q, v[:dims], v[dims:-1], v[-1], len(v) - dims - 1).sum(1) >= need)
-                part, n = asked.take(pa.array(may)), len(may)
-                out.append(pa.table([pa.array([x] * n, pa.int32()) for x in (ib, dims, group)] + [part.column(c) for c in ("id", "cutoff", "v")], names=["ib", "dims", "qg", "id", "cutoff", "v"]))
-        shape = pa.schema([("ib", pa.int32()), ("dims", pa.int32()), ("qg", pa.int32()), ("id", pa.int64()), ("cutoff", pa.int64()), ("v", pa.list_(pa.float64()))])
-        return pa.concat_tables([t.cast(shape) for t in out]) if out else shape.empty_table()
+                may = bounds(q, v[:dims], v[dims:-1], v[-1], len(v) - dims - 1).sum(1) >= need
+                if may.any():
+                    out.append((ib, dims, group, np.packbits(may).tobytes()))
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table([pa.array([r[c] for r in out], kind) for c, kind in enumerate(kinds)], names=["ib", "dims", "qg", "members"])
 
     unit = ["qg", "sg", "dims"]
-    return materialise(asked.groupBy(*unit).cogroup(told.groupBy(*unit)).applyInArrow(send, SENT))
+    return gathered, materialise(asked.groupBy(*unit).cogroup(told.groupBy(*unit)).applyInArrow(send, MEMBERS))
 
 
 def topk(
@@ -270,17 +298,31 @@ def topk(
     """query_id, rank (from 1), vec_id and score of each query's k best, all if
     fewer; ties go to the smaller vec_id."""
     rows, blocks, groups = dealt(placed(vectors, is_query, id_col, vec_col, block), block, group)
-    sent = sufficient(rows, blocks, groups, k, slices)
-    wanted = sent.groupBy(F.col("ib").alias("to"), F.col("dims").alias("length"), F.col("qg").alias("group")).agg(F.count("*").alias("queries"))
-    items = rows.select("id", "v", "dims", "ib").join(wanted.hint("merge"), (F.col("ib") == F.col("to")) & (F.col("dims") == F.col("length")))
+    gathered, sent = sufficient(rows, blocks, groups, k, slices)
+    sent = sent.withColumn("sb", F.floor(F.col("ib") / SUPER).cast("int"))
+    own = lambda df, *names: df.select(*[F.col(c).alias(c) for c in names])  # noqa: E731  both sides come of one table
+    units = own(sent, "sb", "qg", "dims").distinct()
+    asked = own(gathered.where("qg >= 0"), "qg", "dims", "key", "id", "cutoff", "x").join(units.hint("merge"), ["qg", "dims"])
+    held = sent.join(own(gathered.where("qg < 0"), "ib", "dims", "ids", "x").hint("merge"), ["ib", "dims"])
 
     def resolve(asked: pa.Table, held: pa.Table) -> pa.Table:
-        if not asked.num_rows or not held.num_rows:
-            return scan(np.zeros(0, np.int64), np.zeros((0, 1)), np.zeros(0, np.int64), Block(np.zeros(0, np.int64), np.zeros((0, 1))), k)[0]
-        return scan(ints(asked, "id"), matrix(asked), ints(asked, "cutoff"), Block(ints(held, "id"), matrix(held), slices), k)[0]
-
-    unit = ["ib", "dims", "qg"]
-    items = items.select(F.col("to").alias("ib"), F.col("length").alias("dims"), F.col("group").alias("qg"), "id", "v")
-    entries = sent.groupBy(*unit).cogroup(items.groupBy(*unit)).applyInArrow(resolve, FOUND)
+        parts = []
+        if asked.num_rows and held.num_rows:
+            asked = asked.sort_by("key")
+            dims, n = asked.column("dims")[0].as_py(), asked.num_rows
+            ids, cutoff, q = ints(asked, "id"), ints(asked, "cutoff"), unpacked_rows(asked, "x")
+            for members, own, x in zip(*(held.column(c) for c in ("members", "ids", "x"))):
+                mine = np.flatnonzero(np.unpackbits(np.frombuffer(members.as_py(), np.uint8), count=n))
+                known = np.frombuffer(own.as_py(), np.int64)
+                block = Block(known, unpacked(x.as_py(), len(known), dims), slices)
+                parts.append(scan(ids[mine], q[mine], cutoff[mine], block, k)[0])
+        if not parts:
+            return pa.table([pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
+        found = pa.concat_tables(parts)
+        best = best_of(*(ints(found, c) for c in ("query_id", "score", "vec_id")), k=k)
+        return found.take(pa.array(best))
+
+    unit = ["sb", "qg", "dims"]
+    entries = asked.groupBy(*unit).cogroup(held.groupBy(*unit)).applyInArrow(resolve, FOUND)
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return entries.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,5 +1,6 @@
 """Top-k search: what the cutoff rules out, and scores beyond 2 ** 53."""
 
+import os
 import random
 
 import numpy as np
@@ -46,8 +47,8 @@ def test_blocks_that_get_no_query(spark):
     x = clusters(900)
     df = spark.createDataFrame([(k, (v / 1024).tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
     rows, blocks, groups = T.dealt(T.placed(df, F.col("vec_id") % 10 == 0, "vec_id", "embedding", 60), 60, 40)
-    sent = T.sufficient(rows, blocks, groups, 10, T.SLICES)
-    assert blocks > 10 and groups > 1 and sent.count() < 0.6 * 90 * blocks
+    _, sent = T.sufficient(rows, blocks, groups, 10, T.SLICES)
+    assert blocks > 10 and groups > 1 and sum(int.from_bytes(r.members).bit_count() for r in sent.collect()) < 0.6 * 90 * blocks
     got = sorted(map(tuple, T.topk(df, F.col("vec_id") % 10 == 0, block=60, group=40).collect()))
     assert got == brute_topk([(k, (v / 1024).tolist()) for k, v in enumerate(x)], lambda i: i % 10 == 0, 10)
 
@@ -61,3 +62,27 @@ def test_common_vector_and_repeated_ids(spark, block):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(map(tuple, T.topk(df, F.col("vec_id") % 20 == 0, block=block, group=3).collect()))
     assert got == brute_topk(rows, lambda i: i % 20 == 0, 10)
+
+
+def written(spark, n, tmp_path, monkeypatch):
+    """Bytes of the tables that a search over n spread vectors writes."""
+    rng, sizes = np.random.default_rng(4), []
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((n, 48)))], "vec_id long, embedding array<double>").repartition(4)
+    keep = T.materialise
+
+    def weighed(made):
+        made = keep(made)
+        sizes.append(sum(os.path.getsize(f.removeprefix("file:").replace("//", "/")) for f in made.inputFiles()))
+        return made
+
+    monkeypatch.setattr(T, "materialise", weighed)
+    assert T.topk(df, F.col("vec_id") % 20 == 0, block=50, group=25).count() == len(range(0, n, 20)) * 10
+    monkeypatch.setattr(T, "materialise", keep)
+    return sum(sizes), len(sizes)
+
+
+def test_what_is_written_grows_with_the_vectors(spark, tmp_path, monkeypatch):
+    """On spread vectors, where no block is ruled out, twice as many write about twice."""
+    small, tables = written(spark, 1500, tmp_path, monkeypatch)
+    large, _ = written(spark, 3000, tmp_path, monkeypatch)
+    assert tables == 3 and large < 2.4 * small
