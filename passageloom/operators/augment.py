@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import barrier, bucket, cat, count_words, flat
 from ..plans.tasks import GATE, ROWS_TYPE, TASKS, Task, drawn, list_tasks, resolve_tasks, selector
 from ..sources.files import files_of, write_jsonl
-from .chunk import chunk_text, usable
+from .chunk import chunk_text, usable, validated
 from .judge import add_reasoning
 from .runtime import Parts, RuleRuntime, Runtime, ask, typed, with_parts
 
@@ -179,7 +179,7 @@ def augment(
     by chance first and gates what drew any. auto gates, then selects from the
     menu by the tasks' hints. Gate, selector, tasks and reasoning are calls of the
     runtime; without one, rules. Passages that can't be used are left out; see
-    chunk.validated. With save_to, rows are appended there as JSON lines, and what
+    refused. With save_to, rows are appended there as JSON lines, and what
     this call wrote is returned, so that no call is repeated by reading it.
     """
     mode = mode or infer_mode(tasks)
@@ -205,6 +205,12 @@ def augment(
     return saved(rows, save_to) if save_to else rows
 
 
+def refused(passages: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col and error of the passages that augment leaves out: empty ones, and those
+    to be cut into chunks first."""
+    return validated(passages.select(id_col, text_col), text_col).where("error IS NOT NULL").select(id_col, "error")
+
+
 def row_key(id_col: str = "doc_id") -> Column:
     """What tells a training row: its passage and the keys."""
     return F.concat_ws(":", *[F.col(c).cast("string") for c in (id_col, *KEYS)])

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cat, count_words, maskable, strip
 from ..plans.tasks import COMPARISON, NO_ANSWER, REASON, RETRIEVAL, passage_list, retrieval_rows
-from ..sources.files import shared_dir
+from ..sources.files import scratch
 from .runtime import RuleRuntime, Runtime, ask, completed, typed
 
 #: Fixed value: passages of a group at least.
@@ -26,9 +24,9 @@ def all_groups(docs: DataFrame, size: int = 3, by: str = "source", id_col: str =
 
     Rows are range-partitioned by source and id and written, so that a number is
     the rank in a partition plus the counts of those before; no window holds a
-    source."""
+    source. files.clear_scratch frees what was written."""
     spark = docs.sparkSession
-    at = f"{shared_dir(spark)}/groups-{uuid.uuid4().hex}"
+    at = scratch(spark, "groups")
     ready = docs.select(F.col(by).alias("by"), F.col(id_col).alias("i"), strip(F.col(text_col)).alias("t")).where("t <> ''")
     ready.repartitionByRange("by", "i").withColumn("part", F.spark_partition_id()).write.parquet(at)
     ready = spark.read.parquet(at)

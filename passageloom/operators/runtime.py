@@ -132,7 +132,18 @@ def with_parts(calls: DataFrame, taken: set[str]) -> DataFrame:
 
 class RuleRuntime(Runtime):
     def raw(self, calls: DataFrame, tasks: dict[str, Task]) -> DataFrame:
-        raise NotImplementedError("rules draft structs; see apply and augment.drafted")
+        """The drafts as JSON, null where a rule makes none; variations of an answer are
+        the answer. Within the library drafts stay structs; see apply and
+        augment.drafted."""
+        x = Parts()
+        drafts = {n: F.to_json(t.draft(x).cast(t.tree.ddl())) for n, t in tasks.items()}
+        parts = with_parts(calls, x.taken)
+        said = F.lit(None).cast("string")
+        for n, draft in drafts.items():
+            said = F.when(F.col("task") == n, draft).otherwise(said)
+        made = parts.withColumns({"raw": said, "error": F.lit(None).cast("string"), "attempts": F.lit(0)})
+        made = made.withColumn("variation", F.explode(F.sequence(F.col("variation"), F.col("variation") + F.col("variations"))))
+        return made.select(*calls.columns, "raw", "error", "attempts")
 
     def apply(self, calls: DataFrame, task: Task) -> DataFrame:
         x = Parts()

@@ -3,8 +3,6 @@ templates, judging and sinks; and the same as SQL."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -180,7 +178,7 @@ def custom_preprocessing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = A.run_task(passages(spark, sf_dir), "title").select("instruction", "input", "output", F.lit(None).cast("string").alias("reasoning"))
-    return files.read_jsonl(spark, files.write_jsonl(rows, f"{files.shared_dir(spark)}/rows-{uuid.uuid4().hex}")).select(*ROW, "reasoning")
+    return files.read_jsonl(spark, files.write_jsonl(rows, files.scratch(spark, "rows"))).select(*ROW, "reasoning")
 
 
 # -- calls of a runtime that answers from a table --------------------------------
@@ -270,7 +268,7 @@ def decision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     with the rows that it kept."""
     d = decisions(spark, sf_dir).orderBy("seq")
     row_ = F.struct(*[F.lit(c).alias(c) for c in (*ROW, "reasoning")])
-    at = f"{files.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    at = files.scratch(spark, "log")
     for n in range(3):
         part = d.where(F.col("seq") == n)
         files.write_jsonl(part.select("row_index", "is_quality", F.col("seq").cast("string").alias("reason"), "judge_error", row_.alias("row")), f"{at}/decisions")

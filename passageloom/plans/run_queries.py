@@ -3,8 +3,6 @@ same as SQL."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,7 +71,7 @@ def log_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     first, every twenty-first for good. The last decision of each, from the log."""
     rows = numbered(spark, f"{sf_dir}/documents.parquet").select("row_index", F.length("text").alias("n"))
     fails = lambda run: rows.withColumn("judge_error", (F.col("row_index") % 7 == 0) & (F.lit(run) == 0) | (F.col("row_index") % 21 == 0))
-    log = DecisionLog(spark, f"{files.shared_dir(spark)}/log-{uuid.uuid4().hex}")
+    log = DecisionLog(spark, files.scratch(spark, "log"))
     judge = F.struct((F.coalesce("n", F.lit(0)) % 2 == 0).alias("is_quality"), F.lit("by length").alias("reason"))
     judge_rows(fails(0).where("row_index % 3 = 0"), log, judge)
     judge_rows(fails(0), log, judge)  # a third is there already

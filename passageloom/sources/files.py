@@ -26,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A folder of this application for what is read again later; see clear_scratch."""
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the folders of scratch. What is read from them must have been written
+    before."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

@@ -160,3 +160,25 @@ def test_groups_read_reasons_strictly(spark):
     table = spark.createDataFrame([("retrieval", "1:0", '{"questions": ["q?"]}'), ("retrieval", "1:1", '{"questions": ["q?"]}'), ("retrieval_reason", "1:0:0", '{"why": 5}'), ("retrieval_reason", "1:1:0", '{"why": "w"}')], "task string, call_id string, raw string")
     made = spark.createDataFrame([(1, ["a b", "c d"])], "group_id long, passages array<string>")
     assert groups.retrieval(made, runtime=R.TableRuntime(table), seed=None).select("passage_no").distinct().collect() == [(1,)]
+
+
+def test_rules_answer_as_json_too(spark):
+    docs = spark.createDataFrame([(1, "Oceans store heat for decades. Currents carry that heat to the poles! Ice answers slowly."), (2, "too short")], "doc_id long, text string")
+    tasks = [K.get_task("title"), K.get_task("bullets"), K.get_task("cloze")]
+    made = A.built(A.answers(docs, tasks, R.RuleRuntime(), "doc_id", "text"), tasks)
+    want = A.drafted(docs, tasks, "doc_id", "text")
+    assert made.select(want.columns).exceptAll(want).count() == 0 == want.exceptAll(made.select(want.columns)).count() and want.count() > 8
+
+
+def test_what_augment_leaves_out(spark):
+    docs = spark.createDataFrame([(1, "x" * 3001), (2, " "), (3, "fine"), (4, None)], "doc_id long, text string")
+    got = {r.doc_id: r.error for r in A.refused(docs).collect()}
+    assert set(got) == {1, 2, 4} and "3,001 characters" in got[1]
+
+
+def test_scratch_folders_are_cleared(spark, sf):
+    made = run_queries.log_snapshot(spark, sf).count()
+    at = files.scratch(spark, "x").rsplit("/", 1)[0]
+    assert made > 0 and files.path_exists(spark, at)
+    files.clear_scratch(spark)
+    assert not files.path_exists(spark, at)
