@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .files import DECISION_SCHEMA, named
 from .snapshots import Manifest, Snapshots
 
 ROUTES = ("kept", "rejected", "error", "failed")
@@ -103,6 +104,18 @@ class DecisionLog:
             self.merge()
         return part["counts"]
 
+    def import_jsonl(self, path: str, schema: str = DECISION_SCHEMA) -> dict[str, Any]:
+        """Take over a log of JSON lines, appended file by file: of each row its last
+        finished decision by the time of the file and the place in it, or its failure
+        where there is none, as one part; rows that this log has are left alone."""
+        log = self.spark.read.schema(schema).json(named(path))
+        written = [f"_metadata.{c}" for c in ("file_modification_time", "file_path", "file_block_start")]
+        failed = F.coalesce(F.col("judge_error"), F.lit(False))
+        route = F.when(failed, "error").when(F.col("is_quality"), "kept").otherwise("rejected")
+        last = latest(log.withColumns({"route": route, "seq": F.struct(*written, F.monotonically_increasing_id())}), self.key)
+        tries = log.groupBy(self.key).agg(F.count("*").cast("int").alias("tries"))
+        return self.add(self.unfinished(last.drop("seq").join(tries, self.key), failed=False))
+
     def written(self, rows: DataFrame, level: int) -> dict[str, Any]:
         folder, seen = self.versions.new_folder(), Observation()
         attempts = F.sum("judge_attempts") if "judge_attempts" in rows.columns else F.lit(0)

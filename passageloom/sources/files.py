@@ -132,9 +132,11 @@ def rewrite_jsonl(spark: SparkSession, rows: DataFrame, path: str) -> str:
 
 
 def compact_outputs(spark: SparkSession, decisions: str, kept: str, rejected: str, schema: str = DECISION_SCHEMA) -> DataFrame:
-    """Rewrite a decision log and the rows it kept and rejected: the last finished
-    decision of each row stays, by the time of its file and the place in it, failed
-    ones go. Returns the finished decisions."""
+    """Rewrite a decision log of plain folders and the rows it kept and rejected: the
+    last finished decision of each row stays, by the time of its file and the place in
+    it, failed ones go. Returns the finished decisions. The three folders change one
+    after another; where readers must not see that, keep a decision_log.DecisionLog,
+    which import_jsonl fills from such a log."""
     from ..operators.judge import compacted
 
     log = spark.read.schema(schema).json(named(decisions))

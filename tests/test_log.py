@@ -146,3 +146,20 @@ def test_a_stream_takes_so_many_files_at_a_time(spark, tmp_path):
     query = judge_stream(spark, source, f"{tmp_path}/out", f"{tmp_path}/cp", judge=judge())
     query.awaitTermination()
     assert DecisionLog(spark, f"{tmp_path}/out").read().count() == 40 and len([p for p in query.recentProgress if p.numInputRows]) == 4
+
+
+def test_a_log_of_json_lines_is_taken_over(spark, tmp_path):
+    at = f"{tmp_path}/decisions"
+    for k in range(4):
+        rows = [(1, k % 2 == 0, str(k), k == 3, ("i", "in", str(k), None)), (2, False, "bad", True, None)] + ([(3, False, "no", None, None)] if k == 1 else [])
+        files.write_jsonl(spark.createDataFrame(rows, files.DECISION_SCHEMA).coalesce(1), at)
+        stamp = 1_700_000_000 + 10 * k
+        for name in os.listdir(f"{at}.jsonl"):
+            if name.startswith("part") and os.path.getmtime(f"{at}.jsonl/{name}") > 1_750_000_000:
+                os.utime(f"{at}.jsonl/{name}", (stamp, stamp))
+    log = DecisionLog(spark, f"{tmp_path}/log")
+    assert log.import_jsonl(at) == {"kept": 1, "rejected": 1, "error": 1, "failed": 0, "attempts": 0}
+    got = {r.row_index: (r.route, r.reason, r.tries) for r in log.read().collect()}
+    assert got == {1: ("kept", "2", 4), 2: ("error", "bad", 4), 3: ("rejected", "no", 1)}
+    assert log.import_jsonl(at)["kept"] == 0 and log.read().count() == 3 and log.failed().first().row_index == 2
+    assert [r.row.output for r in log.read(None, "kept").collect()] == ["2"]
