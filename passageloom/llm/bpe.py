@@ -6,7 +6,8 @@ doubly linked bytes. Spark partitions the texts; inside a task texts are taken
 a few hundred at a time, distinct pre-tokens once.
 
 Rows: a null text counts as empty, and an empty text has no ids. Repeated rows
-are encoded alike. Texts of any length are taken whole.
+are encoded alike. Texts of any length are taken whole. An empty table gives an empty
+one. A column named like a new one is replaced by it.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ gets them whole; the others by sort-merge.
 
 Rows: a null text counts as empty; empty texts equal each other. Repeated rows
 count as rows; of rows that share the largest doc_id of a group all are kept. A
-null doc_id loses to any other, and is kept where a group has no other.
+null doc_id loses to any other, and is kept where a group has no other. Texts of any
+length are taken whole. An empty table gives an empty one. Other columns, of whatever
+names, are left alone.
 """
 
 from __future__ import annotations

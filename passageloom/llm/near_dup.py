@@ -23,7 +23,9 @@ the bulk of a group thus never meets it.
 
 Rows: a null or empty text, or one of white space, has no shingles and is linked
 with nothing. Rows without an id aren't linked; their component is null and they
-are kept. Rows that share an id count as one document where they are linked.
+are kept. Rows that share an id count as one document where they are linked. Texts of any
+length are taken whole. An empty table gives an empty one. Other columns, of whatever
+names, are left alone.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ once by a worker, which remembers a bounded number of them.
 A word is a run of anything but ASCII white space; the start mark is put before
 it. A word that greedy matching can't cover is one unknown token.
 
-Rows: a null or empty text has no words. Repeated rows are counted alike.
+Rows: a null or empty text has no words. Repeated rows are counted alike. Texts of any
+length are taken whole. An empty table gives an empty one. Other columns, of whatever
+names, are left alone.
 """
 
 from __future__ import annotations

@@ -191,3 +191,27 @@ def test_least_ids(length):
         ids = np.array([rng.randint(0, 99) for _ in ps])
         got, _ = suffix_dedup.least_ids(ps, ids, length)
         assert got.tolist() == [min(int(ids[q]) for q, t in enumerate(ps) if p[o : o + length] in t) for p in ps for o in range(len(p) - length + 1)]
+
+
+def long_texts(n):
+    """A text of n words, one that shares half of it, and one of a single word."""
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    half = words[: n // 2] + [f"x{rng.randrange(10**6)}" for _ in range(n // 2)]
+    near = [w if k % 200 else "other" for k, w in enumerate(words)]
+    return [(1, " ".join(words)), (2, " ".join(half)), (3, "z" * (6 * n)), (4, " ".join(near)), (5, "z" * (6 * n) + "!")]
+
+
+def test_suffixes_of_very_long_texts(spark):
+    rows = long_texts(40_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("i", "kept", "source")})
+    assert digests(suffix_dedup.suffix_dedup(df)) == brute_spans([(i, t.encode()) for i, t in rows], 50)
+    assert suffix_dedup.suffix_dedup(df.limit(0)).count() == 0
+
+
+def test_near_very_long_texts(spark):
+    rows = long_texts(60_000)
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("n", "kept", "component_id")})
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(df, words=5, percent=80).collect()}
+    assert got == brute_near(rows, 5, 80) and got[4][1] == 1 and got[2][1] == 2
+    assert near_dup.near_duplicates(df.limit(0), words=5, percent=80).count() == 0
