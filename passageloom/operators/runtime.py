@@ -271,7 +271,8 @@ class HttpRuntime(Runtime):
     given: PASSAGELOOM_MODEL, OPENAI_BASE_URL and OPENAI_API_KEY. Each task keeps
     at most `concurrent` requests open. With `cap`, calls are dealt to so few tasks,
     evenly by length, that no more than cap requests are open at once, however many
-    cores there are; with `partitions`, to so many tasks. Failed requests and answers
+    cores there are (calls that follow one another, as of gate and tasks, don't run at
+    once; jobs that do have a cap each); with `partitions`, to so many tasks. Failed requests and answers
     that the task's schema refuses are tried again, `attempts` times in all, after a
     growing pause; errors that stay, such as a wrong key, aren't. What fails for good
     becomes an error column, never an exception. Materialise what comes back before

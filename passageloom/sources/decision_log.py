@@ -98,6 +98,7 @@ class DecisionLog:
         made = decided.withColumn("seq", F.lit(manifest["version"] + 1).cast("long"))
         part = self.written(made, 0)
         if not part["rows"]:
+            self.versions.files.delete(self.versions.place(part["folder"]), True)
             return part["counts"]
         self.versions.commit(manifest | {"parts": manifest["parts"] + [part]})
         if merge:
