@@ -13,6 +13,8 @@ from .runtime import RuleRuntime, Runtime, ask, completed, typed
 
 #: Fixed value: passages of a group at least.
 LEAST = 2
+#: Documents of a part, and parts at most, roughly; see part_starts.
+PART, PARTS = 500, 4096
 ROW = ["instruction", "input", "output"]
 
 
@@ -22,28 +24,63 @@ def all_groups(docs: DataFrame, size: int = 3, by: str = "source", id_col: str =
     whatever their ids, and a last single one joins the group before it. Only the
     single document of a source is in no group.
 
-    Rows are range-partitioned by source and id and written, so that a number is
-    the rank in a partition plus the counts of those before; no window holds a
-    source. files.clear_scratch frees what was written."""
-    spark = docs.sparkSession
-    at = scratch(spark, "groups")
+    Every document finds its part, see part_starts, by binary search among their
+    starts, and is numbered within it, so that a text is shuffled once and no window
+    holds a source. files.clear_scratch frees what was written."""
     ready = docs.select(F.col(by).alias("by"), F.col(id_col).alias("i"), strip(F.col(text_col)).alias("t")).where("t <> ''")
-    ready.repartitionByRange("by", "i").withColumn("part", F.spark_partition_id()).write.parquet(at)
-    ready = spark.read.parquet(at)
-    counts = ready.groupBy("by", "part").agg(F.count("*").alias("here"))
-    every = W.partitionBy("by")
-    counts = counts.select("by", "part", (F.sum("here").over(every.orderBy("part")) - F.col("here")).alias("skip"), F.sum("here").over(every).alias("n"))
-    ranked = ready.withColumn("rank", F.row_number().over(W.partitionBy("by", "part").orderBy("i", "t")) - 1)
-    same = F.col("r.by").eqNullSafe(F.col("c.by")) & (F.col("r.part") == F.col("c.part"))
-    placed = ranked.alias("r").join(counts.alias("c"), same).select("r.by", "i", "t", (F.col("rank") + F.col("skip")).alias("rank"), "n")
-    g = F.floor(F.col("rank") / size)
-    alone = (F.col("n") % size == 1) & (F.col("rank") == F.col("n") - 1) & (g > 0) if size > 1 else F.lit(False)
-    placed = placed.withColumn("g", F.when(alone, g - 1).otherwise(g))
-    grouped = placed.groupBy("by", "g").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("x")).where(F.size("x") >= LEAST)
+    starts = part_starts(ready.select("by", "i"), size)
+    found = places(F.col("starts"), F.struct("by", "i"), starts.select(F.size("starts")).first()[0])
+    placed = ready.crossJoin(F.broadcast(starts)).select("by", "i", "t", found.alias("part"))
+    one = W.partitionBy("part", "by").orderBy("i", "t")
+    placed = placed.select("*", (F.row_number().over(one) - 1).alias("rank"), F.lead(F.lit(True)).over(one).isNull().alias("last"))
+    placed = placed.withColumn("g", F.floor((F.col("rank") - alone(F.col("rank"), F.col("last"), size).cast("int")) / size))
+    grouped = placed.groupBy("part", "by", "g").agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("x")).where(F.size("x") >= LEAST)
     ids, texts = F.transform("x", lambda v: v["i"]), F.transform("x", lambda v: v["t"])
     return grouped.select(F.element_at(ids, 1).alias("group_id"), ids.alias("ids"), texts.alias("passages"))
 
 
+def alone(rank: Column, last: Column, size: int) -> Column:
+    """Whether the document of this rank is the last and would be a group by itself."""
+    return last & (rank % size == 0) & (rank > 0) if size > 1 else F.lit(False)
+
+
+def part_starts(keys: DataFrame, size: int) -> DataFrame:
+    """A row with starts, the (by, i) in order that parts of the documents begin with,
+    each of them the first of a group of its source. Documents of one id are in one
+    part. Parts have about PART documents, more where there would be over PARTS parts.
+
+    Only the keys are written, range-partitioned by source and id, so that a number is
+    the rank in a range plus the counts of those before."""
+    spark = keys.sparkSession
+    at = scratch(spark, "groups")
+    keys.write.parquet(f"{at}/keys")
+    keys = spark.read.parquet(f"{at}/keys")
+    most = max(PART, keys.count() // PARTS)
+    keys.repartitionByRange("by", "i").withColumn("range", F.spark_partition_id()).write.parquet(f"{at}/ranges")
+    keys = spark.read.parquet(f"{at}/ranges")
+    counts = keys.groupBy("by", "range").agg(F.count("*").alias("here"))
+    every = W.partitionBy("by")
+    counts = counts.select("by", "range", (F.sum("here").over(every.orderBy("range")) - F.col("here")).alias("skip"), F.sum("here").over(every).alias("n"))
+    of_range, of_source = W.partitionBy("range").orderBy("by", "i"), W.partitionBy("range", "by").orderBy("i")
+    ranked = keys.withColumn("place", F.row_number().over(of_range) - 1)
+    ranked = ranked.withColumns({"here": F.row_number().over(of_source) - 1, "first": F.rank().over(of_source) == F.row_number().over(of_source)})
+    same = F.col("r.by").eqNullSafe(F.col("c.by")) & (F.col("r.range") == F.col("c.range"))
+    rank = F.col("here") + F.col("skip")
+    opens = F.col("first") & (rank % size == 0) & ~alone(rank, rank == F.col("n") - 1, size)
+    begun = ranked.alias("r").join(counts.alias("c"), same).where(opens).groupBy("r.range", F.floor(F.col("place") / most)).agg(F.min(F.struct("r.by", "i")).alias("start"))
+    begun.agg(F.sort_array(F.collect_list("start")).alias("starts")).write.parquet(f"{at}/starts")
+    return spark.read.parquet(f"{at}/starts")
+
+
+def places(starts: Column, key: Column, n: int) -> Column:
+    """How many of n starts, in order, are no greater than the key."""
+
+    def step(at: Column, more: Column) -> Column:
+        return F.when((at + more <= F.size(starts)) & (F.get(starts, at + more - 1) <= key), at + more).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))]), F.lit(0), step)
+
+
 def neighbours(groups: DataFrame) -> DataFrame:
     """Groups of two: each passage of a group with the next; group_id is the
     first one's id."""
@@ -67,13 +104,21 @@ def shuffled(passages: Column, seed: int = 0) -> Column:
 def comparison_rows(pairs: DataFrame, generations: int = COMPARISON.generations, runtime: Runtime | None = None) -> DataFrame:
     """group_id, generation and the row of each pair of passages, cleaned; groups
     that aren't two passages then have none. Each generation is a call of the
-    runtime; without one, a rule names a telling word of each passage."""
+    runtime; without one, a rule names a telling word of each passage. Where answers go
+    by key, only keys are asked with, and the passages join what came of them."""
     ready = pairs.select("group_id", cleaned(F.col("passages")).alias("passages")).where(F.size("passages") == 2)
-    ready = ready.withColumn("generation", F.explode(F.sequence(F.lit(0), F.lit(generations - 1))))
-    word = lambda k: F.coalesce(F.get(maskable(F.col("passages")[k]), F.lit(0)), F.lit("nothing"))
+    each = F.explode(F.sequence(F.lit(0), F.lit(generations - 1))).alias("generation")
+    n_words = count_words(F.col("passages")[0]) + count_words(F.col("passages")[1])
     key = cat(F.col("group_id").cast("string"), ":", F.col("generation").cast("string"))
-    fields = {"first_word": word(0), "second_word": word(1), "n_words": count_words(F.col("passages")[0]) + count_words(F.col("passages")[1])}
-    made = ask(ready, COMPARISON, runtime, key, passage_list(F.col("passages")), **fields)
+    if runtime is not None and runtime.by_key:
+        ready = ready.where("group_id IS NOT NULL").withColumn("n_words", F.coalesce(n_words, F.lit(0)))
+        asked = ready.select("group_id", "n_words").distinct().select("*", each)
+        told = ask(asked, COMPARISON, runtime, key, F.lit(""), n_words=F.col("n_words")).where("out IS NOT NULL")
+        made = ready.join(told, ["group_id", "n_words"])
+    else:
+        word = lambda k: F.coalesce(F.get(maskable(F.col("passages")[k]), F.lit(0)), F.lit("nothing"))
+        fields = {"first_word": word(0), "second_word": word(1), "n_words": n_words}
+        made = ask(ready.select("*", each), COMPARISON, runtime, key, passage_list(F.col("passages")), **fields)
     r = F.explode(COMPARISON.formats["plain"](F.col("passages"), F.col("out")))
     made = made.where("out IS NOT NULL").select("group_id", "generation", r.alias("r"))
     return made.select("group_id", "generation", *[F.col(f"r.{c}").alias(c) for c in ROW])

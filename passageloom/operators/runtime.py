@@ -63,6 +63,10 @@ def completed(calls: DataFrame) -> DataFrame:
 
 
 class Runtime(ABC):
+    #: Whether an answer depends on the call's task, id and numbers only, so that the
+    #: passage may be left out of it.
+    by_key = False
+
     @abstractmethod
     def raw(self, calls: DataFrame, tasks: dict[str, Task]) -> DataFrame:
         """Calls of several tasks (task), each with as many variations as it says
@@ -154,17 +158,37 @@ class RuleRuntime(Runtime):
 
 class TableRuntime(Runtime):
     """Answers from a table (task, call_id, raw): raw is JSON. Variations of an
-    answer are the answer."""
+    answer are the answer. Where calls share answers, the table may have `answer`, a
+    number or name, instead of raw, and texts (answer, raw) holds each text once: apply
+    then reads a text once for each number of words, not for each call."""
 
-    def __init__(self, answers: DataFrame):
-        self.answers = answers
+    by_key = True
 
-    def raw(self, calls: DataFrame, tasks: dict[str, Task]) -> DataFrame:
-        found = self.answers.where(F.col("task").isin(*tasks)).select(F.col("task").alias("of_task"), F.col("call_id").cast("string").alias("answer_id"), "raw")
+    def __init__(self, answers: DataFrame, texts: DataFrame | None = None):
+        self.answers, self.texts = answers, texts
+
+    def looked_up(self, calls: DataFrame, tasks: dict[str, Task]) -> DataFrame:
+        """calls, one row per answer, with what the table has for it: raw or answer."""
+        found = self.answers.where(F.col("task").isin(*tasks)).select(F.col("task").alias("of_task"), F.col("call_id").cast("string").alias("answer_id"), "raw" if self.texts is None else "answer")
         joined = calls.join(found, (F.col("task") == F.col("of_task")) & (F.col("call_id").cast("string") == F.col("answer_id")), "left").drop("of_task", "answer_id")
-        joined = joined.withColumn("variation", F.explode(F.sequence(F.col("variation"), F.col("variation") + F.col("variations"))))
+        return joined.withColumn("variation", F.explode(F.sequence(F.col("variation"), F.col("variation") + F.col("variations"))))
+
+    def raw(self, calls: DataFrame, tasks: dict[str, Task]) -> DataFrame:
+        joined = self.looked_up(calls, tasks)
+        if self.texts is not None:
+            joined = joined.join(self.texts, "answer", "left").drop("answer")
         return joined.withColumns({"error": F.lit(None).cast("string"), "attempts": F.lit(1)})
 
+    def apply(self, calls: DataFrame, task: Task) -> DataFrame:
+        if self.texts is None:
+            return super().apply(calls, task)
+        asked = self.looked_up(completed(calls).withColumn("task", F.lit(task.name)), {task.name: task})
+        tasks = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few rows, much to read
+        shared = asked.select("task", "answer", "n_words").distinct().repartition(tasks, "answer", "n_words").join(self.texts, "answer", "left")
+        read = typed(shared.withColumn("error", F.lit(None).cast("string")), [task]).select(F.col("answer").alias("answer_"), F.col("n_words").alias("n_words_"), F.col("o0_").alias("out"), "error")
+        found = asked.join(read, F.col("answer").eqNullSafe(F.col("answer_")) & F.col("n_words").eqNullSafe(F.col("n_words_")))
+        return found.select(*calls.columns, *[c for c in ("format", "generation", "variation") if c not in calls.columns], "out", "error", F.lit(1).alias("attempts"))
+
 
 def ask(rows: DataFrame, task: Task, runtime: Runtime | None, call_id: Column, passage: Column, out: str = "out", error: str = "error", attempts: str | None = None, **fields: Column) -> DataFrame:
     """rows with out and error of one call each, and attempts if it has a name;

@@ -67,12 +67,17 @@ def passage_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("group_id", F.size("ids").alias("n"), F.array_join("ids", ",").alias("ids"), F.md5(F.array_join("passages", "\n")).alias("digest"))
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.neighbours(groups.all_groups(sources(spark, sf_dir), size=2))
+def keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sources with a letter for each text: they make the same groups."""
+    return sources(spark, sf_dir).withColumn("text", F.substring(X.strip(F.col("text")), 1, 1))
+
+
+def pairs(docs: DataFrame) -> DataFrame:
+    return groups.neighbours(groups.all_groups(docs, size=2))
 
 
 def comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.comparison_rows(pairs(spark, sf_dir))
+    return groups.comparison_rows(pairs(sources(spark, sf_dir)))
 
 
 def retrieval_of(negative: bool):
@@ -241,11 +246,13 @@ def reasoning_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def comparison_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three answers to each pair, of which the last is too long to be valid."""
-    made = pairs(spark, sf_dir).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(2))))
-    said = F.when(F.col("g") == 2, F.repeat(F.lit("x"), 10**6)).otherwise(F.concat(F.lit("answer "), F.col("g").cast("string")))
-    answers = modelled(made, "comparison", F.to_json(F.struct(said.alias("answer"))), F.concat_ws(":", F.col("group_id").cast("string"), F.col("g").cast("string")))
-    return groups.comparison_rows(pairs(spark, sf_dir), runtime=TableRuntime(answers)).select("group_id", "generation", "output", F.md5("input").alias("digest"))
+    """Three answers to each pair, of which the last is too long to be valid. The pairs
+    share their texts."""
+    said = F.when(F.col("answer") == 2, F.repeat(F.lit("x"), 10**6)).otherwise(F.concat(F.lit("answer "), F.col("answer").cast("string")))
+    texts = spark.range(3).withColumnRenamed("id", "answer").withColumn("raw", F.to_json(F.struct(said.alias("answer"))))
+    made = pairs(keys(spark, sf_dir)).select("group_id").distinct().crossJoin(F.broadcast(texts.select("answer")))
+    answers = made.select(F.lit("comparison").alias("task"), F.concat_ws(":", F.col("group_id").cast("string"), F.col("answer").cast("string")).alias("call_id"), "answer")
+    return groups.comparison_rows(pairs(sources(spark, sf_dir)), runtime=TableRuntime(answers, texts)).select("group_id", "generation", "output", F.md5("input").alias("digest"))
 
 
 def retrieval_model(spark: SparkSession, sf_dir: str) -> DataFrame:
