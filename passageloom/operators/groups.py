@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import cat, count_words, maskable, strip
+from ..plans.schema import grows
 from ..plans.tasks import COMPARISON, NO_ANSWER, REASON, RETRIEVAL, passage_list, retrieval_rows
 from ..sources.files import scratch
 from .runtime import RuleRuntime, Runtime, ask, completed, typed
@@ -129,13 +130,19 @@ def retrieval(
 ) -> DataFrame:
     """group_id, passage_no, question_no, negative and the rows of each question:
     two with its passage among the group's, two with the others only. Questions on
-    each passage and the reason of each answer are calls of the runtime."""
+    each passage and the reason of each answer are calls of the runtime. Where answers
+    go by key, blanks stand in for passages until all answers are there."""
     for most in (most_passages, most_questions):
         if most is not None and most <= 0:
             raise ValueError("a limit must be greater than 0")
     source = runtime or RuleRuntime()
     ps = F.col("passages") if seed is None else shuffled(F.col("passages"), seed)
-    made = groups.select("group_id", (ps if most_passages is None else F.slice(ps, 1, most_passages)).alias("ps"))
+    held = groups.select("group_id", (ps if most_passages is None else F.slice(ps, 1, most_passages)).alias("ps"))
+    made, tasks = held, (RETRIEVAL, REASON, NO_ANSWER)
+    by_key = source.by_key and not any(grows(t.tree) for t in tasks)
+    if by_key:
+        n = F.size("passages") if most_passages is None else F.least(F.size("passages"), F.lit(most_passages))
+        made = groups.select("group_id", n.alias("n")).where("n > 0").distinct().select("group_id", F.array_repeat(F.lit(""), F.col("n")).alias("ps"))
     made = made.select("group_id", "ps", F.posexplode("ps").alias("passage_no", "p"))
     text = lambda c: F.col(c).cast("string")
     asked = ask(made, RETRIEVAL, source, cat(text("group_id"), ":", text("passage_no")), F.col("p"))
@@ -155,6 +162,8 @@ def retrieval(
         raw = source.raw(completed(calls), {t.name: t for t in (REASON, NO_ANSWER)})
         told = typed(raw, [REASON, NO_ANSWER]).withColumn("out", F.coalesce("o0_", "o1_"))
     made = told.where("out IS NOT NULL").select("own_.*", F.col("out.why").alias("why"))
+    if by_key:
+        made = held.withColumn("n", F.size("ps")).join(made.withColumn("n", F.size("ps")).drop("ps"), ["group_id", "n"])
     given = F.when(F.col("negative"), F.filter("ps", lambda p, i: i != F.col("passage_no"))).otherwise(F.col("ps"))
     rows = retrieval_rows(given, F.when(~F.col("negative"), F.col("passage_no")), F.col("q"), F.col("why"))
     made = made.select("group_id", "passage_no", "question_no", "negative", F.posexplode(rows).alias("row_no", "r"))

@@ -258,15 +258,14 @@ def comparison_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One question on each passage; a reason for it, and, for even groups, one why
     no other passage answers."""
-    made = groups.all_groups(sources(spark, sf_dir))
-    each = made.select("group_id", F.posexplode("ids").alias("k", "i"))
+    each = groups.all_groups(keys(spark, sf_dir)).select("group_id", F.posexplode("ids").alias("k", "i")).select("group_id", "k").distinct()
     key = F.concat_ws(":", F.col("group_id").cast("string"), F.col("k").cast("string"))
     answers = joined_answers(
         modelled(each, "retrieval", F.lit('{"questions": ["Which is it?"]}'), key),
         modelled(each, "retrieval_reason", F.lit('{"why": "It is."}'), F.concat(key, F.lit(":0"))),
         modelled(each.where("group_id % 2 = 0"), "no_answer_reason", F.lit('{"why": "It is not."}'), F.concat(key, F.lit(":0"))),
     )
-    found = groups.retrieval(made, runtime=answers)
+    found = groups.retrieval(groups.all_groups(sources(spark, sf_dir)), runtime=answers)
     return found.select("group_id", "passage_no", "negative", "row_no", "output", F.md5("input").alias("digest"))
 
 

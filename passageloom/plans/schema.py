@@ -250,6 +250,13 @@ def many(least: int, most: int | None, of: Node | None = None, **each: Node) ->
     return Items(of or fields(**each), least, most)
 
 
+def grows(node: Node) -> bool:
+    """Whether a bound of it grows with the words of the passage."""
+    if isinstance(node, Fields):
+        return any(grows(x) for _, x in node.of)
+    return grows(node.of) if isinstance(node, Items) else isinstance(node, Text) and node.grows is not None
+
+
 def from_ddl(schema: str) -> Fields:
     """The tree of a table schema, without bounds."""
 

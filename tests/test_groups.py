@@ -43,7 +43,7 @@ def shuffled_bytes(spark, run) -> int:
     return sum(n for f, n in found().items() if f not in before)
 
 
-@pytest.mark.parametrize("name", ["comparison_model"])
+@pytest.mark.parametrize("name", ["comparison_model", "retrieval_model"])
 def test_texts_are_shuffled_twice(spark, tmp_path, name):
     """Once into groups, once to the answers; before, more than eight times."""
     text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(120)), lambda k: F.md5(F.concat_ws(" ", "id", k))), " ")
@@ -56,7 +56,7 @@ def test_texts_are_shuffled_twice(spark, tmp_path, name):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["comparison_model"])
+@pytest.mark.parametrize("name", ["comparison_model", "retrieval_model"])
 def test_ids_of_two_sources(spark, tmp_path, name):
     """Sources number their documents alike, so that groups share their ids."""
     docs = pd.DataFrame([(k, f"text {k} of {s}" + " more" * (k % 4), s) for s in "abc" for k in range(9 if s == "a" else 10)], columns=["doc_id", "text", "source"])
@@ -78,7 +78,7 @@ def test_answers_by_key_are_those_by_call(spark):
     said += [("retrieval", f"{g}:{k}", '{"questions": ["q?", "r?"]}') for g in range(1, 5) for k in range(3)]
     said += [(t, f"{g}:{k}:{n}", '{"why": 5}' if n and g == 3 else '{"why": "w"}') for t in ("retrieval_reason", "no_answer_reason") for g in range(1, 5) for k in range(2) for n in range(2)]
     table = spark.createDataFrame(said, "task string, call_id string, raw string")
-    for ask in (groups.comparison_rows,):
+    for ask in (groups.comparison_rows, groups.retrieval, lambda g, runtime: groups.retrieval(g, most_passages=1, seed=None, runtime=runtime)):
         got, want = (ask(made, runtime=kind(table)).toPandas() for kind in (R.TableRuntime, Plain))
         assert rows(got, list(want.columns)) == rows(want, list(want.columns)) and len(got)
 
